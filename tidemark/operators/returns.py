@@ -30,7 +30,7 @@ def horizon_returns(closes: DataFrame) -> DataFrame:
 
 def relative(returns: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rounded returns, and rounded differences of the unrounded ones to the benchmark's (one row; none: an error)."""
-    b = benchmark.agg(F.when(F.count(F.lit(1)) != 1, F.raise_error(F.lit("the benchmark must have one row"))).cast("int").alias("n"), *[F.first(k).alias(f"b_{k}") for k in HORIZONS])
+    b = benchmark.agg(F.when(F.count(F.lit(1)) != 1, F.raise_error(F.lit("the benchmark must have one row"))).cast("int").alias("n"), *[F.first(k).alias(f"b_{k}") for k in HORIZONS]).where("n is null")
     rows = returns.crossJoin(F.broadcast(b))  # one row by construction
     return rows.select("sym", "d", "close", *[rounded(k, 2).alias(k) for k in HORIZONS], *[rounded(F.col(k) - F.col(f"b_{k}"), 2).alias(f"rel_{k}") for k in HORIZONS])
 
