@@ -6,13 +6,14 @@ has a MinHash signature of COORDINATES coordinates, and is posted under each coo
   - pairs in one class only are no posting; what is left is ordered from the rarest to the commonest value, and since two classes
     that agree in MATCHES coordinates share one of the COORDINATES - MATCHES + 1 rarest of either (prefix), only those lists
     are kept; classes with fewer than MATCHES shared values are skipped altogether;
-  - first round: in each list every class is paired with its smallest member, and of these pairs each class keeps the one with the
-    most shared lists; what holds up on full sets is merged into components;
+  - of the classes left the shingles that no other of them has are counted; one with more than a quarter of its own is skipped;
+  - first round: in each list every class is paired with the one that has the smallest share of shingles of its own, and of these
+    pairs each class keeps the one with the most shared lists; what holds up on full sets is merged into components;
   - second round: in lists that still hold several components, classes of different components are paired (skip merging: a list
-    inside one component has nothing to add), pairs that agree in fewer than MATCHES coordinates are dropped, and the others
-    are confirmed on full sets.
-So a group of copies costs as many pairs as it has members. Pairs of similarity 0.75 agree in fewer than MATCHES coordinates with
-a probability below one in ten million.
+    inside one component has nothing to add) if their sizes and own shingles leave room for the similarity and if they agree in
+    MATCHES coordinates; the pairs are confirmed on full sets.
+So a group of copies costs about as many pairs as it has members. Pairs of similarity 0.75 agree in fewer than MATCHES coordinates with
+a probability below one in a million.
 
 Null or wordless text: empty set, linked with nothing. Repeated rows are in one class. Null ids are linked with nothing."""
 
@@ -137,29 +138,14 @@ def features(text: Column) -> Column:
     return of(text)
 
 
-def _set_bytes(text: Column) -> Column:
-    @F.pandas_udf("binary")
+def _set(text: Column) -> Column:
+    @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([s.astype("<u8").tobytes() for s in shingle_sets(texts.tolist())])
+        return pd.Series([s.view(np.int64) for s in shingle_sets(texts.tolist())])
 
     return of(text)
 
 
-def _alike(a: Column, b: Column) -> Column:
-    @F.pandas_udf("boolean")
-    def of(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x.tolist(), y.tolist(), strict=True):
-            p, q = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
-            both = np.concatenate([p, q])
-            both.sort()
-            n = int((both[1:] == both[:-1]).sum())
-            out.append(100 * n >= PERCENT * (len(p) + len(q) - n))
-        return pd.Series(out)
-
-    return of(a, b)
-
-
 def components(links: DataFrame) -> DataFrame:
     """(a, b) links -> (node, label): the smallest node reachable. Labels move along links and then jump to the label's label
     until none changes; each round is a written table."""
@@ -176,9 +162,32 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _similar(both: Column, n: Column, m: Column) -> Column:
+    """Whether sets of n and m shingles that share `both` are similar enough."""
+    return (100 + PERCENT) * both >= PERCENT * (n + m)
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     rows = pairs.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
-    return rows.where(_alike(F.col("x"), F.col("y"))).select("a", "b")
+    return rows.where(_similar(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b")
+
+
+def _open_pairs(rows: DataFrame) -> DataFrame:
+    """(rep, label, set) -> pairs of different labels that may be similar, by an exact prefix filter.
+
+    Each set is ordered from its rarest shingle to its commonest. Where two sets meet in a shingle at places i and j, and it is the
+    first that they share, they share at most min(n - i, m - j); a pair for which no shared shingle leaves room for the
+    similarity has none. So what strays from a group of copies meets others in its rare shingles alone, not in those that
+    the whole group has. Shingles of one label have nothing to add."""
+    each = rows.select("rep", "label", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    known = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("x"), F.max("label").alias("y")).where("df > 1").select("shingle", "df", (F.col("x") != F.col("y")).alias("open"))
+    placed = each.join(known, "shingle").groupBy("rep", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle", "open"))).alias("own"))
+    alone = F.col("n") - F.size("own")
+    posted = placed.select("rep", "label", "n", alone.alias("alone"), F.posexplode("own").alias("at", "s")).where("s.open")
+    posted = posted.select(F.col("s.shingle").alias("shingle"), "rep", "label", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("room")).where(100 * F.col("room") >= PERCENT * F.col("n"))
+    a, b = (posted.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "label", "n", "room")]) for x in "ab")
+    fits = (F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & _similar(F.least("room_a", "room_b"), F.col("n_a"), F.col("n_b"))
+    return a.join(b, (a["shingle"] == b["shingle"]) & fits).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -194,29 +203,32 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     own = written(own.select("rep", F.transform("own", lambda x: x["token"]).alias("tokens")), "posted")
     if own.isEmpty():
         return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
-    lists = own.select("rep", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - (MATCHES - 1))).alias("token"))
 
     ids = own.select("rep")
     few = own.count() <= BROADCAST_IDS
     kept = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["rep"]).select("rep", "text")
     if _repeated(found):
         kept = kept.dropDuplicates(["rep"])
-    sets = written(kept.select("rep", _set_bytes(F.col("text")).alias("set")), "sets")
-
-    heads = lists.groupBy("token").agg(F.min("rep").alias("head"))
-    near = lists.join(heads, "token").where("rep != head").groupBy("rep", "head").count()
+    sets = written(kept.select("rep", _set(F.col("text")).alias("set")), "sets")
+    alone = sets.select("rep", F.explode("set").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("rep").alias("rep")).where("n = 1")
+    alone = alone.groupBy("rep").agg(F.count(F.lit(1)).cast("int").alias("alone"))
+    sizes = sets.select("rep", F.size("set").alias("n")).join(alone, "rep", "left").select("rep", "n", F.coalesce("alone", F.lit(0)).alias("alone"))
+    own = written(own.join(sizes.where(100 * (F.col("n") - F.col("alone")) >= PERCENT * F.col("n")), "rep"), "own")
+    lists = own.select("rep", "n", "alone", "tokens", F.explode(F.slice("tokens", F.lit(1), F.size("tokens") - (MATCHES - 1))).alias("token"))
+
+    heads = lists.groupBy("token").agg(F.min_by("rep", F.struct(F.col("alone") / F.col("n"), "rep")).alias("head"))
+    near = lists.select("rep", "token").join(heads, "token").where("rep != head").groupBy("rep", "head").count()
     first = near.groupBy("rep").agg(F.max_by("head", F.struct(F.col("count"), -F.col("head"))).alias("a")).select("a", F.col("rep").alias("b"))
     links = written(_confirmed(first, sets), "first")
     labels = components(links)
 
     named = lists.join(labels, lists["rep"] == labels["node"], "left").select("token", "rep", F.coalesce("label", "rep").alias("label"))
     open_ = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("token")
-    named = written(named.join(open_, "token", "left_semi"), "open")
-    left, right = (named.select("token", F.col("rep").alias(x), F.col("label").alias(f"l{x}")) for x in "ab")
-    pairs = left.join(right, "token").where("a < b and la != lb").select("a", "b").distinct()
+    named = named.join(open_, "token", "left_semi").select("rep", "label").distinct()
+    pairs = written(_open_pairs(written(sets.join(named, "rep"), "open")), "pairs")
     agree = own.select(F.col("rep").alias("a"), F.col("tokens").alias("x")), own.select(F.col("rep").alias("b"), F.col("tokens").alias("y"))
     pairs = pairs.join(agree[0], "a").join(agree[1], "b").where(F.size(F.array_intersect("x", "y")) >= MATCHES).select("a", "b")
-    more = written(_confirmed(written(pairs, "pairs"), sets), "second")
+    more = written(_confirmed(pairs, sets), "second")
     if not more.isEmpty():
         links = links.union(more)
         labels = components(links)
