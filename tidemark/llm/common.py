@@ -41,15 +41,15 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def ordered_bucket(df: DataFrame, key: str, rows: int = 1024, coarse: int = 64) -> Column:
-    """A long that never falls as `key` (long) rises, with about `rows` rows to a value.
+def ordered_bucket(df: DataFrame, key: str, rows: int = 1024, coarse: int = 64, most: int = 1 << 16) -> Column:
+    """A long that never falls as `key` (long) rises, with about `rows` rows to a value, and at most `most` values.
 
     The quantiles of `key` (one small aggregate) split its range; within a quantile the buckets have equal widths.
     Null keys count as the least key. Equal keys share a bucket."""
     n, splits = df.agg(F.count(F.lit(1)), F.percentile_approx(F.col(key), [i / coarse for i in range(coarse + 1)], 20 * coarse)).first()
     if not n or not splits:
         return F.lit(0).cast("long")
-    per = max(1, -(-n // (coarse * rows)))
+    per = max(1, min(most // coarse, -(-n // (coarse * rows))))
     k = F.coalesce(F.col(key), F.lit(splits[0]))
     inner = F.array(*[F.lit(int(x)) for x in splits[1:-1]])
     i = F.size(F.filter(inner, lambda x: x <= k))

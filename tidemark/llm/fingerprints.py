@@ -10,6 +10,8 @@ Null text: no shingles. Two texts without words are alike (1.0); one with and on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,13 +62,14 @@ def as_text(sketch: Column) -> Column:
     return F.concat_ws(":", F.hex(sketch["n"].cast("long")), F.hex(sketch["upto"]), F.concat_ws(",", F.transform(sketch["hashes"], lambda v: F.hex(v))))
 
 
-def with_next(df: DataFrame, key: str, columns: dict[str, str], tie: str) -> DataFrame:
+def with_next(df: DataFrame, key: str, columns: dict[str, str], tie: str, derive: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Adds, under the new names, the columns of the row that follows in ascending `key` (then `tie`); after the last, the first.
 
     Rows are dealt by ordered buckets; each bucket also gets the first row of the next one, so a window within the bucket is
-    enough. Null keys come first."""
+    enough. `derive` adds columns once rows are in their buckets, so they aren't shuffled. The first keys, which are sent to all
+    tasks, are as many as buckets: 65,536 at most. Null keys come first."""
     if df.isEmpty():
-        return df.select("*", *[F.col(c).alias(n) for c, n in columns.items()])
+        return derive(df).select("*", *[F.col(c).alias(n) for c, n in columns.items()])
     bucket, guest, to, head = fresh(df, "bucket__", "guest__", "to__", "head__")
     rows = df.withColumn(bucket, ordered_bucket(df, key))
     heads = rows.groupBy(bucket).agg(F.min(F.struct(F.col(key).isNotNull().alias("there"), F.col(key).alias("k")))[ "k"].alias(head), F.max(F.col(key).isNull()).alias(guest))
@@ -74,7 +77,7 @@ def with_next(df: DataFrame, key: str, columns: dict[str, str], tie: str) -> Dat
     at = Window.orderBy(bucket)
     ends = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select(head, F.col(bucket).alias(f"{bucket}h"), F.coalesce(F.lag(bucket).over(at), F.max(bucket).over(ends)).alias(to))
-    guests = rows.join(heads, rows[key].eqNullSafe(heads[head])).withColumn(bucket, F.col(to)).drop(head, to, f"{bucket}h").withColumn(guest, F.lit(True))
-    rows = rows.withColumn(guest, F.lit(False)).unionByName(guests)
+    guests = rows.join(F.broadcast(heads), rows[key].eqNullSafe(heads[head])).withColumn(bucket, F.col(to)).drop(head, to, f"{bucket}h").withColumn(guest, F.lit(True))
+    rows = derive(rows.withColumn(guest, F.lit(False)).unionByName(guests).repartition(bucket))
     w = Window.partitionBy(bucket).orderBy(guest, F.col(key).asc_nulls_first(), tie)
     return rows.select("*", *[F.lead(c).over(w).alias(n) for c, n in columns.items()]).where(~F.col(guest)).drop(bucket, guest)

@@ -16,8 +16,8 @@ def _text():
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", _text().alias("text"))
-    docs = fingerprints.sketched(docs, "text", "sketch")
-    docs = fingerprints.with_next(docs, "doc_id", {"text": "next_text", "sketch": "next_sketch"}, "text")
+    sketched = lambda rows: fingerprints.sketched(rows, "text", "sketch")
+    docs = fingerprints.with_next(docs, "doc_id", {"text": "next_text", "sketch": "next_sketch"}, "text", sketched)
     half = F.floor(F.length("text") / 2).cast("int")
     docs = docs.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)))
     docs = fingerprints.sketched(docs, "edited", "edited_sketch")
