@@ -15,8 +15,11 @@ sum 0, mean null. Repeated rows count as often as they occur. An empty table giv
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +27,8 @@ from .near_dups import _mixed, word_hashes
 
 ORDER, BACKOFF = 3, 0.4
 #: Characters of text in a batch; distinct n-grams in a part of the count tables.
-BATCH_CHARS, PART_GRAMS = 8_000_000, 4_000_000
+BATCH_CHARS, PART_GRAMS = 8_000_000, 2_000_000
+PACKED = "batch int, rows binary"
 ASKED, ANSWERED = "part int, batch int, grams binary, counts binary", "batch int, part int, totals binary"
 SCORED = "doc_id long, n_words long, n_seen long, n_backed_off long, log10_sum double"
 
@@ -48,40 +52,76 @@ def _asked(grams: list, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return distinct, counts, np.append(bounds, len(distinct))
 
 
+def _squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _raw(data: bytes) -> bytes:
+    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _narrow(counts: np.ndarray) -> bytes:
-    kind = np.uint8 if counts.max(initial=0) < 256 else np.uint32 if counts.max() < 1 << 32 else np.uint64
-    return bytes([np.dtype(kind).itemsize]) + counts.astype(kind).tobytes()
+    """Counts as bytes; those of 255 and more stand apart with their places."""
+    large = np.flatnonzero(counts >= 255)
+    head = np.asarray([len(large)], "<u4").tobytes() + large.astype("<u4").tobytes() + counts[large].astype("<i8").tobytes()
+    return _squeezed(head + np.minimum(counts, 255).astype(np.uint8).tobytes())
 
 
 def _wide(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, {1: np.uint8, 4: np.uint32, 8: np.uint64}[data[0]], offset=1).astype(np.int64)
+    raw = _raw(data)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    counts = np.frombuffer(raw, np.uint8, offset=4 + 12 * n).astype(np.int64)
+    counts[np.frombuffer(raw, "<u4", n, 4)] = np.frombuffer(raw, "<i8", n, 4 + 4 * n)
+    return counts
 
 
 def _near(hashes: np.ndarray) -> bytes:
-    """Ascending hashes as gaps, in the fewest bytes that hold the largest."""
+    """Ascending hashes as gaps, all lowest bytes first, then the next, so that the upper ones, which vary less, lie together."""
     gaps = np.diff(hashes, prepend=np.uint64(0))
-    gaps, first = gaps[1:], hashes[:1]
-    width = max(1, (int(gaps.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + first.astype("<u8").tobytes() + np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    width = max(1, (int(gaps[1:].max(initial=0)).bit_length() + 7) // 8)
+    planes = gaps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + hashes[:1].astype("<u8").tobytes() + _squeezed(planes.tobytes())
 
 
 def _far(data: bytes) -> np.ndarray:
     width, first = data[0], np.frombuffer(data, "<u8", 1, 1)
-    raw = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
-    gaps = np.zeros((len(raw), 8), np.uint8)
-    gaps[:, :width] = raw
+    planes = np.frombuffer(_raw(data[9:]), np.uint8).reshape(width, -1) if len(data) > 17 else np.zeros((width, 0), np.uint8)
+    gaps = np.zeros((planes.shape[1], 8), np.uint8)
+    gaps[:, :width] = planes.T
     return np.cumsum(np.concatenate([first, gaps.view("<u8").ravel()]))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one batch in compressed runs, which is a half of what their texts are in a shuffle."""
+    for rows in batches:
+        batch = rows.column("batch").to_numpy(zero_copy_only=False)
+        order = np.argsort(batch, kind="stable")
+        names, at = np.unique(batch[order], return_index=True)
+        rows, runs = rows.select(["doc_id", "text"]).take(pa.array(order)), []
+        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(batch)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(rows.slice(a, b - a))
+            runs.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(runs, pa.binary())], ["batch", "rows"])
+
+
+def _unpacked(runs: pd.Series) -> tuple[list, list]:
+    """ids, texts."""
+    tables = [pa.ipc.open_stream(run).read_all() for run in runs]
+    return [x for t in tables for x in t["doc_id"].to_pylist()], [x for t in tables for x in t["text"].to_pylist()]
+
+
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, backoff: float = BACKOFF, leave_one_out: bool = True) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n_docs, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     batches = max(1, -(-chars // BATCH_CHARS))
     parts = max(1, -(-chars // (4 * PART_GRAMS)))
     rows = rows.withColumn("batch", F.pmod(F.xxhash64(F.col("doc_id"), F.length("text")), F.lit(batches)).cast("int"))
+    rows = rows.mapInArrow(_packed, PACKED)
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes, ends = word_hashes(pdf["text"].tolist())
+        hashes, ends = word_hashes(_unpacked(pdf["rows"])[1])
         distinct, counts, bounds = _asked(_grams(hashes, ends, order), parts)
         batch = int(pdf["batch"].iloc[0])
         spans = [(k, bounds[k], bounds[k + 1]) for k in range(parts) if bounds[k] < bounds[k + 1]]
@@ -104,7 +144,8 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
     def score(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
             return pd.DataFrame({c.split()[0]: [] for c in SCORED.split(", ")})
-        hashes, ends = word_hashes(pdf["text"].tolist())
+        ids, texts = _unpacked(pdf["rows"])
+        hashes, ends = word_hashes(texts)
         grams = _grams(hashes, ends, order)
         distinct, _, _ = _asked(grams, parts)
         told = told.sort_values("part")
@@ -138,7 +179,7 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
             used = np.where(ok & seen, n, used)
         full = np.minimum(order, np.arange(len(hashes)) - np.repeat(start, size) + 1)
         add = lambda x: np.bincount(doc, x, len(ends)) if len(doc) else np.zeros(len(ends))
-        return pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_words": size, "n_seen": add(used == full).astype(np.int64), "n_backed_off": add(used < full).astype(np.int64), "log10_sum": add(result)})
+        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_words": size, "n_seen": add(used == full).astype(np.int64), "n_backed_off": add(used < full).astype(np.int64), "log10_sum": add(result)})
 
     asked = rows.groupBy("batch").applyInPandas(ask, ASKED)
     answered = asked.groupBy("part").applyInPandas(answer, ANSWERED)
