@@ -6,7 +6,6 @@ from __future__ import annotations
 
 import base64
 import os
-from array import array
 
 import numpy as np
 
@@ -40,10 +39,10 @@ class ByteEncoder:
         return self.coder.encode_to_numpy(text).astype("<u4", copy=False).tobytes() if text else b""
 
 
-class WordEncoder(dict):
+class WordEncoder:
     """The vocabulary with word ends: it drops white space, so a text has the ids of its words in order.
 
-    The dict holds the ids of words seen before; the library's tokenizer is asked once for each new word."""
+    `held` has the ids of words seen before; the library's tokenizer is asked once for each new word."""
 
     def __init__(self, name: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,29 +50,47 @@ class WordEncoder(dict):
 
         self.tokenizer = Tokenizer.from_file(_path(name))
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
+        self.held: dict[str, bytes] = {}
+
+    def ask(self, words: list[str]) -> None:
+        """Words of letters are asked for as one text: each ends with the one id in it that ends a word. If there are other
+        numbers of such ids (letters that normalizing makes more than letters), and for other words: one by one."""
+        letters = [w for w in words if w.isalpha()]
+        if letters:
+            (all_,) = self.tokenizer.encode_batch_fast([" ".join(letters)], add_special_tokens=False)
+            ids = np.asarray(all_.ids, "<u4")
+            ends, raw = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist(), ids.tobytes()
+            if len(ends) == len(letters):
+                self.held.update((w, raw[a:b]) for w, a, b in zip(letters, [0, *ends], ends, strict=False))
+                words = [w for w in words if not w.isalpha()]
+        for w, x in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+            self.held[w] = np.asarray(x.ids, "<u4").tobytes()
 
     def learn(self, words: list[str]) -> None:
-        if len(self) + 2 * len(words) > CACHE_WORDS:
-            self.clear()
-        words = {w for w in words if w not in self}
+        if len(self.held) + 2 * len(words) > CACHE_WORDS:
+            self.held = {}
+        held, new = self.held, set(words)
+        new = new.difference(held)
         plain = {}  # letters with one mark behind: the tokenizer parts them, so their ids are those of both
-        for w in words:
-            core = w[:-1] if w[-1:] in (".", ",") and w[:-1].isalpha() else w
-            plain[w] = core.lower() if core.isascii() else core
-        new = [w for w in {*plain.values(), ".", ","} if w not in self]
-        for w, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[w] = array("I", x.ids).tobytes()
-        for w in words:
-            core = plain[w]
-            self[w] = self[core] + self[w[-1]] if len(core) < len(w) else self[core]
+        for w in new:
+            if w[-1:] in (".", ",") and w[:-1].isalpha():
+                plain[w] = w[:-1].lower() if w.isascii() else w[:-1]
+            elif w.isascii() and (low := w.lower()) != w:
+                plain[w] = low
+        self.ask(list((new.difference(plain) | {*plain.values(), ".", ","}).difference(held)))
+        for w, core in plain.items():
+            held[w] = held[core] + held[w[-1]] if len(core) < len(w) else held[core]
 
     def encode(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
         try:
-            return b"".join(map(self.__getitem__, words))
+            return b"".join(map(self.held.__getitem__, words))
         except KeyError:
             self.learn(words)
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.held.__getitem__, words))
 
 
 def encoder(kind: type, name: str):
