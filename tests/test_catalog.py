@@ -1,11 +1,13 @@
 """Every query of the catalog against its SQL."""
 
+import datetime as dt
 import math
 import os
 
 import duckdb
 import pytest
 
+from tidemark.operators import scorecard
 from tidemark.plans import catalog, oracle
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -48,3 +50,11 @@ def test_against_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(oracle.oracle_sql())))
 def test_others_run(spark, name):
     assert catalog.queries()[name](spark, SMALL).count() > 0
+
+
+def test_scorecard_shows_the_newest_years(spark, db):
+    years = [str(y) for (y,) in db.sql("SELECT DISTINCT year(o_orderdate::DATE) FROM orders ORDER BY 1").fetchall()][1:]
+    assert sorted(catalog.queries()["scorecard_newest_years"](spark, SMALL).columns) == sorted(["sym", *years[-8:]])
+    rows = spark.createDataFrame([("A", dt.date(y, 6, 1), float(y - 2000)) for y in range(2001, 2015)], "sym string, d date, close double")
+    shown = scorecard.scorecard(rows, "year")
+    assert sorted(shown.columns) == [*map(str, range(2007, 2015)), "sym"] and shown.first()["2014"] == 7.69

@@ -255,6 +255,11 @@ def scorecard_pivot(spark, sf):
     return out.select("sym", *[F.col(y).alias(f"y{y}") for y in years])
 
 
+def scorecard_newest_years(spark, sf):
+    """Whichever years the rows have, the newest 8 of them; scorecard_pivot shows the years of its SQL alone."""
+    return C.scorecard(src.region_closes(spark, sf).where("type = 'region'"), "year")
+
+
 def scorecard_newest(spark, sf):
     return C.scorecard(src.region_closes(spark, sf).where("type = 'style'"), "quarter")
 
@@ -399,7 +404,7 @@ def queries() -> dict:
         asof_left, asof_by_key, asof_ratio_rebased, scalar_asof, manual_scores, factor_components, composite_live, composite_history, component_histories,
         name_flags, breadth_internals, advance_decline_line, new_high_low, pct_above_sma, ath_summary, ath_tolerance,
         sector_returns, relative_returns, country_returns, range_changes, range_distribution, range_distribution_nested, day_distribution,
-        period_returns, heat_cells, scorecard_pivot, scorecard_newest, leaderboard_nulls_last, heat_intensity, rebased_chart, rebased_chart_ytd,
+        period_returns, heat_cells, scorecard_pivot, scorecard_newest_years, scorecard_newest, leaderboard_nulls_last, heat_intensity, rebased_chart, rebased_chart_ytd,
         factor_left_join, missing_anti_join, proxy_fallback, quote_union, usage_report, latest_vs_previous, coverage_share,
         snapshot_upsert, key_merge, config_upsert_delete, counter_trim, bars_projection, symbol_validation, csv_preamble_parse, json_closes, month_overflow, js_rounding,
     )

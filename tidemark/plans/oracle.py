@@ -134,6 +134,7 @@ def oracle_sql() -> dict[str, str]:
         "period_returns": f" SELECT sym, period, {r('ret', 4)} AS ret FROM ({_returns('style', 'quarter')})",
         "heat_cells": f", x AS ({_returns('region', 'month')}) SELECT sym, period, {r('ret', 2)} AS ret, {r('least(abs(ret) / 10.0, 1.0) * 0.55', 4)} AS opacity FROM x WHERE period IN (SELECT DISTINCT period FROM x ORDER BY period DESC LIMIT 12)",
         "scorecard_pivot": f", x AS ({_returns('region', 'year')}) SELECT sym, {', '.join(f'{r(f"max(ret) FILTER (WHERE period = {chr(39)}{y}{chr(39)})", 2)} AS y{y}' for y in range(1995, 1999))} FROM x GROUP BY sym",
+        "scorecard_newest_years": f", x AS ({_returns('region', 'year')}), shown AS (SELECT sym, period, {r('ret', 2)} AS ret FROM x WHERE period IN (SELECT DISTINCT period FROM x ORDER BY period DESC LIMIT 8)) SELECT * FROM (PIVOT shown ON period USING max(ret) GROUP BY sym)",
         "leaderboard_nulls_last": f", {_BOARD} SELECT row_number() OVER (ORDER BY y1 DESC NULLS LAST, sym)::INTEGER AS place, sym, d1, m1, y1, {', '.join(f'{_HEAT(k)} AS heat_{k}' for k in ('d1', 'm1', 'y1'))} FROM board",
         "heat_intensity": f", {_BOARD} SELECT sym, {_HEAT('d1')} AS heat_d1, {_HEAT('y1')} AS heat_y1 FROM board",
         "rebased_chart": f" {_CHART(f'd >= {_END} - 365')}",
