@@ -1,7 +1,7 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become symbols: insult (I), threat (T), target (Y), negation (N), reporter (R), other (o). Four weighted transducers over these
-symbols are composed into one machine, which reads a clause:
+symbols are composed into one machine, which reads a clause, from one of . ! ? ; : | or line break to the next, however long:
   - target: an insult or threat within REACH words of a target counts for more;
   - threat: a threat verb alone says little; towards a target it counts like an insult;
   - negation: what stands within REACH words after a negation counts for less, and is noted;
@@ -38,7 +38,8 @@ TARGETS = "you your yours he she they them these those people all him her u du i
 NEGATIONS = "not no never don't doesn't isn't aren't won't nicht kein keine nie ne pas jamais nunca jamás".split()
 REPORTERS = "said says told called calls quoted wrote claimed reported sagte nannte dit appelé dijo llamó".split()
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
-_END = re.compile(r"[.!?;:\n|]")
+_ENDS = ".!?;:\n|"
+_END = re.compile(f"[{_ENDS}]")
 
 
 class Transducer:
@@ -123,11 +124,9 @@ class Scorer:
             at = end - n + 1
             if at < upto or at and text[at - 1].isalnum() or not begins and end + 1 < len(text) and text[end + 1].isalnum():
                 continue
-            stops = [m.end() for m in _END.finditer(text, max(0, at - 400), at)]
-            a = stops[-1] if stops else max(0, at - 400)
-            stop = _END.search(text, end, end + 400)
-            b = stop.start() if stop else min(len(text), end + 400)
-            a = max(a, upto)
+            a = max(upto, 1 + max(text.rfind(c, upto, at) for c in _ENDS))
+            stop = _END.search(text, end)
+            b = stop.start() if stop else len(text)
             score, seen = self.clause(text[a:b])
             if seen:
                 out.append((a, b, score, seen))
