@@ -9,9 +9,9 @@ has a MinHash signature of COORDINATES coordinates, and is posted under each coo
   - of the classes left the shingles that no other of them has are counted; one with more than a quarter of its own is skipped;
   - first round: in each list every class is paired with the one that has the smallest share of shingles of its own, and of these
     pairs each class keeps the one with the most shared lists; what holds up on full sets is merged into components;
-  - second round: in lists that still hold several components, classes of different components are paired (skip merging: a list
-    inside one component has nothing to add) if their sizes and own shingles leave room for the similarity and if they agree in
-    MATCHES coordinates; the pairs are confirmed on full sets.
+  - second round: classes in lists that still hold several components (skip merging: a list inside one component has nothing to
+    add) are paired by a prefix filter over their full shingle sets, not by their lists, see _open_pairs; pairs that agree in
+    MATCHES coordinates are confirmed on full sets.
 So a group of copies costs about as many pairs as it has members. Pairs of similarity 0.75 agree in fewer than MATCHES coordinates with
 a probability below one in a million.
 
