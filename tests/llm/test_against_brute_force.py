@@ -84,6 +84,21 @@ def test_battery(spark):
     assert r[0] == "é [SECRET] é"
 
 
+def test_short_keys(spark):
+    import random
+    import string
+
+    from tidemark.llm import secret_scan
+
+    rng = random.Random(4)
+    keys = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n)) for n in (12, 14, 16, 18, 19) for _ in range(40)]
+    words = [w for w in ("conversation", "Understandings", "responsibilities", "1234567890123456", "well-established", "counterproductive") for _ in range(40)]
+    docs = spark.createDataFrame([(k, f"see {t} there") for k, t in enumerate(keys + words)], "doc_id long, text string")
+    rows = secret_scan.with_secrets(docs).select("doc_id", secret_scan.listed(q.F.col("secrets"))).where("size(secrets) > 0").collect()
+    assert len([r for r in rows if r[0] < len(keys)]) >= 0.8 * len(keys) and not [r for r in rows if r[0] >= len(keys)]
+    assert all(r[1] == f"random:4:{4 + len(keys[r[0]])}" for r in rows)
+
+
 def test_lm_scores(spark, at):
     docs = rows_of(spark, at)
     words = [(d["doc_id"], (d["text"] or "").encode().lower().split()) for d in docs]

@@ -6,7 +6,8 @@ characters) and the following are tested:
   - chi-squared uniformity over the alphabet, the runs of characters above and below the alphabet's middle, and the serial
     correlation of neighbours: a run that fails any of them at z > BATTERY_Z is no random string;
   - against the opposite null, that it is text (coincidences of characters as in words; few changes of character class), a
-    p-value, which the length decides as much as the look: short runs can't be surprising enough.
+    p-value, which the length decides as much as the look. The false-discovery rate is held over these p-values alone; the
+    tests of randomness are a gate.
 p-values are held to a false-discovery rate by Benjamini-Hochberg within each band of lengths over all documents; the ranks come
 from a table of counts by band and p-value in steps of 1/STEPS of a decade, a few hundred rows whatever the input.
 A run that overlaps a base span is left to that span.
@@ -24,8 +25,13 @@ ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 #: A match runs to the end of its run of characters, so demanding the length in the pattern leaves the same matches.
 ACCESS = "AKIA[A-Z0-9]{12,}+"
 HEX = "(?<![0-9a-f])[0-9a-f]{32,}+"
-LEAST, STEPS, MOST_DECADES, RATE, BATTERY_Z = 20, 20, 15, 0.01, 3.3
+#: LEAST is the shortest value that any base kind takes for a secret.
+LEAST, STEPS, MOST_DECADES, RATE, BATTERY_Z = 8, 20, 15, 0.01, 3.3
 RUN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}+"
+#: Plain words and numbers. Below 20 characters they reach less than one decade, whatever their characters; a discovery takes two (RATE).
+PLAIN = "^([A-Z]?[a-z]+|[A-Z]+|[0-9]+)$"
+#: Where bands of lengths begin. Shorter runs, mostly words, have bands of their own, so longer ones are ranked without them.
+EDGES = (12, 16, 20, *(1 << k for k in range(5, 13)))
 KINDS = ("assign", "access", "hex", "random")
 SPAN = "struct<start:int,rank:int,end:int>"
 #: Alphabets by size, the smallest first; the last two have the characters of both common forms of base 64.
@@ -100,7 +106,7 @@ def tested(run: Column) -> Column:
 
 
 def _band(n: Column) -> Column:
-    return F.least(F.lit(12), F.floor(F.log2(n.cast("double"))).cast("int"))
+    return F.size(F.filter(F.array(*[F.lit(k) for k in EDGES]), lambda k: k <= n))
 
 
 def candidates(text: Column) -> Column:
@@ -109,8 +115,9 @@ def candidates(text: Column) -> Column:
     look = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("run")))
 
     def figures(x: Column) -> Column:
-        t = tested(x["run"])
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), _band(x["end"] - x["start"]).alias("band"), F.when(t["sound"], F.floor(t["decades"] * STEPS)).otherwise(F.lit(0)).cast("int").alias("step"))
+        t, n = tested(x["run"]), x["end"] - x["start"]
+        step = F.when((n < 20) & x["run"].rlike(PLAIN), F.lit(0)).when(t["sound"], F.floor(t["decades"] * STEPS)).otherwise(F.lit(0))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), _band(n).alias("band"), step.cast("int").alias("step"))
 
     return F.transform(look, figures)
 
