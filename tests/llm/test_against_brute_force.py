@@ -99,6 +99,22 @@ def test_short_keys(spark):
     assert all(r[1] == f"random:4:{4 + len(keys[r[0]])}" for r in rows)
 
 
+def test_random_runs_beyond_base_spans(spark):
+    import random
+    import string
+
+    from tidemark.llm import secret_scan
+
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    key, end = some(40), some(34)
+    texts = [f"é {key}AKIAABCDEFGHIJKL+{end} é", f"é token={key} é"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = secret_scan.with_secrets(docs, bounds={4: 1, 5: 1}).select("doc_id", secret_scan.listed(q.F.col("secrets")), secret_scan.redacted(q.F.col("text"), q.F.col("secrets"))).orderBy("doc_id").collect()
+    assert [r[2] for r in rows] == ["é [SECRET] é"] * 2
+    assert [r[1] for r in rows] == ["random:2:93,access:42:58", "assign:2:48"]
+
+
 def test_lm_scores(spark, at):
     docs = rows_of(spark, at)
     words = [(d["doc_id"], (d["text"] or "").encode().lower().split()) for d in docs]

@@ -10,7 +10,7 @@ characters) and the following are tested:
     tests of randomness are a gate.
 p-values are held to a false-discovery rate by Benjamini-Hochberg within each band of lengths over all documents; the ranks come
 from a table of counts by band and p-value in steps of 1/STEPS of a decade, a few hundred rows whatever the input.
-A run that overlaps a base span is left to that span.
+A run that base spans cover is left to them; one that reaches beyond them is a span as well, in whole.
 
 Null text is empty. Repeated rows are scanned alike. An empty table has no bounds and no spans. More columns stay."""
 
@@ -109,6 +109,12 @@ def _band(n: Column) -> Column:
     return F.size(F.filter(F.array(*[F.lit(k) for k in EDGES]), lambda k: k <= n))
 
 
+def _covered(c: Column, base: Column) -> Column:
+    """Whether base spans, by start, leave no character of `c` out."""
+    upto = F.aggregate(base, c["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
+    return upto >= c["end"]
+
+
 def candidates(text: Column) -> Column:
     """array of start, end, band, step (whole steps of -log10 p; 0 where a test of randomness failed)."""
     spans = _matches(text, RUN, lambda m: F.lit(True), 3)
@@ -148,7 +154,7 @@ def with_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", boun
     if not bounds:
         return docs.withColumn(out, F.col(base)).drop(*({base, t} - {out}))
     least = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])
-    hits = F.filter(candidates(F.col(t)), lambda c: (c["step"] >= F.coalesce(F.element_at(least, c["band"]), F.lit(1 << 30))) & ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    hits = F.filter(candidates(F.col(t)), lambda c: (c["step"] >= F.coalesce(F.element_at(least, c["band"]), F.lit(1 << 30))) & ~_covered(c, F.col(base)))
     more = F.transform(hits, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end")))
     more = F.when(F.col(t).rlike(RUN), more).otherwise(F.array().cast(f"array<{SPAN}>"))
     return docs.withColumn(out, F.array_sort(F.concat(base, more))).drop(*({base, t} - {out}))
