@@ -58,3 +58,8 @@ def test_scorecard_shows_the_newest_years(spark, db):
     rows = spark.createDataFrame([("A", dt.date(y, 6, 1), float(y - 2000)) for y in range(2001, 2015)], "sym string, d date, close double")
     shown = scorecard.scorecard(rows, "year")
     assert sorted(shown.columns) == [*map(str, range(2007, 2015)), "sym"] and shown.first()["2014"] == 7.69
+
+
+def test_highs_at_the_references_tolerance(spark, db):
+    near = db.sql(f"{oracle.HEAD} SELECT count(*) FROM (SELECT arg_max(close, d) AS c, max(close) AS hi FROM sector GROUP BY sym) WHERE c >= hi * (1 - 0.0005)").fetchall()[0][0]
+    assert catalog.queries()["ath_tolerance_default"](spark, SMALL).first()["n_high"] == near

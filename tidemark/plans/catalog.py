@@ -196,13 +196,22 @@ def ath_summary(spark, sf):
     return rows.select("d", "total", "n_high", "pct", F.array_join("names", ",").alias("names"))
 
 
-def ath_tolerance(spark, sf):
+def _at_tolerance(spark, sf, *tolerance):
     rows = src.sector_closes(spark, sf)
     quotes = rows.groupBy(F.col("sym").alias("ticker")).agg(F.max_by("close", "d").alias("high"), F.max_by("close", "d").alias("low"), F.max("close").alias("high_all"), F.min("close").alias("low_all"))
-    out = B.at_tolerance(quotes, 0.5)
+    out = B.at_tolerance(quotes, *tolerance)
     return out.select("total", "n_high", "pct_high", F.array_join("highs", ",").alias("highs"), "n_low", "pct_low", F.array_join("lows", ",").alias("lows"))
 
 
+def ath_tolerance(spark, sf):
+    return _at_tolerance(spark, sf, 0.5)
+
+
+def ath_tolerance_default(spark, sf):
+    """At the reference's tolerance of 0.0005."""
+    return _at_tolerance(spark, sf)
+
+
 # returns and distributions
 def sector_returns(spark, sf):
     rows = R.horizon_returns(src.sector_closes(spark, sf))
@@ -402,7 +411,7 @@ def queries() -> dict:
     fs = (
         relative_score, percentile_rank, trailing_ma, ratio_to_ma, momentum_vs_ma90, true_range, atr_percent, realized_vol, vol_risk_premium, history_tail, rebase_100, running_high_low,
         asof_left, asof_by_key, asof_ratio_rebased, scalar_asof, manual_scores, factor_components, composite_live, composite_history, component_histories,
-        name_flags, breadth_internals, advance_decline_line, new_high_low, pct_above_sma, ath_summary, ath_tolerance,
+        name_flags, breadth_internals, advance_decline_line, new_high_low, pct_above_sma, ath_summary, ath_tolerance, ath_tolerance_default,
         sector_returns, relative_returns, country_returns, range_changes, range_distribution, range_distribution_nested, day_distribution,
         period_returns, heat_cells, scorecard_pivot, scorecard_newest_years, scorecard_newest, leaderboard_nulls_last, heat_intensity, rebased_chart, rebased_chart_ytd,
         factor_left_join, missing_anti_join, proxy_fallback, quote_union, usage_report, latest_vs_previous, coverage_share,

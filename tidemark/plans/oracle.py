@@ -125,6 +125,7 @@ def oracle_sql() -> dict[str, str]:
         "pct_above_sma": f", {FLAGS}, {DAYS} SELECT d, pct_above_sma FROM days WHERE pct_above_sma IS NOT NULL",
         "ath_summary": f", {FLAGS} SELECT d, count(*) AS total, count(*) FILTER (WHERE at_high) AS n_high, {_share('count(*) FILTER (WHERE at_high)', 'count(*)')} AS pct, coalesce(string_agg(sym, ',' ORDER BY sym) FILTER (WHERE at_high), '') AS names FROM flags WHERE d = (SELECT max(d) FROM flags) GROUP BY d",
         "ath_tolerance": f", q AS (SELECT sym, arg_max(close, d) AS c, max(close) AS hi, min(close) AS lo FROM sector GROUP BY sym), t AS (SELECT *, c >= hi * 0.5 AS top, c <= lo * 1.5 AS bottom FROM q) SELECT count(*) AS total, count(*) FILTER (WHERE top) AS n_high, {_share('count(*) FILTER (WHERE top)', 'count(*)')} AS pct_high, coalesce(string_agg(sym, ',' ORDER BY sym) FILTER (WHERE top), '') AS highs, count(*) FILTER (WHERE bottom) AS n_low, {_share('count(*) FILTER (WHERE bottom)', 'count(*)')} AS pct_low, coalesce(string_agg(sym, ',' ORDER BY sym) FILTER (WHERE bottom), '') AS lows FROM t",
+        "ath_tolerance_default": f", q AS (SELECT sym, arg_max(close, d) AS c, max(close) AS hi, min(close) AS lo FROM sector GROUP BY sym), t AS (SELECT *, c >= hi * 0.9995 AS top, c <= lo * 1.0005 AS bottom FROM q) SELECT count(*) AS total, count(*) FILTER (WHERE top) AS n_high, {_share('count(*) FILTER (WHERE top)', 'count(*)')} AS pct_high, coalesce(string_agg(sym, ',' ORDER BY sym) FILTER (WHERE top), '') AS highs, count(*) FILTER (WHERE bottom) AS n_low, {_share('count(*) FILTER (WHERE bottom)', 'count(*)')} AS pct_low, coalesce(string_agg(sym, ',' ORDER BY sym) FILTER (WHERE bottom), '') AS lows FROM t",
         "sector_returns": f" SELECT sym, d, {', '.join(f'{r(k, 2)} AS {k}' for k in KEYS)} FROM {_horizons('sector')}",
         "relative_returns": f", al AS (SELECT 'all' AS sym, d, close FROM bench), b AS (SELECT * FROM {_horizons('al')}) SELECT s.sym, {', '.join(f'{r(f's.{k} - b.{k}', 2)} AS rel_{k}' for k in KEYS)} FROM {_horizons('sector')} s, b",
         "country_returns": f" SELECT sym, {', '.join(f'{r(k, 2)} AS {k}' for k in KEYS)} FROM {_horizons('region_', chr(34) + 'type' + chr(34) + ' = ' + chr(39) + 'region' + chr(39))}",
