@@ -237,6 +237,14 @@ def test_decontamination_in_passes(spark, odd, monkeypatch):
     assert sorted(map(tuple, q.op7_decontaminate(spark, odd).collect())) == want
 
 
+def test_passes_are_done_one_by_one(spark, odd, monkeypatch):
+    want = sorted(map(tuple, q.op7_decontaminate(spark, odd).collect()))
+    monkeypatch.setattr(q.decontaminate, "PASS_CHARS", 300)
+    df = q.op7_decontaminate(spark, odd)
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(map(tuple, df.collect())) == want
+
+
 def test_chat(spark, at):
     convs = defaultdict(list)
     for r in rows_of(spark, at, "conversations"):

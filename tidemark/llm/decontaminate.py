@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, written
 
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 FOUND = "n_words long, n_hit long, items array<string>, hits array<struct<start:long,end:long>>"
@@ -110,13 +110,26 @@ def _udf(items: list, width: int):
 def with_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = 10, out: str = "contamination") -> DataFrame:
     """Adds a struct: n_words, n_hit, items (ids as strings, sorted), hits (word positions, end exclusive).
 
-    The benchmark's size is read first: it goes to the executors in passes of at most about PASS_CHARS characters, each pass
-    adding to the last one's finds, so no size of it has to fit at once."""
+    The benchmark's size is read first. One that has more than about PASS_CHARS characters is sought in passes: the documents are
+    written with a number for each row, each pass writes its finds, and its items are released before the next ones are
+    collected, so no size of it has to fit at once."""
     items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t")).where("t is not null")
     passes = 1 + int(items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]) // PASS_CHARS
-    (tmp,) = fresh(docs, "found__")
-    docs = docs.withColumn(tmp, F.lit(None).cast(f"struct<{FOUND.replace(' array', ':array').replace(' long', ':long')}>"))
-    for k in range(passes):
+    tmp, nth = fresh(docs, "found__", "nth__")
+    kind = f"struct<{FOUND.replace(' array', ':array').replace(' long', ':long')}>"
+    if passes == 1:
+        own = [tuple(r) for r in items.collect()]
+        return docs.withColumn(tmp, F.lit(None).cast(kind)).withColumn(tmp, _udf(own, width)(F.col(text), F.col(tmp))).withColumn(out, F.col(tmp)).drop(tmp)
+    docs = written(docs.withColumn(nth, F.monotonically_increasing_id()), "numbered")
+
+    def finds(k: int) -> DataFrame:
         own = [tuple(r) for r in items.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k).collect()]
-        docs = docs.withColumn(tmp, _udf(own, width)(F.col(text), F.col(tmp)))
-    return docs.withColumn(out, F.col(tmp)).drop(tmp)
+        rows = docs.select(F.col(nth), _udf(own, width)(F.col(text), F.lit(None).cast(kind)).alias("f"))
+        return written(rows.where("f.n_hit > 0").select(nth, "f.items", "f.hits"), "finds")
+
+    every = finds(0)
+    for k in range(1, passes):
+        every = every.union(finds(k))
+    every = every.groupBy(nth).agg(F.struct(F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.flatten(F.collect_list("items")).alias("items"), F.flatten(F.collect_list("hits")).alias("hits")).cast(kind).alias(tmp))
+    docs = docs.join(every, nth, "left")
+    return docs.withColumn(tmp, _udf([], width)(F.col(text), F.col(tmp))).withColumn(out, F.col(tmp)).drop(tmp, nth)
