@@ -375,6 +375,17 @@ def bars_projection(spark, sf):
     return rows.groupBy(F.to_date("l_shipdate").alias("d")).agg(F.max("l_extendedprice").alias("high"), F.sum(F.col("l_quantity").cast("long")).alias("volume")).select("d", rounded("high", 1).alias("high"), "volume")
 
 
+def bars_full(spark, sf):
+    """All fields of the bars, from documents made of the priorities' days; days of one order lack volume, most lack a dividend."""
+    o = src.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("sym"), F.to_date("o_orderdate").alias("d"))
+    p, k = F.col("o_totalprice"), F.col("o_orderkey")
+    day = o.agg(F.min_by(p, k).alias("o"), F.max(p).alias("h"), F.min(p).alias("l"), F.max_by(p, k).alias("c"), F.count(F.lit(1)).alias("n"))
+    cells = {"1. open": F.col("o"), "2. high": F.col("h"), "3. low": F.col("l"), "4. close": F.col("c"), "5. adjusted close": F.col("c") / 3, "6. volume": F.when(F.col("n") > 1, F.col("n")), "7. dividend amount": F.when(F.dayofmonth("d") == 1, F.lit(0.25))}
+    bar = F.create_map(*[x for name, c in cells.items() for x in (F.lit(name), c.cast("string"))])
+    docs = day.groupBy("sym").agg(F.map_from_entries(F.collect_list(F.struct(F.col("d").cast("string"), bar))).alias("m"))
+    return readers.full_bars(docs.select("sym", F.to_json(F.struct(F.col("m").alias("Time Series (Daily)"))).alias("doc")))
+
+
 def symbol_validation(spark, sf):
     s = F.concat(F.lit("  "), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))), F.when(F.col("p_size") % 2 == 0, F.lit(" ")).otherwise(F.lit("!")))
     rows = src.table(spark, sf, "part").select("p_partkey", symbol(s).alias("sym"))
@@ -415,7 +426,7 @@ def queries() -> dict:
         sector_returns, relative_returns, country_returns, range_changes, range_distribution, range_distribution_nested, day_distribution,
         period_returns, heat_cells, scorecard_pivot, scorecard_newest_years, scorecard_newest, leaderboard_nulls_last, heat_intensity, rebased_chart, rebased_chart_ytd,
         factor_left_join, missing_anti_join, proxy_fallback, quote_union, usage_report, latest_vs_previous, coverage_share,
-        snapshot_upsert, key_merge, config_upsert_delete, counter_trim, bars_projection, symbol_validation, csv_preamble_parse, json_closes, month_overflow, js_rounding,
+        snapshot_upsert, key_merge, config_upsert_delete, counter_trim, bars_projection, bars_full, symbol_validation, csv_preamble_parse, json_closes, month_overflow, js_rounding,
     )
     out = {f.__name__: f for f in fs}
     return out | {f"resample_{c}": _resample(c) for c in ("month", "quarter", "year")}

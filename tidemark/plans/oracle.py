@@ -152,6 +152,7 @@ def oracle_sql() -> dict[str, str]:
         "config_upsert_delete": " SELECT n_name AS name, CASE WHEN n_nationkey >= 5 THEN 'v' || n_nationkey ELSE n_nationkey::VARCHAR END AS params, CASE WHEN n_nationkey >= 5 THEN 1 ELSE 0 END::BIGINT AS saved_at, (CASE WHEN n_nationkey < 10 THEN n_nationkey ELSE 9 + row_number() OVER (PARTITION BY n_nationkey < 10 ORDER BY n_nationkey) END)::INTEGER AS ord FROM nation WHERE n_nationkey < 15 AND NOT (n_nationkey >= 5 AND n_nationkey % 4 = 1)",
         "counter_trim": " SELECT o_orderdate::DATE AS d, count(*) AS calls FROM orders GROUP BY 1 ORDER BY d DESC LIMIT 90",
         "bars_projection": f" SELECT l_shipdate::DATE AS d, {r('max(l_extendedprice)', 1)} AS high, sum(l_quantity::BIGINT)::BIGINT AS volume FROM lineitem GROUP BY 1",
+        "bars_full": f" SELECT sym, d, {r('o', 4)} AS open, {r('h', 4)} AS high, {r('l', 4)} AS low, {r('c', 4)} AS raw_close, {r('c / 3', 4)} AS adj_close, CASE WHEN n > 1 THEN n ELSE 0 END::BIGINT AS volume, CASE WHEN day(d) = 1 THEN 0.25 ELSE 0 END::DOUBLE AS dividend FROM (SELECT o_orderpriority AS sym, o_orderdate::DATE AS d, arg_min(o_totalprice, o_orderkey) AS o, max(o_totalprice) AS h, min(o_totalprice) AS l, arg_max(o_totalprice, o_orderkey) AS c, count(*) AS n FROM orders GROUP BY 1, 2)",
         "symbol_validation": " SELECT p_partkey, CASE WHEN p_size % 2 = 0 AND regexp_full_match(upper(replace(p_brand, '#', '-')), '[A-Z0-9.\\-]{1,10}') THEN upper(replace(p_brand, '#', '-')) END AS sym, CASE WHEN p_size % 2 = 0 AND regexp_full_match(upper(replace(p_brand, '#', '-')), '[A-Z0-9.\\-]{1,10}') THEN 'NYSE:' || replace(upper(replace(p_brand, '#', '-')), '-', '.') ELSE 'NYSE' END AS listed FROM part",
         "csv_preamble_parse": f" SELECT 'orders' AS name, d, {r('open', 2)} AS open, {r('close', 2)} AS close FROM bars",
         "json_closes": f" SELECT sym, d, {r('close', 2)} AS close FROM sector",
