@@ -292,26 +292,6 @@ def test_near_duplicates(spark, at):
     assert Counter(map(tuple, q.op10_near_dups(spark, at).collect())) == want
 
 
-def test_toxicity(spark):
-    sf = "/root/testdata/sf0.1"
-    got = {r["doc_id"]: r for r in q.op2_toxicity(spark, sf).collect()}
-    held = [(r["toxic"], got[r["doc_id"]]) for r in rows_of(spark, sf, "labels") if zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2]
-    assert all(r["held_out"] for _, r in held) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got.values())
-    hit, miss, false = (sum(1 for y, r in held if (y, r["predicted"]) == k) for k in ((1, 1), (1, 0), (0, 1)))
-    assert hit / (hit + miss) > 0.85 and hit / (hit + false) > 0.9
-
-
-def test_a_clause_runs_to_its_punctuation():
-    from tidemark.llm.toxicity import INSULTS, Scorer
-
-    scorer = Scorer(dict.fromkeys(INSULTS, 1.0))
-    for pad in range(380, 420):  # the second insult lies across 400 characters after the first
-        text = "so it is: " + "he said idiot" + " x" * (pad // 2) + " " * (pad % 2) + " degenerate" + " x" * 600 + " moron. fine"
-        ((a, b, score, seen),) = scorer.matched(text)
-        assert (text[a:b].strip(), score, seen) == (text[10:-6], 1.75, "i~ I~ I~")
-    assert [r[3] for r in scorer.matched("x " * 500 + "idiot" + " x" * 500 + " moron|trash? no clown")] == ["I I", "I", "I-"]
-
-
 def test_all_on_odd_and_empty_tables(spark, odd, empty):
     for name, query in q.queries().items():
         n = query(spark, empty).count()

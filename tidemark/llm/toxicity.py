@@ -1,28 +1,35 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols: insult (I), threat (T), target (Y), negation (N), reporter (R), other (o). Four weighted transducers over these
-symbols are composed into one machine, which reads a clause, from one of . ! ? ; : | or line break to the next, however long:
-  - target: an insult or threat within REACH words of a target counts for more;
-  - threat: a threat verb alone says little; towards a target it counts like an insult;
-  - negation: what stands within REACH words after a negation counts for less, and is noted;
-  - reported speech: what follows a reporter in its clause counts for less, and is noted.
-A clause's score is the sum of the lexical weights of its insults and threats, each times the machine's weight for the path by
-which it was reached. A document's score is a logistic function of its matched clauses' scores (their sum, their largest, how
-many were direct, negated, reported, how dense they are); documents without a matched clause get the bias alone.
-
-The lexicon is a short fixed list and what labelled documents teach: words and beginnings of words (marked *) that stand in toxic
-documents and hardly in others. It, and the logistic weights, come from a sample of at most about SAMPLE labelled documents of
-the training part, by a hash of the id; two thirds of it give the lexicon, one third the weights. Texts of the sample that occur
-more than once count once. The lexicon has at most LEXICON entries. Every document is scored in whole.
-
-Null text is empty. Rows with a null id or label teach nothing. Without labelled documents the fixed list and weights are used.
-More columns stay."""
+Words become symbols: insult (I), threat (T), target (Y), will (F: what announces a deed), negation (N), contrast (B), reporter (R), quote
+or colon (Q), other (o). Weighted transducers over these symbols are composed into two machines, of which one reads a clause from its
+beginning and the other reads what the first has written from the end, so that context counts on both sides of a word. A clause runs
+to one of . ! ? ; | or a line break, however long; a colon doesn't end it. From the beginning:
+  - target: an insult within REACH words after a target counts for more (i);
+  - will: a threat within REACH words after a word of will is announced (W);
+  - negation: what stands within REACH words after a negation, with no contrast between, counts for less (mark -);
+  - reported: what follows a reporter in its clause, behind a colon or quote as well, counts for less (mark ~).
+From the end:
+  - aim: an insult within REACH words before a target counts for more (i); a threat with a target within REACH words behind it, its
+    object, is one (t; announced: w, the strongest pattern);
+  - unaimed: what is left of threats, such as "they burn wood", is none;
+  - reported: what stands in quotes with a reporter after them in the clause counts for less (~).
+A clause's score is the sum of the lexical weights of its matches, each times the weights of the path by which it was reached. A
+document's score is a logistic function of its clauses' scores alone: their sum, their largest, their density. Documents without
+a matched clause get the bias.
+
+The lexicon is a short fixed list with its inflected forms, a few idioms, and what labelled documents teach: words and beginnings of words
+(marked *) that stand in toxic documents and hardly in others. A learned entry is a threat if most of its toxic documents have it
+behind a word of will, else an insult. The learned entries and the logistic weights come from a sample of at most about SAMPLE
+labelled documents of the training part, by a hash of the id; two thirds of it give the lexicon, one third the weights. Texts
+of the sample that occur more than once count once. The lexicon has at most LEXICON entries. Every document is scored in whole.
+
+Null text is empty. Rows with a null id or label teach nothing; of several labels of one id the toxic one holds. Without labelled
+documents the fixed list and weights are used. More columns stay; one that has the output's name is replaced."""
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,18 +37,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 SAMPLE, LEXICON, REACH, LEAST_SUPPORT = 12_000, 2_000, 4, 6
 CUT = 0.3
 INSULTS = "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb fool imbecile jerk vermin filth garbage coward creep freak bastard scumbag dimwit halfwit nitwit lowlife degenerate parasite idiota estúpido imbécil basura dummkopf abschaum idiote crétin ordure".split()
 THREATS = "kill hurt destroy beat smash stab shoot strangle burn attack punish crush töten schlagen tuer frapper matar golpear".split()
-TARGETS = "you your yours he she they them these those people all him her u du ihr sie dich euch tu vous toi ils elles tú usted ustedes ellos ellas".split()
-NEGATIONS = "not no never don't doesn't isn't aren't won't nicht kein keine nie ne pas jamais nunca jamás".split()
-REPORTERS = "said says told called calls quoted wrote claimed reported sagte nannte dit appelé dijo llamó".split()
+#: Forms that no rule makes.
+MORE_THREATS = "beaten shot stabbed stabbing tötet schlägt tue frappe mata".split()
+IDIOMS = ["shut up", "drop dead", "go to hell", "piece of trash", "waste of space", "good for nothing"]
+TARGETS = "you your yours yourself he she him her his they them their these those people everyone all u du ihr sie dich euch ihn tu te vous toi lui ils elles leur tú te usted ustedes ellos ellas lo los".split()
+WILL = "will would shall gonna going want must should i'll we'll they'll he'll she'll werde werden will wollen vais va allons voy vamos quiero".split()
+NEGATIONS = "not no never don't doesn't isn't aren't won't wouldn't cannot can't without nicht kein keine keinen nie ohne ne pas jamais sans nunca jamás sin".split()
+CONTRASTS = "but yet although sondern aber mais pourtant sino pero".split()
+REPORTERS = "said says say tells told calls called quoted quotes wrote writes claimed claims reported reports shouted asked sagte sagt nannte schrieb dit appelé écrit dijo dice llamó escribió".split()
+_TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[:\"“”„«»]")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
-_ENDS = ".!?;:\n|"
+_ENDS = ".!?;\n|"
 _END = re.compile(f"[{_ENDS}]")
 
 
+def inflected(word: str) -> set[str]:
+    """A word with its regular English endings; those of other languages do no harm, since they spell no word."""
+    if word.endswith(("s", "x", "z", "ch", "sh")):
+        return {word, word + "es", word + "ed", word + "ing"}
+    if word.endswith("e"):
+        return {word, word + "s", word + "d", word[:-1] + "ing"}
+    return {word, word + "s", word + "ed", word + "ing"}
+
+
 class Transducer:
     """Deterministic: (state, symbol) -> (state, symbol, weight); a pair not listed keeps the symbol and goes to `rest[state]`."""
 
@@ -69,53 +93,82 @@ class Transducer:
         return Transducer(start, moves, rest)
 
 
-def grammar() -> Transducer:
-    """Symbols after the last: i and t are an insult and a threat at a target, a trailing - is negated, a trailing ~ reported."""
+def _reach() -> tuple[range, dict[int, int]]:
+    """Words for which a mark still holds, and what is left of them a word later."""
     count = range(REACH + 1)
-    down = {k: max(0, k - 1) for k in count}
-    target = Transducer(0, {(k, "Y"): (REACH, "Y", 1.0) for k in count} | {(k, s): (down[k], s.lower(), 1.5) for k in count if k for s in "IT"}, down)
-    threat = Transducer(0, {(0, "T"): (0, "o", 0.0), (0, "t"): (0, "t", 1.5)}, {0: 0})
-    negation = Transducer(0, {(k, "N"): (REACH, "N", 1.0) for k in count} | {(k, s): (down[k], s + "-", 0.4) for k in count if k for s in "Iit"}, down)
-    hits = [s + n for s in "Iit" for n in ("", "-")]
+    return count, {k: max(0, k - 1) for k in count}
+
+
+def forward() -> Transducer:
+    """The machine that reads a clause from its beginning."""
+    count, down = _reach()
+    quotes = {(k, "Q"): (k, "Q", 1.0) for k in count}  # no words
+    target = Transducer(0, quotes | {(k, "Y"): (REACH, "Y", 1.0) for k in count} | {(k, "I"): (down[k], "i", 1.5) for k in count if k}, down)
+    will = Transducer(0, quotes | {(k, "F"): (REACH, "F", 1.0) for k in count} | {(k, "T"): (down[k], "W", 1.0) for k in count if k}, down)
+    marked = {(k, s): (down[k], s + "-", 0.4) for k in count if k for s in "IiTW"}
+    negation = Transducer(0, quotes | {(k, "N"): (REACH, "N", 1.0) for k in count} | {(k, "B"): (0, "B", 1.0) for k in count} | marked, down)
+    hits = [s + n for s in "IiTW" for n in ("", "-")]
     reported = Transducer(0, {(k, "R"): (1, "R", 1.0) for k in (0, 1)} | {(1, s): (1, s + "~", 0.5) for s in hits}, {0: 0, 1: 1})
-    return target @ threat @ negation @ reported
+    return target @ will @ negation @ reported
+
+
+def backward() -> Transducer:
+    """The machine that reads what `forward` has written, from the end."""
+    count, down = _reach()
+    marks = [n + r for n in ("", "-") for r in ("", "~")]
+    quotes = {(k, "Q"): (k, "Q", 1.0) for k in count}
+    towards = {(k, a + m): (down[k], b + m, w) for k in count if k for a, b, w in (("I", "i", 1.5), ("T", "t", 1.0), ("W", "w", 2.0)) for m in marks}
+    aim = Transducer(0, quotes | {(k, "Y"): (REACH, "Y", 1.0) for k in count} | towards, down)
+    unaimed = Transducer(0, {(0, s + m): (0, "o", 0.0) for s in "TW" for m in marks}, {0: 0})
+    inside = {(2, s + n): (2, s + n + "~", 0.5) for s in "Iitw" for n in ("", "-")}
+    reported = Transducer(0, {(0, "R"): (1, "R", 1.0), (1, "Q"): (2, "Q", 1.0), (2, "Q"): (0, "Q", 1.0)} | inside, {0: 0, 1: 1, 2: 2})
+    return aim @ unaimed @ reported
 
 
 class Scorer:
-    """lexicon: word or beginning (with *) -> weight. weights: bias, then one for each feature."""
+    """lexicon: (class, word or beginning with *) -> weight. weights: bias, then one for each feature."""
 
-    def __init__(self, lexicon: dict[str, float], weights: list[float] | None = None):
+    def __init__(self, lexicon: dict[tuple[str, str], float], weights: list[float] | None = None):
         import ahocorasick
 
         self.weights = weights
-        self.machine = grammar()
-        self.insults = {w: v for w, v in lexicon.items() if w[-1] != "*"}
-        self.begins = {w[:-1]: v for w, v in lexicon.items() if w[-1] == "*"}
+        self.forward, self.backward = forward(), backward()
+        self.words = {w: (s, 1.0) for words, s in ((TARGETS, "Y"), (WILL, "F"), (NEGATIONS, "N"), (CONTRASTS, "B"), (REPORTERS, "R"), (':"“”„«»', "Q")) for w in words}
+        self.words |= {w: (s, v) for (s, w), v in lexicon.items() if w[-1] != "*"}
+        self.begins = {w[:-1]: (s, v) for (s, w), v in lexicon.items() if w[-1] == "*"}
         self.lengths = sorted({len(w) for w in self.begins}, reverse=True)
-        self.context = {w: s for words, s in ((TARGETS, "Y"), (NEGATIONS, "N"), (REPORTERS, "R"), (THREATS, "T")) for w in words}
+        self.idioms = [(w, w.replace(" ", "'")) for (_, w) in lexicon if " " in w]
+        self.words |= {joined: self.words[w] for w, joined in self.idioms}
         self.finder = ahocorasick.Automaton()
-        for w in {*self.insults, *self.begins, *THREATS}:
-            self.finder.add_word(w, (len(w), w in self.begins))
+        for _, w in lexicon:
+            self.finder.add_word(w.rstrip("*"), (len(w.rstrip("*")), w[-1] == "*"))
         self.finder.make_automaton()
 
     def symbol(self, word: str) -> tuple[str, float]:
-        if word in self.insults:
-            return "I", self.insults[word]
+        if word in self.words:
+            return self.words[word]
         for n in self.lengths:
             if len(word) > n and word[:n] in self.begins:
-                return "I", self.begins[word[:n]]
-        return self.context.get(word, "o"), 1.0
+                return self.begins[word[:n]]
+        return "o", 1.0
 
     def clause(self, text: str) -> tuple[float, str]:
         """Its score, and the symbols of what was matched in it."""
-        state, score, seen = self.machine.start, 0.0, []
-        for word in _WORD.findall(text):
-            symbol, value = self.symbol(word)
-            state, out, weight = self.machine.step(state, symbol)
-            if out[0] in "Iit":
+        for phrase, joined in self.idioms:
+            if phrase in text:
+                text = text.replace(phrase, joined)
+        read = [self.symbol(word) for word in _TOKEN.findall(text)]
+        state, written = self.forward.start, []
+        for symbol, value in read:
+            state, out, weight = self.forward.step(state, symbol)
+            written.append((out, value * weight))
+        state, score, seen = self.backward.start, 0.0, []
+        for symbol, value in reversed(written):
+            state, out, weight = self.backward.step(state, symbol)
+            if out[0] in "Iitw":
                 score += value * weight
                 seen.append(out)
-        return score, " ".join(seen)
+        return score, " ".join(reversed(seen))
 
     def matched(self, text: str) -> list[tuple[int, int, float, str]]:
         """start, end, score and symbols of each clause in which something is matched. `text` is in lower case."""
@@ -134,38 +187,57 @@ class Scorer:
         return out
 
     def features(self, text: str | None) -> list[float]:
+        """Functions of the clauses' scores alone, so what a path takes off a match is off the document's score."""
         text = (text or "").lower()
-        rows = self.matched(text)
-        scores = [r[2] for r in rows]
-        seen = Counter(s for r in rows for s in r[3].split())
-        negated, reported = (sum(n for s, n in seen.items() if mark in s) for mark in "-~")
-        total = sum(scores)
-        return [float(bool(rows)), math.log1p(total), max(scores, default=0.0), math.log1p(seen.total() - negated - reported), math.log1p(negated), math.log1p(reported), math.log1p(1000 * total / (len(text) + 200))]
+        scores = [r[2] for r in self.matched(text)]
+        total, most = sum(scores), max(scores, default=0.0)
+        return [min(1.0, total), math.log1p(total), most, math.log1p(1000 * total / (len(text) + 200))]
 
     def score(self, text: str | None) -> float:
         z = self.weights[0] + sum(w * x for w, x in zip(self.weights[1:], self.features(text), strict=True))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def fixed_lexicon() -> dict[tuple[str, str], float]:
+    out = {("I", w): 1.0 for stem in INSULTS for w in inflected(stem)} | {("I", w): 1.0 for w in IDIOMS}
+    return out | {("T", w): 1.0 for w in {*MORE_THREATS, *(w for stem in THREATS for w in inflected(stem))}}
+
+
 #: Where nothing can be learned.
-DEFAULT_WEIGHTS = [-3.0, 1.5, 1.0, 0.2, 0.5, 0.1, 0.1, 0.5]
+DEFAULT_WEIGHTS = [-4.5, 2.0, 2.0, 1.0, 0.5]
+
+
+def _grams(text: str) -> dict[str, bool]:
+    """The words and beginnings of words in a text, and whether a word of will stands within REACH words before any of them."""
+    out: dict[str, bool] = {}
+    left = 0
+    for w in _WORD.findall(text.lower()):
+        if w in _WILL:
+            left = REACH
+            continue
+        if len(w) > 2:
+            for g in (w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) > n)):
+                out[g] = out.get(g, False) or left > 0
+        left = max(0, left - 1)
+    return out
 
 
-def _grams(text: str) -> set[str]:
-    words = {w for w in _WORD.findall(text.lower()) if len(w) > 2}
-    return words | {w[:n] + "*" for w in words for n in (4, 5, 6) if len(w) > n}
+_WILL = frozenset(WILL)
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: dict[str, list[int]] = {}
+    frame = lambda: pd.DataFrame([(g, *c) for g, c in counts.items()], columns=["gram", "clean", "toxic", "willed"])
     for batch in batches:
         for text, toxic in zip(batch["text"].tolist(), batch["toxic"].tolist(), strict=True):
-            for g in _grams(text or ""):
-                counts.setdefault(g, [0, 0])[int(toxic)] += 1
+            for g, willed in _grams(text or "").items():
+                c = counts.setdefault(g, [0, 0, 0])
+                c[int(toxic)] += 1
+                c[2] += bool(toxic) and willed
         if len(counts) > 500_000:
-            yield pd.DataFrame([(g, *c) for g, c in counts.items()], columns=["gram", "clean", "toxic"])
+            yield frame()
             counts = {}
-    yield pd.DataFrame([(g, *c) for g, c in counts.items()], columns=["gram", "clean", "toxic"])
+    yield frame()
 
 
 def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -177,22 +249,27 @@ def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str) -> DataF
     return sample.groupBy(F.xxhash64("text").alias("same")).agg(F.min_by(F.struct("text", "toxic"), "k").alias("r")).select("r.*", "same")
 
 
-def lexicon(sample: DataFrame) -> dict[str, float]:
+def lexicon(sample: DataFrame) -> dict[tuple[str, str], float]:
     """The fixed list, and the likeliest entries that the sample teaches: a bounded table of counts reaches the driver."""
-    grams = "gram string, clean long, toxic long"
+    grams = "gram string, clean long, toxic long, willed long"
     totals = {t: n for t, n in sample.groupBy("toxic").count().collect()}
-    out = dict.fromkeys(INSULTS, 1.0)
+    out = fixed_lexicon()
     toxic, clean = totals.get(1, 0), totals.get(0, 0)
     if not toxic or not clean:
         return out
-    rows = sample.select("text", "toxic").mapInPandas(_counted, grams).groupBy("gram").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    rows = sample.select("text", "toxic").mapInPandas(_counted, grams).groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "willed")])
     odds = F.log((F.col("toxic") + 0.1) / toxic) - F.log((F.col("clean") + 0.5) / clean)
     rows = rows.where(F.col("toxic") >= LEAST_SUPPORT).withColumn("odds", odds).where("odds > 2.7").orderBy(F.desc("toxic"), "gram").limit(LEXICON)
-    found = {r["gram"]: float(r["odds"]) for r in rows.collect()}
+    found = {r["gram"]: ("T" if 2 * r["willed"] > r["toxic"] else "I", float(r["odds"])) for r in rows.collect()}
+    known, context = {w for _, w in out}, {*TARGETS, *WILL, *NEGATIONS, *CONTRASTS, *REPORTERS}
     for g in sorted(found, key=len):  # what a shorter beginning explains as well is left out
         stem = g.rstrip("*")
-        if not any(stem[:n] + "*" in out for n in range(4, len(stem) + (g[-1] != "*"))):
-            out[g] = min(2.0, found[g] / 3)
+        if g in context or any(stem[:n] + "*" in known for n in range(4, len(stem) + (g[-1] != "*"))):
+            continue
+        kind, value = found[g]
+        out.pop(("T" if kind == "I" else "I", g), None)  # what is learned decides
+        out[kind, g] = min(2.0, value / 3)
+        known.add(g)
     return out
 
 
@@ -210,10 +287,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
     return w.tolist()
 
 
-def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[dict[str, float], list[float]]:
+def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> tuple[dict[tuple[str, str], float], list[float]]:
     """The lexicon and the weights, from labels of the training part alone."""
-    from .common import written
-
     sample = written(_sample(docs, labels, doc_id, text), "toxic_sample")
     words = lexicon(sample.where(F.pmod("same", F.lit(3)) != 0))
 
@@ -230,7 +305,7 @@ def fitted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return words, _logistic(np.asarray([r[0] for r in rows]), y)
 
 
-def toxicity(text: Column, model: tuple[dict[str, float], list[float]]) -> Column:
+def toxicity(text: Column, model: tuple[dict[tuple[str, str], float], list[float]]) -> Column:
     words, weights = model
 
     @F.pandas_udf("double")
