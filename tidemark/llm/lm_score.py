@@ -1,188 +1,224 @@
-"""Stupid-backoff scores, relationally.
+"""Stupid-backoff scores, computed relationally.
 
 score(w | c) = count(c w) / count(c) where the corpus has c w, else BACKOFF * score(w | c without its first word), down to
 count(w) / words. By default a document's own n-grams are not counted as evidence for it (leave one out), without which no
 n-gram of the corpus would ever be unseen.
 
-N-grams are named by 64-bit hashes. Documents are dealt into batches by a hash of their id; a batch counts its distinct n-grams of
-each order and asks each part of the count tables, which are partitioned by hash, for those that fall into it (a sorted array with
-counts: partial aggregation, so a common n-gram is one entry a batch, however many documents have it). The part adds up what
-all batches have sent and answers each in its own order; joined to its batch again, the totals are looked up for each exploded
-n-gram and the logarithms summed for each document.
+Three tables do it, n-grams being named by 64-bit hashes:
+  - `exploded`: a row for each n-gram occurrence (gram, row name, place), partitioned by the hash of the n-gram;
+  - `counted`: the count table, grouped from the same partitions, of n-grams that occur more than once (what occurs once is its own
+    document's alone);
+  - their join, on the n-gram, gives the totals; those of a row are gathered and its logarithms summed.
+N-grams go through these in SLICES ranges of the hash, one after the other, so that the shuffle's disk is a fraction of all n-grams;
+each range reads the texts anew. The commonest n-grams are counted by themselves before (partial sums in each task, a table of at
+most FREQUENT entries that is broadcast), so that no partition gets all documents' rows of one n-gram. Which n-grams these are
+is taken from a sample of about SAMPLE rows, and decides only how a count travels: all counts are over all rows.
 
 Words: A-Z lower-cased, parted by white space; a document's n-grams don't reach over its ends. Null or wordless text: no words,
-sum 0, mean null. Repeated rows count as often as they occur. An empty table gives no rows. Other columns are not read."""
+sum 0, mean null. Repeated rows count as often as they occur. Null ids are rows like others. Rows are named by 64-bit hashes of
+id and text. An empty table gives no rows. Other columns are not read."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .near_dups import _mixed, word_hashes
 
 ORDER, BACKOFF = 3, 0.4
-#: Characters of text in a batch; distinct n-grams in a part of the count tables.
-BATCH_CHARS, PART_GRAMS = 8_000_000, 2_000_000
-PACKED = "batch int, rows binary"
-ASKED, ANSWERED = "part int, batch int, grams binary, counts binary", "batch int, part int, totals binary"
+#: Ranges of the hash that are counted one after the other.
+SLICES = 4
+#: Entries of the table of common n-grams (1.6 MB); rows of the sample that names them; how often one has to occur there.
+FREQUENT, SAMPLE, LEAST = 100_000, 4_096, 4
+EXPLODED = "gram long, row long, at long"
 SCORED = "doc_id long, n_words long, n_seen long, n_backed_off long, log10_sum double"
 
 
-def _grams(hashes: np.ndarray, ends: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order the n-gram hash that ends at each word, and whether it lies within its document."""
-    start = np.concatenate([[0], ends[:-1]])
-    within = np.arange(len(hashes)) - np.repeat(start, ends - start)  # the word's place in its document
-    out = [(_mixed(hashes + np.uint64(1)), np.ones(len(hashes), bool))]
+def _grams(texts: list[str | None], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each order the hash of the n-gram that ends at each word; for each word its text, and its place there."""
+    hashes, ends = word_hashes(texts)
+    sizes = np.diff(ends, prepend=0)
+    text = np.repeat(np.arange(len(ends)), sizes)
+    place = np.arange(len(hashes)) - np.repeat(ends - sizes, sizes)
+    out = [_mixed(hashes + np.uint64(1))]
     for n in range(2, order + 1):
-        prev = np.concatenate([np.zeros(1, np.uint64), out[-1][0][:-1]])
-        out.append((_mixed(prev * np.uint64(0x9E3779B97F4A7C55) + hashes + np.uint64(n)), within >= n - 1))
+        prev = np.concatenate([np.zeros(1, np.uint64), out[-1][:-1]])[: len(hashes)]
+        out.append(_mixed(prev * np.uint64(0x9E3779B97F4A7C55) + hashes + np.uint64(n)))
+    return out, text, place
+
+
+class Table:
+    """Ascending n-grams, found by their leading bits: a few steps each, whatever the size."""
+
+    def __init__(self, grams: np.ndarray):
+        self.grams = grams
+        self.shift = np.uint64(64 - max(1, (16 * len(grams)).bit_length()))
+        heads = np.arange((1 << int(64 - self.shift)) + 1, dtype=np.float64)
+        self.first = np.searchsorted(grams >> self.shift, heads).astype(np.int32)
+        self.deepest = int(np.diff(self.first).max(initial=0))
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """Where each of `grams` stands; -1: nowhere."""
+        out = np.full(len(grams), -1, np.int64)
+        if not len(self.grams):
+            return out
+        head = (grams >> self.shift).astype(np.int64)
+        at, end = self.first[head], self.first[head + 1]
+        open_ = np.flatnonzero(at < end)
+        at, end = at[open_], end[open_]
+        for _ in range(self.deepest):
+            hit = self.grams[at] == grams[open_]
+            out[open_[hit]] = at[hit]
+            more = ~hit & (at + 1 < end)
+            open_, at, end = open_[more], at[more] + 1, end[more]
+        return out
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches again, of about `chars` bytes of text each, so that what is made of them stays small."""
+    for batch in batches:
+        sizes = np.asarray([x or 0 for x in pc.binary_length(batch.column(text)).to_pylist()], np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // chars, prepend=0)).tolist()
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            if a < b:
+                yield batch.slice(a, b - a)
+
+
+def _exploded(order: int, part: int, parts: int, common: np.ndarray):
+    """(row, text) -> the occurrences of n-grams whose hash lies in the range and which aren't in `common`.
+
+    `at` is place * order + n - 1."""
+    table = Table(common)
+    low, high = np.uint64((part << 64) // parts), np.uint64(((part + 1 << 64) // parts) - 1)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            names = batch.column("row").to_numpy(zero_copy_only=False)
+            grams, text, place = _grams(batch.column("text").to_pylist(), order)
+            for n, g in enumerate(grams):
+                mine = np.flatnonzero((g >= low) & (g <= high) & (place >= n))
+                mine = mine[table.find(g[mine]) < 0]
+                yield pa.RecordBatch.from_arrays([pa.array(g[mine].view(np.int64)), pa.array(names[text[mine]]), pa.array(place[mine] * order + n)], ["gram", "row", "at"])
+
+    return rows
+
+
+def _common_counts(order: int, common: np.ndarray):
+    """Sums of a task for the n-grams in `common`; a null n-gram stands for all words."""
+    table = Table(common)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, words = np.zeros(len(common), np.int64), 0
+        for batch in _pieces(batches):
+            grams, _, place = _grams(batch.column("text").to_pylist(), order)
+            words += len(place)
+            for n, g in enumerate(grams):
+                at = table.find(g[place >= n])
+                sums += np.bincount(at[at >= 0], minlength=len(common))
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array([None, *common[some].view(np.int64).tolist()], pa.int64()), pa.array([words, *sums[some].tolist()], pa.int64())], ["gram", "n"])
+
+    return rows
+
+
+def _own(grams: np.ndarray, text: np.ndarray, live: np.ndarray) -> np.ndarray:
+    """How often each live occurrence's n-gram stands in its own text; 0 for others."""
+    out = np.zeros(len(grams), np.int64)
+    if len(live):
+        _, group, n = np.unique(_mixed(grams[live] ^ _mixed(text[live].astype(np.uint64) + np.uint64(3))), return_inverse=True, return_counts=True)
+        out[live] = n[group]
     return out
 
 
-def _asked(grams: list, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The batch's distinct n-grams by part, then hash; how often it has each; where each part begins."""
-    all_ = np.concatenate([g[ok] for g, ok in grams])
-    distinct, counts = np.unique(all_, return_counts=True)  # ascending, and parts are ranges of the hash
-    bounds = np.searchsorted(distinct, np.asarray([(k << 64) // parts for k in range(parts)], dtype=np.uint64))
-    return distinct, counts, np.append(bounds, len(distinct))
-
-
-def _squeezed(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def _raw(data: bytes) -> bytes:
-    return pa.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
-
-
-def _narrow(counts: np.ndarray) -> bytes:
-    """Counts as bytes; those of 255 and more stand apart with their places."""
-    large = np.flatnonzero(counts >= 255)
-    head = np.asarray([len(large)], "<u4").tobytes() + large.astype("<u4").tobytes() + counts[large].astype("<i8").tobytes()
-    return _squeezed(head + np.minimum(counts, 255).astype(np.uint8).tobytes())
-
-
-def _wide(data: bytes) -> np.ndarray:
-    raw = _raw(data)
-    n = int(np.frombuffer(raw, "<u4", 1)[0])
-    counts = np.frombuffer(raw, np.uint8, offset=4 + 12 * n).astype(np.int64)
-    counts[np.frombuffer(raw, "<u4", n, 4)] = np.frombuffer(raw, "<i8", n, 4 + 4 * n)
-    return counts
-
-
-def _near(hashes: np.ndarray) -> bytes:
-    """Ascending hashes as gaps, all lowest bytes first, then the next, so that the upper ones, which vary less, lie together."""
-    gaps = np.diff(hashes, prepend=np.uint64(0))
-    width = max(1, (int(gaps[1:].max(initial=0)).bit_length() + 7) // 8)
-    planes = gaps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
-    return bytes([width]) + hashes[:1].astype("<u8").tobytes() + _squeezed(planes.tobytes())
-
-
-def _far(data: bytes) -> np.ndarray:
-    width, first = data[0], np.frombuffer(data, "<u8", 1, 1)
-    planes = np.frombuffer(_raw(data[9:]), np.uint8).reshape(width, -1) if len(data) > 17 else np.zeros((width, 0), np.uint8)
-    gaps = np.zeros((planes.shape[1], 8), np.uint8)
-    gaps[:, :width] = planes.T
-    return np.cumsum(np.concatenate([first, gaps.view("<u8").ravel()]))
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one batch in compressed runs, which is a half of what their texts are in a shuffle."""
-    for rows in batches:
-        batch = rows.column("batch").to_numpy(zero_copy_only=False)
-        order = np.argsort(batch, kind="stable")
-        names, at = np.unique(batch[order], return_index=True)
-        rows, runs = rows.select(["doc_id", "text"]).take(pa.array(order)), []
-        for a, b in zip(at.tolist(), [*at[1:].tolist(), len(batch)], strict=True):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(rows.slice(a, b - a))
-            runs.append(sink.getvalue().to_pybytes())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(runs, pa.binary())], ["batch", "rows"])
-
-
-def _unpacked(runs: pd.Series) -> tuple[list, list]:
-    """ids, texts."""
-    tables = [pa.ipc.open_stream(run).read_all() for run in runs]
-    return [x for t in tables for x in t["doc_id"].to_pylist()], [x for t in tables for x in t["text"].to_pylist()]
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column and how many each row has."""
+    sizes = np.asarray([0 if x is None else x for x in column.value_lengths().to_pylist()], np.int64)
+    return column.flatten().to_numpy(zero_copy_only=False), sizes
+
+
+def _scored(order: int, backoff: float, leave_one_out: bool, common: np.ndarray, counts: np.ndarray, words: int):
+    """(doc_id, text, answers) -> the score of each row."""
+    table = Table(common)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            grams, text, place = _grams(batch.column("text").to_pylist(), order)
+            size = np.bincount(text, minlength=batch.num_rows)
+            first = np.cumsum(size) - size
+            totals = np.zeros((order, len(place)), np.int64)
+            at, sizes = _flat(batch.column("at"))
+            told, of = _flat(batch.column("totals"))[0], np.repeat(np.arange(batch.num_rows), sizes)
+            inside = at // order < size[of]
+            totals[at[inside] % order, first[of[inside]] + at[inside] // order] = told[inside]
+            left = []
+            for n, g in enumerate(grams):
+                where = table.find(g)
+                there = (where >= 0) & (place >= n)
+                totals[n][there] = counts[where[there]]
+                if leave_one_out:
+                    totals[n] -= _own(g, text, np.flatnonzero(totals[n]))
+                left.append(totals[n])
+            base = words - (size[text] if leave_one_out else 0)
+            result = np.log10(np.where((left[0] > 0) & (base > 0), left[0] / np.maximum(base, 1), 1 / max(words, 1)))
+            used = np.ones(len(place), np.int64)
+            for n in range(2, order + 1):
+                context = np.concatenate([np.zeros(1, np.int64), left[n - 2][:-1]])[: len(place)]
+                ok, seen = place >= n - 1, left[n - 1] > 0
+                kept = np.log10(np.maximum(left[n - 1], 1) / np.maximum(context, 1))
+                result = np.where(ok, np.where(seen, kept, result + np.log10(backoff)), result)
+                used = np.where(ok & seen, n, used)
+            full = np.minimum(order, place + 1)
+            add = lambda x: np.bincount(text, x, batch.num_rows)  # noqa: E731, B023
+            out = [batch.column("doc_id"), pa.array(size), pa.array(add(used == full).astype(np.int64)), pa.array(add(used < full).astype(np.int64)), pa.array(add(result))]
+            yield pa.RecordBatch.from_arrays(out, [c.split()[0] for c in SCORED.split(", ")])
+
+    return rows
+
+
+def _common(rows: DataFrame, order: int) -> np.ndarray:
+    """The commonest n-grams of a sample, ascending."""
+    n = rows.count()
+    some = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "row"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30)))
+    counts = some.mapInArrow(_exploded(order, 0, 1, np.zeros(0, np.uint64)), EXPLODED).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "gram").limit(FREQUENT).select("gram").collect()
+    return np.sort(np.asarray([r[0] for r in found], np.int64).view(np.uint64))
+
+
+def counted(exploded: DataFrame) -> DataFrame:
+    """The count table: (gram, total) of what occurs more than once. It reads all columns (none is ever null), so that the plan can
+    read the very partitions that the other side of the join reads."""
+    return exploded.groupBy("gram").agg(F.count("row").alias("total"), F.count("at").alias("places")).where("total > 1 and places > 1").select("gram", "total")
+
+
+def answered(exploded: DataFrame) -> DataFrame:
+    """(row, at, totals): the totals of a row's n-grams and where they stand. The exploded rows are shuffled once, for both sides."""
+    exploded = exploded.repartition("gram")
+    totals = exploded.join(counted(exploded).hint("shuffle_hash"), "gram").groupBy("row").agg(F.collect_list(F.struct("at", "total")).alias("a"))
+    return totals.select("row", F.col("a.at").alias("at"), F.col("a.total").alias("totals"))
 
 
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, backoff: float = BACKOFF, leave_one_out: bool = True) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    n_docs, chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    batches = max(1, -(-chars // BATCH_CHARS))
-    parts = max(1, -(-chars // (4 * PART_GRAMS)))
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64(F.col("doc_id"), F.length("text")), F.lit(batches)).cast("int"))
-    rows = rows.mapInArrow(_packed, PACKED)
-
-    def ask(pdf: pd.DataFrame) -> pd.DataFrame:
-        hashes, ends = word_hashes(_unpacked(pdf["rows"])[1])
-        distinct, counts, bounds = _asked(_grams(hashes, ends, order), parts)
-        batch = int(pdf["batch"].iloc[0])
-        spans = [(k, bounds[k], bounds[k + 1]) for k in range(parts) if bounds[k] < bounds[k + 1]]
-        out = [(k, batch, _near(distinct[a:b]), _narrow(counts[a:b])) for k, a, b in spans]
-        out.append((-1, batch, b"", _narrow(np.asarray([len(hashes)]))))  # the words of the corpus
-        return pd.DataFrame(out, columns=["part", "batch", "grams", "counts"])
-
-    def answer(pdf: pd.DataFrame) -> pd.DataFrame:
-        part, batch = int(pdf["part"].iloc[0]), pdf["batch"].tolist()
-        counts = [_wide(x) for x in pdf["counts"]]
-        if part < 0:
-            total = np.asarray([sum(int(c[0]) for c in counts)])
-            return pd.DataFrame({"batch": batch, "part": part, "totals": [_narrow(total)] * len(batch)})
-        grams = [_far(x) for x in pdf["grams"]]
-        distinct, at = np.unique(np.concatenate(grams), return_inverse=True)
-        totals = np.bincount(at, np.concatenate(counts), len(distinct)).astype(np.int64)[at]
-        cuts = np.cumsum([len(g) for g in grams])[:-1]
-        return pd.DataFrame({"batch": batch, "part": part, "totals": [_narrow(t) for t in np.split(totals, cuts)]})
-
-    def score(pdf: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):
-            return pd.DataFrame({c.split()[0]: [] for c in SCORED.split(", ")})
-        ids, texts = _unpacked(pdf["rows"])
-        hashes, ends = word_hashes(texts)
-        grams = _grams(hashes, ends, order)
-        distinct, _, _ = _asked(grams, parts)
-        told = told.sort_values("part")
-        words = int(_wide(told["totals"].iloc[0])[0])
-        totals = np.concatenate([np.zeros(0, np.int64), *[_wide(x) for x in told["totals"].iloc[1:]]])
-        start = np.concatenate([[0], ends[:-1]])
-        doc = np.repeat(np.arange(len(ends)), ends - start)
-        corpus, own = [], []
-        for g, ok in grams:
-            at = np.searchsorted(distinct, np.where(ok, g, distinct[0])) if len(distinct) else np.zeros(0, np.int64)
-            corpus.append(np.where(ok, totals[at], 0))
-            mine = np.zeros(len(g), np.int64)
-            if leave_one_out and len(g):
-                live = np.flatnonzero(ok)
-                by = live[np.lexsort((g[live], doc[live]))]
-                new = np.ones(len(by), bool)
-                new[1:] = (g[by][1:] != g[by][:-1]) | (doc[by][1:] != doc[by][:-1])
-                group = np.cumsum(new) - 1
-                mine[by] = np.bincount(group)[group] if len(by) else 0
-            own.append(mine)
-        size = ends - start
-        base = words - (size[doc] if leave_one_out else 0)
-        left = [c - o for c, o in zip(corpus, own, strict=True)]
-        result = np.where((left[0] > 0) & (base > 0), left[0] / np.maximum(base, 1), 1 / np.maximum(words, 1))
-        result, used = np.log10(result), np.ones(len(hashes), np.int64)
-        for n in range(2, order + 1):
-            context = np.concatenate([np.zeros(1, np.int64), left[n - 2][:-1]])
-            ok, seen = grams[n - 1][1], left[n - 1] > 0
-            kept = np.log10(np.maximum(left[n - 1], 1) / np.maximum(context, 1))
-            result = np.where(ok, np.where(seen, kept, result + np.log10(backoff)), result)
-            used = np.where(ok & seen, n, used)
-        full = np.minimum(order, np.arange(len(hashes)) - np.repeat(start, size) + 1)
-        add = lambda x: np.bincount(doc, x, len(ends)) if len(doc) else np.zeros(len(ends))
-        return pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "n_words": size, "n_seen": add(used == full).astype(np.int64), "n_backed_off": add(used < full).astype(np.int64), "log10_sum": add(result)})
-
-    asked = rows.groupBy("batch").applyInPandas(ask, ASKED)
-    answered = asked.groupBy("part").applyInPandas(answer, ANSWERED)
-    out = rows.groupBy("batch").cogroup(answered.groupBy("batch")).applyInPandas(score, SCORED)
+    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    bare = rows.select("row", "text")
+    common = _common(bare, order)
+    sums = bare.mapInArrow(_common_counts(order, common), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    sums = dict(map(tuple, sums.collect()))  # at most FREQUENT + 1 rows
+    words = sums.pop(None, 0)
+    counts = np.asarray([sums.get(g, 0) for g in common.view(np.int64).tolist()], np.int64)
+    parts = [written(answered(bare.mapInArrow(_exploded(order, k, SLICES, common), EXPLODED)), f"totals_{k}") for k in range(SLICES)]
+    told = parts[0]
+    for p in parts[1:]:
+        told = told.unionByName(p)
+    told = told.groupBy("row").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("totals")).alias("totals"))
+    none = F.array().cast("array<bigint>")
+    out = rows.join(told, "row", "left").select("doc_id", "text", *[F.coalesce(c, none).alias(c) for c in ("at", "totals")])
+    out = out.mapInArrow(_scored(order, backoff, leave_one_out, common, counts, words), SCORED)
     mean = F.when(F.col("n_words") > 0, F.col("log10_sum") / F.nullif(F.col("n_words"), F.lit(0)))
     return out.withColumn("log10_mean", mean)
