@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,18 +17,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see. Only where it is unset, as in tests, one is made."""
+    """The folder of spark.checkpoint.dir, which all executors see. Only a local session, as in tests, gets one of its own where it is
+    unset; on a cluster a folder of one machine would lose rows, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tidemark-')}")
         root = spark.sparkContext.getCheckpointDir()
     return root
 
 
+#: With it Spark removes a query's shuffle files as soon as it has ended, not when its plan is garbage-collected.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """What is run inside leaves no shuffle files behind."""
+    had = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEANUP) if had is None else spark.conf.set(_CLEANUP, had)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: `df` as a Parquet table in the shared folder, read again. It outlives any executor."""
+    """Cuts the lineage: `df` as a Parquet table in the shared folder, read again. It outlives any executor, and the shuffles that made
+    it are removed."""
     path = f"{shared_dir(df.sparkSession)}/tidemark-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    with cleaned(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import cleaned, written
 from .near_dups import _mixed, word_hashes
 
 ORDER, BACKOFF = 3, 0.4
@@ -207,9 +207,10 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
     bare = rows.select("row", "text")
-    common = _common(bare, order)
-    sums = bare.mapInArrow(_common_counts(order, common), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    sums = dict(map(tuple, sums.collect()))  # at most FREQUENT + 1 rows
+    with cleaned(docs.sparkSession):
+        common = _common(bare, order)
+        sums = bare.mapInArrow(_common_counts(order, common), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+        sums = dict(map(tuple, sums.collect()))  # at most FREQUENT + 1 rows
     words = sums.pop(None, 0)
     counts = np.asarray([sums.get(g, 0) for g in common.view(np.int64).tolist()], np.int64)
     parts = [written(answered(bare.mapInArrow(_exploded(order, k, SLICES, common), EXPLODED)), f"totals_{k}") for k in range(SLICES)]
