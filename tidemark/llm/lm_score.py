@@ -36,7 +36,7 @@ ORDER, BACKOFF = 3, 0.4
 SLICES = 4
 #: Entries of the table of common n-grams (1.6 MB); rows of the sample that names them; how often one has to occur there.
 FREQUENT, SAMPLE, LEAST = 100_000, 4_096, 4
-EXPLODED = "gram long, row long, at long"
+EXPLODED = "gram long, row long, at int"
 SCORED = "doc_id long, n_words long, n_seen long, n_backed_off long, log10_sum double"
 
 
@@ -104,7 +104,7 @@ def _exploded(order: int, part: int, parts: int, common: np.ndarray):
             for n, g in enumerate(grams):
                 mine = np.flatnonzero((g >= low) & (g <= high) & (place >= n))
                 mine = mine[table.find(g[mine]) < 0]
-                yield pa.RecordBatch.from_arrays([pa.array(g[mine].view(np.int64)), pa.array(names[text[mine]]), pa.array(place[mine] * order + n)], ["gram", "row", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(g[mine].view(np.int64)), pa.array(names[text[mine]]), pa.array((place[mine] * order + n).astype(np.int32))], ["gram", "row", "at"])
 
     return rows
 
@@ -197,10 +197,10 @@ def counted(exploded: DataFrame) -> DataFrame:
 
 
 def answered(exploded: DataFrame) -> DataFrame:
-    """(row, at, totals): the totals of a row's n-grams and where they stand. The exploded rows are shuffled once, for both sides."""
+    """(row, at, totals): the totals of a row's n-grams and where they stand, in two lists of one order. The exploded rows are shuffled
+    once, for both sides."""
     exploded = exploded.repartition("gram")
-    totals = exploded.join(counted(exploded).hint("shuffle_hash"), "gram").groupBy("row").agg(F.collect_list(F.struct("at", "total")).alias("a"))
-    return totals.select("row", F.col("a.at").alias("at"), F.col("a.total").alias("totals"))
+    return exploded.join(counted(exploded).hint("shuffle_hash"), "gram").groupBy("row").agg(F.collect_list("at").alias("at"), F.collect_list("total").alias("totals"))
 
 
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, backoff: float = BACKOFF, leave_one_out: bool = True) -> DataFrame:
@@ -218,8 +218,8 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
     for p in parts[1:]:
         told = told.unionByName(p)
     told = told.groupBy("row").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("totals")).alias("totals"))
-    none = F.array().cast("array<bigint>")
-    out = rows.join(told, "row", "left").select("doc_id", "text", *[F.coalesce(c, none).alias(c) for c in ("at", "totals")])
+    none = {"at": F.array().cast("array<int>"), "totals": F.array().cast("array<bigint>")}
+    out = rows.join(told, "row", "left").select("doc_id", "text", *[F.coalesce(c, x).alias(c) for c, x in none.items()])
     out = out.mapInArrow(_scored(order, backoff, leave_one_out, common, counts, words), SCORED)
     mean = F.when(F.col("n_words") > 0, F.col("log10_sum") / F.nullif(F.col("n_words"), F.lit(0)))
     return out.withColumn("log10_mean", mean)
