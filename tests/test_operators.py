@@ -58,21 +58,22 @@ def test_hand_kept_series(spark):
     last = {i: max((r for r in rows if r["id"] == i), key=lambda r: r["d"]) for i in by}
     assert [(last[i]["ma"], last[i]["ratio"]) for i in by] == [(1329177.667, 1.1301), (-23543.0, 1.5499), (20.2, 0.995)]
     specs = fixed.manual_specs(spark).select("id", "weight", "invert", "window")
-    assert {r["id"]: r["percentile"] for r in scoring.components(catalog.manual_long(spark), specs).collect()} == {"margindebt": 100.0, "fundflows": 20.0, "forwardpe": 33.0}
+    assert {r["id"]: r["percentile"] for r in scoring.components(catalog.manual_long(spark), specs, fixed.WINDOWS).collect()} == {"margindebt": 100.0, "fundflows": 20.0, "forwardpe": 33.0}
 
 
 def test_weights_add_up():
-    assert sum(v[1] for v in fixed.FACTORS.values()) == 100 and [v[0] for v in fixed.FACTORS.values()] == list(range(11))
+    assert sum(v[0] for v in fixed.FACTORS.values()) == 100 and len(fixed.FACTORS) == 11
+    assert {v[2] for v in fixed.FACTORS.values()} == set(fixed.WINDOWS) and {v[4] for v in fixed.FACTORS.values()} - {None} == set(fixed.SHOWN)
 
 
 def test_short_history_scores_fifty(spark):
     specs = spark.createDataFrame([("x", 3, False, 50), ("gone", 9, True, 5)], "id string, weight int, invert boolean, window int")
     series = closes(spark, [1, 2, 3]).select(F.lit("x").alias("id"), "d", F.col("close").alias("y"))
-    r = scoring.components(series, specs).collect()
+    r = scoring.components(series, specs, (50, 5)).collect()
     assert len(r) == 1 and (r[0]["score"], r[0]["ma"], r[0]["percentile"]) == (50.0, None, 100.0)
-    assert scoring.composite(scoring.components(series, specs)).first()["score"] == 50.0
+    assert scoring.composite(scoring.components(series, specs, (50, 5))).first()["score"] == 50.0
     with pytest.raises(Exception, match="no component"):
-        scoring.composite(scoring.components(series.where("false"), specs)).collect()
+        scoring.composite(scoring.components(series.where("false"), specs, (50, 5))).collect()
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -80,7 +81,7 @@ def test_short_history_scores_fifty(spark):
 def test_scores_against_counting(spark, values, invert):
     n = 4
     specs = spark.createDataFrame([("x", 1, invert, n)], "id string, weight int, invert boolean, window int")
-    rows = sorted(scoring.scored(closes(spark, values).select(F.lit("x").alias("id"), "d", F.col("close").alias("y")), specs).collect(), key=lambda r: r["d"])
+    rows = sorted(scoring.scored(closes(spark, values).select(F.lit("x").alias("id"), "d", F.col("close").alias("y")), specs, (n,)).collect(), key=lambda r: r["d"])
     ratios = []
     for k in range(n - 1, len(values)):
         ma, y = sum(values[k - n + 1 : k + 1]) / n, values[k]
@@ -159,7 +160,10 @@ def test_scorecard_gaps_and_charts(spark):
     rows = spark.createDataFrame([("A", dt.date(2024, 1, 5), 10.0), ("A", dt.date(2024, 1, 9), 20.0), ("A", dt.date(2024, 3, 1), 30.0)], "sym string, d date, close double")
     assert [tuple(r) for r in scorecard.period_returns(rows, "month").collect()] == [("A", "2024-03", 50.0)]
     chart = scorecard.rebased_chart(rows, rows.where("d > '2024-01-06'")).orderBy("d").collect()
-    assert [r["y"] for r in chart] == [100.0, 150.0]
+    assert {r["y"] for r in chart} == {100.0, 150.0} and len(chart) == 4
+    bench = spark.createDataFrame([("X", dt.date(2024, 1, k), 8.0 + k) for k in (5, 8, 9)], "sym string, d date, close double").drop("sym")
+    chart = scorecard.rebased_chart(rows, bench).orderBy("ord", "d").collect()
+    assert [(r["ord"], r["sym"], r["y"]) for r in chart] == [(0, "benchmark", 100.0), (0, "benchmark", 123.08), (0, "benchmark", 130.77), (1, "A", 100.0), (1, "A", None), (1, "A", 200.0)]
     board = scorecard.leaderboard(spark.createDataFrame([("a", None), ("b", 1.0), ("c", 2.0)], "sym string, y1 double"), "y1", ["y1"], descending=False)
     assert [r["sym"] for r in board.orderBy("place").collect()] == ["b", "c", "a"]
 
@@ -188,11 +192,11 @@ def test_readers(spark, tmp_path):
 
 def test_snapshots(spark, tmp_path):
     path = str(tmp_path / "s")
-    assert readers.stored(spark, path) is None
+    assert readers.stored(spark, path) is None and snapshots.current(spark, path) is None
     row = lambda *x: spark.createDataFrame(list(x), "d string, v int")
     for new in (row(("a", 1), ("b", 2)), row(("b", 3)), row(("b", 3))):
         snapshots.upsert(new, path, ["d"])
-    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [("a", 1), ("b", 3)]
+    assert sorted(map(tuple, snapshots.current(spark, path).collect())) == [("a", 1), ("b", 3)]
     ranges = str(tmp_path / "r")
     cols = "n int, range_key string"
     snapshots.merge_keys(spark.createDataFrame([(1, "5D"), (2, "1Y")], cols), ranges)
@@ -200,6 +204,44 @@ def test_snapshots(spark, tmp_path):
     assert sorted(map(tuple, snapshots.merged(spark, ranges, cols).collect())) == [(1, "5D"), (2, "1Y"), (9, "1D")]
 
 
+def test_a_failed_change_leaves_the_old_snapshot(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+    row = lambda *x: spark.createDataFrame(list(x), "d string, v int")
+    snapshots.replace(row(("a", 1)), path)
+
+    def broken(*_):
+        raise OSError("no rename")
+
+    with monkeypatch.context() as m:
+        m.setattr(snapshots, "renamed", broken)
+        with pytest.raises(OSError, match="no rename"):
+            snapshots.upsert(row(("b", 2)), path, ["d"])
+    assert [tuple(r) for r in snapshots.current(spark, path).collect()] == [("a", 1)]
+    for k in range(4):
+        snapshots.upsert(row(("b", k)), path, ["d"])
+    assert sorted(map(tuple, snapshots.current(spark, path).collect())) == [("a", 1), ("b", 3)]
+    assert len([p for p in (tmp_path / "s").iterdir() if p.is_dir()]) == 2  # this version and the last
+
+
+def test_rounding_of_shares(spark):
+    assert one(spark, numbers.share(F.lit(23), F.lit(80)), numbers.share(F.lit(1), F.lit(0)), numbers.share(F.lit(1), F.lit(8), 0)) == (28.8, None, 13.0)
+
+
+def test_momentum_shows_its_mean_and_missing_factors_leave_a_warning(spark, sf):
+    rows = {r["id"]: r for r in catalog.factor_rows(spark, sf).collect()}
+    assert [i for i, _ in sorted(rows.items(), key=lambda x: x[1]["ord"])] == list(fixed.FACTORS)
+    assert rows["momentum"]["value"] == catalog.momentum_vs_ma90(spark, sf).first()["value"] != rows["momentum"]["calc_value"]
+    assert rows["forwardpe"]["period_label"] == "reading" and rows["credit"]["calc_window"] == 50
+    with pytest.raises(ValueError, match="no factor"):
+        scoring.loaded({"x": lambda: spark.read.parquet("/not/there")})
+
+
+def test_falls_below_zero_have_no_yearly_rate(spark):
+    days = [dt.date(2019, 1, 2), dt.date(2021, 1, 4), dt.date(2024, 1, 2)]
+    rows = spark.createDataFrame([("a", d, c) for d, c in zip(days, (5.0, 4.0, -1.0), strict=True)], "sym string, d date, close double")
+    assert {r["range_key"] for r in returns.range_changes(rows).collect()} == {"1Y", "MTD", "QTD", "YTD"}
+
+
 def test_tape(spark):
     item = lambda *rows: spark.createDataFrame(list(rows), "label string, value double")
     out = tape.tape(item(("r", 1.0)).withColumn("is_rate", F.lit(True)), item(("s", 2.0))).orderBy("part").collect()

@@ -1,5 +1,6 @@
 import datetime as dt
 
+from tidemark.operators import snapshots
 from tidemark.streaming import streams
 
 
@@ -23,7 +24,7 @@ def test_last_row_of_each_key(spark, sf, tmp_path):
         events.where(f"event_id % 2 = {k}").write.mode("append").parquet(src)
         q = streams.keep_last(streams.events(spark, src, 1), out, ["user_id"], "event_id", str(tmp_path / "ck"))
         q.awaitTermination(120)
-    assert {r["user_id"]: r["event_id"] for r in spark.read.parquet(out).collect()} == want
+    assert {r["user_id"]: r["event_id"] for r in snapshots.current(spark, out).collect()} == want
 
 
 def test_sessions(spark, sf, tmp_path):

@@ -38,9 +38,10 @@ def annualized(latest, base, years: int) -> Column:
 
 
 def share(part, whole, digits: int = 1) -> Column:
-    """part of whole in percent; null where there is no whole."""
-    part, whole = _col(part).cast("double"), _col(whole).cast("double")
-    return F.when(whole > 0, rounded(part / F.nullif(whole, F.lit(0.0)) * 100, digits))
+    """part of whole in percent; null where there is no whole. The quotient is scaled once, so that halves such as 23 of 80 (28.75) aren't
+    lost to a second rounding."""
+    part, whole, p = _col(part).cast("double"), _col(whole).cast("double"), float(10**digits)
+    return F.when(whole > 0, F.floor(part / F.nullif(whole, F.lit(0.0)) * (100 * p) + 0.5).cast("double") / p)
 
 
 def parsed(text) -> Column:

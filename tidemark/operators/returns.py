@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions.calendar import before, months_later
 from ..functions.numbers import annualized, pct_change, rounded
 from .asof import at_or_before
+from .tape import incomplete
 
 HORIZONS = ("d1", "w1", "mtd", "m1", "qtd", "m3", "m6", "ytd", "y1")
 #: Range -> years that it is annualised over.
@@ -37,7 +38,8 @@ def relative(returns: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def range_changes(closes: DataFrame) -> DataFrame:
     """(range_key, sym, pct): each symbol's own last close against its close on or before a base anchored to the last day of all
-    symbols (5D: the sixth row from its end); 3Y and 5Y annualised; two digits; bases that aren't above 0 are left out."""
+    symbols (5D: the sixth row from its end); 3Y and 5Y annualised; two digits; bases that aren't above 0, and ratios that can't be
+    annualised, are left out."""
     top = closes.agg(F.max("d").alias("top"))
     rows = _with_last(closes).crossJoin(F.broadcast(top))  # one row by construction
     t = F.col("top")
@@ -46,18 +48,40 @@ def range_changes(closes: DataFrame) -> DataFrame:
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("range_key"), F.lit(n).alias("years"), F.col(f"`{k}`").alias("base")) for k, n in RANGES.items()]))
     long_ = bases.select("sym", "close", pairs.alias("k")).select("sym", "close", "k.*").where("base > 0")
     pct = F.when(F.col("years") == 3, annualized("close", "base", 3)).when(F.col("years") == 5, annualized("close", "base", 5)).otherwise(pct_change("close", "base"))
-    return long_.select("range_key", "sym", rounded(pct, 2).alias("pct"))
+    pct = F.when((F.col("years") > 1) & (F.col("close") <= 0), F.lit(None)).otherwise(pct)
+    return long_.select("range_key", "sym", rounded(pct, 2).alias("pct")).where("pct is not null")
 
 
 def quote_changes(quotes: DataFrame) -> DataFrame:
-    """(range_key 1D, sym, pct) from quotes; incomplete ones are left out."""
-    good = quotes.where("price is not null and prev_close is not null and prev_close != 0 and not isnan(price) and not isnan(prev_close)")
+    """(range_key 1D, sym, pct) from quotes; incomplete ones are left out, see `rejected`."""
+    good = quotes.where(~incomplete(F.col("price"), F.col("prev_close")))
     return good.select(F.lit("1D").alias("range_key"), "sym", rounded(pct_change("price", "prev_close"), 2).alias("pct"))
 
 
+def rejected(quotes: DataFrame) -> DataFrame:
+    """The incomplete quotes and why: what `quote_changes` leaves out."""
+    price, prev = F.col("price"), F.col("prev_close")
+    bad = lambda c: c.isNull() | F.isnan(c)
+    why = F.when(bad(price), F.lit("no price")).when(bad(prev), F.lit("no previous close")).otherwise(F.lit("previous close 0"))
+    return quotes.where(incomplete(price, prev)).select("sym", "price", "prev_close", why.alias("reason"))
+
+
 def distribution(changes: DataFrame, nested: bool = False) -> DataFrame:
     """A row for each range: n, median, mean, up, down, unchanged, of rounded changes; nested: with the sorted list of all."""
     p = F.col("pct")
     more = [F.array_sort(F.collect_list(F.struct("pct", "sym"))).alias("changes")] if nested else []
     mean = F.sum(p.cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))
     return changes.groupBy("range_key").agg(F.count(F.lit(1)).alias("n"), rounded(F.median("pct"), 2).alias("median"), rounded(mean, 2).alias("mean"), F.count_if(p > 0).alias("up"), F.count_if(p < 0).alias("down"), F.count_if(p == 0).alias("unchanged"), *more)
+
+
+def summarised(changes: DataFrame, universe: DataFrame) -> DataFrame:
+    """`distribution` with total (names of the universe, with or without data) and annualized (null for 1D, which has no such key)."""
+    total = universe.select("sym").distinct().agg(F.count(F.lit(1)).alias("total"))
+    years = F.create_map(*[F.lit(x) for k, n in RANGES.items() for x in (k, n > 1)])
+    return distribution(changes).crossJoin(F.broadcast(total)).withColumn("annualized", F.try_element_at(years, F.col("range_key")))  # one row by construction
+
+
+def change_list(changes: DataFrame, universe: DataFrame) -> DataFrame:
+    """(range_key, place, sym, pct): the changes of each range from the least to the largest, ties in the universe's order (ord, sym)."""
+    rows = changes.join(F.broadcast(universe.select("sym", "ord")), "sym")
+    return rows.select("range_key", F.row_number().over(Window.partitionBy("range_key").orderBy("pct", "ord")).alias("place"), "sym", "pct")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.calendar import period
 from ..functions.numbers import heat, pct_change, rounded
-from .windows import rebased_first
+from .windows import ordered
 
 SHOWN = {"month": 12, "quarter": 8, "year": 8}
 CAPS = {"month": 10.0, "quarter": 20.0, "year": 40.0}
@@ -52,13 +52,22 @@ def leaderboard(returns: DataFrame, by: str, columns: list[str], descending: boo
     return rows.select(rank.alias("place"), "sym", *columns, *[rounded(heat(c, f"most_{c}"), 4).alias(f"heat_{c}") for c in columns])
 
 
-def rebased_chart(closes: DataFrame, benchmark: DataFrame, days: int | None = None, year_to_date: bool = False) -> DataFrame:
-    """sym, d, y: every series on the benchmark's calendar within the range that ends on its last day, 100 at its first day there."""
+def rebased_chart(closes: DataFrame, benchmark: DataFrame, days: int | None = None, year_to_date: bool = False, name: str = "benchmark") -> DataFrame:
+    """ord, sym, d, y: the benchmark's series (0), then the others by symbol, each on the benchmark's calendar within the range that ends on
+    its last day: 100 on the first day that the series has there, null on days that it lacks, and throughout if it has none.
+
+    The grid has a row for each series and day; symbols are few, and are sent to all tasks."""
     end = benchmark.agg(F.max("d").alias("end"))
     calendar = benchmark.crossJoin(F.broadcast(end))  # one row by construction
     if year_to_date:
         calendar = calendar.where(F.col("d") >= F.trunc("end", "YEAR"))
     elif days is not None:
         calendar = calendar.where(F.col("d") >= F.date_sub("end", days))
-    rows = closes.join(calendar.select("d").distinct(), "d")
-    return rows.select("sym", "d", rounded(rebased_first(rows, ["sym"]), 2).alias("y"))
+    names = closes.groupBy("sym").agg(F.lit(1).alias("n")).select((F.row_number().over(Window.orderBy("sym"))).alias("ord"), "sym")
+    names = names.unionByName(closes.sparkSession.createDataFrame([(0, name)], "ord int, sym string"))
+    every = closes.select("sym", "d", "close").unionByName(benchmark.select(F.lit(name).alias("sym"), "d", "close"))
+    grid = calendar.select("d").distinct().crossJoin(F.broadcast(names))  # days by symbols: what a chart shows
+    rows = grid.join(every, ["sym", "d"], "left")
+    whole = ordered(["ord", "sym"]).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    y = F.col("close") / F.nullif(F.first("close", ignorenulls=True).over(whole), F.lit(0.0)) * 100
+    return rows.select("ord", "sym", "d", rounded(y, 2).alias("y"))

@@ -1,29 +1,91 @@
 """Snapshots on plain Parquet: replace, merge by key, upsert by date or name, append-only counters.
 
-A changed snapshot is written beside the old one and then takes its place, so it may be computed from the old one."""
+A snapshot is a folder with versions of its parts (most have one) and a manifest that says which version of each part holds. A change
+is written as new versions, then one rename puts a new manifest in the old one's place. Until then readers, and whatever comes
+after a crash, see the old snapshot; a snapshot may be computed from itself. Versions that neither the new nor the last manifest
+names are removed."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..sources.readers import stored
+MANIFEST, WHOLE = "_manifest.json", ""
 
 
-def replace(df: DataFrame, path: str) -> None:
-    """Writes beside, then renames, through the file system that Spark uses for the path."""
-    spark = df.sparkSession
+def _at(spark: SparkSession, path: str):
+    """The path for the file system that Spark uses for it, and that system's context."""
     jvm = spark.sparkContext._jvm
-    new = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.parquet(new)
-    old = jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(new), old):
-        raise OSError(f"{new} could not take the place of {path}")
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def manifest(spark: SparkSession, path: str) -> dict[str, dict[str, str]]:
+    """part -> folder, of the version that holds (now) and of the one before it (last); empty where there is no snapshot yet."""
+    p, files = _at(spark, f"{path.rstrip('/')}/{MANIFEST}")
+    if not files.util().exists(p):
+        return {"now": {}, "last": {}}
+    stream = files.open(p)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def renamed(spark: SparkSession, source: str, target: str) -> None:
+    """Over what is there, in one step."""
+    a, files = _at(spark, source)
+    option = spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.OVERWRITE
+    files.rename(a, _at(spark, target)[0], options)
+
+
+def _published(spark: SparkSession, path: str, now: dict[str, str], last: dict[str, str]) -> None:
+    jvm, root = spark.sparkContext._jvm, path.rstrip("/")
+    new = f"{root}/{uuid.uuid4().hex}.tmp"
+    p = jvm.org.apache.hadoop.fs.Path(new)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(json.dumps({"now": now, "last": last}).encode()))
+    finally:
+        out.close()
+    renamed(spark, new, f"{root}/{MANIFEST}")
+    live = {v.split("/")[0] for v in [*now.values(), *last.values()]}
+    for status in fs.listStatus(jvm.org.apache.hadoop.fs.Path(root)):
+        name = status.getPath().getName()
+        if status.isDirectory() and name not in live:
+            fs.delete(status.getPath(), True)
+
+
+def current(spark: SparkSession, path: str, schema: str | None = None, parts: list[str] | None = None) -> DataFrame | None:
+    """The snapshot, or the parts of it that there are, or None where there is none."""
+    now = manifest(spark, path)["now"]
+    folders = [f"{path.rstrip('/')}/{f}" for k, f in sorted(now.items()) if parts is None or k in parts]
+    if not folders:
+        return None
+    return (spark.read.schema(schema) if schema else spark.read).parquet(*folders)
+
+
+def replace(df: DataFrame, path: str, by: str | None = None) -> None:
+    """`df` as the snapshot; by: only in place of the parts that this column (which is dropped) names, `by=value` each."""
+    spark, version = df.sparkSession, uuid.uuid4().hex
+    target = f"{path.rstrip('/')}/{version}"
+    if by is None:
+        df.write.parquet(target)
+        fresh = {WHOLE: version}
+    else:
+        df.write.partitionBy(by).parquet(target)
+        fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)) if x.isDirectory()]
+        fresh = {name: f"{version}/{name}" for name in names if name.startswith(f"{by}=")}
+    old = manifest(spark, path)["now"]
+    _published(spark, path, (old if by else {}) | fresh, old)
 
 
 def upserted(existing: DataFrame | None, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,17 +96,17 @@ def upserted(existing: DataFrame | None, new: DataFrame, keys: list[str]) -> Dat
 
 
 def upsert(new: DataFrame, path: str, keys: list[str]) -> None:
-    replace(upserted(stored(new.sparkSession, path), new, keys), path)
+    replace(upserted(current(new.sparkSession, path), new, keys), path)
 
 
 def merge_keys(new: DataFrame, path: str, key: str = "range_key") -> None:
-    """Each key is a partition of its own: a job overwrites those that it brings and leaves the others' alone."""
-    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+    """Each key is a part of its own: a job replaces those that it brings and leaves the others' alone."""
+    replace(new.withColumn("part__", F.col(key)), path, by="part__")
 
 
 def merged(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The schema keeps keys such as 1D from being read as numbers."""
-    return spark.read.schema(schema).parquet(path)
+    return current(spark, path, schema)
 
 
 def configs_saved(existing: DataFrame, changes: DataFrame) -> DataFrame:

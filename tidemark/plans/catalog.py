@@ -7,10 +7,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.calendar import before, months_later, period
-from ..functions.numbers import pct_change, rounded, share
-from ..functions.text import listed, symbol
+from ..functions.calendar import before, months_later, new_york_day, new_york_label, period
+from ..functions.numbers import parsed, pct_change, ratio, rounded, share, signed_percent, whole_number
+from ..functions.text import config_name, listed, symbol
 from ..operators import asof as A
 from ..operators import breadth as B
 from ..operators import returns as R
@@ -21,6 +22,7 @@ from ..operators import tape as T
 from ..operators import windows as W
 from ..sources import bindings as src
 from ..sources import fixed, readers
+from ..streaming import streams
 
 SECTOR_WINDOW = 50
 FEATURED = ("1-URGENT", "2-HIGH", "3-MEDIUM")
@@ -50,28 +52,45 @@ def manual_long(spark) -> DataFrame:
     return rows.select("id", F.date_add(F.lit("1970-01-01").cast("date"), F.col("ord")).alias("d"), F.col("value").alias("y"))
 
 
+def market_factors(spark, sf) -> DataFrame:
+    """The factors over orders (credit, vix, realizedvol, momentum) as (id, d, y): one scan, one row a day, one sort."""
+    days = src.market_days(spark, sf, FEATURED)  # c0, c1, c2: the featured priorities' closes
+    w = Window.orderBy("d")
+    past, whole = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    prev = F.lag("close").over(w)
+    tr = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev))
+    rows = days.withColumn("rn", F.row_number().over(w)).withColumn("tr", tr).withColumn("under", F.last("c1", ignorenulls=True).over(past))
+    rows = rows.withColumn("atr", F.when(F.col("rn") >= 14, F.avg("tr").over(w.rowsBetween(-13, 0))))
+    rows = rows.withColumn("credit", F.when(F.col("under") != 0, F.col("c0") / F.nullif(F.col("under"), F.lit(0.0))))
+    rows = rows.withColumn("nth", F.count("credit").over(past)).withColumn("n", F.count("credit").over(whole))
+    first = F.greatest(F.lit(1).cast("long"), F.col("n") - 503)  # the 504th from the end, or the first
+    rows = rows.withColumn("base", F.max(F.when(F.col("credit").isNotNull() & (F.col("nth") == first), F.col("credit"))).over(whole))
+    y = {"credit": F.col("credit") / F.nullif(F.col("base"), F.lit(0.0)) * 100, "vix": F.col("c2"), "realizedvol": ratio("atr", "close") * 100, "momentum": F.col("close")}
+    return rows.select("d", F.explode(F.array(*[F.struct(F.lit(k).alias("id"), c.alias("y")) for k, c in y.items()])).alias("k")).select("k.id", "d", "k.y").where("y is not null")
+
+
+def factor_parts(spark, sf, events: str | None = None) -> dict:
+    """Where each group of factors comes from. `events`: another folder for the events, which may lack them."""
+    return {
+        "breadth": lambda: B.long_series(B.internals(src.symbol_closes(spark, sf))),
+        "market": lambda: market_factors(spark, sf),
+        "put/call": lambda: _long(src.error_ratio(spark, events or sf), "putcall"),
+        "manual": lambda: manual_long(spark),
+    }
+
+
 def factor_series(spark, sf) -> DataFrame:
     """All eleven factors as one long table, so they are scored in one pass."""
-    bars = src.market_bars(spark, sf)
-    urgent, high, medium = (_priority(spark, sf, p) for p in FEATURED)
-    parts = [
-        B.long_series(B.internals(src.symbol_closes(spark, sf))),
-        _long(A.rebased_ratio(urgent, high), "credit"),
-        _long(medium, "vix", "close"),
-        _long(W.true_range_percent(bars), "realizedvol"),
-        _long(bars, "momentum", "close"),
-        _long(src.error_ratio(spark, sf), "putcall"),
-        manual_long(spark),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return S.loaded(factor_parts(spark, sf))[0]
+
+
+def factor_rows(spark, sf) -> DataFrame:
+    return S.components(factor_series(spark, sf), fixed.factor_specs(spark), fixed.WINDOWS, fixed.SHOWN)
 
 
 # windows and scores
 def relative_score(spark, sf):
-    rows = S.scored(price_series(spark, sf), price_specs(spark))
+    rows = S.scored(price_series(spark, sf), price_specs(spark), (SECTOR_WINDOW,))
     return rows.select("id", "d", rounded("ma", 3).alias("ma"), rounded("ratio", 6).alias("ratio"), "pct", "score")
 
 
@@ -148,22 +167,38 @@ def scalar_asof(spark, sf):
 # composite
 def manual_scores(spark, sf):
     specs = fixed.manual_specs(spark).select("id", "weight", "invert", "window")
-    rows = S.scored(manual_long(spark), specs)
+    rows = S.scored(manual_long(spark), specs, fixed.WINDOWS)
     return rows.select("id", "d", rounded("ma", 3).alias("ma"), rounded("ratio", 4).alias("ratio"), "pct", "score")
 
 
 def factor_components(spark, sf):
-    return S.components(factor_series(spark, sf), fixed.factor_specs(spark))
+    """All components with how their scores came about, in the declared order (ord)."""
+    return factor_rows(spark, sf)
+
+
+def factor_histories(spark, sf):
+    """The last 504 readings of each component to three digits, by place."""
+    return S.recent(factor_series(spark, sf))
 
 
 def composite_live(spark, sf):
-    return S.composite(S.components(factor_series(spark, sf), fixed.factor_specs(spark)))
+    return S.composite(factor_rows(spark, sf))
+
+
+def composite_degraded(spark, sf):
+    """With the put/call source gone: its component is absent, the weights of the others hold, and the warning is kept."""
+    series, warnings = S.loaded(factor_parts(spark, sf, events=f"{sf}/not-there"))
+    out = S.composite(S.components(series, fixed.factor_specs(spark), fixed.WINDOWS, fixed.SHOWN))
+    return out.withColumn("warnings", F.lit("; ".join(f"{k}: {why}" for k, why in warnings)))
 
 
 def composite_history(spark, sf):
     charted = fixed.factor_specs(spark).where("charted")
-    scores = S.scored(factor_series(spark, sf).join(F.broadcast(charted.select("id")), "id"), charted)
-    return S.composite_history(scores, src.market_bars(spark, sf))
+    parts = factor_parts(spark, sf)
+    series = S.loaded({k: parts[k] for k in ("breadth", "market")})[0]
+    scores = S.scored(series, charted, fixed.WINDOWS)
+    present = series.select("id").distinct().join(F.broadcast(charted.select("id", "weight")), "id")
+    return S.composite_history(scores, present, src.market_bars(spark, sf))
 
 
 def component_histories(spark, sf):
@@ -245,6 +280,37 @@ def day_distribution(spark, sf):
     return R.distribution(R.quote_changes(src.quotes(spark, sf)))
 
 
+def _universe(closes: DataFrame) -> DataFrame:
+    """(ord, sym): all symbols, by name."""
+    return closes.select("sym").distinct().withColumn("ord", F.row_number().over(Window.orderBy("sym")))
+
+
+def range_summary(spark, sf):
+    closes = src.symbol_closes(spark, sf)
+    return R.summarised(R.range_changes(closes), _universe(closes))
+
+
+def range_change_list(spark, sf):
+    closes = src.symbol_closes(spark, sf)
+    return R.change_list(R.range_changes(closes), _universe(closes))
+
+
+def day_summary(spark, sf):
+    quotes = src.quotes(spark, sf)
+    return R.summarised(R.quote_changes(quotes), quotes)
+
+
+def _torn(quotes: DataFrame) -> DataFrame:
+    """Quotes of which some lack a number, by the last character of their symbol."""
+    k = F.substring("sym", -1, 1)
+    prev = F.when(k == "2", F.lit(None)).when(k == "3", F.lit(0.0)).otherwise(F.col("prev_close"))
+    return quotes.select("sym", F.when(k == "1", F.lit(None)).otherwise(F.col("price")).alias("price"), prev.cast("double").alias("prev_close"))
+
+
+def rejected_quotes(spark, sf):
+    return R.rejected(_torn(src.quotes(spark, sf)))
+
+
 # scorecard
 def _resample(cadence):
     return lambda spark, sf: C.resampled(src.region_closes(spark, sf).where("type = 'region'"), cadence).select("sym", "period", "d", "close")
@@ -332,8 +398,12 @@ def coverage_share(spark, sf):
 
 # snapshots
 def _store(spark, name: str) -> str:
-    """A new store in the folder that all executors share; one of its own only where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    """A new store in the folder that all executors share; a local session may do without one, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="tidemark-")
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
@@ -344,7 +414,7 @@ def snapshot_upsert(spark, sf):
     path = _store(spark, "days")
     K.replace(days, path)
     K.upsert(new, path, ["d"])
-    return spark.read.schema(days.schema).parquet(path).select("d", rounded("close", 2).alias("close"))
+    return K.current(spark, path).select("d", rounded("close", 2).alias("close"))
 
 
 def key_merge(spark, sf):
@@ -364,6 +434,14 @@ def config_upsert_delete(spark, sf):
     return K.configs_saved(old, new)
 
 
+def config_changes(spark, sf):
+    """All nations: the configurations of one half are known, all change, every fourth goes."""
+    names, k = src.table(spark, sf, "nation"), F.col("n_nationkey")
+    old = names.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("name"), k.cast("string").alias("params"), F.lit(0).cast("long").alias("saved_at"), k.alias("ord"))
+    new = names.select(config_name(F.concat(F.lit("  "), "n_name", F.lit(" "))).alias("name"), F.when(k % 4 != 1, F.concat(F.lit("v"), k)).alias("params"), F.lit(1).cast("long").alias("saved_at"), k.alias("ord"))
+    return K.configs_saved(old, new)
+
+
 def counter_trim(spark, sf):
     log = src.table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("d"), F.lit(1).cast("long").alias("calls"))
     return K.trimmed(log)
@@ -386,6 +464,208 @@ def bars_full(spark, sf):
     return readers.full_bars(docs.select("sym", F.to_json(F.struct(F.col("m").alias("Time Series (Daily)"))).alias("doc")))
 
 
+# feeds: documents made from the tables and read back
+def _priority_docs(spark, sf, fields: dict, series: str) -> DataFrame:
+    """(sym, doc): a JSON document for each priority with an object for each day, made of the day's columns."""
+    bar = F.create_map(*[x for name, c in fields.items() for x in (F.lit(name), c)])
+    docs = src.sector_closes(spark, sf).groupBy("sym").agg(F.map_from_entries(F.collect_list(F.struct(F.col("d").cast("string"), bar))).alias("m"))
+    return docs.select("sym", F.to_json(F.struct(F.col("m").alias(series))).alias("doc"))
+
+
+def index_bars_read(spark, sf):
+    """A data array of bars for the market, read back."""
+    bars = src.market_bars(spark, sf)
+    row = F.struct(F.col("d").cast("string").alias("date"), *[F.format_string("%.2f", c).alias(c) for c in ("open", "high", "low", "close")])
+    docs = bars.agg(F.collect_list(row).alias("data")).select(F.lit("market").alias("sym"), F.to_json(F.struct("data")).alias("doc"))
+    return readers.index_bars(docs)
+
+
+def point_quotes_read(spark, sf):
+    """A quote document for each symbol, its change as text with a percent sign, read back."""
+    q = src.quotes(spark, sf)
+    change = F.format_string("%.4f%%", pct_change("price", "prev_close"))
+    doc = F.to_json(F.create_map(F.lit("Global Quote - DATA"), F.create_map(F.lit("05. price"), F.format_string("%.2f", "price"), F.lit("08. previous close"), F.format_string("%.2f", "prev_close"), F.lit("10. change percent"), change)))
+    return readers.point_quotes(q.select("sym", doc.alias("doc")))
+
+
+def put_call_window(spark, sf):
+    """The last 18 days' ratios of two kinds of events, some of them no numbers."""
+    days = src.error_ratio(spark, sf)
+    text = F.when(F.dayofmonth("d") % 7 == 0, F.lit("None")).otherwise(F.format_string("%.6f", "y"))
+    return readers.put_call(days.select("d", text.alias("put_call_ratio_full_chain")), days)
+
+
+def newest_readings(spark, sf):
+    """The newest two numbers of a series for each priority; the newest day of each is no number."""
+    rows = src.sector_closes(spark, sf)
+    top = F.max("d").over(Window.partitionBy("sym"))
+    rows = rows.withColumn("v", F.when(F.col("d") == top, F.lit(".")).otherwise(F.format_string("%.2f", "close")))
+    docs = rows.groupBy("sym").agg(F.collect_list(F.struct(F.col("d").cast("string").alias("date"), F.col("v").alias("value"))).alias("data"))
+    return readers.newest_first(docs.select(F.col("sym").alias("name"), F.to_json(F.struct("data")).alias("doc")))
+
+
+def ath_snapshot(spark, sf):
+    """From the screener's arrays to the day's snapshot, upserted twice by date with the benchmark's close as of it."""
+    rows = src.symbol_closes(spark, sf)
+    at = rows.groupBy("sym").agg(F.max_by("close", "d").alias("c"), F.max("close").alias("hi"), F.min("close").alias("lo"))
+    cells = [F.col("sym"), *[F.format_string("%.2f", c) for c in ("c", "c", "hi", "lo")]]
+    out = B.at_tolerance(readers.screener(at.select(F.concat(F.lit("X:"), "sym").alias("s"), F.array(*cells).alias("d"))))
+    day = rows.agg(F.max("d").alias("d")).crossJoin(F.broadcast(out))  # one row by construction
+    day = A.asof(day, src.benchmark_closes(spark, sf), [], "close", "spx_close")
+    day = day.select("d", "total", F.col("n_high").alias("count"), F.col("pct_high").alias("pct"), F.col("n_low").alias("atl_count"), F.col("pct_low").alias("atl_pct"), F.array_join("highs", ",").alias("tickers"), F.array_join("lows", ",").alias("atl_tickers"), "spx_close")
+    path = _store(spark, "highs")
+    K.upsert(day.withColumn("d", F.date_sub("d", 1)), path, ["d"])
+    for _ in range(2):  # a second run on the same day replaces the first
+        K.upsert(day, path, ["d"])
+    return K.current(spark, path)
+
+
+def factors_merged(spark, sf):
+    """Two zipped texts with free lines around their rows, unpacked, parsed and joined on the first one's days."""
+    three = src.market_bars(spark, sf).select("d", "open", "high", "low", "close")
+    other = _priority(spark, sf, "5-LOW")
+    folder = _store(spark, "zips")
+    _zip(_csv(three, "three", ",Mkt-RF,SMB,HML,RF"), folder)
+    _zip(_csv(other, "mom", ",Mom"), folder)
+    texts = readers.zipped_text(spark, f"{folder}/*/*.zip").select(F.regexp_extract("path", "name=([^/]+)/", 1).alias("name"), "text")
+    a = readers.factor_rows(texts.where("name = 'three'"), ["mkt_rf", "smb", "hml", "rf"]).drop("name")
+    b = readers.factor_rows(texts.where("name = 'mom'"), ["mom"])
+    return T.merged_factors(a, b)
+
+
+def _csv(rows: DataFrame, name: str, header: str) -> DataFrame:
+    """(name, text): a line for each day behind free lines and a header, free lines after them."""
+    numbers = [F.format_string("%.2f", c) for c in rows.columns if c != "d"]
+    lines = rows.agg(F.array_sort(F.collect_list(F.concat_ws(",", F.date_format("d", "yyyyMMdd"), *numbers))).alias("x"))
+    text = F.concat(F.lit(f"Made from the tables\n\n{header}\n"), F.array_join("x", "\n"), F.lit("\n\nCopyright of nobody\n"))
+    return lines.select(F.lit(name).alias("name"), text.alias("text"))
+
+
+def _zip(texts: DataFrame, folder: str) -> None:
+    """Writes each text, one of a few, as a zip file below folder/name=..., through the file system that Spark uses."""
+    import io
+    import zipfile
+
+    spark = texts.sparkSession
+    for name, text in texts.collect():
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("inner.csv", text)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/name={name}/{name}.zip")
+        out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+        out.write(bytearray(data.getvalue()))
+        out.close()
+
+
+def _passes(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Symbols asked for, and two passes of documents: the first fails for some of them in three ways, the second for one of these."""
+    docs = _priority_docs(spark, sf, {"4. close": F.format_string("%.2f", "close")}, "Time Series (Daily)")
+    k = F.substring("sym", 1, 1)
+    note = F.lit('{"Note": "call frequency"}')
+    first = docs.select("sym", F.when(k == "2", note).when(k == "3", F.lit(None)).when(k == "4", F.lit('{"Error Message": "invalid"}')).otherwise(F.col("doc")).alias("doc"))
+    second = docs.where(k.isin("2", "3", "4")).select("sym", F.when(k == "4", F.lit('{"Error Message": "invalid"}')).otherwise(F.col("doc")).alias("doc"))
+    return docs.select("sym"), first, second
+
+
+def ingest_health(spark, sf):
+    """Counts and messages after the first pass and after the retry."""
+    asked, first, second = _passes(spark, sf)
+    one = readers.health(asked, first).select(F.lit(1).alias("pass"), "*")
+    return one.unionByName(readers.health(asked, readers.retried(first, second)).select(F.lit(2).alias("pass"), "*"))
+
+
+def quarantine(spark, sf):
+    """The answers of the first pass that carry an error, or nothing, instead of data."""
+    return readers.parted(_passes(spark, sf)[1])[1]
+
+
+def retried_closes(spark, sf):
+    """The closes of both passes, what the first one lacks filled from the second."""
+    _, first, second = _passes(spark, sf)
+    return readers.daily_closes(readers.retried(first, second), "Time Series (Daily)", "4. close", 2)
+
+
+# payloads
+def sector_payload(spark, sf):
+    """The benchmark first, then each sector: returns, and for sectors those relative to it."""
+    bench = R.horizon_returns(src.benchmark_closes(spark, sf).select(F.lit("all").alias("sym"), "d", "close"))
+    rows = R.relative(R.horizon_returns(src.sector_closes(spark, sf)), bench)
+    first = bench.select(F.lit(0).alias("ord"), "sym", "d", rounded("close", 2).alias("close"), *[rounded(k, 2).alias(k) for k in R.HORIZONS], *[F.lit(None).cast("double").alias(f"rel_{k}") for k in R.HORIZONS])
+    rest = rows.select(F.row_number().over(Window.orderBy("sym")).alias("ord"), "sym", "d", rounded("close", 2).alias("close"), *R.HORIZONS, *[f"rel_{k}" for k in R.HORIZONS])
+    return first.unionByName(rest)
+
+
+def country_histories(spark, sf):
+    """The last 2,600 closes of each region and style."""
+    rows = src.region_closes(spark, sf)
+    return W.tail(rows, 2600, ["type", "sym"]).select("type", "sym", "d", rounded("close", 2).alias("close"))
+
+
+def ticker_tape(spark, sf):
+    """The whole tape in order: indexes with their proxies, a rate, a commodity's newest reading, stocks; items without a value fall out."""
+    q = T.latest_change(src.symbol_closes(spark, sf), ["sym"]).select("sym", F.col("value").alias("price"), "change_percent")
+    last = F.substring("sym", -1, 1)
+    labels = q.where(F.substring("sym", -2, 1) == "1").select("sym", F.concat(F.lit("index "), "sym").alias("label"), F.concat(F.substring("sym", 1, 7), F.lit("1")).alias("proxy_sym"), F.concat(F.lit("proxy "), "sym").alias("proxy_label"))
+    indexes = T.with_proxy(labels, q.where(last.isin("1", "2")), q)
+    rate = src.benchmark_closes(spark, sf).agg(F.max_by("close", "d").alias("x")).select(F.lit("rate").alias("label"), rounded("x", 2).alias("value"), F.lit(True).alias("is_rate"))
+    two = newest_readings(spark, sf).where("name = '1-URGENT'")
+    commodity = two.select(F.lit("commodity").alias("label"), rounded("value", 2).alias("value"), rounded(pct_change("value", "previous"), 2).alias("change_percent"))
+    stocks = q.select(F.col("sym").alias("label"), rounded("price", 2).alias("value"), "change_percent")
+    return T.tape(indexes, rate, commodity, stocks).where("value is not null")
+
+
+def component_payload(spark, sf):
+    """The components as JSON objects, by their place in the declared order."""
+    rows = factor_rows(spark, sf)
+    calc = F.struct(F.col("calc_window").alias("window"), "period_label", "invert", F.col("calc_value").alias("value"), "ma", "ratio", "ratio_percentile")
+    body = F.to_json(F.struct("id", "value", "percentile", "score", "weight", F.when(F.col("calc_window").isNotNull(), calc).alias("calc")), {"ignoreNullFields": "false"})
+    return rows.select("ord", "id", body.alias("body"))
+
+
+# streams: run over the events until all are read
+def _streamed(spark, sf, name: str, build) -> DataFrame:
+    root = _store(spark, name)
+    query = build(streams.events(spark, f"{sf}/events.parquet", 1000), root)
+    query.awaitTermination()
+    return root
+
+
+def stream_day_counts(spark, sf):
+    """Events by day and kind in update mode, each batch replacing the days that it has."""
+
+    def build(stream, root):
+        counts = stream.groupBy(F.to_date("ts").alias("d"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+        keep = lambda df, _: K.upsert(df, f"{root}/days", ["d", "event_type"])
+        return counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+
+    return K.current(spark, f"{_streamed(spark, sf, 'stream', build)}/days")
+
+
+def stream_last_event(spark, sf):
+    """The last event of each user, kept as a snapshot."""
+    build = lambda stream, root: streams.keep_last(stream.select("user_id", "event_id", "event_type", "value"), f"{root}/last", ["user_id"], "event_id", f"{root}/checkpoint")
+    return K.current(spark, f"{_streamed(spark, sf, 'stream', build)}/last")
+
+
+def stream_daily_snapshot(spark, sf):
+    """A snapshot of each day, the same day's last one holding: events of a day in order of their ids."""
+
+    def build(stream, root):
+        days = stream.select(F.to_date("ts").alias("d"), "event_id", "value")
+        return streams.keep_last(days, f"{root}/days", ["d"], "event_id", f"{root}/checkpoint")
+
+    return K.current(spark, f"{_streamed(spark, sf, 'stream', build)}/days")
+
+
+# labels and parameters
+def labels_and_parameters(spark, sf):
+    """The New York day and label of each event's time, read as UTC; its value as a signed percentage; its id's end as a parameter."""
+    e = src.table(spark, sf, "events")
+    ts = F.col("ts").cast("timestamp")
+    days = F.substring(F.col("event_id").cast("string"), -2, 2)
+    return e.select("event_id", new_york_day(ts).alias("day"), new_york_label(ts).alias("label"), signed_percent("value").alias("change"), whole_number(days, 14, 1).alias("days"), parsed(F.concat("event_type", days)).alias("none"))
+
+
 def symbol_validation(spark, sf):
     s = F.concat(F.lit("  "), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))), F.when(F.col("p_size") % 2 == 0, F.lit(" ")).otherwise(F.lit("!")))
     rows = src.table(spark, sf, "part").select("p_partkey", symbol(s).alias("sym"))
@@ -421,12 +701,14 @@ def js_rounding(spark, sf):
 def queries() -> dict:
     fs = (
         relative_score, percentile_rank, trailing_ma, ratio_to_ma, momentum_vs_ma90, true_range, atr_percent, realized_vol, vol_risk_premium, history_tail, rebase_100, running_high_low,
-        asof_left, asof_by_key, asof_ratio_rebased, scalar_asof, manual_scores, factor_components, composite_live, composite_history, component_histories,
-        name_flags, breadth_internals, advance_decline_line, new_high_low, pct_above_sma, ath_summary, ath_tolerance, ath_tolerance_default,
-        sector_returns, relative_returns, country_returns, range_changes, range_distribution, range_distribution_nested, day_distribution,
+        asof_left, asof_by_key, asof_ratio_rebased, scalar_asof, manual_scores, factor_components, factor_histories, composite_live, composite_degraded, composite_history, component_histories, component_payload,
+        name_flags, breadth_internals, advance_decline_line, new_high_low, pct_above_sma, ath_summary, ath_tolerance, ath_tolerance_default, ath_snapshot,
+        sector_returns, relative_returns, country_returns, range_changes, range_distribution, range_distribution_nested, day_distribution, range_summary, range_change_list, day_summary, rejected_quotes,
         period_returns, heat_cells, scorecard_pivot, scorecard_newest_years, scorecard_newest, leaderboard_nulls_last, heat_intensity, rebased_chart, rebased_chart_ytd,
-        factor_left_join, missing_anti_join, proxy_fallback, quote_union, usage_report, latest_vs_previous, coverage_share,
-        snapshot_upsert, key_merge, config_upsert_delete, counter_trim, bars_projection, bars_full, symbol_validation, csv_preamble_parse, json_closes, month_overflow, js_rounding,
+        factor_left_join, missing_anti_join, proxy_fallback, quote_union, ticker_tape, usage_report, latest_vs_previous, coverage_share, sector_payload, country_histories,
+        snapshot_upsert, key_merge, config_upsert_delete, config_changes, counter_trim, bars_projection, bars_full, symbol_validation, csv_preamble_parse, json_closes, month_overflow, js_rounding,
+        index_bars_read, point_quotes_read, put_call_window, newest_readings, factors_merged, ingest_health, quarantine, retried_closes,
+        stream_day_counts, stream_last_event, stream_daily_snapshot, labels_and_parameters,
     )
     out = {f.__name__: f for f in fs}
     return out | {f"resample_{c}": _resample(c) for c in ("month", "quarter", "year")}

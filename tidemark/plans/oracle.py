@@ -29,7 +29,8 @@ scored AS (SELECT *, CASE WHEN invert THEN """ + r("100 - pct", 1) + " ELSE pct
 PRICE_SERIES = "series AS (SELECT 'market' AS id, d, close AS y FROM bars UNION ALL SELECT sym, d, close FROM sector)"
 PRICE_SPECS = "specs AS (SELECT * FROM (VALUES ('market', 10, true, 50), ('1-URGENT', 11, false, 50), ('2-HIGH', 12, false, 50), ('3-MEDIUM', 13, false, 50), ('4-NOT SPECIFIED', 14, false, 50), ('5-LOW', 15, false, 50)) AS t(id, weight, invert, win))"
 MANUAL = "manual AS (SELECT id, DATE '1970-01-01' + ord AS d, y FROM (VALUES " + ", ".join(f"('{i}', {k}, {float(v)}::DOUBLE)" for i, _, _, _, points in fixed.MANUAL.values() for k, (_, v) in enumerate(points)) + ") AS t(id, ord, y))"
-FACTOR_SPECS = "specs AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', {w}, {str(inv).lower()}, {n}, {str(c).lower()})" for i, (_, w, inv, n, c) in fixed.FACTORS.items()) + ") AS t(id, weight, invert, win, charted))"
+_SPECS = [(i, k, w, inv, n, charted, shown or "NULL", fixed.PERIODS.get(i, "day"), i in fixed.PERIODS) for k, (i, (w, inv, n, charted, shown)) in enumerate(fixed.FACTORS.items())]
+FACTOR_SPECS = "specs AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', {k}, {w}, {inv}, {n}, {c}, {shown}::INTEGER, '{label}', {exact})" for i, k, w, inv, n, c, shown, label, exact in _SPECS) + ") AS t(id, ord, weight, invert, win, charted, shown, period_label, exact))"
 
 FLAGS = f"""flags0 AS (SELECT sym, d, close, row_number() OVER w AS rn, lag(close) OVER w AS prev, max(close) OVER (w ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS hi, min(close) OVER (w ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS lo, avg(close) OVER (w ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS sma,
 max(close) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top, min(close) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS bottom FROM sym WINDOW w AS ({_W})),
@@ -37,7 +38,7 @@ flags AS (SELECT sym, d, close > prev AS up, close >= hi AS new_high, close <= l
 
 
 def _share(k: str, n: str) -> str:
-    return f"CASE WHEN {n} > 0 THEN {r(f'{k}::DOUBLE / {n} * 100', 1)} END"
+    return f"CASE WHEN {n} > 0 THEN floor({k}::DOUBLE / {n} * 1000 + 0.5) / 10.0 END"
 
 
 DAYS = f"""days0 AS (SELECT d, count(*) FILTER (WHERE up) AS advances, count(*) FILTER (WHERE NOT up) AS declines, count(*) FILTER (WHERE new_high) AS new_highs, count(*) FILTER (WHERE new_low) AS new_lows, count(*) FILTER (WHERE above_sma) AS above, count(above_sma) AS covered, count(*) FILTER (WHERE at_high) AS at_highs, count(*) FILTER (WHERE at_low) AS at_lows, count(*) AS n FROM flags GROUP BY d),
@@ -52,10 +53,13 @@ ERRORS = "errs AS (SELECT ts::DATE AS d, count(*) FILTER (WHERE event_type = 'er
 FACTOR_SERIES = f"""{FLAGS}, {DAYS}, {TR}, {ATR}, {CREDIT}, {ERRORS}, {MANUAL},
 series AS (SELECT 'breadthadline' AS id, d, ad_line::DOUBLE AS y FROM days UNION ALL SELECT 'breadthhilo', d, (new_highs - new_lows)::DOUBLE FROM days UNION ALL SELECT 'breadthpct200', d, pct_above_sma FROM days WHERE pct_above_sma IS NOT NULL
 UNION ALL SELECT 'credit', d, y FROM credit UNION ALL SELECT 'vix', d, close FROM sector WHERE sym = '3-MEDIUM' UNION ALL SELECT 'realizedvol', d, y FROM atr WHERE rn >= 14 UNION ALL SELECT 'momentum', d, close FROM bars UNION ALL SELECT 'putcall', d, y FROM errs UNION ALL SELECT * FROM manual)"""
-COMPONENTS = f"""last_ AS (SELECT id, arg_max(y, d) AS value FROM series GROUP BY id),
-ranks AS (SELECT s.id, l.value, {r('100.0 * count(*) FILTER (WHERE s.y <= l.value) / count(*)', 0)} AS percentile FROM series s JOIN last_ l ON s.id = l.id GROUP BY s.id, l.value),
+COMPONENTS = f"""last_ AS (SELECT id, arg_max(y, d) AS y, count(*) AS n FROM series GROUP BY id),
+ranks AS (SELECT s.id, l.y, {r('100.0 * count(*) FILTER (WHERE s.y <= l.y) / count(*)', 0)} AS percentile FROM series s JOIN last_ l ON s.id = l.id GROUP BY s.id, l.y),
+means AS (SELECT id, sum(y::DECIMAL(30,8))::DOUBLE / 90 AS m FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d DESC) AS k FROM series) WHERE k <= 90 GROUP BY id HAVING count(*) = 90),
 newest AS (SELECT id, arg_max(ma, d) AS ma, arg_max(ratio, d) AS ratio, arg_max(pct, d) AS pct, arg_max(score, d) AS score FROM scored GROUP BY id),
-components AS (SELECT k.id, {r('k.value', 2)} AS value, k.percentile, coalesce(n.score, 50.0) AS score, p.weight, {r('n.ma', 3)} AS ma, {r('n.ratio', 4)} AS ratio, n.pct AS ratio_percentile FROM ranks k JOIN specs p ON k.id = p.id LEFT JOIN newest n ON k.id = n.id)"""
+components AS (SELECT p.ord, k.id, CASE WHEN p.shown = 90 AND m.m IS NOT NULL THEN {r('(k.y / m.m - 1) * 100', 2)} WHEN p.exact THEN k.y ELSE {r('k.y', 2)} END AS value, k.percentile, coalesce(n.score, 50.0) AS score, p.weight,
+CASE WHEN n.id IS NOT NULL THEN p.win END AS calc_window, CASE WHEN n.id IS NOT NULL THEN p.period_label END AS period_label, CASE WHEN n.id IS NOT NULL THEN p.invert END AS invert, CASE WHEN n.id IS NOT NULL THEN {r('k.y', 3)} END AS calc_value,
+{r('n.ma', 3)} AS ma, {r('n.ratio', 4)} AS ratio, n.pct AS ratio_percentile FROM ranks k JOIN specs p ON k.id = p.id LEFT JOIN newest n ON k.id = n.id LEFT JOIN means m ON k.id = m.id)"""
 
 _BEFORE = lambda d, u: f"(date_trunc('{u}', {d})::DATE - 1)"
 
@@ -75,7 +79,7 @@ def _horizons(source: str, where: str = "true") -> str:
 KEYS = ("d1", "w1", "mtd", "m1", "qtd", "m3", "m6", "ytd", "y1")
 _TARGETS = {"MTD": _BEFORE("top", "month"), "QTD": _BEFORE("top", "quarter"), "YTD": _BEFORE("top", "year"), "1Y": months_back("top", 12), "3Y": months_back("top", 36), "5Y": months_back("top", 60)}
 RANGES = f"""bases AS (SELECT sym, arg_max(close, d) AS close, max(close) FILTER (WHERE back = 6) AS "5D", {', '.join(f'arg_max(close, d) FILTER (WHERE d <= {t}) AS "{k}"' for k, t in _TARGETS.items())} FROM (SELECT *, (SELECT max(d) FROM sym) AS top, row_number() OVER (PARTITION BY sym ORDER BY d DESC) AS back FROM sym) GROUP BY sym),
-ranges AS (SELECT range_key, sym, {r("CASE range_key WHEN '3Y' THEN (pow(close / base, 1.0 / 3) - 1) * 100 WHEN '5Y' THEN (pow(close / base, 1.0 / 5) - 1) * 100 ELSE (close / base - 1) * 100 END", 2)} AS pct FROM (UNPIVOT bases ON "5D", MTD, QTD, YTD, "1Y", "3Y", "5Y" INTO NAME range_key VALUE base) WHERE base > 0)"""
+ranges AS (SELECT range_key, sym, {r("CASE range_key WHEN '3Y' THEN (pow(close / base, 1.0 / 3) - 1) * 100 WHEN '5Y' THEN (pow(close / base, 1.0 / 5) - 1) * 100 ELSE (close / base - 1) * 100 END", 2)} AS pct FROM (UNPIVOT bases ON "5D", MTD, QTD, YTD, "1Y", "3Y", "5Y" INTO NAME range_key VALUE base) WHERE base > 0 AND NOT (range_key IN ('3Y', '5Y') AND close <= 0))"""
 DAY = f"quotes AS ({QUOTES}), day_ AS (SELECT '1D' AS range_key, sym, {r('(price / prev_close - 1) * 100', 2)} AS pct FROM quotes WHERE price IS NOT NULL AND prev_close IS NOT NULL AND prev_close != 0)"
 DIST = lambda t: f"SELECT range_key, count(*) AS n, {r('median(pct)', 2)} AS median, {r('sum(pct::DECIMAL(18,2))::DOUBLE / count(*)', 2)} AS mean, count(*) FILTER (WHERE pct > 0) AS up, count(*) FILTER (WHERE pct < 0) AS down, count(*) FILTER (WHERE pct = 0) AS unchanged FROM {t} GROUP BY range_key"
 LATEST = lambda t: f"SELECT sym, arg_max(close, d) AS value, {r('(arg_max(close, d) - arg_min(close, d)) / arg_min(close, d) * 100', 2)} AS change_percent, count(*) AS k FROM (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY d DESC) AS rn FROM {t}) WHERE rn <= 2 GROUP BY sym"
@@ -92,7 +96,11 @@ def _returns(kind: str, cadence: str) -> str:
 
 _BOARD = f"board AS (SELECT sym, {', '.join(f'{r(k, 2)} AS {k}' for k in ('d1', 'm1', 'y1'))} FROM {_horizons('sector')})"
 _HEAT = lambda k: r(f"0.12 + 0.38 * least(1.0, abs({k}) / greatest(0.01, coalesce(max(abs({k})) OVER (), 0.0)))", 4)
-_CHART = lambda where: f"SELECT sym, d, {r('close / first_value(close) OVER (PARTITION BY sym ORDER BY d) * 100', 2)} AS y FROM sector WHERE d IN (SELECT d FROM bench WHERE {where})"
+_CHART = lambda where: f"""cal AS (SELECT DISTINCT d FROM bench WHERE {where}), every_ AS (SELECT sym, d, close FROM sector UNION ALL SELECT 'benchmark', d, close FROM bench),
+names AS (SELECT 0 AS ord, 'benchmark' AS sym UNION ALL SELECT row_number() OVER (ORDER BY sym)::INTEGER, sym FROM (SELECT DISTINCT sym FROM sector)),
+grid AS (SELECT n.ord, n.sym, c.d, e.close FROM cal c CROSS JOIN names n LEFT JOIN every_ e ON e.sym = n.sym AND e.d = c.d),
+base AS (SELECT sym, arg_min(close, d) FILTER (WHERE close IS NOT NULL) AS b FROM grid GROUP BY sym)
+SELECT ord, grid.sym, d, {r('close / b * 100', 2)} AS y FROM grid JOIN base ON grid.sym = base.sym"""
 _END = "(SELECT max(d) FROM bench)"
 
 
@@ -117,7 +125,7 @@ def oracle_sql() -> dict[str, str]:
         "manual_scores": f", {MANUAL}, series AS (SELECT * FROM manual), {FACTOR_SPECS}, {SCORED} SELECT id, d, {r('ma', 3)} AS ma, {r('ratio', 4)} AS ratio, pct, score FROM scored",
         "factor_components": f", {FACTOR_SERIES}, {FACTOR_SPECS}, {SCORED}, {COMPONENTS} SELECT * FROM components",
         "composite_live": f", {FACTOR_SERIES}, {FACTOR_SPECS}, {SCORED}, {COMPONENTS} SELECT {r('sum(score * weight) / sum(weight)', 0)} AS score, sum(weight)::BIGINT AS weight_seen, count(*) AS n_components FROM components",
-        "composite_history": f", {FACTOR_SERIES}, {FACTOR_SPECS}, {SCORED}, by_day AS (SELECT s.d, {r('sum(s.score::DECIMAL(18,1) * s.weight)::DOUBLE / sum(s.weight)', 1)} AS score, sum(s.weight) AS w FROM scored s JOIN specs p ON s.id = p.id AND p.charted GROUP BY s.d), full_ AS (SELECT d, score FROM by_day WHERE w = (SELECT sum(weight) FROM (SELECT DISTINCT s.id, s.weight FROM scored s JOIN specs p ON s.id = p.id AND p.charted)) ORDER BY d DESC LIMIT 504) SELECT f.d, f.score, b.close FROM full_ f ASOF LEFT JOIN bars b ON f.d >= b.d",
+        "composite_history": f", {FACTOR_SERIES}, {FACTOR_SPECS}, {SCORED}, by_day AS (SELECT s.d, {r('sum(s.score::DECIMAL(18,1) * s.weight)::DOUBLE / sum(s.weight)', 0)} AS score, sum(s.weight) AS w FROM scored s JOIN specs p ON s.id = p.id AND p.charted GROUP BY s.d), full_ AS (SELECT d, score FROM by_day WHERE w = (SELECT sum(weight) FROM specs WHERE charted AND id IN (SELECT id FROM series)) ORDER BY d DESC LIMIT 504) SELECT f.d, f.score, b.close FROM full_ f ASOF LEFT JOIN bars b ON f.d >= b.d",
         "name_flags": f", {FLAGS} SELECT * FROM flags",
         "breadth_internals": f", {FLAGS}, {DAYS} SELECT days.*, bench.close AS benchmark_close FROM days LEFT JOIN bench ON days.d = bench.d",
         "advance_decline_line": f", {FLAGS}, {DAYS} SELECT d, ad_line FROM days",
@@ -138,8 +146,8 @@ def oracle_sql() -> dict[str, str]:
         "scorecard_newest_years": f", x AS ({_returns('region', 'year')}), shown AS (SELECT sym, period, {r('ret', 2)} AS ret FROM x WHERE period IN (SELECT DISTINCT period FROM x ORDER BY period DESC LIMIT 8)) SELECT * FROM (PIVOT shown ON period USING max(ret) GROUP BY sym)",
         "leaderboard_nulls_last": f", {_BOARD} SELECT row_number() OVER (ORDER BY y1 DESC NULLS LAST, sym)::INTEGER AS place, sym, d1, m1, y1, {', '.join(f'{_HEAT(k)} AS heat_{k}' for k in ('d1', 'm1', 'y1'))} FROM board",
         "heat_intensity": f", {_BOARD} SELECT sym, {_HEAT('d1')} AS heat_d1, {_HEAT('y1')} AS heat_y1 FROM board",
-        "rebased_chart": f" {_CHART(f'd >= {_END} - 365')}",
-        "rebased_chart_ytd": f" {_CHART(f'd >= date_trunc({chr(39)}year{chr(39)}, {_END})')}",
+        "rebased_chart": f", {_CHART(f'd >= {_END} - 365')}",
+        "rebased_chart_ytd": f", {_CHART(f'd >= date_trunc({chr(39)}year{chr(39)}, {_END})')}",
         "factor_left_join": f" SELECT b.d, {r('b.close', 2)} AS mkt, {r('s.close', 2)} AS mom FROM bench b LEFT JOIN sector s ON b.d = s.d AND s.sym = '5-LOW'",
         "missing_anti_join": " SELECT c_custkey AS k FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 450000)",
         "proxy_fallback": f", q AS ({LATEST('sym')}), l AS (SELECT sym, left(sym, 7) || '1' AS proxy_sym FROM q), x AS (SELECT l.sym, i.value AS iv, i.change_percent AS ic, p.value AS pv, p.change_percent AS pc FROM l LEFT JOIN (SELECT * FROM q WHERE right(sym, 1) IN ('1', '2')) i ON l.sym = i.sym LEFT JOIN q p ON l.proxy_sym = p.sym) SELECT CASE WHEN iv IS NOT NULL THEN 'index ' || sym ELSE 'proxy ' || sym END AS label, {r('coalesce(iv, pv)', 2)} AS value, {r('CASE WHEN iv IS NOT NULL THEN ic ELSE pc END', 2)} AS change_percent, false AS is_rate FROM x WHERE coalesce(iv, pv) IS NOT NULL",
@@ -159,5 +167,35 @@ def oracle_sql() -> dict[str, str]:
         "month_overflow": f" SELECT DISTINCT d, {', '.join(f'{months_back(chr(100), n)} AS m{n}' for n in (1, 3, 6, 12))}, {_BEFORE('d', 'month')} AS mtd, {_BEFORE('d', 'quarter')} AS qtd, {_BEFORE('d', 'year')} AS ytd, {_PERIOD['quarter']} AS quarter FROM bars",
         "js_rounding": f" SELECT c_custkey, {r('trunc(c_acctbal * 100) / 1000', 1)} AS r1, {r('trunc(c_acctbal * 100) / 1000', 0)} AS r0, NULL::DOUBLE AS none FROM customer",
     }
+    live = f", {FACTOR_SERIES}, {FACTOR_SPECS}, {SCORED}, {COMPONENTS}"
+    tail = lambda t, by, n: f"(SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY d DESC) AS back FROM {t}) WHERE back <= {n}"
+    state = "CASE left(sym, 1) WHEN '2' THEN 'call frequency' WHEN '3' THEN 'no answer' WHEN '4' THEN 'invalid' END"
+    index_of = lambda k: f"(SELECT DISTINCT sym FROM sector {k})"
+    q |= {
+        "factor_histories": f", {FACTOR_SERIES} SELECT id, (row_number() OVER (PARTITION BY id ORDER BY d) - 1)::INTEGER AS place, d, {r('y', 3)} AS value FROM {tail('series', 'id', 504)}",
+        "composite_degraded": f"{live} SELECT {r('sum(score * weight) / sum(weight)', 0)} AS score, sum(weight)::BIGINT AS weight_seen, count(*) AS n_components, 'put/call: PATH_NOT_FOUND' AS warnings FROM components WHERE id != 'putcall'",
+        "component_histories": None,
+        "range_summary": f", {RANGES}, dist AS ({DIST('ranges')}) SELECT dist.*, (SELECT count(DISTINCT sym) FROM sym) AS total, range_key IN ('3Y', '5Y') AS annualized FROM dist",
+        "range_change_list": f", {RANGES} SELECT range_key, row_number() OVER (PARTITION BY range_key ORDER BY pct, sym)::INTEGER AS place, sym, pct FROM ranges",
+        "day_summary": f", {DAY}, dist AS ({DIST('day_')}) SELECT dist.*, (SELECT count(DISTINCT sym) FROM quotes) AS total, NULL::BOOLEAN AS annualized FROM dist",
+        "rejected_quotes": f", quotes AS ({QUOTES}), torn AS (SELECT sym, right(sym, 1) AS k, CASE WHEN right(sym, 1) != '1' THEN price END AS price, CASE right(sym, 1) WHEN '2' THEN NULL WHEN '3' THEN 0.0 ELSE prev_close END::DOUBLE AS prev_close FROM quotes) SELECT sym, price, prev_close, CASE WHEN price IS NULL THEN 'no price' WHEN prev_close IS NULL THEN 'no previous close' ELSE 'previous close 0' END AS reason FROM torn WHERE price IS NULL OR prev_close IS NULL OR prev_close = 0",
+        "config_changes": " SELECT n_name AS name, 'v' || n_nationkey AS params, 1::BIGINT AS saved_at, (CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey ELSE (SELECT max(n_nationkey) FROM nation WHERE n_nationkey % 2 = 0) + row_number() OVER (PARTITION BY n_nationkey % 2 ORDER BY n_nationkey) END)::INTEGER AS ord FROM nation WHERE n_nationkey % 4 != 1",
+        "index_bars_read": f" SELECT 'market' AS sym, d, {', '.join(f'{r(c, 2)} AS {c}' for c in ('open', 'high', 'low', 'close'))} FROM bars",
+        "point_quotes_read": f", quotes AS ({QUOTES}) SELECT sym, {r('price', 2)} AS price, {r('prev_close', 2)} AS prev_close, {r('(price / prev_close - 1) * 100', 4)} AS change_percent FROM quotes",
+        "put_call_window": f", {ERRORS} SELECT d, {r('y', 6)} AS y FROM (SELECT * FROM errs ORDER BY d DESC LIMIT 18) WHERE day(d) % 7 != 0",
+        "newest_readings": f", x AS (SELECT sym, {r('close', 2)} AS close, row_number() OVER (PARTITION BY sym ORDER BY d DESC) AS k FROM sector) SELECT sym AS name, max(close) FILTER (WHERE k = 2) AS value, max(close) FILTER (WHERE k = 3) AS previous FROM x GROUP BY sym",
+        "ath_snapshot": f", q AS (SELECT 'X:' || sym AS sym, {r('arg_max(close, d)', 2)} AS c, {r('max(close)', 2)} AS hi, {r('min(close)', 2)} AS lo FROM sym GROUP BY sym), t AS (SELECT *, c >= hi * (1 - 0.0005) AS top, c <= lo * (1 + 0.0005) AS bottom FROM q), day_ AS (SELECT max(d) AS d FROM sym), one AS (SELECT (SELECT d FROM day_) AS d, count(*) AS total, count(*) FILTER (WHERE top) AS count, {_share('count(*) FILTER (WHERE top)', 'count(*)')} AS pct, count(*) FILTER (WHERE bottom) AS atl_count, {_share('count(*) FILTER (WHERE bottom)', 'count(*)')} AS atl_pct, coalesce(string_agg(sym, ',' ORDER BY sym) FILTER (WHERE top), '') AS tickers, coalesce(string_agg(sym, ',' ORDER BY sym) FILTER (WHERE bottom), '') AS atl_tickers, (SELECT arg_max(close, d) FROM bench WHERE d <= (SELECT d FROM day_)) AS spx_close FROM t) SELECT * FROM one UNION ALL SELECT d - 1, total, count, pct, atl_count, atl_pct, tickers, atl_tickers, spx_close FROM one",
+        "factors_merged": f" SELECT b.d, {r('b.open', 2)} AS mkt_rf, {r('b.high', 2)} AS smb, {r('b.low', 2)} AS hml, {r('b.close', 2)} AS rf, {r('s.close', 2)} AS mom FROM bars b LEFT JOIN sector s ON b.d = s.d AND s.sym = '5-LOW'",
+        "ingest_health": f", a AS (SELECT sym, {state} AS why FROM {index_of('')}) SELECT 1 AS pass, count(*) AS total, count(*) FILTER (WHERE why IS NULL) AS fetched, count(why) AS failed, coalesce(string_agg(DISTINCT why, '; ' ORDER BY why), '') AS messages FROM a UNION ALL SELECT 2, count(*), count(*) FILTER (WHERE left(sym, 1) != '4'), count(*) FILTER (WHERE left(sym, 1) = '4'), 'invalid' FROM a",
+        "quarantine": f" SELECT sym, {state} AS message FROM {index_of('')} WHERE {state} IS NOT NULL",
+        "retried_closes": f" SELECT sym, d, {r('close', 2)} AS close FROM sector WHERE left(sym, 1) != '4'",
+        "sector_payload": f", al AS (SELECT 'all' AS sym, d, close FROM bench), b AS (SELECT * FROM {_horizons('al')}) SELECT 0 AS ord, sym, d, {r('close', 2)} AS close, {', '.join(f'{r(k, 2)} AS {k}' for k in KEYS)}, {', '.join(f'NULL::DOUBLE AS rel_{k}' for k in KEYS)} FROM b UNION ALL SELECT row_number() OVER (ORDER BY s.sym)::INTEGER, s.sym, s.d, {r('s.close', 2)}, {', '.join(r(f's.{k}', 2) for k in KEYS)}, {', '.join(r(f's.{k} - b.{k}', 2) for k in KEYS)} FROM {_horizons('sector')} s, b",
+        "country_histories": f" SELECT type, sym, d, {r('close', 2)} AS close FROM {tail('region_', 'type, sym', 2600)}",
+        "ticker_tape": f", q AS ({LATEST('sym')}), l AS (SELECT sym, left(sym, 7) || '1' AS proxy_sym FROM q WHERE substr(sym, length(sym) - 1, 1) = '1'), x AS (SELECT l.sym, i.value AS iv, i.change_percent AS ic, p.value AS pv, p.change_percent AS pc FROM l LEFT JOIN (SELECT * FROM q WHERE right(sym, 1) IN ('1', '2')) i ON l.sym = i.sym LEFT JOIN q p ON l.proxy_sym = p.sym), c AS (SELECT {r('close', 2)} AS close, row_number() OVER (ORDER BY d DESC) AS k FROM sector WHERE sym = '1-URGENT') SELECT CASE WHEN iv IS NOT NULL THEN 'index ' || sym ELSE 'proxy ' || sym END AS label, {r('coalesce(iv, pv)', 2)} AS value, {r('CASE WHEN iv IS NOT NULL THEN ic ELSE pc END', 2)} AS change_percent, false AS is_rate, 0 AS part FROM x WHERE coalesce(iv, pv) IS NOT NULL UNION ALL SELECT 'rate', {r('(SELECT arg_max(close, d) FROM bench)', 2)}, NULL, true, 1 UNION ALL SELECT 'commodity', max(close) FILTER (WHERE k = 2), {r('(max(close) FILTER (WHERE k = 2) / max(close) FILTER (WHERE k = 3) - 1) * 100', 2)}, false, 2 FROM c UNION ALL SELECT sym, {r('value', 2)}, change_percent, false, 3 FROM q",
+        "stream_day_counts": " SELECT ts::DATE AS d, event_type, count(*) AS n FROM events GROUP BY ALL",
+        "stream_last_event": " SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
+        "stream_daily_snapshot": " SELECT ts::DATE AS d, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1",
+    }
+    q = {k: x for k, x in q.items() if x is not None}
     q |= {f"resample_{c}": f" SELECT * FROM ({_resampled('region', c)})" for c in _PERIOD}
     return {name: HEAD + sql for name, sql in q.items()}

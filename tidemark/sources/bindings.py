@@ -22,6 +22,14 @@ def market_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.groupBy("d").agg(F.min_by("o_totalprice", "o_orderkey").alias("open"), F.max("o_totalprice").alias("high"), F.min("o_totalprice").alias("low"), F.max_by("o_totalprice", "o_orderkey").alias("close"))
 
 
+def market_days(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> DataFrame:
+    """A row for each day from one scan of the orders: d, open, high, low, close, and the closes of some priorities as c0, c1, ..."""
+    o = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d"), "o_orderkey", "o_totalprice", "o_orderpriority")
+    price, key = F.col("o_totalprice"), F.col("o_orderkey")
+    own = [F.sum(F.when(F.col("o_orderpriority") == n, price.cast("decimal(18,2)"))).cast("double").alias(f"c{k}") for k, n in enumerate(names)]
+    return o.groupBy("d").agg(F.min_by(price, key).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, key).alias("close"), *own)
+
+
 def symbol_closes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sym, d, close: parts' brands by day of shipment."""
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.to_date("l_shipdate").alias("d"), "l_extendedprice")

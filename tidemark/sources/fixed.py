@@ -10,20 +10,25 @@ MANUAL = {
     "fundFlows": ("fundflows", 10, False, 4, [("2026-06-24", -16482), ("2026-07-01", -29914), ("2026-07-08", -9664), ("2026-07-15", -18104), ("2026-07-22", -36490)]),
     "forwardPE": ("forwardpe", 10, False, 2, [("2026-06-30", 20.4), ("2026-07-17", 20.3), ("2026-07-24", 20.1)]),
 }
-#: id -> order, weight, inverted, window, whether it is in the composite's history.
+#: id -> weight, inverted, window, whether it is in the composite's history, rows of the mean its value is shown against; in the order
+#: in which components are listed.
 FACTORS = {
-    "breadthadline": (0, 6, False, 50, True),
-    "breadthhilo": (1, 6, False, 50, True),
-    "breadthpct200": (2, 6, False, 50, True),
-    "credit": (3, 18, False, 50, True),
-    "vix": (4, 7, True, 50, True),
-    "realizedvol": (5, 7, True, 50, True),
-    "momentum": (6, 10, False, 50, True),
-    "putcall": (7, 10, True, 10, False),
-    "margindebt": (8, 10, False, 6, False),
-    "fundflows": (9, 10, False, 4, False),
-    "forwardpe": (10, 10, False, 2, False),
+    "credit": (18, False, 50, True, None),
+    "breadthadline": (6, False, 50, True, None),
+    "breadthhilo": (6, False, 50, True, None),
+    "breadthpct200": (6, False, 50, True, None),
+    "putcall": (10, True, 10, False, None),
+    "momentum": (10, False, 50, True, 90),
+    "vix": (7, True, 50, True, None),
+    "realizedvol": (7, True, 50, True, None),
+    "margindebt": (10, False, 6, False, None),
+    "fundflows": (10, False, 4, False, None),
+    "forwardpe": (10, False, 2, False, None),
 }
+#: Lengths of windows, and of means shown, that the specifications name.
+WINDOWS, SHOWN = (2, 4, 6, 10, 50), (90,)
+PERIODS = {"margindebt": "month", "fundflows": "week", "forwardpe": "reading"}
+BENCHMARK = ("SPY", "S&P 500")
 SECTORS = [("XLK", "Technology"), ("XLF", "Financials"), ("XLV", "Health Care"), ("XLE", "Energy"), ("XLI", "Industrials"), ("XLY", "Consumer Discretionary"), ("XLP", "Consumer Staples"), ("XLU", "Utilities"), ("XLB", "Materials"), ("XLRE", "Real Estate"), ("XLC", "Communication Services")]
 REGIONS = [("SPY", "US", "region"), ("EWJ", "Japan", "region"), ("EWU", "UK", "region"), ("EWG", "Germany", "region"), ("EWQ", "France", "region"), ("EWN", "Netherlands", "region"), ("EWC", "Canada", "region"), ("EWA", "Australia", "region"), ("EFA", "Developed ex-US", "region"), ("IVE", "Value", "style"), ("IVW", "Growth", "style")]
 
@@ -38,7 +43,8 @@ def manual_specs(spark: SparkSession) -> DataFrame:
 
 
 def factor_specs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, *v) for i, v in FACTORS.items()], "id string, ord int, weight int, invert boolean, window int, charted boolean")
+    rows = [(i, k, *v, PERIODS.get(i, "day"), i in PERIODS) for k, (i, v) in enumerate(FACTORS.items())]
+    return spark.createDataFrame(rows, "id string, ord int, weight int, invert boolean, window int, charted boolean, shown int, period_label string, exact boolean")
 
 
 def sectors(spark: SparkSession) -> DataFrame:

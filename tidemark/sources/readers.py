@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.numbers import parsed, rounded
 
@@ -20,6 +21,27 @@ def feed_error(doc: Column) -> Column:
     return F.coalesce(*[F.get_json_object(doc, f"$['{k}']") for k in ("Error Message", "Note", "Information", "error")])
 
 
+def parted(docs: DataFrame, key: str = "sym") -> tuple[DataFrame, DataFrame]:
+    """Feed documents -> those with data, and (key, message) of those that carry an error or nothing instead."""
+    said = docs.withColumn("message__", F.when(F.col("doc").isNull(), F.lit("no answer")).otherwise(feed_error(F.col("doc"))))
+    return said.where("message__ is null").drop("message__"), said.where("message__ is not null").select(key, F.col("message__").alias("message"))
+
+
+def retried(first: DataFrame, second: DataFrame, key: str = "sym") -> DataFrame:
+    """The first pass's documents with data, and the second pass's for the keys that the first one lacks."""
+    good, _ = parted(first, key)
+    return good.unionByName(second.join(good.select(key), key, "left_anti").select(*good.columns))
+
+
+def health(requested: DataFrame, docs: DataFrame, key: str = "sym") -> DataFrame:
+    """One row: total (keys asked for), fetched (with data), failed, and the failures' messages (sorted, distinct)."""
+    good, bad = parted(docs, key)
+    state = requested.select(key).distinct().join(good.select(key, F.lit(True).alias("ok")).distinct(), key, "left").join(bad.groupBy(key).agg(F.max("message").alias("message")), key, "left")
+    ok = F.coalesce("ok", F.lit(False))
+    why = F.when(~ok, F.coalesce("message", F.lit("no answer")))
+    return state.agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("fetched"), F.count_if(~ok).alias("failed"), F.array_join(F.array_sort(F.collect_set(why)), "; ").alias("messages"))
+
+
 def daily_closes(docs: DataFrame, series: str, field: str, digits: int | None = None) -> DataFrame:
     """(sym, doc) -> (sym, d, close) from documents keyed by date. Rows without a number are left out."""
     days = F.from_json(F.get_json_object("doc", f"$['{series}']"), DAILY)
@@ -92,10 +114,9 @@ def factor_rows(texts: DataFrame, columns: list[str]) -> DataFrame:
     """(name, text) -> (name, d, columns): the header is the first line that begins with a comma and a name, data runs from there to
     the first line whose key isn't eight digits; blank lines count for nothing."""
     lines = texts.select("name", F.posexplode(F.split("text", "\r?\n")).alias("n", "line")).where("trim(line) != ''")
-    head = lines.where(F.col("line").rlike(r"^,\s*\S")).groupBy("name").agg(F.min("n").alias("head"))
-    body = lines.join(F.broadcast(head), "name").where("n > head")
-    stop = body.where(~F.trim(F.split("line", ",")[0]).rlike(r"^\d{8}$")).groupBy("name").agg(F.min("n").alias("stop"))
-    body = body.join(F.broadcast(stop), "name", "left").where("stop is null or n < stop")
+    own = Window.partitionBy("name")
+    body = lines.withColumn("head", F.min(F.when(F.col("line").rlike(r"^,\s*\S"), F.col("n"))).over(own)).where("n > head")
+    body = body.withColumn("stop", F.min(F.when(~F.trim(F.split("line", ",")[0]).rlike(r"^\d{8}$"), F.col("n"))).over(own)).where("stop is null or n < stop")
     cells = F.split("line", ",")
     return body.select("name", F.to_date(F.trim(cells[0]), "yyyyMMdd").alias("d"), *[parsed(F.try_element_at(cells, F.lit(k + 2))).alias(c) for k, c in enumerate(columns)])
 

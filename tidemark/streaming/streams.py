@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import snapshots
-from ..sources.readers import stored
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
 def events(spark: SparkSession, path: str, files_at_once: int = 1) -> DataFrame:
-    """A stream of event files. Event time has to be a TIMESTAMP, so local times are read as UTC (the session's zone)."""
-    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_at_once).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    """A stream of event files, from a folder or of one file. Event time has to be a TIMESTAMP, so local times are read as UTC (the
+    session's zone)."""
+    reader = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_at_once)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(p) and fs.getFileStatus(p).isFile():  # a stream watches folders
+        reader, path = reader.option("pathGlobFilter", p.getName()), p.getParent().toString()
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def daily_counts(stream: DataFrame, late: str = "1 day") -> DataFrame:
@@ -28,14 +33,25 @@ def user_sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 day
     return s.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
-def keep_last(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Keeps in `path` the last row of each key, by `order`; a replayed batch changes nothing. One query a checkpoint guards overlap."""
+#: Parts of a snapshot that `keep_last` keeps; a batch rewrites those that its keys fall into.
+PARTS = 64
+
+
+def keep_last(stream: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, trigger: dict | None = None, parts: int = PARTS) -> StreamingQuery:
+    """Keeps in the snapshot `path` the last row of each key, by `order`; of equal ones the largest by the other columns, in their order,
+    and a null order is the least. A replayed batch changes nothing, and a crash leaves the snapshot of the batch before. Keys are
+    dealt over `parts` parts, of which a batch reads and writes those it has keys for. One query a checkpoint guards overlap."""
 
     def batch(df: DataFrame, _: int) -> None:
-        old = stored(df.sparkSession, path)
-        rows = df if old is None else old.unionByName(df)
-        others = [c for c in df.columns if c not in keys]
-        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), order).alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in others])
-        snapshots.replace(last, path)
+        df = df.withColumn("part__", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
+        touched = [f"part__={r[0]}" for r in df.select("part__").distinct().collect()]  # at most `parts`
+        if not touched:
+            return
+        old = snapshots.current(df.sparkSession, path, parts=touched)
+        if old is not None:
+            df = df.unionByName(old.withColumn("part__", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")))
+        others = [order, *[c for c in df.columns if c not in (*keys, order, "part__")]]
+        last = df.groupBy("part__", *keys).agg(F.max(F.struct(*others)).alias("r"))
+        snapshots.replace(last.select("part__", *keys, *[F.col(f"r.{c}").alias(c) for c in others]), path, by="part__")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
