@@ -33,7 +33,7 @@ from .near_dups import _mixed, word_hashes
 
 ORDER, BACKOFF = 3, 0.4
 #: Ranges of the hash that are counted one after the other.
-SLICES = 4
+SLICES = 5
 #: Entries of the table of common n-grams (1.6 MB); rows of the sample that names them; how often one has to occur there.
 FREQUENT, SAMPLE, LEAST = 100_000, 4_096, 4
 EXPLODED = "gram long, row long, at int"
