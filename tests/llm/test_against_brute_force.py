@@ -115,6 +115,58 @@ def test_random_runs_beyond_base_spans(spark):
     assert [r[1] for r in rows] == ["random:2:93,access:42:58", "assign:2:48"]
 
 
+def test_tails_are_those_of_the_laws(spark):
+    from tidemark.llm.secret_scan import _few, _many
+
+    poisson = lambda k, m: math.exp(-m) * m**k / math.factorial(k)
+    binomial = lambda k, n, p: math.comb(n, k) * p**k * (1 - p) ** (n - k)
+    rows = spark.createDataFrame([(float(x), m) for x in range(6) for m in (0.5, 2.0, 7.5, 30.0)], "x double, m double")
+    for r in rows.select("x", "m", _few(q.F.col("x"), q.F.col("m")).alias("p")).collect():
+        x = int(r["x"])
+        want = sum(poisson(k, r["m"]) for k in range(x)) + poisson(x, r["m"]) / 2 if x < r["m"] else 1.0
+        assert math.isclose(math.exp(r["p"]), want, rel_tol=1e-9)
+    rows = spark.createDataFrame([(float(x), float(n)) for n in (7, 12, 40, 64) for x in (0, 1, 5, 7)], "x double, n double")
+    for r in rows.select("x", "n", _many(q.F.col("x"), q.F.col("n"), 0.15).alias("p")).collect():
+        x, n = int(r["x"]), int(r["n"])
+        want = sum(binomial(k, n, 0.15) for k in range(x + 1, n + 1)) + binomial(x, n, 0.15) / 2 if x > 0.15 * n else 1.0
+        assert math.isclose(math.exp(r["p"]), want, rel_tol=1e-9)
+
+
+def test_planted_keys_in_whole_tables(spark, sf):
+    """Keys of no base kind, put into every 25th text of the whole table, are found, and little else."""
+    import random
+    import string
+
+    from tidemark.llm import secret_scan
+
+    rng = random.Random(7)
+    texts = [r["text"] or "" for r in rows_of(spark, sf)]
+    keys = {}
+    for k in range(0, len(texts), 25):
+        keys[k] = "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(40))
+        texts[k] = f"{texts[k][:200]} {keys[k]} {texts[k][200:]}"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = secret_scan.with_secrets(docs, battery="b").collect()
+    found = {(r["doc_id"], texts[r["doc_id"]][s["start"] : s["end"]]) for r in rows for s in r["secrets"] if s["rank"] == 3}
+    planted = set(keys.items())
+    assert len(found & planted) >= 0.9 * len(planted) and len(found - planted) <= 0.1 * len(planted) + 2
+    tried = {(r["doc_id"], s["start"], s["end"]) for r in rows for s in r["b"]}
+    assert {(r["doc_id"], s["start"], s["end"]) for r in rows for s in r["secrets"] if s["rank"] == 3} <= tried
+
+
+def test_offsets_in_a_text_of_many_runs(spark):
+    import random
+
+    from tidemark.llm import secret_scan
+
+    rng = random.Random(8)
+    text = " ".join("é" * (k % 3) + "".join(rng.choice("0123456789abcdef") for _ in range(32 + k % 5)) for k in range(6000))
+    df = spark.createDataFrame([(text,)], "text string")
+    (r,) = secret_scan.with_secrets(df, bounds={}).select("secrets", secret_scan.redacted(q.F.col("text"), q.F.col("secrets")).alias("t")).collect()
+    assert [(s["start"], s["end"]) for s in r["secrets"]] == [m.span() for m in re.finditer("[0-9a-f]{32,}", text)]
+    assert r["t"] == re.sub("[0-9a-f]{32,}", "[SECRET]", text)
+
+
 def test_lm_scores(spark, at):
     docs = rows_of(spark, at)
     words = [(d["doc_id"], (d["text"] or "").encode().lower().split()) for d in docs]
@@ -145,7 +197,6 @@ def tokens(name):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
 

@@ -1,23 +1,40 @@
 """Ids by words against the library's ids of whole texts."""
 
+import json
+
 import numpy as np
+import public_tokenizers
 import pyarrow.parquet as pq
+import pytest
+from tokenizers import Tokenizer
 
-from tidemark.llm.tokens import WordEncoder
+from tidemark.llm.tokens import ByteEncoder, Encoder, WordEncoder, encoder
 
-ODD = ["", "  ", "\t x y", "\x00 a", "word, x. é. É,", "don't's's", "<|endoftext|> a", "ΣΑΣ Σ", "é x́", "가 각", "a|b | c"]
+ODD = ["a<|endoftext|>b <|ENDOFTEXT|> <|startoftext|> <|endoftext|>", "<|EndOfText|>x", "<|endoftext", "", "  ", "\t x y", "\x00 a", "word, x. é. É,", "don't's's", "<|endoftext|> a", "ΣΑΣ Σ", "é x́", "가 각", "a|b | c"]
 #: Letters that lower-casing or normalizing makes more than letters, so the word-end count differs from the words' count.
 NOT_ONE = ["a İx b", "שׁ x", "İ"]
 
 
-def test_word_ids_are_those_of_whole_texts():
+@pytest.mark.parametrize("name, kind", [("word_bpe_49k.json", WordEncoder), ("byte_bpe_50k.json", ByteEncoder)])
+def test_ids_are_those_of_the_plain_call(name, kind):
     texts = [x or "" for x in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()]
-    coder = WordEncoder("word_bpe_49k.json")
+    coder, plain = encoder(name), Tokenizer.from_file(public_tokenizers.path(name))
+    assert type(coder) is kind
     for text in texts + ODD + NOT_ONE:
-        whole = coder.tokenizer.encode(text, add_special_tokens=False).ids
+        whole = plain.encode(text, add_special_tokens=False).ids
         assert coder.encode(text) == np.asarray(whole, "<u4").tobytes(), text[:50]
 
 
+def test_other_rules_are_left_to_the_library(tmp_path):
+    said = json.load(open(public_tokenizers.path("word_bpe_49k.json")))
+    said["normalizer"]["normalizers"].pop()  # no lower-casing
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(said))
+    coder = encoder(str(path))
+    assert type(coder) is Encoder
+    assert coder.encode("Some Words") == np.asarray(Tokenizer.from_file(str(path)).encode("Some Words", add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_a_full_cache_starts_anew(monkeypatch):
     coder = WordEncoder("word_bpe_49k.json")
     first = coder.encode("Some words, and more.")

@@ -6,8 +6,10 @@ them, as words; beside them stand its documents, their lengths and where each be
 vector operations and any document is found without reading the others. Blocks are rows of Parquet files, one file for each
 range of document ids, so Spark's commit protocol covers lost executors, on any store that Spark writes.
 
-Null or empty text: only the end id. Null document ids come first. Equal document ids: by text. An empty table gives no rows.
-Columns other than the two named are not read."""
+There are as many files as shuffle partitions, and more where that would make them larger than FILE_BYTES of text, so a task doesn't
+grow with the input. Null or empty text: only the end id. Null document ids come first. Equal (or null) document ids: by a hash of the
+text, then by text, so that they too are dealt over files. An empty table gives no rows. Columns other than the two named
+are not read."""
 
 from __future__ import annotations
 
@@ -20,10 +22,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .tokens import WordEncoder, encoder
+from .tokens import encoder
 
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BLOCK_IDS = 1 << 16
+#: Of text, at most about, for a file.
+FILE_BYTES = 128_000_000
 SCHEMA = "part int, block int, start_in_part long, n_ids long, doc_ids array<long>, lengths array<int>, starts array<int>, words binary"
 
 
@@ -74,7 +78,7 @@ def unpack_words(words: np.ndarray) -> np.ndarray:
 
 
 def _blocks(batches: Iterator[pd.DataFrame], name: str, end_id: int) -> Iterator[pd.DataFrame]:
-    coder, end, part = encoder(WordEncoder, name), np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+    coder, end, part = encoder(name), np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
     docs, pieces, size, block, done = [], [], 0, 0, 0
 
     def row() -> pd.DataFrame:
@@ -96,10 +100,13 @@ def _blocks(batches: Iterator[pd.DataFrame], name: str, end_id: int) -> Iterator
 
 
 def write_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int = 2, files: int | None = None) -> None:
-    """Encodes every whole text, ends it with `end_id` and writes the files. `files`: their number (shuffle partitions, if unset)."""
-    n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Encodes every whole text, ends it with `end_id` and writes the files. `files`: their number, if it is to be another."""
+    if not files:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
+        files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     rows = docs.select(F.col(doc_id).cast("string").alias("doc"), F.col(doc_id).cast("long").alias("k"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange(n, "k").sortWithinPartitions("k", "text").select("doc", "text")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    rows = rows.repartitionByRange(files, "k", "h").sortWithinPartitions("k", "h", "text").select("doc", "text")
     rows.mapInPandas(lambda it: _blocks(it, tokenizer, end_id), SCHEMA).write.option("compression", "none").parquet(path)
 
 

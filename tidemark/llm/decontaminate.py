@@ -7,7 +7,8 @@ Where the shift is 0, the windows that end with this block are compared word by
 occurrence is hit.
 
 Null or wordless texts have no words and no hits; null or wordless items have no windows. Equal items are found both. Items
-with a null id hit words and are not named. An empty benchmark hits nothing. More columns stay as they are."""
+with a null id hit words and are not named. An empty benchmark hits nothing. More columns stay as they are; one that has the
+output's name is replaced."""
 
 from __future__ import annotations
 
@@ -22,8 +23,9 @@ from .common import fresh, written
 
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 FOUND = "n_words long, n_hit long, items array<string>, hits array<struct<start:long,end:long>>"
-#: Characters of benchmark text sent to the executors at once; a larger benchmark is sought in several passes.
-PASS_CHARS = 32_000_000
+#: Characters of benchmark text sent to the executors at once; a larger benchmark is sought in several passes. The tables of so many
+#: were measured to take 190 MB in a Python worker.
+PASS_CHARS = 2_000_000
 
 
 def words(text: str | None) -> list[bytes]:

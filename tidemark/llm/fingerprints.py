@@ -1,12 +1,14 @@
 """Threshold-scaled sketches of documents, in DataFrame functions alone.
 
 A document's shingles are its distinct sequences of five words (a shorter text: the whole sequence; no words: none), words being
-what white space parts, in lower case. The sketch retains every shingle hash below a fixed fraction of the hash range, and,
-lest short texts keep none, at least the FLOOR smallest. `upto` says up to which hash a sketch is complete; two sketches are
-compared up to the lesser of theirs, so both the likeness (Jaccard) and the containment of a short text in a long one are
-unbiased, and the union of sketches is the sketch of the union.
+what white space parts, in lower case. The sketch retains every shingle hash below a fixed fraction of the hash range. Texts of
+fewer than about FLOOR / FRACTION shingles would keep too few for an estimate; their threshold is the (FLOOR + 1)-th smallest hash,
+which itself is left out. `upto` says up to which hash a sketch is complete; two sketches are compared up to the lesser of
+theirs. A threshold is in no sketch that it bounds, so both the likeness (Jaccard) and the containment of a short text in a long one
+are unbiased, and the union of sketches, up to the lesser bound, is a sketch of the union.
 
-Null text: no shingles. Two texts without words are alike (1.0); one with and one without are not (0.0). More columns stay."""
+Null text: no shingles. Two texts without words are alike (1.0); one with and one without are not (0.0). More columns stay; a column
+of the output's name is replaced."""
 
 from __future__ import annotations
 
@@ -21,6 +23,8 @@ from .common import fresh, ordered_bucket
 #: Of the hashes' range: one in 16.
 FRACTION = 1 / 16
 FLOOR = 64
+#: Rows of a bucket in `with_next`; beyond about 1e9 rows buckets get larger.
+BUCKET_ROWS = 1024
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -33,9 +37,9 @@ def sketched(df: DataFrame, text: str, sketch: str, words: int = 5) -> DataFrame
     n = F.size(w)
     shingles = F.transform(F.sequence(F.lit(1), n - (words - 1)), lambda i: F.xxhash64(*[F.element_at(w, i + j) for j in range(words)]))
     df = df.withColumn(h, F.when(n >= words, F.sort_array(F.array_distinct(shingles))).when(n > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn(k, F.greatest(F.lit(FLOOR), F.size(F.filter(h, lambda x: x < bound))))
-    kept = F.slice(h, F.lit(1), F.col(k))
-    upto = F.when(F.size(h) <= F.col(k), F.lit(_MOST)).otherwise(F.greatest(F.lit(bound - 1), F.element_at(h, F.col(k))))
+    df = df.withColumn(k, F.size(F.filter(h, lambda x: x < bound)))
+    kept = F.slice(h, F.lit(1), F.greatest(F.lit(FLOOR), F.col(k)))
+    upto = F.when(F.size(h) <= F.greatest(F.lit(FLOOR), F.col(k)), F.lit(_MOST)).when(F.col(k) >= FLOOR, F.lit(bound - 1)).otherwise(F.try_element_at(h, F.lit(FLOOR + 1)) - 1)
     return df.withColumn(sketch, F.struct(F.size(h).alias("n"), upto.alias("upto"), kept.alias("hashes"))).drop(w, h, k)
 
 
@@ -67,11 +71,11 @@ def with_next(df: DataFrame, key: str, columns: dict[str, str], tie: str, derive
 
     Rows are dealt by ordered buckets; each bucket also gets the first row of the next one, so a window within the bucket is
     enough. `derive` adds columns once rows are in their buckets, so they aren't shuffled. The first keys, which are sent to all
-    tasks, are as many as buckets: 65,536 at most. Null keys come first."""
+    tasks, are as many as buckets: a row for BUCKET_ROWS rows, and a million at most (about 50 MB). Null keys come first."""
     if df.isEmpty():
         return derive(df).select("*", *[F.col(c).alias(n) for c, n in columns.items()])
     bucket, guest, to, head = fresh(df, "bucket__", "guest__", "to__", "head__")
-    rows = df.withColumn(bucket, ordered_bucket(df, key))
+    rows = df.withColumn(bucket, ordered_bucket(df, key, BUCKET_ROWS, most=1 << 20))
     heads = rows.groupBy(bucket).agg(F.min(F.struct(F.col(key).isNotNull().alias("there"), F.col(key).alias("k")))[ "k"].alias(head), F.max(F.col(key).isNull()).alias(guest))
     heads = heads.select(F.when(F.col(guest), F.lit(None)).otherwise(F.col(head)).alias(head), bucket)
     at = Window.orderBy(bucket)

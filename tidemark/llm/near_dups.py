@@ -32,6 +32,8 @@ from .common import fresh, written
 SHINGLE, COORDINATES, MATCHES, PERCENT = 5, 48, 20, 75
 #: Ids up to this number are sent to all tasks in a join; more are shuffled.
 BROADCAST_IDS = 2_000_000
+#: Rows of a class from which on its component reaches them by a broadcast.
+MANY_COPIES = 10_000
 _CHUNK_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -178,23 +180,31 @@ def _open_pairs(rows: DataFrame) -> DataFrame:
     Each set is ordered from its rarest shingle to its commonest. Where two sets meet in a shingle at places i and j, and it is the
     first that they share, they share at most min(n - i, m - j); a pair for which no shared shingle leaves room for the
     similarity has none. So what strays from a group of copies meets others in its rare shingles alone, not in those that
-    the whole group has. Shingles of one label have nothing to add."""
+    the whole group has. Shingles of one label have nothing to add. What stays quadratic is the number of different labels that share a
+    shingle which is among the rarest of each of their sets."""
     each = rows.select("rep", "label", F.size("set").alias("n"), F.explode("set").alias("shingle"))
     known = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("label").alias("x"), F.max("label").alias("y")).where("df > 1").select("shingle", "df", (F.col("x") != F.col("y")).alias("open"))
     placed = each.join(known, "shingle").groupBy("rep", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle", "open"))).alias("own"))
     alone = F.col("n") - F.size("own")
     posted = placed.select("rep", "label", "n", alone.alias("alone"), F.posexplode("own").alias("at", "s")).where("s.open")
     posted = posted.select(F.col("s.shingle").alias("shingle"), "rep", "label", "n", (F.col("n") - F.col("alone") - F.col("at")).alias("room")).where(100 * F.col("room") >= PERCENT * F.col("n"))
+    # labels meet first, so that members of one label are never paired with each other, however many have the shingle
+    posted = written(posted, "posted")
+    met = posted.groupBy("shingle", "label").agg(F.min("n").alias("n"), F.max("room").alias("room"))
+    a, b = (met.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("label", "n", "room")]) for x in "ab")
+    may = (F.col("label_a") < F.col("label_b")) & _similar(F.least("room_a", "room_b"), F.col("n_a"), F.col("n_b"))
+    met = a.join(b, (a["shingle"] == b["shingle"]) & may).select(a["shingle"], "label_a", "label_b")
     a, b = (posted.select("shingle", *[F.col(c).alias(f"{c}_{x}") for c in ("rep", "label", "n", "room")]) for x in "ab")
-    fits = (F.col("rep_a") < F.col("rep_b")) & (F.col("label_a") != F.col("label_b")) & _similar(F.least("room_a", "room_b"), F.col("n_a"), F.col("n_b"))
-    return a.join(b, (a["shingle"] == b["shingle"]) & fits).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+    fits = _similar(F.least("room_a", "room_b"), F.col("n_a"), F.col("n_b"))
+    pairs = met.join(a, ["shingle", "label_a"]).join(b, ["shingle", "label_b"]).where(fits)
+    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of `docs`: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = written(docs.select("doc_id", features(F.col("text")).alias("f")).select("doc_id", "f.*"), "features")
-    classes = found.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"))
+    classes = found.where("n > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes, "classes")
 
     posted = classes.select("rep", F.explode("tokens").alias("token"))
@@ -233,11 +243,26 @@ def linked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
         links = links.union(more)
         labels = components(links)
 
-    ends = classes.join(labels, classes["rep"] == labels["node"], "left").select("set_key", F.coalesce("label", "rep").alias("component_id"))
-    out = found.join(ends, "set_key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    ends = classes.join(labels, classes["rep"] == labels["node"], "left").select("set_key", "copies", F.coalesce("label", "rep").alias("component_id"))
+    out = _with_component(found, ends).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _with_component(found: DataFrame, ends: DataFrame) -> DataFrame:
+    """Each row with its class's component. Classes of more than MANY_COPIES rows are few (at most rows / MANY_COPIES) and are sent to
+    all tasks, behind a count; rows without a set meet nothing. So no task gets all rows of one key."""
+    ends = written(ends, "ends")
+    hot = ends.where(F.col("copies") > MANY_COPIES).select("set_key", F.col("component_id").alias("hot"))
+    n = hot.count()
+    if 0 < n <= BROADCAST_IDS:
+        rows = found.join(F.broadcast(hot), "set_key", "left")
+    else:
+        rows = found.withColumn("hot", F.lit(None).cast("long"))
+    done = (F.col("hot").isNotNull()) | F.col("set_key").isNull()
+    rest = rows.where(~done).join(ends.select("set_key", "component_id"), "set_key", "left").select("doc_id", "n", "component_id")
+    return rest.unionByName(rows.where(done).select("doc_id", "n", F.col("hot").alias("component_id")))
+
+
 def _repeated(found: DataFrame) -> bool:
     return not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
 

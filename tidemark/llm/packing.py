@@ -4,9 +4,11 @@ A bin is filled greedily, the largest unpacked piece that fits first; then its s
 that fit the gap so widened more tightly, if there are such. Packing depends on lengths alone, so it is planned over the
 table of counts by length (at most `size` rows, however many documents there are), a filling repeated as often as its
 lengths last. Pieces then get their places by their rank within their length, counted without gathering a length in one task.
+Ids, which are most of the bytes, take no part in the ranking: pieces are numbered when they are written, and meet their places
+by that number.
 
 Null or empty text: only the end id. Repeated rows are packed as often as they occur; null document ids too. An empty
-table gives no rows. Columns not named are kept if asked for."""
+table gives no rows. Columns not named are kept if asked for; clashing names are no matter."""
 
 from __future__ import annotations
 
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, ranked, written
-from .tokens import ByteEncoder, encoder
+from .tokens import encoder
 
 PIECE = "array<struct<piece:int,start:long,length:long,ids:binary>>"
 
@@ -33,7 +35,7 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 def pieces_of(text: Column, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, size: int = 1024) -> Column:
     @F.pandas_udf(PIECE)
     def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder, end = encoder(ByteEncoder, tokenizer), np.asarray([end_id], "<u4").tobytes()
+        coder, end = encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
         for batch in texts:
             out = []
             for t in batch.tolist():
@@ -44,10 +46,11 @@ def pieces_of(text: Column, tokenizer: str = "byte_bpe_50k.json", end_id: int =
     return pieces(text)
 
 
-def tokenized(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", **how) -> DataFrame:
-    """A row for each piece: `keep`, piece, start, length, ids (little-endian uint32). A written table: texts are tokenized once."""
+def tokenized(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", nth: str = "nth", **how) -> DataFrame:
+    """A row for each piece: `keep`, piece, start, length, ids (little-endian uint32), and its number (unique, not dense). A written
+    table: texts are tokenized once, and numbers stay what they are."""
     rows = docs.select(*keep, F.explode(pieces_of(F.col(text), **how)).alias("p__"))
-    return written(rows.select(*keep, "p__.*"), "pieces")
+    return written(rows.select(*keep, "p__.*", F.monotonically_increasing_id().alias(nth)), "pieces")
 
 
 def plan(counts: dict[int, int], size: int) -> tuple[dict[int, list[tuple[int, int, int, int]]], int]:
@@ -99,15 +102,17 @@ def plan(counts: dict[int, int], size: int) -> tuple[dict[int, list[tuple[int, i
         bins += times
 
 
-def placed(pieces: DataFrame, size: int = 1024, length: str = "length", key: tuple[str, ...] = ("doc_id", "piece")) -> DataFrame:
-    """Adds sequence_id and offset to rows that have a length from 1 to `size`. Read more than once: give a written table."""
+def placed(pieces: DataFrame, size: int = 1024, length: str = "length", nth: str = "nth", heavy: tuple[str, ...] = ("ids",)) -> DataFrame:
+    """Adds sequence_id and offset to rows that have a length from 1 to `size` and a number of their own, which goes. `heavy` columns, if
+    there, are left out of the ranking. Read more than once: give a written table."""
     counts = {int(r[0]): r[1] for r in pieces.groupBy(length).count().collect()}  # at most `size` rows
     runs, _ = plan(counts, size)
     tables = {n: tuple(np.asarray(x, np.int64) for x in zip(*r, strict=True)) for n, r in runs.items()}
+    heavy = [c for c in heavy if c in pieces.columns]
     salt, rank, spot = fresh(pieces, "salt__", "rank__", "spot__")
     salts = min(1 << 16, max(16, -(-sum(counts.values()) // 200_000)))
-    rows = pieces.withColumn(salt, F.pmod(F.xxhash64(*key), F.lit(salts)))
-    rows = ranked(rows, [length], salt, [F.col(k) for k in key], rank)
+    light = pieces.select(nth, length) if heavy else pieces
+    rows = ranked(light.withColumn(salt, F.pmod(F.xxhash64(nth), F.lit(salts))), [length], salt, [F.col(nth)], rank)
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
@@ -120,9 +125,13 @@ def placed(pieces: DataFrame, size: int = 1024, length: str = "length", key: tup
             bins[mine], offsets[mine] = bin_[k] + r[mine] - first[k], offset[k]
         return pd.DataFrame({"sequence_id": bins, "offset": offsets})
 
-    return rows.withColumn(spot, place(length, rank)).select(*pieces.columns, f"{spot}.sequence_id", f"{spot}.offset")
+    rows = rows.withColumn(spot, place(length, rank))
+    if heavy:
+        rows = pieces.join(rows.select(nth, spot), nth)
+    return rows.select(*[c for c in pieces.columns if c != nth], f"{spot}.sequence_id", f"{spot}.offset")
 
 
 def pack(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", size: int = 1024, **how) -> DataFrame:
     """Every piece of every document with its ids, its sequence and its place there."""
-    return placed(tokenized(docs, keep, text, size=size, **how), size, key=(*keep[:1], "piece"))
+    (nth,) = fresh(docs, "nth")
+    return placed(tokenized(docs, keep, text, nth, size=size, **how), size, nth=nth)

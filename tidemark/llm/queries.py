@@ -38,11 +38,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = secret_scan.with_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = secret_scan.with_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), battery="battery")
     base = F.filter("secrets", lambda s: s["rank"] < 3)
     kind = F.transform("secrets", lambda s: s["rank"])
     counts = [(F.size("secrets") - F.size(F.array_remove(kind, k))).cast("long").alias(f"n_{name}") for k, name in enumerate(secret_scan.KINDS[:3])]
-    return docs.select("doc_id", *counts, F.sha2(secret_scan.listed(base).cast("binary"), 256).alias("base_sha256"), secret_scan.listed(F.col("secrets")).alias("spans"))
+    return docs.select("doc_id", *counts, F.sha2(secret_scan.listed(base).cast("binary"), 256).alias("base_sha256"), secret_scan.listed(F.col("secrets")).alias("spans"), secret_scan.evidence(F.col("battery")).alias("battery"))
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +52,7 @@ def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenized(table(spark, sf_dir, "documents"))
-    return packing.placed(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return packing.placed(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "nth"))
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,20 +2,27 @@
 
 Base kinds: assign, access and hex, each leftmost non-overlapping, failing matches dropped. The kind `random` is added: runs of
 at least LEAST of the characters of common encodings. For each the encoding is inferred (the smallest alphabet that holds its
-characters) and the following are tested:
-  - chi-squared uniformity over the alphabet, the runs of characters above and below the alphabet's middle, and the serial
-    correlation of neighbours: a run that fails any of them at z > BATTERY_Z is no random string;
-  - against the opposite null, that it is text (coincidences of characters as in words; few changes of character class), a
-    p-value, which the length decides as much as the look. The false-discovery rate is held over these p-values alone; the
-    tests of randomness are a gate.
-p-values are held to a false-discovery rate by Benjamini-Hochberg within each band of lengths over all documents; the ranks come
-from a table of counts by band and p-value in steps of 1/STEPS of a decade, a few hundred rows whatever the input.
-A run that base spans cover is left to them; one that reaches beyond them is a span as well, in whole.
-
-Null text is empty. Repeated rows are scanned alike. An empty table has no bounds and no spans. More columns stay."""
+characters) and the battery is run:
+  - against randomness: chi-squared uniformity over the alphabet, the runs of characters above and below the alphabet's middle, the
+    serial correlation of neighbours; a run that fails any of them at z > BATTERY_Z is no random string;
+  - against text, at the other end of the same statistics: coincidences of characters (chi-squared is a linear function of their
+    number) are Poisson with the rate of words, and their lower tail is one p-value; runs of one character class end as often as
+    in words and names, binomially, and their upper tail is the other. Both tails are summed term by term, half of the observed
+    value's own probability counting (mid-p), so they hold for short runs too (beyond EXACT expected coincidences, or characters,
+    by the normal law). Fisher's method combines them.
+The combined p-values, to which the length contributes as much as the look, are held to a false-discovery rate by Benjamini-Hochberg
+within each band of lengths over all documents; the ranks come from a table of counts by band and p-value in steps of 1/STEPS
+of a decade, a few hundred rows whatever the input. `battery` has the figures of every run that is a discovery.
+A discovery that base spans cover is left to them; one that reaches beyond them is a span as well, in whole.
+
+Costs grow with the length of a text: offsets are running sums by blocks, pieces of a text are cut from blocks of BLOCK characters.
+Null text is empty. Repeated rows are scanned alike. An empty table has no bounds and no spans. More columns stay; those that
+have the outputs' names are replaced."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,37 +40,86 @@ PLAIN = "^([A-Z]?[a-z]+|[A-Z]+|[0-9]+)$"
 #: Where bands of lengths begin. Shorter runs, mostly words, have bands of their own, so longer ones are ranked without them.
 EDGES = (12, 16, 20, *(1 << k for k in range(5, 13)))
 KINDS = ("assign", "access", "hex", "random")
-SPAN = "struct<start:int,rank:int,end:int>"
+FOUND = "array<struct<start:int,end:int,size:int,band:int,step:int>>"
+#: Characters of a block of text; elements of a block of running sums; up to which sizes tails are summed term by term.
+BLOCK, GROUP, EXACT = 1024, 64, 64
 #: Alphabets by size, the smallest first; the last two have the characters of both common forms of base 64.
 ALPHABETS = {10: "0123456789", 16: "0123456789abcdef", 26: "abcdefghijklmnopqrstuvwxyz", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 36: "0123456789abcdefghijklmnopqrstuvwxyz", 62: "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 64: "+-/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz"}
 #: How much likelier than in a uniform string two characters of words coincide; the share of neighbours in words and names that differ in class.
 WORDLIKE, CHANGES = 1.73, 0.15
 
 
-def _matches(text: Column, pattern: str, good, rank: int) -> Column:
-    """array<SPAN> of the matches that are `good`; what lies between two matches gives the offsets (code points)."""
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    sizes = F.transform(found, lambda x: F.length(x))
-    starts = F.aggregate(
-        F.arrays_zip(F.slice(gaps, F.lit(1), F.size(sizes)).alias("g"), sizes.alias("n")),
-        F.array().cast("array<struct<start:int,end:int>>"),
-        lambda acc, x: F.concat(acc, F.array(F.struct((F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + x["g"]).alias("start"), (F.coalesce(F.try_element_at(acc, F.lit(-1))["end"], F.lit(0)) + x["g"] + x["n"]).alias("end")))),
-    )
-    rows = F.filter(F.arrays_zip(starts.alias("s"), found.alias("m")), lambda x: good(x["m"]))
-    spans = F.transform(rows, lambda x: F.struct(x["s"]["start"].alias("start"), F.lit(rank).alias("rank"), x["s"]["end"].alias("end")))
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
-
-
-def base_spans(text: Column) -> Column:
-    """All base spans by start, then kind."""
-    value = lambda m: F.length(F.regexp_extract(m, f"^{ASSIGN}$", 2)) >= 8
-    every = F.concat(
-        _matches(text, ASSIGN, value, 0),
-        _matches(text, ACCESS, lambda m: F.lit(True), 1),
-        _matches(text, HEX, lambda m: F.lit(True), 2),
-    )
-    return F.array_sort(every)
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once: what stands in a lambda without depending on its variable is computed for each
+    element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _grown(values: Column, kind: str, step) -> Column:
+    """step(last, x) of an array's first 1, 2, ... elements, `values` being short."""
+    return F.aggregate(values, F.array().cast(f"array<{kind}>"), lambda acc, x: F.concat(acc, F.array(step(F.try_element_at(acc, F.lit(-1)), x))))
+
+
+def _folded(values: Column, kind: str, step) -> Column:
+    """The same for arrays of any length. Arrays can't be appended to in place, so this is done by blocks of GROUP elements, and over what
+    each block gives. `step` has to be associative and to ignore a null."""
+
+    def blocked(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(GROUP))
+        within = F.transform(starts, lambda at: _grown(F.slice(v, at, F.lit(GROUP)), kind, step))
+        return let(within, joined)
+
+    def joined(w: Column) -> Column:
+        upto = _grown(F.transform(w, lambda b: F.try_element_at(b, F.lit(-1))), kind, step)
+        before = F.slice(F.concat(F.array(F.lit(None).cast(kind)), upto), F.lit(1), F.size(w))
+        return F.flatten(F.zip_with(w, before, lambda b, t: F.transform(b, lambda x: step(t, x))))
+
+    return let(values.cast(f"array<{kind}>"), blocked)
+
+
+def running(values: Column) -> Column:
+    return _folded(values, "bigint", lambda a, x: F.coalesce(a, F.lit(0).cast("long")) + F.coalesce(x, F.lit(0).cast("long")))
+
+
+def running_max(values: Column) -> Column:
+    return _folded(values, "int", lambda a, x: F.greatest(a, x))
+
+
+def blocks(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, n: Column) -> Column:
+    """n characters from `start` (from 0), out of `blocks`."""
+    first, last = F.floor(start / BLOCK), F.floor((start + n - 1) / BLOCK)
+    joined = F.array_join(F.slice(parts, (first + 1).cast("int"), (last - first + 1).cast("int")), "")
+    return F.when(n > 0, F.substring(joined, (start - first * BLOCK + 1).cast("int"), n.cast("int"))).otherwise(F.lit(""))
+
+
+def _found(text: Column, pattern: str) -> Column:
+    """array of start, end, match (code points); what lies between two matches gives the offsets."""
+
+    def rows(found: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda x: F.length(x))
+        ends = running(F.zip_with(gaps, found, lambda g, m: g + F.length(m)))
+        return F.zip_with(ends, found, lambda e, m: F.struct((e - F.length(m)).cast("int").alias("start"), e.cast("int").alias("end"), m.alias("match")))
+
+    found = let(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1)), rows)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
+
+
+def with_matches(docs: DataFrame, text: str, outs: list[str]) -> DataFrame:
+    """Adds for each kind all matches of its pattern in `text`. Each is a step of its own: nested functions are resolved level by level."""
+    for out, pattern in zip(outs, (ASSIGN, ACCESS, HEX, RUN), strict=True):
+        docs = docs.withColumn(out, _found(F.col(text), pattern))
+    return docs
+
+
+def base_spans(assign: Column, access: Column, hexes: Column) -> Column:
+    """All base spans by start, then kind, of the matches of each."""
+    whole = lambda m: F.length(F.regexp_extract(m["match"], f"^{ASSIGN}$", 2)) >= 8
+    spans = lambda rows, rank: F.transform(rows, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end")))
+    return F.array_sort(F.concat(spans(F.filter(assign, whole), 0), spans(access, 1), spans(hexes, 2)))
 
 
 def _upper_tail(z: Column) -> Column:
@@ -72,65 +128,97 @@ def _upper_tail(z: Column) -> Column:
     return 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
 
 
+def _few(x: Column, mean: Column) -> Column:
+    """ln of P(X < x) + P(X = x) / 2 of a Poisson variable."""
+    terms = F.aggregate(
+        F.when(x > 0, F.sequence(F.lit(1), F.greatest(x, F.lit(1)).cast("int"))).otherwise(F.array().cast("array<int>")),
+        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")),
+        lambda a, j: F.struct((a["term"] * mean / j).alias("term"), (a["sum"] + a["term"] * mean / j).alias("sum")),
+        lambda a: F.ln(a["sum"] - a["term"] / 2) - mean,
+    )
+    normal = F.ln(_upper_tail((mean - x) / F.sqrt(mean)))
+    return F.when(x >= mean, F.lit(0.0)).when(mean > EXACT, normal).otherwise(F.least(F.lit(0.0), terms))
+
+
+def _many(x: Column, n: Column, q: float) -> Column:
+    """ln of P(X > x) + P(X = x) / 2 of a binomial variable."""
+    some = F.when(x > 0, F.sequence(F.lit(1), F.greatest(x, F.lit(1)).cast("int"))).otherwise(F.array().cast("array<int>"))
+    first = F.aggregate(some, F.lit(0.0), lambda s, i: s + F.ln((n - x + i) / i)) + x * math.log(q) + (n - x) * math.log(1 - q)
+    rest = F.aggregate(
+        F.when(x < n, F.sequence(x.cast("int"), F.greatest(n - 1, x).cast("int"))).otherwise(F.array().cast("array<int>")),
+        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")),
+        lambda a, j: F.struct((a["term"] * (n - j) / (j + 1) * (q / (1 - q))).alias("term"), (a["sum"] + a["term"] * (n - j) / (j + 1) * (q / (1 - q))).alias("sum")),
+        lambda a: F.ln(a["sum"] - 0.5),
+    )
+    normal = F.ln(_upper_tail((x - n * q) / F.sqrt(n * q * (1 - q))))
+    return F.when(x <= n * q, F.lit(0.0)).when(n > EXACT, normal).otherwise(F.least(F.lit(0.0), first + rest))
+
+
 def tested(run: Column) -> Column:
-    """The battery's figures for a run of characters: size (of its alphabet), sound (no test of randomness fails), decades (-log10 p)."""
-    n = F.length(run).cast("double")
+    """The battery's figures for a run of characters: size (of its alphabet), sound (no test of randomness fails), decades (-log10 of
+    the combined p-value against text)."""
     size = F.lit(64)
     for k in sorted(ALPHABETS, reverse=True)[1:]:
         size = F.when(run.rlike(f"^[{ALPHABETS[k]}]+$"), F.lit(k)).otherwise(size)
-    names = F.element_at(F.create_map(*[x for k, a in ALPHABETS.items() for x in (F.lit(k), F.lit(a))]), size)
-    chars = F.split(run, "")
-    k = size.cast("double")
-    counts = F.transform(F.array_distinct(chars), lambda c: n - F.length(F.replace(run, c)))
-    squares = F.aggregate(counts, F.lit(0.0), lambda s, c: s + c * c)
-    codes = F.transform(chars, lambda c: F.instr(names, c).cast("double") - 1)
-    uniform = (k / n * squares - n - (k - 1)) / F.sqrt(2 * (k - 1))
+    names = F.create_map(*[x for k, a in ALPHABETS.items() for x in (F.lit(k), F.lit(a))])
+    chars = lambda r, s: F.struct(r.alias("run"), s.alias("size"), F.split(r, "").alias("chars"), F.element_at(names, s).alias("names"))
+    codes = lambda c: F.struct(*[c[x].alias(x) for x in ("run", "size", "chars")], F.transform(c["chars"], lambda x: F.instr(c["names"], x).cast("double") - 1).alias("codes"))
+    return let(run, lambda r: let(size, lambda s: let(chars(r, s), lambda c: let(codes(c), _sums))))
+
+
+def _sums(c: Column) -> Column:
+    """From run, size, chars, codes: what the tests need, each computed once."""
+    n, k, codes = F.length(c["run"]).cast("double"), c["size"].cast("double"), c["codes"]
     middle = (k - 1) / 2
-    above = F.transform(codes, lambda x: F.when(x > middle, F.lit(1.0)).otherwise(F.lit(0.0)))
-    up = F.aggregate(above, F.lit(0.0), lambda s, x: s + x)
-    turns = F.aggregate(F.zip_with(F.slice(above, F.lit(1), F.size(above) - 1), F.slice(above, F.lit(2), F.size(above) - 1), lambda a, b: F.abs(a - b)), F.lit(1.0), lambda s, x: s + x)
+    counts = F.transform(F.array_distinct(c["chars"]), lambda x: n - F.length(F.replace(c["run"], x)))
+    one = lambda x: F.when(x > middle, F.lit(1.0)).otherwise(F.lit(0.0))
+    pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.struct(F.abs(one(a) - one(b)).alias("turn"), ((a - middle) * (b - middle)).alias("product")))
+    kind = F.translate(c["run"], "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", "A" * 26 + "a" * 26 + "0" * 10 + "----")
+    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
+    both = F.aggregate(pairs, F.struct(F.lit(1.0).alias("turns"), F.lit(0.0).alias("products")), lambda s, x: F.struct((s["turns"] + x["turn"]).alias("turns"), (s["products"] + x["product"]).alias("products")))
+    sums = F.struct(
+        n.alias("n"), k.alias("k"), c["size"].alias("size"), total(counts, lambda x: x * x).alias("squares"), total(codes, one).alias("up"), both.alias("both"),
+        (F.length(F.regexp_replace(kind, r"(.)\1+", "$1")) - 1).cast("double").alias("changes"),
+    )
+    return let(sums, _tests)
+
+
+def _tests(s: Column) -> Column:
+    n, k, up = s["n"], s["k"], s["up"]
+    uniform = (k / n * s["squares"] - n - (k - 1)) / F.sqrt(2 * (k - 1))
     pq = 2 * up * (n - up)
-    runs = (turns - (pq / n + 1)) / F.sqrt(F.greatest(F.lit(0.25), pq * (pq - n) / (n * n * (n - 1))))
-    spread = (k * k - 1) / 12
-    serial = F.aggregate(F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: (a - middle) * (b - middle)), F.lit(0.0), lambda s, x: s + x) / (spread * F.sqrt(n - 1))
-    kind = F.translate(run, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", "A" * 26 + "a" * 26 + "0" * 10 + "----")
-    changes = n - F.length(F.regexp_replace(kind, r"(.)\1+", "$1"))
-    changes = n - 1 - changes
-    pairs = n * (n - 1) / 2
-    wordlike = pairs * WORDLIKE / k
-    even = (wordlike - (squares - n) / 2) / F.sqrt(wordlike * (1 + WORDLIKE))
-    mixed = (changes - (n - 1) * CHANGES) / F.sqrt((n - 1) * CHANGES * (1 - CHANGES))
-    p = _upper_tail((even + mixed) / F.sqrt(F.lit(2.0)))
+    runs = (s["both"]["turns"] - (pq / n + 1)) / F.sqrt(F.greatest(F.lit(0.25), pq * (pq - n) / (n * n * (n - 1))))
+    serial = s["both"]["products"] / ((k * k - 1) / 12 * F.sqrt(n - 1))
     sound = (uniform < BATTERY_Z) & (F.abs(runs) < BATTERY_Z) & (F.abs(serial) < BATTERY_Z)
-    return F.struct(size.alias("size"), sound.alias("sound"), F.least(F.lit(float(MOST_DECADES)), -F.log10(p)).alias("decades"))
+    even = _few((s["squares"] - n) / 2, n * (n - 1) / 2 * WORDLIKE / k)
+    mixed = _many(s["changes"], n - 1, CHANGES)
+    decades = lambda ln: -(ln + F.ln(1 - ln)) / math.log(10)  # noqa: E731 - Fisher: P(p * q <= x) = x (1 - ln x)
+    figures = lambda ln: F.struct(s["size"].alias("size"), F.lit(True).alias("sound"), F.least(F.lit(float(MOST_DECADES)), decades(ln)).alias("decades"))
+    return F.when(sound, let(even + mixed, figures)).otherwise(F.struct(s["size"].alias("size"), F.lit(False).alias("sound"), F.lit(0.0).alias("decades")))
 
 
 def _band(n: Column) -> Column:
     return F.size(F.filter(F.array(*[F.lit(k) for k in EDGES]), lambda k: k <= n))
 
 
-def _covered(c: Column, base: Column) -> Column:
-    """Whether base spans, by start, leave no character of `c` out."""
-    upto = F.aggregate(base, c["start"], lambda at, b: F.when(b["start"] <= at, F.greatest(at, b["end"])).otherwise(at))
-    return upto >= c["end"]
-
-
-def candidates(text: Column) -> Column:
-    """array of start, end, band, step (whole steps of -log10 p; 0 where a test of randomness failed)."""
-    spans = _matches(text, RUN, lambda m: F.lit(True), 3)
-    look = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("run")))
+def candidates(runs: Column) -> Column:
+    """Matches of RUN -> array of start, end, size (of the alphabet), band, step (whole steps of -log10 p; 0 where a test of randomness
+    failed)."""
 
     def figures(x: Column) -> Column:
-        t, n = tested(x["run"]), x["end"] - x["start"]
-        step = F.when((n < 20) & x["run"].rlike(PLAIN), F.lit(0)).when(t["sound"], F.floor(t["decades"] * STEPS)).otherwise(F.lit(0))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), _band(n).alias("band"), step.cast("int").alias("step"))
+        n = x["end"] - x["start"]
+        plain = (n < 20) & x["match"].rlike(PLAIN)
+        step = lambda t: F.when(t["sound"], F.floor(t["decades"] * STEPS)).otherwise(F.lit(0)).cast("int")
+        row = lambda size, step: F.struct(x["start"].alias("start"), x["end"].alias("end"), size.alias("size"), _band(n).alias("band"), step.alias("step"))
+        return F.when(plain, row(F.lit(0), F.lit(0))).otherwise(let(tested(x["match"]), lambda t: row(t["size"], step(t))))
 
-    return F.transform(look, figures)
+    return F.transform(runs, figures)
 
 
 def fitted(docs: DataFrame, text: str = "text", rate: float = RATE) -> dict[int, int]:
     """For each band of lengths the least step that is a discovery. At most a few hundred rows of counts reach the driver."""
-    rows = docs.where(F.col(text).rlike(RUN)).select(F.explode(candidates(F.col(text))).alias("c"))
+    rows = docs.where(F.col(text).rlike(RUN)).select(_found(F.col(text), RUN).alias("runs"))
+    rows = rows.select(F.explode(candidates(F.col("runs"))).alias("c"))
     counts: dict[int, dict[int, int]] = {}
     for band, step, n in rows.groupBy("c.band", "c.step").count().collect():
         counts.setdefault(band, {})[step] = n
@@ -146,18 +234,34 @@ def fitted(docs: DataFrame, text: str = "text", rate: float = RATE) -> dict[int,
     return out
 
 
-def with_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", bounds: dict[int, int] | None = None) -> DataFrame:
-    """Adds `out`: array of start, rank (of the kind, see KINDS), end, by start, then kind. `bounds`: as fitted on these documents, if unset."""
+FOUND = "array<struct<start:int,end:int,size:int,band:int,step:int>>"
+
+
+
+
+def with_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", bounds: dict[int, int] | None = None, battery: str | None = None) -> DataFrame:
+    """Adds `out`: array of start, rank (of the kind, see KINDS), end, by start, then kind; and under the name `battery`, if given, what the
+    battery found, base spans or not: array of start, end, size, band, step. `bounds`: as fitted on these documents, if unset."""
     bounds = fitted(docs, text) if bounds is None else bounds
-    base, t = fresh(docs, "base__", "t__")
-    docs = docs.withColumn(t, F.coalesce(text, F.lit(""))).withColumn(base, base_spans(F.col(t)))
-    if not bounds:
-        return docs.withColumn(out, F.col(base)).drop(*({base, t} - {out}))
-    least = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])
-    hits = F.filter(candidates(F.col(t)), lambda c: (c["step"] >= F.coalesce(F.element_at(least, c["band"]), F.lit(1 << 30))) & ~_covered(c, F.col(base)))
-    more = F.transform(hits, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end")))
-    more = F.when(F.col(t).rlike(RUN), more).otherwise(F.array().cast(f"array<{SPAN}>"))
-    return docs.withColumn(out, F.array_sort(F.concat(base, more))).drop(*({base, t} - {out}))
+    names = fresh(docs, "t__", "assign__", "access__", "hex__", "run__", "base__", "hits__", "masked__", "free__")
+    t, *found, base, hits, masked, free = names
+    docs = with_matches(docs.withColumn(t, F.coalesce(text, F.lit(""))), t, found)
+    docs = docs.withColumn(base, base_spans(*map(F.col, found[:3])))
+    none = F.array().cast(FOUND)
+    if bounds:
+        least = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])
+        none = F.filter(candidates(F.col(found[3])), lambda c: c["step"] >= F.coalesce(F.element_at(least, c["band"]), F.lit(1 << 30)))
+    docs = docs.withColumn(hits, none)
+    # what base spans cover is masked with a character that no run has; hits that reach beyond it stay
+    both = (F.size(base) > 0) & (F.size(hits) > 0)
+    docs = docs.withColumn(masked, F.when(both, redacted(F.col(t), F.col(base), "\x00", True)))
+    outside = lambda parts: F.filter(F.col(hits), lambda c: F.replace(cut(parts, c["start"], c["end"] - c["start"]), F.lit("\x00"), F.lit("")) != "")
+    docs = docs.withColumn(free, F.when(F.col(masked).isNotNull(), let(blocks(F.col(masked)), outside)).otherwise(F.col(hits)))
+    more = F.transform(free, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("rank"), c["end"].alias("end")))
+    docs = docs.withColumn(out, F.array_sort(F.concat(base, more)))
+    if battery:
+        docs = docs.withColumn(battery, F.col(hits))
+    return docs.drop(*({*names} - {out, battery}))
 
 
 def listed(spans: Column) -> Column:
@@ -165,12 +269,29 @@ def listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"], s["end"])))
 
 
-def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with every span (overlapping ones as one) replaced by the mark."""
-    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
-    step = lambda a, s: F.struct(
-        F.when(s["start"] >= a["at"], F.concat(a["done"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mark))).otherwise(a["done"]).alias("done"),
-        F.greatest(a["at"], s["end"]).alias("at"),
-    )
-    folded = F.aggregate(spans, start, step, lambda a: F.concat(a["done"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, folded).otherwise(text)
+def evidence(found: Column) -> Column:
+    """What the battery found: start:end:alphabet size:decades below 1 of its p-value, comma-joined."""
+    return F.concat_ws(",", F.transform(found, lambda c: F.concat_ws(":", c["start"], c["end"], c["size"], F.format_number(c["step"] / STEPS, 2))))
+
+
+def _joined(spans: Column) -> Column:
+    """Spans by start -> disjoint ones (start, end), those that overlap or touch being one."""
+
+    def islands(sp: Column, tops: Column) -> Column:
+        begins = lambda i: (i == 1) | (F.element_at(sp, i)["start"] > F.element_at(tops, F.greatest(i - 1, F.lit(1))))
+        heads = F.filter(F.sequence(F.lit(1), F.size(sp)), begins)
+        return let(heads, lambda h: F.zip_with(h, F.slice(h, F.lit(2), F.size(h)), lambda i, after: F.struct(F.element_at(sp, i)["start"].alias("start"), F.element_at(tops, F.coalesce(after - 1, F.size(sp))).alias("end"))))
+
+    return let(spans, lambda sp: let(running_max(F.transform(sp, lambda s: s["end"])), lambda tops: islands(sp, tops)))
+
+
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]", each: bool = False) -> Column:
+    """The text with every span (overlapping or touching ones as one) replaced by the mark; `each`: by one mark a character."""
+
+    def kept(parts: Column, gone: Column) -> Column:
+        edge = lambda at: F.array(F.struct(at.cast("int").alias("start"), at.cast("int").alias("end")))
+        marks = lambda b: F.repeat(F.lit(mark), b["end"] - b["start"]) if each else F.when(b["end"] > b["start"], F.lit(mark)).otherwise(F.lit(""))
+        pieces = F.zip_with(F.concat(edge(F.lit(0)), gone), F.concat(gone, edge(F.length(text))), lambda a, b: F.concat(cut(parts, a["end"], b["start"] - a["end"]), marks(b)))
+        return F.array_join(pieces, "")
+
+    return F.when(F.size(spans) > 0, let(blocks(text), lambda parts: let(_joined(spans), lambda gone: kept(parts, gone)))).otherwise(text)

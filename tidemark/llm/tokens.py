@@ -1,10 +1,13 @@
 """Token ids of whole texts as little-endian uint32 bytes, with the public vocabulary files. Nothing is trained.
 
-Strings of special tokens inside a text are ordinary text."""
+The ids are those of the tokenizers library's plain call, Tokenizer.from_file(file).encode(text, add_special_tokens=False): a special
+token's string inside a text is that token. Two kinds of vocabulary are encoded by faster ways with the same ids, if their
+file says that they follow the rules these ways rest on; any other file is left to the library."""
 
 from __future__ import annotations
 
 import base64
+import json
 import os
 
 import numpy as np
@@ -23,38 +26,79 @@ def _path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Encoder:
+    """Any vocabulary, by the library alone."""
+
+    def __init__(self, name: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(_path(name))
+
+    def encode(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def _rules(name: str) -> dict:
+    """What a vocabulary's file says about itself, without its words."""
+    with open(_path(name), encoding="utf-8") as f:
+        said = json.load(f)
+    model = {k: v for k, v in said["model"].items() if k not in ("vocab", "merges")}
+    plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in said["added_tokens"])
+    return {"special": {t["content"]: t["id"] for t in said["added_tokens"]}, "plain": plain, "normalizer": said["normalizer"], "pre_tokenizer": said["pre_tokenizer"], "model": model}
+
+
 class ByteEncoder:
-    """The byte-level vocabulary. Its ranks file holds the same ids as the .json file and is read several times as fast."""
+    """A byte-level vocabulary with a ranks file beside it, which holds the same ids and is read several times as fast."""
 
     def __init__(self, name: str):
         import public_tokenizers
         import tiktoken
 
-        lines = open(_path(name).removesuffix(".json").removesuffix(".tiktoken") + ".tiktoken", "rb")
-        with lines:
+        with open(_ranks(name), "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.coder = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.special = _rules(name)["special"]
+        self.coder = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+
+    @staticmethod
+    def fits(name: str) -> bool:
+        said = _rules(name)
+        pre = said["pre_tokenizer"] or {}
+        by_bytes = pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        return bool(by_bytes and said["plain"] and said["normalizer"] is None and os.path.exists(_ranks(name)))
 
     def encode(self, text: str) -> bytes:
-        return self.coder.encode_to_numpy(text).astype("<u4", copy=False).tobytes() if text else b""
+        if not text:
+            return b""
+        named = any(s in text for s in self.special)
+        return self.coder.encode_to_numpy(text, allowed_special="all" if named else set(), disallowed_special=()).astype("<u4", copy=False).tobytes()
+
 
+def _ranks(name: str) -> str:
+    return _path(name).removesuffix(".json") + ".tiktoken"
 
-class WordEncoder:
-    """The vocabulary with word ends: it drops white space, so a text has the ids of its words in order.
+
+class WordEncoder(Encoder):
+    """A vocabulary with word ends that lower-cases and drops white space, so a text has the ids of its words in order.
 
     `held` has the ids of words seen before; the library's tokenizer is asked once for each new word."""
 
     def __init__(self, name: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(_path(name))
-        self.tokenizer.encode_special_tokens = True
+        super().__init__(name)
+        self.special = tuple(_rules(name)["special"])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[k for w, k in vocabulary.items() if w.endswith("</w>")]] = True
         self.held: dict[str, bytes] = {}
 
+    @staticmethod
+    def fits(name: str) -> bool:
+        said = _rules(name)
+        steps = [x["type"] for x in (said["normalizer"] or {}).get("normalizers", [])]
+        split = (said["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        words = split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") and "[^\\s\\p{L}\\p{N}]+" in split.get("pattern", {}).get("Regex", "")
+        return bool(words and said["plain"] and steps == ["NFC", "Replace", "Lowercase"] and said["model"].get("end_of_word_suffix") == "</w>")
+
     def ask(self, words: list[str]) -> None:
         """Words of letters are asked for as one text: each ends with the one id in it that ends a word. If there are other
         numbers of such ids (letters that normalizing makes more than letters), and for other words: one by one."""
@@ -78,7 +122,7 @@ class WordEncoder:
         for w in new:
             if w[-1:] in (".", ",") and w[:-1].isalpha():
                 plain[w] = w[:-1].lower() if w.isascii() else w[:-1]
-            elif w.isascii() and (low := w.lower()) != w:
+            elif w.isascii() and (low := w.lower()) != w and not any(x in low for x in self.special):
                 plain[w] = low
         self.ask(list((new.difference(plain) | {*plain.values(), ".", ","}).difference(held)))
         for w, core in plain.items():
@@ -93,12 +137,9 @@ class WordEncoder:
         return b"".join(map(self.held.__getitem__, words))
 
 
-def encoder(kind: type, name: str):
+def encoder(name: str) -> Encoder | ByteEncoder:
     """One per Python worker."""
-    if (kind, name) not in _encoders:
-        _encoders[kind, name] = kind(name)
-    return _encoders[kind, name]
-
-
-def ids_of(encoded: bytes) -> np.ndarray:
-    return np.frombuffer(encoded, "<u4")
+    if name not in _encoders:
+        kind = next((k for k in (ByteEncoder, WordEncoder) if k.fits(name)), Encoder)
+        _encoders[name] = kind(name)
+    return _encoders[name]
