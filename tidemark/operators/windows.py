@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.numbers import pct_change, ratio
+from ..functions.numbers import ratio
 
 
 def ordered(by: list[str], order: str = "d"):
@@ -55,16 +55,3 @@ def rebased_at(df: DataFrame, n: int, by: list[str], y: str = "y", order: str =
     rows = df.withColumn("rn__", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(order)))).withColumn("n__", F.count(F.lit(1)).over(Window.partitionBy(*by)))
     base = F.max(F.when(F.col("rn__") == F.least(F.lit(n), F.col("n__")), F.col(y))).over(Window.partitionBy(*by))
     return rows.withColumn("base__", base).withColumn("y", F.col(y) / F.nullif(F.col("base__"), F.lit(0.0)) * 100).drop("rn__", "n__", "base__")
-
-
-def rebased_first(df: DataFrame, by: list[str], y: str = "close", order: str = "d") -> Column:
-    """A series against its first row, 100 there."""
-    return F.col(y) / F.nullif(F.first(y).over(ordered(by, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0.0)) * 100
-
-
-def change_from_previous(df: DataFrame, by: list[str], y: str = "close", order: str = "d", out: str = "ret") -> DataFrame:
-    return df.withColumn(out, pct_change(y, F.lag(y).over(ordered(by, order))))
-
-
-def running_sum(df: DataFrame, y: str, by: list[str], order: str = "d", out: str = "total") -> DataFrame:
-    return df.withColumn(out, F.sum(y).over(ordered(by, order).rowsBetween(Window.unboundedPreceding, 0)))

@@ -622,6 +622,22 @@ def component_payload(spark, sf):
     return rows.select("ord", "id", body.alias("body"))
 
 
+def fixed_universes(spark, sf):
+    """The benchmark before the sectors, then regions and styles, in their order."""
+    bench = spark.createDataFrame([(0, *fixed.BENCHMARK)], "ord int, sym string, name string").withColumn("type", F.lit("benchmark"))
+    sectors = fixed.sectors(spark).select((F.col("ord") + 1).alias("ord"), "sym", "name", F.lit("sector").alias("type"))
+    return bench.unionByName(sectors).unionByName(fixed.regions(spark))
+
+
+def partial_feeds(spark, sf):
+    """Two feeds read for one page, one of which isn't there: its place is taken by a row with the error."""
+    feeds = {"sectors": lambda: src.sector_closes(spark, sf), "countries": lambda: src.region_closes(spark, f"{sf}/not-there")}
+    ask = lambda feed: R.horizon_returns(feed()).select("sym", rounded("y1", 2).alias("y1"))
+    parts = {name: lambda feed=feed, name=name: ask(feed).select(F.lit(name).alias("feed"), "sym", "y1", F.lit(None).cast("string").alias("error")) for name, feed in feeds.items()}
+    rows, warnings = S.loaded(parts)
+    return rows.unionByName(spark.createDataFrame([(name, None, None, why) for name, why in warnings], rows.schema))
+
+
 # streams: run over the events until all are read
 def _streamed(spark, sf, name: str, build) -> DataFrame:
     root = _store(spark, name)
@@ -659,11 +675,12 @@ def stream_daily_snapshot(spark, sf):
 
 # labels and parameters
 def labels_and_parameters(spark, sf):
-    """The New York day and label of each event's time, read as UTC; its value as a signed percentage; its id's end as a parameter."""
+    """The New York day and label of each event's time, read as UTC; its value as a signed percentage; its id's end as a parameter and,
+    with a percent sign, as a number."""
     e = src.table(spark, sf, "events")
     ts = F.col("ts").cast("timestamp")
     days = F.substring(F.col("event_id").cast("string"), -2, 2)
-    return e.select("event_id", new_york_day(ts).alias("day"), new_york_label(ts).alias("label"), signed_percent("value").alias("change"), whole_number(days, 14, 1).alias("days"), parsed(F.concat("event_type", days)).alias("none"))
+    return e.select("event_id", new_york_day(ts).alias("day"), new_york_label(ts).alias("label"), signed_percent("value").alias("change"), whole_number(days, 14, 1).alias("days"), parsed(F.concat(days, F.lit("%"))).alias("number"))
 
 
 def symbol_validation(spark, sf):
@@ -708,7 +725,7 @@ def queries() -> dict:
         factor_left_join, missing_anti_join, proxy_fallback, quote_union, ticker_tape, usage_report, latest_vs_previous, coverage_share, sector_payload, country_histories,
         snapshot_upsert, key_merge, config_upsert_delete, config_changes, counter_trim, bars_projection, bars_full, symbol_validation, csv_preamble_parse, json_closes, month_overflow, js_rounding,
         index_bars_read, point_quotes_read, put_call_window, newest_readings, factors_merged, ingest_health, quarantine, retried_closes,
-        stream_day_counts, stream_last_event, stream_daily_snapshot, labels_and_parameters,
+        stream_day_counts, stream_last_event, stream_daily_snapshot, labels_and_parameters, fixed_universes, partial_feeds,
     )
     out = {f.__name__: f for f in fs}
     return out | {f"resample_{c}": _resample(c) for c in ("month", "quarter", "year")}

@@ -174,7 +174,10 @@ def oracle_sql() -> dict[str, str]:
     q |= {
         "factor_histories": f", {FACTOR_SERIES} SELECT id, (row_number() OVER (PARTITION BY id ORDER BY d) - 1)::INTEGER AS place, d, {r('y', 3)} AS value FROM {tail('series', 'id', 504)}",
         "composite_degraded": f"{live} SELECT {r('sum(score * weight) / sum(weight)', 0)} AS score, sum(weight)::BIGINT AS weight_seen, count(*) AS n_components, 'put/call: PATH_NOT_FOUND' AS warnings FROM components WHERE id != 'putcall'",
-        "component_histories": None,
+        "scorecard_newest": f", x AS ({_returns('style', 'quarter')}), shown AS (SELECT sym, period, {r('ret', 2)} AS ret FROM x WHERE period IN (SELECT DISTINCT period FROM x ORDER BY period DESC LIMIT 8)) SELECT * FROM (PIVOT shown ON period USING max(ret) GROUP BY sym)",
+        "labels_and_parameters": " SELECT event_id, ny::DATE AS day, strftime(ny, '%b %-d, %Y, %-I:%M %p') || ' ET' AS label, CASE WHEN value IS NULL THEN '—' ELSE printf('%+.2f%%', value) END AS change, greatest(1, coalesce(nullif(days::INTEGER, 0), 14)) AS days, days::DOUBLE AS number FROM (SELECT event_id, value, timezone('America/New_York', timezone('UTC', ts)) AS ny, right(event_id::VARCHAR, 2) AS days FROM events)",
+        "fixed_universes": f" SELECT * FROM (VALUES (0, '{fixed.BENCHMARK[0]}', '{fixed.BENCHMARK[1]}', 'benchmark'), " + ", ".join(f"({k + 1}, '{s}', '{n}', 'sector')" for k, (s, n) in enumerate(fixed.SECTORS)) + ", " + ", ".join(f"({k}, '{s}', '{n}', '{t}')" for k, (s, n, t) in enumerate(fixed.REGIONS)) + ") AS t(ord, sym, name, type)",
+        "partial_feeds": f" SELECT 'sectors' AS feed, sym, {r('y1', 2)} AS y1, NULL::VARCHAR AS error FROM {_horizons('sector')} UNION ALL SELECT 'countries', NULL, NULL, 'PATH_NOT_FOUND'",
         "range_summary": f", {RANGES}, dist AS ({DIST('ranges')}) SELECT dist.*, (SELECT count(DISTINCT sym) FROM sym) AS total, range_key IN ('3Y', '5Y') AS annualized FROM dist",
         "range_change_list": f", {RANGES} SELECT range_key, row_number() OVER (PARTITION BY range_key ORDER BY pct, sym)::INTEGER AS place, sym, pct FROM ranges",
         "day_summary": f", {DAY}, dist AS ({DIST('day_')}) SELECT dist.*, (SELECT count(DISTINCT sym) FROM quotes) AS total, NULL::BOOLEAN AS annualized FROM dist",
@@ -196,6 +199,5 @@ def oracle_sql() -> dict[str, str]:
         "stream_last_event": " SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
         "stream_daily_snapshot": " SELECT ts::DATE AS d, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1",
     }
-    q = {k: x for k, x in q.items() if x is not None}
     q |= {f"resample_{c}": f" SELECT * FROM ({_resampled('region', c)})" for c in _PERIOD}
     return {name: HEAD + sql for name, sql in q.items()}
