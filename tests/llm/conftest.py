@@ -7,11 +7,11 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 @pytest.fixture(scope="session")
 def odd(spark, tmp_path_factory):
-    """Tables with nulls, empty and long texts, ties, repeated rows, near copies and clashing columns."""
+    """Tables with nulls, empty and very long texts (60,000 words), ties, repeated rows, near copies and clashing columns."""
     rng = random.Random(5)
     word = lambda: "".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7)))
     prose = lambda n: " ".join(word() for _ in range(n))
-    base, long_ = prose(80), prose(4000)
+    base, long_ = prose(80), prose(60_000)
     near = base.split()
     near[40] = "changed"
     item = prose(25)

@@ -48,6 +48,45 @@ def test_fingerprints(spark, at):
     assert np.abs(off).max() < 0.3 and np.sqrt(np.mean(np.square(off))) < 0.05
 
 
+def test_sketches_and_their_union(spark):
+    """A sketch against its definition, its estimates against the truth without bias, and the union of two against the union's own."""
+    import random
+
+    from tidemark.llm import fingerprints as fp
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    pairs = []
+    for k in range(60):
+        base = [word() for _ in range((40, 300, 4000)[k % 3])]
+        cut = len(base) // 3
+        pairs.append((k, " ".join(base), " ".join(base[cut:] + [word() for _ in range(cut)])))
+    df = spark.createDataFrame(pairs, "k int, a string, b string")
+    df = fp.sketched(fp.sketched(df, "a", "x"), "b", "y")
+    seen = df.select("k", "x", "y", fp.compared(q.F.col("x"), q.F.col("y")).alias("c"), fp.merged(q.F.col("x"), q.F.col("y")).alias("m")).collect()
+    wide = spark.createDataFrame([(k, f"{a} | {b}") for k, a, b in pairs], "k int, t string")
+    (every,) = (fp.sketched(wide, "t", "s").select("k", "s").collect(),)
+    every, texts, off = {r["k"]: r["s"] for r in every}, {k: (a, b) for k, a, b in pairs}, []
+    bound = int(-(1 << 63) + fp.FRACTION * 2**64)
+    for r in seen:
+        a, b = (shingles(t) for t in texts[r["k"]])
+        for s, own in ((r["x"], a), (r["y"], b)):
+            h = list(s["hashes"])
+            assert s["n"] == len(own) and h == sorted(set(h)) and all(v <= s["upto"] for v in h)
+            if len(own) <= fp.FLOOR:
+                assert len(h) == len(own) and s["upto"] == (1 << 63) - 1
+            elif len([v for v in h if v < bound]) < fp.FLOOR:
+                assert len(h) == fp.FLOOR and s["upto"] >= bound - 1 and s["upto"] not in h
+            else:
+                assert s["upto"] == bound - 1
+        off.append(r["c"]["likeness"] - len(a & b) / len(a | b))
+        have = set(every[r["k"]]["hashes"])  # all hashes of the pair's shingles (and of those across the bar) up to its bound
+        m, upto = r["m"], min(r["m"]["upto"], every[r["k"]]["upto"])
+        assert {v for v in m["hashes"] if v <= upto} <= have and m["upto"] == min(r["x"]["upto"], r["y"]["upto"])
+        assert set(m["hashes"]) == {v for v in (*r["x"]["hashes"], *r["y"]["hashes"]) if v <= m["upto"]}
+    assert abs(np.mean(off)) < 0.02 and np.sqrt(np.mean(np.square(off))) < 0.08
+
+
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 

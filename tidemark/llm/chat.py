@@ -10,7 +10,7 @@ away, so any text comes back. A turn's rendered text is a row and a conversation
 hold one. The loss mask covers the assistant's texts.
 
 Null text or role: empty. Turns in order of turn (nulls first), then role, then text; repeated rows are repeated turns. A null
-conv_id is a conversation. An empty table gives no rows. Other columns are not read."""
+conv_id is a conversation; the others have to be integers. An empty table gives no rows. Other columns are not read."""
 
 from __future__ import annotations
 

@@ -81,19 +81,24 @@ def ordered_bucket(df: DataFrame, key: str, rows: int = 1024, coarse: int = 64,
     return i.cast("long") * per + F.least(F.lit(per - 1).cast("long"), F.greatest(F.lit(0).cast("long"), fine))
 
 
-def ranked(df: DataFrame, group: list[str], sub: str, order: list[Column], rank: str, total: str | None = None) -> DataFrame:
+def ranked(df: DataFrame, group: list[str], sub: str, order: list[Column], rank: str, total: str | None = None, coarse: int | None = None) -> DataFrame:
     """Adds the rank (long, from 0) of each row within `group`, ordered by `sub`, then `order`; `total`: and the group's size.
 
     No task holds a whole group: rows are numbered within (group, sub), and how many rows have lower values of `sub` comes from
     a table of counts, joined on the same keys (so without another shuffle). `sub` has to split groups evenly; neither it nor the
-    group may be null."""
-    n, before, size = fresh(df.select("*", *[F.lit(0).alias(c) for c in (rank, total) if c]), "n__", "before__", "size__")
-    w = Window.partitionBy(*group).orderBy(sub)
-    counts = df.groupBy(*group, sub).agg(F.count(F.lit(1)).alias(n)).select(
-        *group, sub,
-        F.coalesce(F.sum(n).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before),
-        *([F.sum(n).over(Window.partitionBy(*group)).alias(size)] if total else []),
-    )
+    group may be null. `coarse`: `sub` is a long, and its counts are summed by so many of its values first, so that no task gets
+    the whole table of counts either."""
+    n, before, size, c, base = fresh(df.select("*", *[F.lit(0).alias(c) for c in (rank, total) if c]), "n__", "before__", "size__", "coarse__", "base__")
+    counts = df.groupBy(*group, sub).agg(F.count(F.lit(1)).alias(n))
+    lower = lambda w, x: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = [F.sum(n).over(Window.partitionBy(*group)).alias(size)] if total else []
+    if coarse:
+        counts = counts.withColumn(c, F.floor(F.col(sub) / coarse))
+        tops = counts.groupBy(*group, c).agg(F.sum(n).alias(base)).select(*group, c, lower(Window.partitionBy(*group).orderBy(c), base).alias(base))
+        own = lower(Window.partitionBy(*group, c).orderBy(sub), n)
+        counts = counts.join(tops, [*group, c]).select(*group, sub, (F.col(base) + own).alias(before), *sizes)
+    else:
+        counts = counts.select(*group, sub, lower(Window.partitionBy(*group).orderBy(sub), n).alias(before), *sizes)
     local = df.withColumn(n, F.row_number().over(Window.partitionBy(*group, sub).orderBy(*order)))
     out = local.join(counts, [*group, sub]).withColumn(rank, F.col(before) + F.col(n) - 1)
     return (out.withColumn(total, F.col(size)) if total else out).drop(n, before, size)

@@ -15,7 +15,8 @@ has a MinHash signature of COORDINATES coordinates, and is posted under each coo
 So a group of copies costs about as many pairs as it has members. Pairs of similarity 0.75 agree in fewer than MATCHES coordinates with
 a probability below one in a million.
 
-Null or wordless text: empty set, linked with nothing. Repeated rows are in one class. Null ids are linked with nothing."""
+Null or wordless text: empty set, linked with nothing. Repeated rows are in one class. Null ids are linked with nothing; ids have to be
+integers, since components are named by the smallest."""
 
 from __future__ import annotations
 

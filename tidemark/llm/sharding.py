@@ -6,7 +6,7 @@ most, and those of a stratum in two shards by about as little. Ranks are counted
 most of all rows is in many tasks.
 
 Null strata are one stratum. Repeated rows: each has a place, which one is arbitrary. Null keys come first among equal
-hashes. An empty table gives no rows. More columns stay as they are."""
+hashes. An empty table gives no rows. More columns stay as they are; those that have the outputs' names are replaced."""
 
 from __future__ import annotations
 
@@ -28,7 +28,7 @@ def interleaved(df: DataFrame, shards: int = 24, stratum: str = "source", key: s
     rows = rows.withColumn(frac, (F.col(rank) + 0.5) / F.col(size))
     parts = max(1, -(-n // 1024))
     rows = rows.withColumn(part, F.least(F.lit(parts - 1).cast("long"), F.floor(F.col(frac) * parts)))
-    rows = ranked(rows, [], part, [F.col(frac), F.col(s), F.col(h), F.col(key)], at)
+    rows = ranked(rows, [], part, [F.col(frac), F.col(s), F.col(h), F.col(key)], at, coarse=4096)
     number = F.expr(f"`{at}` * {shards} div {max(n, 1)}")
     first = F.expr(f"((`{at}` * {shards} div {max(n, 1)}) * {n} + {shards - 1}) div {shards}")
     return rows.withColumn(shard, number.cast("int")).withColumn(slot, F.col(at) - first).drop(s, h, sub, rank, size, part, at, frac)
