@@ -5,14 +5,17 @@ count(w) / words. By default a document's own n-grams are not counted as evidenc
 n-gram of the corpus would ever be unseen.
 
 Three tables do it, n-grams being named by 64-bit hashes:
-  - `exploded`: a row for each n-gram occurrence (gram, row name, place), partitioned by the hash of the n-gram;
+  - exploded n-grams: a row for each occurrence (part, gram, row name, place). A part is a range of the hash; tables are partitioned by
+    part. On their way there occurrences travel as arrays, one record for each part of some PACKET of them, and are exploded where
+    they arrive;
   - `counted`: the count table, grouped from the same partitions, of n-grams that occur more than once (what occurs once is its own
     document's alone);
-  - their join, on the n-gram, gives the totals; those of a row are gathered and its logarithms summed.
+  - their join, on part and n-gram, gives the totals; those of a row are gathered and its logarithms summed.
 N-grams go through these in SLICES ranges of the hash, one after the other, so that the shuffle's disk is a fraction of all n-grams;
-each range reads the texts anew. The commonest n-grams are counted by themselves before (partial sums in each task, a table of at
-most FREQUENT entries that is broadcast), so that no partition gets all documents' rows of one n-gram. Which n-grams these are
-is taken from a sample of about SAMPLE rows, and decides only how a count travels: all counts are over all rows.
+each range reads the texts anew. For the same reason the rows are scored in HALVES. The commonest n-grams are counted by
+themselves before (partial sums in each task, a table of at most FREQUENT entries that is broadcast), so that no partition gets
+all documents' rows of one n-gram. Which n-grams these are is taken from a sample of about SAMPLE rows, and decides only how
+a count travels: all counts are over all rows.
 
 Words: A-Z lower-cased, parted by white space; a document's n-grams don't reach over its ends. Null or wordless text: no words,
 sum 0, mean null. Repeated rows count as often as they occur. Null ids are rows like others. Rows are named by 64-bit hashes of
@@ -32,11 +35,13 @@ from .common import cleaned, written
 from .near_dups import _mixed, word_hashes
 
 ORDER, BACKOFF = 3, 0.4
-#: Ranges of the hash that are counted one after the other.
-SLICES = 5
+#: Ranges of the hash that are counted one after the other, and of the rows' names that are scored so.
+SLICES, HALVES = 4, 2
+#: Occurrences that are sorted by part at once in a worker (about 200 MB); those of a part, at most about.
+PACKET, PART = 2_000_000, 1_000_000
 #: Entries of the table of common n-grams (1.6 MB); rows of the sample that names them; how often one has to occur there.
 FREQUENT, SAMPLE, LEAST = 100_000, 4_096, 4
-EXPLODED = "gram long, row long, at int"
+PACKETS = "part int, grams array<long>, rows array<long>, ats array<int>"
 SCORED = "doc_id long, n_words long, n_seen long, n_backed_off long, log10_sum double"
 
 
@@ -90,23 +95,40 @@ def _pieces(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int =
                 yield batch.slice(a, b - a)
 
 
-def _exploded(order: int, part: int, parts: int, common: np.ndarray):
-    """(row, text) -> the occurrences of n-grams whose hash lies in the range and which aren't in `common`.
+def _packets(order: int, slice_: int, slices: int, parts: int, common: np.ndarray):
+    """(row, text) -> the occurrences of n-grams whose hash lies in the slice and which aren't in `common`, by part of the slice.
 
-    `at` is place * order + n - 1."""
+    A place is stored as place * order + n - 1."""
     table = Table(common)
-    low, high = np.uint64((part << 64) // parts), np.uint64(((part + 1 << 64) // parts) - 1)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    low, high = (slice_ << 64) // slices, (slice_ + 1 << 64) // slices
+    width = np.uint64(min(-(-(high - low) // parts), (1 << 64) - 1))
+
+    def record(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        grams, rows, ats = (np.concatenate(x) for x in zip(*held, strict=True))
+        part = np.minimum((grams - np.uint64(low)) // width, np.uint64(parts - 1)).astype(np.uint16 if parts <= 1 << 16 else np.int64)  # 16 bits are sorted by radix
+        by = np.argsort(part, kind="stable")
+        here, starts = np.unique(part[by], return_index=True)
+        offsets = pa.array(np.append(starts, len(by)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[by])) for x in (grams.view(np.int64), rows, ats)]
+        return pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), *lists], ["part", "grams", "rows", "ats"])
+
+    def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in _pieces(batches):
             names = batch.column("row").to_numpy(zero_copy_only=False)
             grams, text, place = _grams(batch.column("text").to_pylist(), order)
             for n, g in enumerate(grams):
-                mine = np.flatnonzero((g >= low) & (g <= high) & (place >= n))
+                mine = np.flatnonzero((g >= np.uint64(low)) & (g <= np.uint64(high - 1)) & (place >= n))
                 mine = mine[table.find(g[mine]) < 0]
-                yield pa.RecordBatch.from_arrays([pa.array(g[mine].view(np.int64)), pa.array(names[text[mine]]), pa.array((place[mine] * order + n).astype(np.int32))], ["gram", "row", "at"])
+                held.append((g[mine], names[text[mine]], (place[mine] * order + n).astype(np.int32)))
+                size += len(mine)
+            if size >= PACKET:
+                yield record(held)
+                held, size = [], 0
+        if size:
+            yield record(held)
 
-    return rows
+    return packets
 
 
 def _common_counts(order: int, common: np.ndarray):
@@ -181,26 +203,32 @@ def _scored(order: int, backoff: float, leave_one_out: bool, common: np.ndarray,
     return rows
 
 
+def exploded(packets: DataFrame) -> DataFrame:
+    """(part, gram, row, at), one row for each occurrence."""
+    rows = packets.select("part", "rows", "ats", F.posexplode("grams").alias("k", "gram"))
+    return rows.select("part", "gram", F.element_at("rows", F.col("k") + 1).alias("row"), F.element_at("ats", F.col("k") + 1).alias("at"))
+
+
 def _common(rows: DataFrame, order: int) -> np.ndarray:
     """The commonest n-grams of a sample, ascending."""
     n = rows.count()
     some = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "row"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30)))
-    counts = some.mapInArrow(_exploded(order, 0, 1, np.zeros(0, np.uint64)), EXPLODED).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    counts = exploded(some.mapInArrow(_packets(order, 0, 1, 1, np.zeros(0, np.uint64)), PACKETS)).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     found = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "gram").limit(FREQUENT).select("gram").collect()
     return np.sort(np.asarray([r[0] for r in found], np.int64).view(np.uint64))
 
 
-def counted(exploded: DataFrame) -> DataFrame:
-    """The count table: (gram, total) of what occurs more than once. It reads all columns (none is ever null), so that the plan can
-    read the very partitions that the other side of the join reads."""
-    return exploded.groupBy("gram").agg(F.count("row").alias("total"), F.count("at").alias("places")).where("total > 1 and places > 1").select("gram", "total")
+def counted(occurrences: DataFrame) -> DataFrame:
+    """The count table: (part, gram, total) of what occurs more than once."""
+    return occurrences.groupBy("part", "gram").agg(F.count("row").alias("total"), F.count("at").alias("places")).where("total > 1 and places > 1").select("part", "gram", "total")
 
 
-def answered(exploded: DataFrame) -> DataFrame:
-    """(row, at, totals): the totals of a row's n-grams and where they stand, in two lists of one order. The exploded rows are shuffled
-    once, for both sides."""
-    exploded = exploded.repartition("gram")
-    return exploded.join(counted(exploded).hint("shuffle_hash"), "gram").groupBy("row").agg(F.collect_list("at").alias("at"), F.collect_list("total").alias("totals"))
+def answered(packets: DataFrame) -> DataFrame:
+    """(row, at, totals): the totals of a row's n-grams and where they stand, in two lists of one order. The occurrences are shuffled
+    once, for both sides: the count table reads all columns, so that the plan can read the same partitions twice."""
+    occurrences = exploded(packets.repartition("part"))
+    totals = occurrences.join(counted(occurrences).hint("shuffle_hash"), ["part", "gram"])
+    return totals.groupBy("row").agg(F.collect_list("at").alias("at"), F.collect_list("total").alias("totals"))
 
 
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, backoff: float = BACKOFF, leave_one_out: bool = True) -> DataFrame:
@@ -213,13 +241,21 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
         sums = dict(map(tuple, sums.collect()))  # at most FREQUENT + 1 rows
     words = sums.pop(None, 0)
     counts = np.asarray([sums.get(g, 0) for g in common.view(np.int64).tolist()], np.int64)
-    parts = [written(answered(bare.mapInArrow(_exploded(order, k, SLICES, common), EXPLODED)), f"totals_{k}") for k in range(SLICES)]
-    told = parts[0]
-    for p in parts[1:]:
-        told = told.unionByName(p)
-    told = told.groupBy("row").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("totals")).alias("totals"))
-    none = {"at": F.array().cast("array<int>"), "totals": F.array().cast("array<bigint>")}
-    out = rows.join(told, "row", "left").select("doc_id", "text", *[F.coalesce(c, x).alias(c) for c, x in none.items()])
-    out = out.mapInArrow(_scored(order, backoff, leave_one_out, common, counts, words), SCORED)
+    parts = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-order * words // (SLICES * PART)))
+    told = [written(answered(bare.mapInArrow(_packets(order, k, SLICES, parts, common), PACKETS)), f"totals_{k}") for k in range(SLICES)]
+
+    def half(k: int) -> DataFrame:
+        mine = F.pmod(F.col("row"), F.lit(HALVES)) == k
+        every = told[0]
+        for t in told[1:]:
+            every = every.unionByName(t)
+        every = every.where(mine).groupBy("row").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("totals")).alias("totals"))
+        none = {"at": F.array().cast("array<int>"), "totals": F.array().cast("array<bigint>")}
+        out = rows.where(mine).join(every, "row", "left").select("doc_id", "text", *[F.coalesce(c, x).alias(c) for c, x in none.items()])
+        return written(out.mapInArrow(_scored(order, backoff, leave_one_out, common, counts, words), SCORED), f"scores_{k}")
+
+    out = half(0)
+    for k in range(1, HALVES):
+        out = out.unionByName(half(k))
     mean = F.when(F.col("n_words") > 0, F.col("log10_sum") / F.nullif(F.col("n_words"), F.lit(0)))
     return out.withColumn("log10_mean", mean)
