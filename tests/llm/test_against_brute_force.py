@@ -389,13 +389,84 @@ def test_all_on_odd_and_empty_tables(spark, odd, empty):
         assert query(spark, odd).count() > 0, name
 
 
+@pytest.fixture(scope="module")
+def nameless(spark, odd, tmp_path_factory):
+    """Null and equal ids, nulls in every column."""
+    out = tmp_path_factory.mktemp("nameless")
+    rows = [(None, "words of a text that has no id at all", None, None, None), (None, None, None, None, None), (None, "words of a text that has no id at all", "en", "s", 1)]
+    rows += [(5, f"text {k} of id five, which has several of them", None, "s", None) for k in range(3)] + [(5, None, None, None, None), (6, "secret=abcdefgh12345 idiot", "en", None, 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{out}/documents.parquet")
+    spark.createDataFrame([(None, "words of a text that has no id at all"), (None, None)], "item_id long, text string").write.parquet(f"{out}/benchmark.parquet")
+    spark.createDataFrame([(None, None, None), (6, None, 1), (6, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{out}/labels.parquet")
+    spark.createDataFrame([(None, None, None, None), (None, 1, "user", "a"), (1, None, None, "b")], "conv_id long, turn long, role string, text string").write.parquet(f"{out}/conversations.parquet")
+    return str(out)
+
+
+def test_null_and_equal_ids(spark, nameless):
+    docs = Counter(r["doc_id"] for r in rows_of(spark, nameless))
+    for name, query in q.queries().items():
+        rows = query(spark, nameless).collect()
+        if name == "op8_chat":
+            assert {r["conv_id"]: r["n_turns"] for r in rows} == {None: 2, 1: 1, -1: 2}
+        elif name != "pipeline":
+            assert Counter(r["doc_id"] for r in rows) == docs, name
+    near = {(r["doc_id"], r["component_id"], r["kept"]) for r in q.op10_near_dups(spark, nameless).collect() if r["doc_id"] is None}
+    assert near == {(None, None, True)}
+    leaks = Counter((r["doc_id"], r["n_hit"] > 0, r["n_items"]) for r in q.op7_decontaminate(spark, nameless).collect() if r["doc_id"] is None)
+    assert leaks == {(None, True, 0): 2, (None, False, 0): 1}  # items without an id hit, and are not named
+    ids = sorted(((r["start"], r["n_tokens"]) for r in q.op9_binary_ids(spark, nameless).collect()))
+    assert [a for a, _ in ids] == [0, *np.cumsum([n for _, n in ids])[:-1].tolist()]
+
+
+def test_columns_of_the_outputs_names_are_replaced(spark, odd):
+    from tidemark.llm import decontaminate, secret_scan, sharding
+
+    docs = spark.read.parquet(f"{odd}/documents.parquet")
+    n = docs.count()
+    clash = docs.select("*", *[q.F.lit("x").alias(c) for c in ("secrets", "battery", "contamination", "shard", "slot", "t__", "base__", "nth__")])
+    out = secret_scan.with_secrets(clash, bounds={}, battery="battery")
+    assert out.columns == clash.columns and out.where("size(secrets) >= 0 and size(battery) = 0").count() == n
+    out = decontaminate.with_contamination(clash, spark.read.parquet(f"{odd}/benchmark.parquet"))
+    assert sorted(out.columns) == sorted(clash.columns) and out.where("contamination.n_words >= 0").count() == n
+    out = sharding.interleaved(clash, 3)
+    assert sorted(out.columns) == sorted(clash.columns) and out.where("shard between 0 and 2 and slot >= 0").count() == n
+
+
 def test_pipeline(spark, odd):
+    """Each stage against what its operator, checked above, says of its input; the last against the library's ids."""
     import corpus_pipeline as c
+    from tidemark.llm import decontaminate, near_dups, secret_scan, toxicity
 
     docs = spark.read.parquet(f"{odd}/documents.parquet")
+    tables = [docs]
     for _, stage in c.STAGES[:-1]:
-        docs, before = stage(spark, docs, odd), docs
-        assert docs.schema == before.schema
-    kept = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert len(kept) == docs.count() and "[SECRET]" in kept[49] and 55 in kept and 1 in kept
-    assert not {52, 19, 22} & kept.keys()
+        tables.append(stage(spark, tables[-1], odd))
+        assert tables[-1].schema == docs.schema
+    rows = [Counter((r["doc_id"], r["text"]) for r in t.collect()) for t in tables]
+    labels, bench = (spark.read.parquet(f"{odd}/{t}.parquet") for t in ("labels", "benchmark"))
+    scores = toxicity.with_toxicity(tables[0], labels, out="score").collect()
+    assert rows[1] == Counter((r["doc_id"], r["text"]) for r in scores if r["score"] < toxicity.CUT) and 52 not in {d for d, _ in rows[1]}
+    kept = {r["doc_id"] for r in near_dups.linked(tables[1]).collect() if r["kept"]}
+    assert set(rows[2]) == {x for x in rows[1] if x[0] in kept} and set(rows[2].values()) == {1}
+    found = decontaminate.with_contamination(tables[2], bench, out="found").collect()
+    assert rows[3] == Counter((r["doc_id"], r["text"]) for r in found if not r["found"]["n_hit"])
+    spans = {r["doc_id"]: (r["text"], r["s"]) for r in secret_scan.with_secrets(tables[3], out="s").collect()}
+    for doc, text in rows[4]:
+        before, s = spans[doc]
+        want = list(before) if before is not None else None
+        for a, b in sorted(((x["start"], x["end"]) for x in s), reverse=True):
+            want[a:b] = ["[SECRET]"]
+        assert text == (None if want is None else "".join(want))
+    encode, want = tokens("byte_bpe_50k.json"), Counter()
+    for doc, text in rows[4]:
+        ids = encode(text)
+        first = len(ids) % 1024 or 1024
+        want.update((doc, k, crc(ids[a:b])) for k, (a, b) in enumerate([(0, min(first, len(ids)))] + [(a, a + 1024) for a in range(first, len(ids), 1024)]))
+    out = c.run(spark, odd).collect()
+    assert Counter((r["doc_id"], r["piece"], zlib.crc32(r["ids"])) for r in out) == want
+    bins = defaultdict(list)
+    for r in out:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for spots in bins.values():
+        spots.sort()
+        assert [o for o, _ in spots] == [0, *np.cumsum([n for _, n in spots])[:-1].tolist()] and sum(n for _, n in spots) <= 1024

@@ -10,7 +10,7 @@ from tidemark.llm import queries as q
 from tidemark.llm.toxicity import DEFAULT_WEIGHTS, REACH, Scorer, fixed_lexicon
 
 SCORER = Scorer(fixed_lexicon(), DEFAULT_WEIGHTS)
-WORD_OF = {"I": "idiot", "T": "kill", "Y": "you", "F": "will", "N": "not", "B": "but", "R": "said", "Q": '"', "o": "plain"}
+WORD_OF = {"I": "idiot", "T": "kill", "Y": "you", "F": "will", "N": "not", "B": "but", "R": "said", "D": "the", "Q": '"', "o": "plain"}
 
 
 def direct(symbols):
@@ -32,6 +32,10 @@ def direct(symbols):
             if not near("Y", after):
                 continue
             weight *= 2.0 if near("F", before) else 1.0
+        if s == "I" and i and symbols[i - 1] == "D":
+            weight *= 1.2
+        if "I" in symbols[:i]:
+            weight *= 1.3
         turn = max((k for k in before if symbols[k] == "B"), default=-1)
         if near("N", range(turn + 1, i)):
             weight *= 0.4
@@ -47,7 +51,7 @@ def direct(symbols):
 
 
 @settings(max_examples=1500, deadline=None)
-@given(st.lists(st.sampled_from("ITYFNBRQo"), max_size=18))
+@given(st.lists(st.sampled_from("ITYFNBRDQo"), max_size=18))
 def test_the_machine_against_a_direct_search(symbols):
     score, _ = SCORER.clause(" ".join(WORD_OF[s] for s in symbols))
     assert math.isclose(score, direct(symbols), abs_tol=1e-9)
@@ -58,14 +62,23 @@ def seen(text):
 
 
 def test_each_transducer():
-    assert seen("the idiot") == [(1.0, "I")]
-    assert seen("you are an idiot") == seen("idiots like you") == [(1.5, "i")]  # target, aim
+    assert seen("idiot") == [(1.0, "I")]
+    assert seen("you are so idiot") == seen("idiots like you") == [(1.5, "i")]  # target, aim
     assert seen("kill them") == [(1.0, "t")] and seen("i will kill you") == [(2.0, "w")]  # aim, will
     assert seen("they burn wood") == seen("you kill weeds") == []  # unaimed
-    assert seen("you are not an idiot") == [(0.6, "i-")] and seen("not stupid but a moron") == [(1.4, "I- I")]  # negation, contrast
-    assert seen("he said: you are an idiot") == seen('"you are an idiot", she wrote') == [(0.75, "i~")]  # reported
-    assert seen("she says he is not an idiot") == [(0.3, "i-~")]
+    assert seen("the clown") == [(1.2, "I=")] and seen("you are an idiot") == [(1.8, "i=")]  # named
+    assert seen("you are not idiot") == [(0.6, "i-")] and seen("not stupid but worthless") == [(1.7, "I- I+")]  # negation, contrast, heaped
+    assert seen("he said: you are idiot") == seen('"you are idiot", she wrote') == [(0.75, "i~")]  # reported
+    assert seen("she says he is not an idiot") == [(0.36, "i=-~")]
     assert seen("drop dead") == [(1.0, "I")] and seen("two idiots") == [(1.0, "I")]
+    assert seen("stupid pathetic loser") == [(3.6, "I I+ I+")]
+
+
+def test_the_paths_of_the_given_documents(spark):
+    """Matches don't all go by the plain path."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("text rlike 'idiot|stupid|moron'").limit(300).collect()
+    marks = [m for r in rows for _, _, _, x in SCORER.matched(r["text"].lower()) for m in x.split()]
+    assert len(marks) > 300 and sum(m != "I" for m in marks) > 0.15 * len(marks)
 
 
 def test_paths_decide_the_score():
@@ -81,8 +94,8 @@ def test_a_clause_runs_to_its_punctuation():
     for pad in range(380, 420):
         text = "so it is; " + "he said idiot" + " x" * (pad // 2) + " " * (pad % 2) + " degenerate" + " x" * 600 + " moron. fine"
         ((a, b, score, marks),) = SCORER.matched(text)
-        assert (text[a:b].strip(), score, marks) == (text[10:-6], 1.75, "i~ I~ I~")
-    assert [r[3] for r in SCORER.matched("x " * 500 + "idiot" + " x" * 500 + " moron|trash? no clown")] == ["I I", "I", "I-"]
+        assert (text[a:b].strip(), score, marks) == (text[10:-6], 2.05, "i~ I~+ I~+")
+    assert [r[3] for r in SCORER.matched("x " * 500 + "idiot" + " x" * 500 + " moron|trash? no clown")] == ["I I+", "I", "I-"]
 
 
 def test_learned_threats(spark):

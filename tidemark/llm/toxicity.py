@@ -1,13 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols: insult (I), threat (T), target (Y), will (F: what announces a deed), negation (N), contrast (B), reporter (R), quote
-or colon (Q), other (o). Weighted transducers over these symbols are composed into two machines, of which one reads a clause from its
+Words become symbols: insult (I), threat (T), target (Y), will (F: what announces a deed), article (D: what makes a name of a word),
+negation (N), contrast (B), reporter (R), quote or colon (Q), other (o). Weighted transducers over these symbols are composed into two machines, of which one reads a clause from its
 beginning and the other reads what the first has written from the end, so that context counts on both sides of a word. A clause runs
 to one of . ! ? ; | or a line break, however long; a colon doesn't end it. From the beginning:
   - target: an insult within REACH words after a target counts for more (i);
   - will: a threat within REACH words after a word of will is announced (W);
+  - named: an insult right behind an article ("such an idiot", "the clown") is a name for somebody and counts for more (mark =);
   - negation: what stands within REACH words after a negation, with no contrast between, counts for less (mark -);
-  - reported: what follows a reporter in its clause, behind a colon or quote as well, counts for less (mark ~).
+  - reported: what follows a reporter in its clause, behind a colon or quote as well, counts for less (mark ~);
+  - heaped: a match after an insult of the same clause counts for more (mark +).
 From the end:
   - aim: an insult within REACH words before a target counts for more (i); a threat with a target within REACH words behind it, its
     object, is one (t; announced: w, the strongest pattern);
@@ -47,6 +49,7 @@ THREATS = "kill hurt destroy beat smash stab shoot strangle burn attack punish c
 MORE_THREATS = "beaten shot stabbed stabbing tötet schlägt tue frappe mata".split()
 IDIOMS = ["shut up", "drop dead", "go to hell", "piece of trash", "waste of space", "good for nothing"]
 TARGETS = "you your yours yourself he she him her his they them their these those people everyone all u du ihr sie dich euch ihn tu te vous toi lui ils elles leur tú te usted ustedes ellos ellas lo los".split()
+ARTICLES = "a an the this that such der die das ein eine einen le la un une el los las una".split()
 WILL = "will would shall gonna going want must should i'll we'll they'll he'll she'll werde werden will wollen vais va allons voy vamos quiero".split()
 NEGATIONS = "not no never don't doesn't isn't aren't won't wouldn't cannot can't without nicht kein keine keinen nie ohne ne pas jamais sans nunca jamás sin".split()
 CONTRASTS = "but yet although sondern aber mais pourtant sino pero".split()
@@ -105,22 +108,26 @@ def forward() -> Transducer:
     quotes = {(k, "Q"): (k, "Q", 1.0) for k in count}  # no words
     target = Transducer(0, quotes | {(k, "Y"): (REACH, "Y", 1.0) for k in count} | {(k, "I"): (down[k], "i", 1.5) for k in count if k}, down)
     will = Transducer(0, quotes | {(k, "F"): (REACH, "F", 1.0) for k in count} | {(k, "T"): (down[k], "W", 1.0) for k in count if k}, down)
-    marked = {(k, s): (down[k], s + "-", 0.4) for k in count if k for s in "IiTW"}
+    named = Transducer(0, {(k, "D"): (1, "D", 1.0) for k in (0, 1)} | {(1, s): (0, s + "=", 1.2) for s in "Ii"}, {0: 0, 1: 0})
+    words = ["I", "i", "T", "W", "I=", "i="]
+    marked = {(k, s): (down[k], s + "-", 0.4) for k in count if k for s in words}
     negation = Transducer(0, quotes | {(k, "N"): (REACH, "N", 1.0) for k in count} | {(k, "B"): (0, "B", 1.0) for k in count} | marked, down)
-    hits = [s + n for s in "IiTW" for n in ("", "-")]
+    hits = [s + n for s in words for n in ("", "-")]
     reported = Transducer(0, {(k, "R"): (1, "R", 1.0) for k in (0, 1)} | {(1, s): (1, s + "~", 0.5) for s in hits}, {0: 0, 1: 1})
-    return target @ will @ negation @ reported
+    hits = [s + n for s in hits for n in ("", "~")]
+    heaped = Transducer(0, {(0, s): (1, s, 1.0) for s in hits if s[0] in "Ii"} | {(1, s): (1, s + "+", 1.3) for s in hits}, {0: 0, 1: 1})
+    return target @ will @ named @ negation @ reported @ heaped
 
 
 def backward() -> Transducer:
     """The machine that reads what `forward` has written, from the end."""
     count, down = _reach()
-    marks = [n + r for n in ("", "-") for r in ("", "~")]
+    marks = [a + n + r + h for a in ("", "=") for n in ("", "-") for r in ("", "~") for h in ("", "+")]
     quotes = {(k, "Q"): (k, "Q", 1.0) for k in count}
     towards = {(k, a + m): (down[k], b + m, w) for k in count if k for a, b, w in (("I", "i", 1.5), ("T", "t", 1.0), ("W", "w", 2.0)) for m in marks}
     aim = Transducer(0, quotes | {(k, "Y"): (REACH, "Y", 1.0) for k in count} | towards, down)
     unaimed = Transducer(0, {(0, s + m): (0, "o", 0.0) for s in "TW" for m in marks}, {0: 0})
-    inside = {(2, s + n): (2, s + n + "~", 0.5) for s in "Iitw" for n in ("", "-")}
+    inside = {(2, s + m): (2, s + m + "~", 0.5) for s in "Iitw" for m in marks if "~" not in m}
     reported = Transducer(0, {(0, "R"): (1, "R", 1.0), (1, "Q"): (2, "Q", 1.0), (2, "Q"): (0, "Q", 1.0)} | inside, {0: 0, 1: 1, 2: 2})
     return aim @ unaimed @ reported
 
@@ -133,7 +140,7 @@ class Scorer:
 
         self.weights = weights
         self.forward, self.backward = forward(), backward()
-        self.words = {w: (s, 1.0) for words, s in ((TARGETS, "Y"), (WILL, "F"), (NEGATIONS, "N"), (CONTRASTS, "B"), (REPORTERS, "R"), (':"“”„«»', "Q")) for w in words}
+        self.words = {w: (s, 1.0) for words, s in ((ARTICLES, "D"), (TARGETS, "Y"), (WILL, "F"), (NEGATIONS, "N"), (CONTRASTS, "B"), (REPORTERS, "R"), (':"“”„«»', "Q")) for w in words}
         self.words |= {w: (s, v) for (s, w), v in lexicon.items() if w[-1] != "*"}
         self.begins = {w[:-1]: (s, v) for (s, w), v in lexicon.items() if w[-1] == "*"}
         self.lengths = sorted({len(w) for w in self.begins}, reverse=True)
@@ -204,7 +211,7 @@ def fixed_lexicon() -> dict[tuple[str, str], float]:
 
 
 #: Where nothing can be learned.
-DEFAULT_WEIGHTS = [-4.5, 2.0, 2.0, 1.0, 0.5]
+DEFAULT_WEIGHTS = [-5.0, 2.0, 2.0, 1.3, 0.5]
 
 
 def _grams(text: str) -> dict[str, bool]:
@@ -261,7 +268,7 @@ def lexicon(sample: DataFrame) -> dict[tuple[str, str], float]:
     odds = F.log((F.col("toxic") + 0.1) / toxic) - F.log((F.col("clean") + 0.5) / clean)
     rows = rows.where(F.col("toxic") >= LEAST_SUPPORT).withColumn("odds", odds).where("odds > 2.7").orderBy(F.desc("toxic"), "gram").limit(LEXICON)
     found = {r["gram"]: ("T" if 2 * r["willed"] > r["toxic"] else "I", float(r["odds"])) for r in rows.collect()}
-    known, context = {w for _, w in out}, {*TARGETS, *WILL, *NEGATIONS, *CONTRASTS, *REPORTERS}
+    known, context = {w for _, w in out}, {*ARTICLES, *TARGETS, *WILL, *NEGATIONS, *CONTRASTS, *REPORTERS}
     for g in sorted(found, key=len):  # what a shorter beginning explains as well is left out
         stem = g.rstrip("*")
         if g in context or any(stem[:n] + "*" in known for n in range(4, len(stem) + (g[-1] != "*"))):
