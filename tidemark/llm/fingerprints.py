@@ -23,8 +23,8 @@ from .common import fresh, ordered_bucket
 #: Of the hashes' range: one in 16.
 FRACTION = 1 / 16
 FLOOR = 64
-#: Rows of a bucket in `with_next`; beyond about 1e9 rows buckets get larger.
-BUCKET_ROWS = 1024
+#: Rows of a bucket in `with_next`, few, so that tasks get equal shares of them; beyond about 1e8 rows buckets get larger.
+BUCKET_ROWS = 128
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1
 
 
@@ -71,7 +71,7 @@ def with_next(df: DataFrame, key: str, columns: dict[str, str], tie: str, derive
 
     Rows are dealt by ordered buckets; each bucket also gets the first row of the next one, so a window within the bucket is
     enough. `derive` adds columns once rows are in their buckets, so they aren't shuffled. The first keys, which are sent to all
-    tasks, are as many as buckets: a row for BUCKET_ROWS rows, and a million at most (about 50 MB). Null keys come first."""
+    tasks, are as many as buckets: one for BUCKET_ROWS rows, and a million at most (about 50 MB). Null keys come first."""
     if df.isEmpty():
         return derive(df).select("*", *[F.col(c).alias(n) for c, n in columns.items()])
     bucket, guest, to, head = fresh(df, "bucket__", "guest__", "to__", "head__")

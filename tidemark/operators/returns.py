@@ -83,5 +83,5 @@ def summarised(changes: DataFrame, universe: DataFrame) -> DataFrame:
 
 def change_list(changes: DataFrame, universe: DataFrame) -> DataFrame:
     """(range_key, place, sym, pct): the changes of each range from the least to the largest, ties in the universe's order (ord, sym)."""
-    rows = changes.join(F.broadcast(universe.select("sym", "ord")), "sym")
+    rows = changes.join(universe.select("sym", "ord"), "sym")
     return rows.select("range_key", F.row_number().over(Window.partitionBy("range_key").orderBy("pct", "ord")).alias("place"), "sym", "pct")

@@ -43,6 +43,14 @@ def scorecard(closes: DataFrame, cadence: str, periods: list[str] | None = None)
     return returns.groupBy("sym").pivot("period", periods).agg(rounded(F.first("ret"), 2))
 
 
+def scorecard_by_place(closes: DataFrame, cadence: str) -> DataFrame:
+    """A row for each symbol, a column for each of the newest periods by its place: p1 is the newest. Nothing is read beforehand."""
+    returns, shown = period_returns(closes, cadence), range(1, SHOWN[cadence] + 1)
+    places = returns.select("period").distinct().withColumn("place", F.row_number().over(Window.orderBy(F.desc("period")))).where(F.col("place") <= len(shown))
+    rows = returns.join(F.broadcast(places), "period", "left")  # at most a dozen rows
+    return rows.groupBy("sym").agg(*[rounded(F.max(F.when(F.col("place") == k, F.col("ret"))), 2).alias(f"p{k}") for k in shown])
+
+
 def leaderboard(returns: DataFrame, by: str, columns: list[str], descending: bool = True) -> DataFrame:
     """Rank by a return, nulls last either way, with the heat of each cell against its column's largest."""
     key = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()

@@ -117,12 +117,16 @@ def composite(parts: DataFrame) -> DataFrame:
     return parts.agg(F.when(n == 0, F.raise_error(F.lit("no component could be computed"))).otherwise(rounded(mean, 0)).alias("score"), F.sum("weight").alias("weight_seen"), n.alias("n_components"))
 
 
-def composite_history(scores: DataFrame, loaded: DataFrame, closes: DataFrame, last: int = 504) -> DataFrame:
-    """(id, d, score, weight) -> d, score (whole points) for the days on which all `loaded` series (id, weight) have one, with the latest
-    close (null if none yet). A series that has loaded but is too short for a score leaves no day."""
-    total = loaded.select("id", "weight").distinct().agg(F.sum("weight").alias("total"))
-    days = scores.groupBy("d").agg(F.sum(F.col("score").cast("decimal(18,1)") * F.col("weight")).alias("s"), F.sum("weight").alias("w"))
-    days = days.join(F.broadcast(total), F.col("w") == F.col("total")).select("d", rounded(F.col("s").cast("double") / F.col("w"), 0).alias("score"))
+def composite_history(series: DataFrame, specs: DataFrame, windows: tuple[int, ...], closes: DataFrame, last: int = 504) -> DataFrame:
+    """(id, d, y) -> d, score (whole points) for the days on which all series that there are have a score, with the latest close (null if
+    none yet). A series that has loaded but is too short for a score leaves no day. The weights of the series that there are come
+    with the days (a few ids a day), so the series are read once."""
+    rows = _ranked(series, specs.select("id", "weight", "invert", "window"), windows, "d")
+    own = lambda c: F.sum(F.when(F.col("scored__"), c))
+    days = rows.groupBy("d").agg(own(F.col("score").cast("decimal(18,1)") * F.col("weight")).alias("s"), own(F.col("weight")).alias("w"), F.collect_set(F.struct("id", "weight")).alias("ids"))
+    every = F.collect_set("ids").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # a row a day
+    total = F.aggregate(F.array_distinct(F.flatten(every)), F.lit(0), lambda t, x: t + x["weight"])
+    days = days.withColumn("total", total).where("w = total").select("d", rounded(F.col("s").cast("double") / F.col("w"), 0).alias("score"))
     return asof(tail(days, last, []), closes.select("d", "close"), [], "close", "close")
 
 

@@ -158,9 +158,7 @@ def asof_ratio_rebased(spark, sf):
 
 
 def scalar_asof(spark, sf):
-    rows = src.sector_closes(spark, sf)
-    last = rows.groupBy("sym").agg(F.max("d").alias("last"))
-    rows = rows.join(F.broadcast(last), "sym")
+    rows = src.sector_closes(spark, sf).withColumn("last", F.max("d").over(Window.partitionBy("sym")))
     return rows.groupBy("sym").agg(A.at_or_before(F.date_sub("last", 100)).alias("base"))
 
 
@@ -196,9 +194,7 @@ def composite_history(spark, sf):
     charted = fixed.factor_specs(spark).where("charted")
     parts = factor_parts(spark, sf)
     series = S.loaded({k: parts[k] for k in ("breadth", "market")})[0]
-    scores = S.scored(series, charted, fixed.WINDOWS)
-    present = series.select("id").distinct().join(F.broadcast(charted.select("id", "weight")), "id")
-    return S.composite_history(scores, present, src.market_bars(spark, sf))
+    return S.composite_history(series, charted, fixed.WINDOWS, src.market_bars(spark, sf))
 
 
 def component_histories(spark, sf):
@@ -325,13 +321,12 @@ def heat_cells(spark, sf):
 
 
 def scorecard_pivot(spark, sf):
-    years = [str(y) for y in range(1995, 1999)]
-    out = C.scorecard(src.region_closes(spark, sf).where("type = 'region'"), "year", years)
-    return out.select("sym", *[F.col(y).alias(f"y{y}") for y in years])
+    """The newest 8 years, from the newest (p1) on."""
+    return C.scorecard_by_place(src.region_closes(spark, sf).where("type = 'region'"), "year")
 
 
 def scorecard_newest_years(spark, sf):
-    """Whichever years the rows have, the newest 8 of them; scorecard_pivot shows the years of its SQL alone."""
+    """The same with the years as names of columns."""
     return C.scorecard(src.region_closes(spark, sf).where("type = 'region'"), "year")
 
 
@@ -430,7 +425,7 @@ def key_merge(spark, sf):
 def config_upsert_delete(spark, sf):
     names = src.table(spark, sf, "nation")
     old = names.where("n_nationkey < 10").select(F.col("n_name").alias("name"), F.col("n_nationkey").cast("string").alias("params"), F.lit(0).cast("long").alias("saved_at"), F.col("n_nationkey").alias("ord"))
-    new = names.where("n_nationkey >= 5 and n_nationkey < 15").select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 4 != 1, F.concat(F.lit("v"), F.col("n_nationkey"))).alias("params"), F.lit(1).cast("long").alias("saved_at"), F.col("n_nationkey").alias("ord"))
+    new = names.where("n_nationkey >= 5").select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 4 != 1, F.concat(F.lit("v"), F.col("n_nationkey"))).alias("params"), F.lit(1).cast("long").alias("saved_at"), F.col("n_nationkey").alias("ord"))
     return K.configs_saved(old, new)
 
 

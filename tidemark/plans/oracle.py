@@ -142,7 +142,7 @@ def oracle_sql() -> dict[str, str]:
         "day_distribution": f", {DAY} {DIST('day_')}",
         "period_returns": f" SELECT sym, period, {r('ret', 4)} AS ret FROM ({_returns('style', 'quarter')})",
         "heat_cells": f", x AS ({_returns('region', 'month')}) SELECT sym, period, {r('ret', 2)} AS ret, {r('least(abs(ret) / 10.0, 1.0) * 0.55', 4)} AS opacity FROM x WHERE period IN (SELECT DISTINCT period FROM x ORDER BY period DESC LIMIT 12)",
-        "scorecard_pivot": f", x AS ({_returns('region', 'year')}) SELECT sym, {', '.join(f'{r(f"max(ret) FILTER (WHERE period = {chr(39)}{y}{chr(39)})", 2)} AS y{y}' for y in range(1995, 1999))} FROM x GROUP BY sym",
+        "scorecard_pivot": f", x AS ({_returns('region', 'year')}), k AS (SELECT period, row_number() OVER (ORDER BY period DESC) AS place FROM (SELECT DISTINCT period FROM x)) SELECT sym, {', '.join(f'{r(f"max(ret) FILTER (WHERE place = {p})", 2)} AS p{p}' for p in range(1, 9))} FROM x JOIN k ON x.period = k.period GROUP BY sym",
         "scorecard_newest_years": f", x AS ({_returns('region', 'year')}), shown AS (SELECT sym, period, {r('ret', 2)} AS ret FROM x WHERE period IN (SELECT DISTINCT period FROM x ORDER BY period DESC LIMIT 8)) SELECT * FROM (PIVOT shown ON period USING max(ret) GROUP BY sym)",
         "leaderboard_nulls_last": f", {_BOARD} SELECT row_number() OVER (ORDER BY y1 DESC NULLS LAST, sym)::INTEGER AS place, sym, d1, m1, y1, {', '.join(f'{_HEAT(k)} AS heat_{k}' for k in ('d1', 'm1', 'y1'))} FROM board",
         "heat_intensity": f", {_BOARD} SELECT sym, {_HEAT('d1')} AS heat_d1, {_HEAT('y1')} AS heat_y1 FROM board",
@@ -157,7 +157,7 @@ def oracle_sql() -> dict[str, str]:
         "coverage_share": f" SELECT o_orderdate::DATE AS d, {_share(chr(99) + 'ount(*) FILTER (WHERE o_orderstatus = ' + chr(39) + 'F' + chr(39) + ')', 'count(*)')} AS pct FROM orders GROUP BY 1",
         "snapshot_upsert": f" SELECT d, {r('CASE WHEN rn <= 30 THEN close * 2 ELSE close END', 2)} AS close FROM (SELECT *, row_number() OVER (ORDER BY d DESC) AS rn FROM bench)",
         "key_merge": f", {RANGES}, {DAY} {DIST('ranges')} UNION ALL {DIST('day_')}",
-        "config_upsert_delete": " SELECT n_name AS name, CASE WHEN n_nationkey >= 5 THEN 'v' || n_nationkey ELSE n_nationkey::VARCHAR END AS params, CASE WHEN n_nationkey >= 5 THEN 1 ELSE 0 END::BIGINT AS saved_at, (CASE WHEN n_nationkey < 10 THEN n_nationkey ELSE 9 + row_number() OVER (PARTITION BY n_nationkey < 10 ORDER BY n_nationkey) END)::INTEGER AS ord FROM nation WHERE n_nationkey < 15 AND NOT (n_nationkey >= 5 AND n_nationkey % 4 = 1)",
+        "config_upsert_delete": " SELECT n_name AS name, CASE WHEN n_nationkey >= 5 THEN 'v' || n_nationkey ELSE n_nationkey::VARCHAR END AS params, CASE WHEN n_nationkey >= 5 THEN 1 ELSE 0 END::BIGINT AS saved_at, (CASE WHEN n_nationkey < 10 THEN n_nationkey ELSE 9 + row_number() OVER (PARTITION BY n_nationkey < 10 ORDER BY n_nationkey) END)::INTEGER AS ord FROM nation WHERE NOT (n_nationkey >= 5 AND n_nationkey % 4 = 1)",
         "counter_trim": " SELECT o_orderdate::DATE AS d, count(*) AS calls FROM orders GROUP BY 1 ORDER BY d DESC LIMIT 90",
         "bars_projection": f" SELECT l_shipdate::DATE AS d, {r('max(l_extendedprice)', 1)} AS high, sum(l_quantity::BIGINT)::BIGINT AS volume FROM lineitem GROUP BY 1",
         "bars_full": f" SELECT sym, d, {r('o', 4)} AS open, {r('h', 4)} AS high, {r('l', 4)} AS low, {r('c', 4)} AS raw_close, {r('c / 3', 4)} AS adj_close, CASE WHEN n > 1 THEN n ELSE 0 END::BIGINT AS volume, CASE WHEN day(d) = 1 THEN 0.25 ELSE 0 END::DOUBLE AS dividend FROM (SELECT o_orderpriority AS sym, o_orderdate::DATE AS d, arg_min(o_totalprice, o_orderkey) AS o, max(o_totalprice) AS h, min(o_totalprice) AS l, arg_max(o_totalprice, o_orderkey) AS c, count(*) AS n FROM orders GROUP BY 1, 2)",
