@@ -402,6 +402,21 @@ def nameless(spark, odd, tmp_path_factory):
     return str(out)
 
 
+def test_sizes_change_no_result(spark, odd, monkeypatch):
+    """What is sent to all tasks, how many passes, packets, parts and files there are: the same rows."""
+    names = ("op4_lm_score", "op9_binary_ids", "op10_near_dups", "op1_fingerprint", "op5_packing")
+    run = lambda: {n: Counter(map(tuple, q.queries()[n](spark, odd).drop("sequence_id", "offset").collect())) for n in names}
+    want = run()
+    monkeypatch.setattr(q.lm_score, "FREQUENT", 3)
+    monkeypatch.setattr(q.lm_score, "SLICES", 2)
+    monkeypatch.setattr(q.lm_score, "HALVES", 1)
+    monkeypatch.setattr(q.lm_score, "PACKET", 50)
+    monkeypatch.setattr(q.binary_ids, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(q.near_dups, "MANY_COPIES", 1)
+    monkeypatch.setattr(q.fingerprints, "BUCKET_ROWS", 2)
+    assert run() == want
+
+
 def test_null_and_equal_ids(spark, nameless):
     docs = Counter(r["doc_id"] for r in rows_of(spark, nameless))
     for name, query in q.queries().items():

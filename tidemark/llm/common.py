@@ -28,19 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-#: With it Spark removes a query's shuffle files as soon as it has ended, not when its plan is garbage-collected.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 @contextlib.contextmanager
-def cleaned(spark: SparkSession) -> Iterator[None]:
-    """What is run inside leaves no shuffle files behind."""
-    had = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """The session's SQL settings (dots as double underscores) for what is planned and run inside."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    had = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(_CLEANUP) if had is None else spark.conf.set(_CLEANUP, had)
+        for k, v in had.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def cleaned(spark: SparkSession) -> contextlib.AbstractContextManager:
+    """What is run inside leaves no shuffle files behind: Spark removes a query's as soon as it has ended, not when its plan is
+    garbage-collected."""
+    return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

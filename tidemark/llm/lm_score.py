@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cleaned, written
+from .common import cleaned, settings, written
 from .near_dups import _mixed, word_hashes
 
 ORDER, BACKOFF = 3, 0.4
@@ -41,6 +41,8 @@ SLICES, HALVES = 4, 2
 PACKET, PART = 2_000_000, 1_000_000
 #: Entries of the table of common n-grams (1.6 MB); rows of the sample that names them; how often one has to occur there.
 FREQUENT, SAMPLE, LEAST = 100_000, 4_096, 4
+#: A join may use partitions by some of its keys.
+CO_LOCATED = {"spark__sql__requireAllClusterKeysForCoPartition": "false"}
 PACKETS = "part int, grams array<long>, rows array<long>, ats array<int>"
 SCORED = "doc_id long, n_words long, n_seen long, n_backed_off long, log10_sum double"
 
@@ -225,7 +227,8 @@ def counted(occurrences: DataFrame) -> DataFrame:
 
 def answered(packets: DataFrame) -> DataFrame:
     """(row, at, totals): the totals of a row's n-grams and where they stand, in two lists of one order. The occurrences are shuffled
-    once, for both sides: the count table reads all columns, so that the plan can read the same partitions twice."""
+    once, for both sides: the count table reads all columns, so that the plan can read the same partitions twice. Written under
+    CO_LOCATED, partitions by part serve the join on part and n-gram as they are."""
     occurrences = exploded(packets.repartition("part"))
     totals = occurrences.join(counted(occurrences).hint("shuffle_hash"), ["part", "gram"])
     return totals.groupBy("row").agg(F.collect_list("at").alias("at"), F.collect_list("total").alias("totals"))
@@ -242,7 +245,8 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
     words = sums.pop(None, 0)
     counts = np.asarray([sums.get(g, 0) for g in common.view(np.int64).tolist()], np.int64)
     parts = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-order * words // (SLICES * PART)))
-    told = [written(answered(bare.mapInArrow(_packets(order, k, SLICES, parts, common), PACKETS)), f"totals_{k}") for k in range(SLICES)]
+    with settings(docs.sparkSession, **CO_LOCATED):
+        told = [written(answered(bare.mapInArrow(_packets(order, k, SLICES, parts, common), PACKETS)), f"totals_{k}") for k in range(SLICES)]
 
     def half(k: int) -> DataFrame:
         mine = F.pmod(F.col("row"), F.lit(HALVES)) == k
