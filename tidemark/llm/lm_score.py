@@ -199,7 +199,7 @@ def _scored(order: int, backoff: float, leave_one_out: bool, common: np.ndarray,
                 used = np.where(ok & seen, n, used)
             full = np.minimum(order, place + 1)
             add = lambda x: np.bincount(text, x, batch.num_rows)  # noqa: E731, B023
-            out = [batch.column("doc_id"), pa.array(size), pa.array(add(used == full).astype(np.int64)), pa.array(add(used < full).astype(np.int64)), pa.array(add(result))]
+            out = [batch.column("doc_id"), pa.array(size), pa.array(add(used == full).astype(np.int64)), pa.array(add(used < full).astype(np.int64)), pa.array(add(result).astype(np.float64))]
             yield pa.RecordBatch.from_arrays(out, [c.split()[0] for c in SCORED.split(", ")])
 
     return rows
