@@ -63,6 +63,38 @@ SELECT doc_id, strlen(text)::BIGINT + 8 AS size, xor(list_reduce(list_prepend(42
 'rows' AS law, (pos * 24 // n)::INTEGER AS shard, pos - ((pos * 24 // n) * n + 23) // 24 AS slot, NULL::INTEGER AS grown_shard FROM p
 """
 
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex({}), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, b: " + _SHIFTED + "), 4294967295::BIGINT)"
+
+TRIE = f"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+cs AS (SELECT c, {_CRC32.format("encode(c::VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+o AS (SELECT cs.c, 0 AS own, t.pos, t.r, t.x FROM cs JOIN t ON t.c = cs.c - cs.c % 20 AND t.pos < cs.h UNION ALL SELECT cs.c, 1, t.pos, t.r, t.x FROM cs JOIN t ON t.c = cs.c AND t.pos >= cs.h),
+n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY own, pos) AS d FROM o),
+m AS (SELECT c, d, md5(string_agg(md5(r) || md5(x), '') OVER (PARTITION BY c ORDER BY d)) AS k, len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS w FROM n UNION ALL SELECT c, 0, '', 0 FROM cs),
+v AS (SELECT k, d, min(c) AS c, count(*) AS n_convs, min(w) AS w FROM m GROUP BY k, d),
+up AS (SELECT v.k, v.d, p.k AS pk FROM v JOIN m p ON p.c = v.c AND p.d = v.d - 1),
+kids AS (SELECT pk AS k, count(*) AS n_children FROM up GROUP BY pk),
+below AS (SELECT a.k, a.d, sum((kids.k IS NULL)::INT) AS n_leaves, sum((v.n_convs - 1) * v.w) AS saved FROM v LEFT JOIN kids ON kids.k = v.k JOIN m a ON a.c = v.c AND a.d <= v.d GROUP BY a.k, a.d),
+e AS (SELECT k, d, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(k, d) AS k, max(d) AS d FROM m GROUP BY c) GROUP BY k, d)
+SELECT v.c AS conv_id, v.d AS depth, pv.c AS parent_conv_id, v.n_convs, coalesce(kids.n_children, 0) AS n_children, below.n_leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM v LEFT JOIN up ON up.k = v.k AND up.d = v.d LEFT JOIN v pv ON pv.k = up.pk AND pv.d = v.d - 1 LEFT JOIN kids ON kids.k = v.k JOIN below ON below.k = v.k AND below.d = v.d LEFT JOIN e ON e.k = v.k AND e.d = v.d
+"""
+
+RESAMPLED = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce({_PLAIN}, []) AS ws FROM documents), b AS (SELECT {_PLAIN} AS ws FROM benchmark WHERE text IS NOT NULL),
+f AS (SELECT row, f, count(*) AS n FROM (SELECT row, unnest([array_to_string(ws[i : i + k], ' ') FOR k IN range(0, 3) IF i + k <= len(ws)]) AS f FROM (SELECT row, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)) GROUP BY ALL),
+g AS (SELECT f, count(*) AS n FROM (SELECT unnest([array_to_string(ws[i : i + k], ' ') FOR k IN range(0, 3) IF i + k <= len(ws)]) AS f FROM (SELECT ws, unnest(range(1, len(ws) + 1)) AS i FROM b)) GROUP BY ALL),
+bits AS (SELECT list(list_reduce([c, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) ORDER BY c) AS tab FROM range(0, 256) r(c)),
+h AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, y: xor(c >> 8, tab[xor(c & 255, y) + 1])), 4294967295::BIGINT) % 10000 AS bucket FROM (SELECT f FROM f UNION SELECT f FROM g), bits),
+s AS (SELECT bucket, sum(n) AS n FROM f JOIN h USING (f) GROUP BY bucket), t AS (SELECT bucket, sum(n) AS n FROM g JOIN h USING (f) GROUP BY bucket),
+gain AS (SELECT s.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000)::DOUBLE / ((s.n + 1) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT row, sum(f.n)::BIGINT AS n_features, sum(f.n * gain)::BIGINT AS weight FROM f JOIN h USING (f) JOIN gain USING (bucket) GROUP BY row),
+x AS (SELECT d.row, doc_id, len(ws) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+ coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN w USING (row)),
+r AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM x WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * n // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (row)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_lm_score": LM, "op6_sharding": SHARDS, "op7_decontaminate": LEAKS, "op8_chat": CHAT, "op10_near_dups": NEAR}
+    return {"op4_lm_score": LM, "op6_sharding": SHARDS, "op7_decontaminate": LEAKS, "op8_chat": CHAT, "op10_near_dups": NEAR, "op12_prefix_trie": TRIE, "op13_resampling": RESAMPLED}

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binary_ids, chat, decontaminate, fingerprints, lm_score, near_dups, packing, secret_scan, sharding, toxicity
+from . import binary_ids, chat, decontaminate, fingerprints, lm_score, near_dups, packing, prefix_trie, resampling, secret_scan, sharding, token_counts, toxicity
 from .common import shared_dir, table
 
 def _text():
@@ -85,6 +85,23 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.linked(table(spark, sf_dir, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = token_counts.with_prefix_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), out="prefixes")
+    docs = docs.select("doc_id", F.octet_length(_text()).cast("long").alias("n_bytes"), token_counts.answered(F.col("prefixes")).alias("a"))
+    return docs.select("doc_id", "n_bytes", "a.n_tokens", (F.col("a.n_tokens") > token_counts.LIMIT).alias("over_limit"), "a.fit_chars", "a.fit_tokens")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"))
+    convs = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv")).where("conv IS NOT NULL").distinct()
+    return prefix_trie.trie(prefix_trie.rebuilt(turns, convs), convs)
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -92,4 +109,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_fingerprint, op2_toxicity, op3_secrets, op4_lm_score, op5_packing, op6_sharding, op7_decontaminate, op8_chat, op9_binary_ids, op10_near_dups, pipeline)}
+    return {f.__name__: f for f in (op1_fingerprint, op2_toxicity, op3_secrets, op4_lm_score, op5_packing, op6_sharding, op7_decontaminate, op8_chat, op9_binary_ids, op10_near_dups, op11_token_counts, op12_prefix_trie, op13_resampling, pipeline)}
