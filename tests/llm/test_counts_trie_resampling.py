@@ -39,13 +39,16 @@ def test_token_counts_are_the_library_s(spark, at, library):
     assert got == want
 
 
-def test_every_prefix_against_the_library(library):
+@pytest.mark.parametrize("held", [3, token_counts.HELD])
+def test_every_prefix_against_the_library(library, monkeypatch, held):
+    monkeypatch.setattr(token_counts, "HELD", held)
+    monkeypatch.setattr(token_counts._portions, "__defaults__", (40 if held == 3 else 1 << 20,))
     rng = random.Random(4)
     bits = [" ", "  ", "▁", "a", "b", "the", "ing", "\t", "\n", "é", "日", "①", "🙂", "<s>", "</s>", "<0x41>", "\x00", "return ", "x", "1", "23", ".", "(", "//", "==", " " * 16, " " * 9, "　", "ا", "ст", "é", "antidis", "ization"]
     counter = token_counts.PrefixCounter(token_counts.MODEL)
-    for _ in range(600):
-        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 20)))
-        counts = token_counts.unpacked(token_counts.packed(counter.steps(text))).tolist()
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 20))) for _ in range(600)]
+    for text, steps in zip(texts, counter.steps(texts), strict=True):
+        counts = token_counts.unpacked(token_counts.packed(steps)).tolist()
         assert counts == [len(library.encode(text[:i])) for i in range(len(text) + 1)], text
 
 

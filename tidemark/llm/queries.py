@@ -86,8 +86,8 @@ def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = token_counts.with_prefix_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), out="prefixes")
-    docs = docs.select("doc_id", F.octet_length(_text()).cast("long").alias("n_bytes"), token_counts.answered(F.col("prefixes")).alias("a"))
+    prefixes = token_counts.prefix_counts(F.col("text"))  # both functions in one Python worker, prefixes do not travel between
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length(_text()).cast("long").alias("n_bytes"), token_counts.answered(prefixes).alias("a"))
     return docs.select("doc_id", "n_bytes", "a.n_tokens", (F.col("a.n_tokens") > token_counts.LIMIT).alias("over_limit"), "a.fit_chars", "a.fit_tokens")
 
 

@@ -6,8 +6,9 @@ that ends there and follows the last piece of the prefix before it so, and
 
     tokens(prefix of i) = tokens(prefix of i - length of that piece) + 1        (bytes of a character without a piece: one each)
 
-In a vocabulary whose pieces hold a word's mark at their beginnings only, nothing reaches from one word into the next: words are solved
-once in a worker (HELD of them), and a text's counts are those of its words in a row. Other vocabularies solve whole texts.
+Where two characters stand side by side in no piece, no piece reaches across. Texts are cut there (a word's mark begins pieces only, in most
+vocabularies marks of punctuation stand alone), and a text's counts are those of its parts in a row. A part is solved once in a
+worker (HELD of them are kept), new parts in order, so that each goes on from the prefix that it has in common with the one before.
 
 What is stored is the change of the count at each code point (PREFIXES), a byte each in all but strange cases; from it `answered` gives
 counts at any prefix, the longest prefix within a budget and the budget's verdict, without the text or its vocabulary.
@@ -19,7 +20,10 @@ table gives no rows."""
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from operator import sub
+from os.path import commonprefix
 
 import numpy as np
 import pandas as pd
@@ -30,7 +34,7 @@ from .tokens import _path
 
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
 #: Solved words and neighbours kept in a Python worker; beyond it they are solved anew. Bounds memory, not results.
-HELD, HELD_CHARS = 500_000, 64
+HELD = 400_000
 MARK = "▁"
 PREFIXES = "binary"
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
@@ -48,13 +52,15 @@ class PrefixCounter:
         plain = [k for k in range(model.get_piece_size()) if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k) or model.is_unused(k))]
         self.score = {model.id_to_piece(k): model.get_score(k) for k in plain}
         self.longest = max(map(len, self.score), default=1)
-        self.by_word = all(MARK not in p[1:] or not p.strip(MARK) for p in self.score)
-        probe = " ① é  x\t"
+        self.inner = {a + b for p in self.score for a, b in zip(p, p[1:], strict=False)}
+        self.by_word = all(p[1] != MARK or p[0] == MARK for p in self.inner)
+        probe = " ① é  x\t"
         if "".join(model.encode(probe, out_type=str)).count(MARK) != 1 + probe.count(" ") or model.id_to_piece(model.encode("\x00")[-1]) != "<0x00>":
             raise ValueError(f"{name}: not a vocabulary that marks each space, keeps characters and falls back to bytes")
         self.grown: dict[str, tuple | None] = {}
         self.follows: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
 
     def merged(self, text: str) -> tuple[list[str], list[float], list[str], list[str]]:
         """The definition, for a few characters: the best neighbours become one, the leftmost of equals first. Also the ranks of the
@@ -99,61 +105,86 @@ class PrefixCounter:
         self.follows[pair] = ok
         return ok
 
-    def solved(self, text: str) -> np.ndarray:
-        """Tokens of each prefix of marked text, from the one of no characters on."""
-        counts, last, score, follows = [0], [""], self.score, self.follows
-        for end in range(1, len(text) + 1):
-            for begin in range(max(0, end - self.longest), end):
+    def solved(self, text: str, counts: list[int], last: list[str]) -> None:
+        """Makes the lists go on to the end of `text`: tokens of each prefix, from the one of no characters on, and its last piece."""
+        score, longest, follows = self.score, self.longest, self.follows
+        for end in range(len(counts), len(text) + 1):
+            for begin in range(end - longest if end > longest else 0, end):
                 piece = text[begin:end]
                 if piece not in score:
                     if begin < end - 1:
                         continue
-                    counts.append(counts[begin] + len(piece.encode("utf-8", "surrogatepass")))
-                elif begin:
-                    pair = (last[begin], piece)
-                    if (ok := follows.get(pair)) is None:
-                        ok = self._follows(pair)
-                        follows = self.follows
-                    if not ok:
-                        continue
-                    counts.append(counts[begin] + 1)
-                elif self._grown(piece):
-                    counts.append(1)
+                    more = len(piece.encode("utf-8", "surrogatepass"))
                 else:
-                    continue
+                    if begin:
+                        pair = (last[begin], piece)
+                        if not (follows[pair] if pair in follows else self._follows(pair)):
+                            follows = self.follows
+                            continue
+                    elif not self._grown(piece):
+                        continue
+                    more = 1
+                counts.append(counts[begin] + more)
                 last.append(piece)
                 break
             else:
                 raise AssertionError(f"no encoding ends at {end} of {text[:end][-40:]!r}")
-        return np.asarray(counts, np.int64)
-
-    def word(self, word: str) -> bytes:
-        """Changes of the count over a word and the mark before it; kept."""
-        steps = np.diff(self.solved(MARK + word)).astype("<i4").tobytes()
-        if len(word) <= HELD_CHARS:
-            if len(self.words) >= HELD:
-                self.words = {}
-            self.words[word] = steps
-        return steps
-
-    def steps(self, text: str) -> np.ndarray:
-        """The change of the count at each code point. The mark before the first word is not one; it goes with the first."""
+
+    def cut(self, marked: str) -> list[str]:
+        """Parts across whose edges no piece reaches."""
+        inner = self.inner
+        at = [0, *[i for i in range(1, len(marked)) if marked[i - 1 : i + 1] not in inner], len(marked)]
+        return [marked] if len(at) == 2 else [marked[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+    def learn(self, words: set[str]) -> None:
+        """Changes of the count over each word and the mark before it."""
+        if len(self.words) > HELD:
+            self.words = {}
+        if len(self.parts) > HELD:
+            self.parts = {}
+        words = words.difference(self.words)
+        cut = {w: self.cut(MARK + w) for w in words}
+        before, counts, last, held = "", [0], [""], self.parts
+        for part in sorted({p for parts in cut.values() for p in parts if p not in held}):
+            same = len(commonprefix((before, part)))
+            del counts[same + 1 :], last[same + 1 :]
+            self.solved(part, counts, last)
+            held[part] = array("h", map(sub, counts[1:], counts)).tobytes()  # an error, should a change not fit
+            before = part
+        for w, parts in cut.items():
+            self.words[w] = held[parts[0]] if len(parts) == 1 else b"".join([held[p] for p in parts])
+
+    def steps(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """For each text the change of the count at each code point. The mark before the first word is not one; it goes with the first."""
+        for some in _portions(texts):
+            split = [self._words(t) for t in some]
+            self.learn(set().union(*split))
+            for words in split:
+                raw = np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int16).astype(np.int64)
+                if len(raw):
+                    raw[1] += raw[0]
+                yield raw[1:]
+
+    def _words(self, text: str) -> list[str]:
+        """Words after their marks, so that none stands at an edge."""
         if not text:
-            return np.zeros(0, np.int64)
+            return []
         text = text.replace(" ", MARK)
         if not self.by_word:
-            raw = np.diff(self.solved(MARK + text))
-        else:
-            words = text.split(MARK) if MARK * 2 not in text and text[0] != MARK else [w[1:] for w in _WORD.findall(MARK + text)]
-            held, solve = self.words, self.word
-            try:
-                raw = b"".join(map(held.__getitem__, words))
-            except KeyError:
-                raw = b"".join([held[w] if w in held else solve(w) for w in words])
-            raw = np.frombuffer(raw, "<i4").astype(np.int64)
-        out = raw[1:].copy()
-        out[0] += raw[0]
-        return out
+            return [text]
+        return text.split(MARK) if MARK * 2 not in text and text[0] != MARK else [w[1:] for w in _WORD.findall(MARK + text)]
+
+
+def _portions(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
+    out, size = [], 0
+    for t in texts:
+        out.append(t or "")
+        size += len(out[-1])
+        if size >= chars:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
 
 
 def _counter(name: str) -> PrefixCounter:
@@ -180,10 +211,8 @@ def prefix_counts(text: Column, model: str = MODEL) -> Column:
     """PREFIXES of a text, to be stored beside it."""
 
     @F.pandas_udf(PREFIXES)
-    def counts(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        counter = _counter(model)
-        for batch in texts:
-            yield pd.Series([packed(counter.steps(t)) if t else b"\x01" for t in batch.tolist()], dtype=object)
+    def counts(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(map(packed, _counter(model).steps(texts.tolist()))), dtype=object)
 
     return counts(text)
 
