@@ -50,6 +50,7 @@ def turns_of(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "tu
 def rebuilt(turns: DataFrame, convs: DataFrame, share: int = 20, most: int = 4) -> DataFrame:
     """Conversations whose first turns are those of another: conv c begins with the first h turns of c - c % share, h being CRC-32 of its
     decimal id modulo `most`, and goes on with its own after its first h."""
+    turns = written(turns, "turns")
     h = F.pmod(F.crc32(F.col("conv").cast("string").cast("binary")), F.lit(most))
     heads = turns.where((F.col("conv") % share == 0) & (F.col("pos") < most - 1))
     sizes = heads.groupBy("conv").agg(F.count(F.lit(1)).alias("have"))
@@ -84,7 +85,7 @@ def segments(turns: DataFrame, convs: DataFrame, segment: int = SEGMENT) -> Data
     markers = convs.select("conv", F.lit(0).cast("long").alias("seg"), F.lit(None).cast("struct<pos:bigint,turn_key:binary,words:bigint>").alias("t"))
     rows = turns.select("conv", F.floor(F.col("pos") / segment).alias("seg"), F.struct("pos", "turn_key", "words").alias("t")).unionByName(markers)
     rows = rows.groupBy("conv", "seg").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    rows = rows.select("conv", "seg", F.col("t.turn_key").alias("keys"), F.col("t.words").alias("words"))
+    rows = written(rows.select("conv", "seg", F.col("t.turn_key").alias("keys"), F.col("t.words").alias("words")), "segments")
     names = {c: F.xxhash64(F.lit(c), "seg", "keys") for c in ("a", "b")}
     last = rows.groupBy("conv").agg(F.max("seg").alias("last"))
     rows = _along(rows, names, F.bit_xor).join(last, "conv")
@@ -239,7 +240,7 @@ def _sweep(segment: int):
 def trie(conversations: DataFrame, convs: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Nodes of (conv, pos, turn_key, words); `convs` has every conversation once: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves,
     saved_tokens, ends_sha256."""
-    rows = with_lcps(segments(conversations, convs, segment))
+    rows = written(with_lcps(segments(conversations, convs, segment)), "neighbours")
     every = F.aggregate("words", F.lit(0).cast("long"), lambda x, w: x + w)
     new = F.aggregate(F.slice("words", F.greatest(F.col("lcp"), F.lit(0)) + 1, F.greatest(F.size("words"), F.lit(1))), F.lit(0).cast("long"), lambda x, w: x + w)
     leaf = ((F.col("next_lcp") < F.size("keys")) & ~F.col("more")).cast("long")
