@@ -2,15 +2,18 @@
 
 import datetime as dt
 import math
+import threading
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidemark.functions import calendar, numbers, text
-from tidemark.operators import asof, breadth, returns, scorecard, scoring, snapshots, tape, windows
+from tidemark.operators import asof, breadth, isolation, returns, scorecard, scoring, snapshots, tape, windows
 from tidemark.plans import catalog
 from tidemark.sources import fixed, readers
 
@@ -217,12 +220,106 @@ def test_a_failed_change_leaves_the_old_snapshot(spark, tmp_path, monkeypatch):
         with pytest.raises(OSError, match="no rename"):
             snapshots.upsert(row(("b", 2)), path, ["d"])
     assert [tuple(r) for r in snapshots.current(spark, path).collect()] == [("a", 1)]
+    monkeypatch.setattr(snapshots, "GRACE", 0)
     for k in range(4):
         snapshots.upsert(row(("b", k)), path, ["d"])
     assert sorted(map(tuple, snapshots.current(spark, path).collect())) == [("a", 1), ("b", 3)]
     assert len([p for p in (tmp_path / "s").iterdir() if p.is_dir()]) == 2  # this version and the last
 
 
+def _at_once(*jobs):
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for done in [pool.submit(j) for j in jobs]:
+            done.result()
+
+
+def test_two_writers_lose_nothing(spark, tmp_path, monkeypatch):
+    """Two jobs that own parts of one store, 25 times each, one of which crashes between its write and its manifest once."""
+    monkeypatch.setattr(snapshots, "GRACE", 3_000)
+    path, cols, crashed = str(tmp_path / "r"), "n int, range_key string", []
+    whole = snapshots.renamed
+
+    def renamed(session, source, target):
+        if not crashed and threading.current_thread().name.endswith("_1") and target.endswith("009.json"):
+            crashed.append(target)
+            raise OSError("crashed")
+        return whole(session, source, target)
+
+    monkeypatch.setattr(snapshots, "renamed", renamed)
+
+    def job(key):
+        for k in range(25):
+            rows = spark.createDataFrame([(k, key), (k, f"{key}-{k}")], cols).coalesce(1)
+            try:
+                snapshots.merge_keys(rows, path)
+            except OSError:
+                snapshots.merge_keys(rows, path)
+            seen = {r["range_key"] for r in snapshots.merged(spark, path, cols).collect()}
+            assert {key, *(f"{key}-{j}" for j in range(k + 1))} <= seen
+
+    _at_once(lambda: job("1D"), lambda: job("5D"))
+    got = sorted(map(tuple, snapshots.merged(spark, path, cols).collect()))
+    assert got == sorted([(24, "1D"), (24, "5D"), *[(k, f"{j}-{k}") for j in ("1D", "5D") for k in range(25)]])
+    assert snapshots.newest(spark, path)[0] == 50
+
+
+def test_a_writer_between_write_and_manifest(spark, tmp_path):
+    """Another job runs in whole in that gap: both changes hold, and the first one's files are still there."""
+    path, cols = str(tmp_path / "r"), "n int, range_key string"
+    of = lambda *x: spark.createDataFrame(list(x), cols).withColumn("part__", F.col("range_key"))
+    mine = snapshots.versions(of((1, "1D")), path, "part__")
+    for k in range(3):
+        snapshots.merge_keys(spark.createDataFrame([(k, "5D")], cols), path)
+    snapshots.publish(spark, path, lambda now: now | mine)
+    assert sorted(map(tuple, snapshots.merged(spark, path, cols).collect())) == [(1, "1D"), (2, "5D")]
+    base = snapshots.newest(spark, path)[1]
+    snapshots.merge_keys(spark.createDataFrame([(7, "5D")], cols), path)
+    with pytest.raises(snapshots.Conflict):  # computed from what no longer holds
+        snapshots.replace(of((8, "5D")), path, by="part__", base=base)
+    snapshots.replace(of((9, "1D")), path, by="part__", base=base)
+    assert sorted(map(tuple, snapshots.merged(spark, path, cols).collect())) == [(7, "5D"), (9, "1D")]
+
+
+def test_upserts_at_once(spark, tmp_path):
+    path = str(tmp_path / "u")
+    put = lambda who: [snapshots.upsert(spark.createDataFrame([(f"{who}{k}", k)], "d string, v int").coalesce(1), path, ["d"]) for k in range(6)]
+    _at_once(lambda: put("a"), lambda: put("b"))
+    assert sorted(map(tuple, snapshots.current(spark, path).collect())) == sorted((f"{w}{k}", k) for w in "ab" for k in range(6))
+
+
+def test_a_log_of_calls(spark, tmp_path):
+    """Appends from three threads, and compactions among them, sum exactly; 90 days stay."""
+    path, day = str(tmp_path / "log"), dt.date(2024, 1, 1)
+    rows = lambda who, k: spark.createDataFrame([(day + dt.timedelta(j), who + k) for j in range(k, k + 60, 7)], "d date, calls long").coalesce(1)
+    add = lambda who: [snapshots.append(rows(who, k), path) for k in range(8)]
+    _at_once(lambda: add(1), lambda: add(100), lambda: add(10_000), lambda: [snapshots.compact(spark, path) for _ in range(4)])
+    want = {}
+    for who in (1, 100, 10_000):
+        for k in range(8):
+            for r in rows(who, k).collect():
+                want[r["d"]] = want.get(r["d"], 0) + r["calls"]
+    assert dict(map(tuple, snapshots.trimmed(snapshots.logged(spark, path)).collect())) == want
+    snapshots.append(spark.createDataFrame([(day + dt.timedelta(k), 1) for k in range(200, 300)], "d date, calls long"), path)
+    snapshots.compact(spark, path)
+    assert snapshots.newest(spark, path)[1].keys() == {snapshots.SUMMED}
+    assert sorted(r["d"] for r in snapshots.logged(spark, path).collect()) == [day + dt.timedelta(k) for k in range(210, 300)]
+    snapshots.compact(spark, str(tmp_path / "none"))
+    assert snapshots.logged(spark, str(tmp_path / "none")).isEmpty()
+
+
+def test_only_failures_of_sources_are_set_apart(spark, sf, tmp_path):
+    whole = lambda: spark.read.parquet(f"{sf}/nation.parquet").select("n_name")
+    broken = catalog._damaged(spark, sf, "nation")
+    rows, warnings = isolation.isolated(spark, {"a": whole, "b": lambda: spark.read.parquet(f"{broken}/nation.parquet").select("n_name"), "c": lambda: spark.read.parquet("/not/there")}, str(tmp_path / "x"))
+    assert rows.count() == 25 and warnings == [("b", "FAILED_READ_FILE"), ("c", "PATH_NOT_FOUND")]
+    for run in (lambda p: isolation.loaded(p), lambda p: isolation.isolated(spark, p, str(tmp_path / "y"))):
+        with pytest.raises(AnalysisException, match="UNRESOLVED_COLUMN"):  # our own mistake
+            run({"a": lambda: whole().select("n_nmae")})
+    bad = lambda: whole().select(F.raise_error(F.lit("own")).cast("string").alias("n_name"))
+    with pytest.raises(Exception, match="own"):
+        isolation.isolated(spark, {"a": bad}, str(tmp_path / "z"))
+
+
 def test_rounding_of_shares(spark):
     assert one(spark, numbers.share(F.lit(23), F.lit(80)), numbers.share(F.lit(1), F.lit(0)), numbers.share(F.lit(1), F.lit(8), 0)) == (28.8, None, 13.0)
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import ratio, rounded
 from .asof import asof
+from .isolation import loaded  # noqa: F401 - part of scoring's interface
 from .windows import ordered, tail
 
 LONG = ["id", "d", "y"]
@@ -93,23 +91,6 @@ def histories(series: DataFrame, last: int = 504, digits: int = 3) -> DataFrame:
     return rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("d", rounded("y", digits).alias("y")))).alias("history"))
 
 
-def loaded(parts: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """The union of the parts that can be planned, and (label, condition) of those that can't, such as a source that isn't there. None
-    at all: an error."""
-    out, warnings = None, []
-    for label, part in parts.items():
-        try:
-            rows = part()
-            rows.schema  # noqa: B018 - resolves the plan
-        except PySparkException as e:
-            warnings.append((label, e.getCondition() or type(e).__name__))
-            continue
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        raise ValueError("no factor could be loaded: " + "; ".join(f"{k}: {v}" for k, v in warnings))
-    return out, warnings
-
-
 def composite(parts: DataFrame) -> DataFrame:
     """One row: the weighted mean of the scores of the series there are, whole points. No series: an error."""
     n = F.count(F.lit(1))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from ..functions.numbers import parsed, pct_change, ratio, rounded, share, signe
 from ..functions.text import config_name, listed, symbol
 from ..operators import asof as A
 from ..operators import breadth as B
+from ..operators import isolation
 from ..operators import returns as R
 from ..operators import scorecard as C
 from ..operators import scoring as S
@@ -396,12 +399,18 @@ def _store(spark, name: str) -> str:
     """A new store in the folder that all executors share; a local session may do without one, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+def _at_once(*jobs) -> None:
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        for done in [pool.submit(j) for j in jobs]:
+            done.result()
+
+
 def snapshot_upsert(spark, sf):
     """The last days' rows are revised and written over the old snapshot's."""
     days = src.benchmark_closes(spark, sf)
@@ -413,12 +422,12 @@ def snapshot_upsert(spark, sf):
 
 
 def key_merge(spark, sf):
-    """One job owns 1D, another the other ranges of one store."""
+    """One job owns 1D, another the other ranges of one store; both run at once, twice."""
     cols = "n long, median double, mean double, up long, down long, unchanged long, range_key string"
     days = R.distribution(R.quote_changes(src.quotes(spark, sf)))
+    ranges = R.distribution(R.range_changes(src.symbol_closes(spark, sf)))
     path = _store(spark, "ranges")
-    K.merge_keys(R.distribution(R.range_changes(src.symbol_closes(spark, sf))), path)
-    K.merge_keys(days, path)
+    _at_once(*[lambda df=df: [K.merge_keys(df, path) for _ in range(2)] for df in (ranges, days)])
     return K.merged(spark, path, cols)
 
 
@@ -442,6 +451,16 @@ def counter_trim(spark, sf):
     return K.trimmed(log)
 
 
+def call_log(spark, sf):
+    """Calls by day, appended at once by a job for each priority and compacted meanwhile; the newest 90 days."""
+    log, path = src.table(spark, sf, "orders").select("o_orderpriority", F.to_date("o_orderdate").alias("d"), F.lit(1).cast("long").alias("calls")), _store(spark, "calls")
+    names = [r[0] for r in log.select("o_orderpriority").distinct().collect()]  # five
+    jobs = [lambda n=n: K.append(log.where(F.col("o_orderpriority").eqNullSafe(n)).groupBy("d").agg(F.sum("calls").alias("calls")), path) for n in names]
+    _at_once(*jobs, lambda: K.compact(spark, path, 100_000))
+    K.compact(spark, path)
+    return K.logged(spark, path)
+
+
 # projections, parsing, calendar
 def bars_projection(spark, sf):
     rows = src.table(spark, sf, "lineitem")
@@ -633,7 +652,88 @@ def partial_feeds(spark, sf):
     return rows.unionByName(spark.createDataFrame([(name, None, None, why) for name, why in warnings], rows.schema))
 
 
+def _damaged(spark, sf, table: str) -> str:
+    """A folder that has a table's rows and beside them a file that broke off while it was written."""
+    folder = _store(spark, "damaged")
+    src.table(spark, sf, table).write.parquet(f"{folder}/{table}.parquet")
+    p, fs = K._at(spark, f"{folder}/{table}.parquet")
+    first = min((x for x in fs.listStatus(p) if x.getPath().getName().startswith("part-")), key=lambda x: x.getPath().getName())
+    stream = fs.open(first.getPath())
+    try:
+        head = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(stream, min(first.getLen() // 2, 4_096))
+    finally:
+        stream.close()
+    out = fs.create(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "part-99999-broken.parquet"), True)
+    out.write(bytearray(head))
+    out.close()
+    return folder
+
+
+def composite_damaged(spark, sf):
+    """As composite_degraded, with a put/call source that breaks off while it is read."""
+    series, warnings = isolation.isolated(spark, factor_parts(spark, sf, events=_damaged(spark, sf, "events")), _store(spark, "factors"))
+    out = S.composite(S.components(series, fixed.factor_specs(spark), fixed.WINDOWS, fixed.SHOWN))
+    return out.withColumn("warnings", F.lit("; ".join(f"{k}: {why}" for k, why in warnings)))
+
+
+def partial_reads(spark, sf):
+    """Three feeds for one page: one whole, one not there, one that breaks off. The place of each of the latter is taken by its error."""
+    feeds = {"sectors": (src.sector_closes, sf), "countries": (src.region_closes, f"{sf}/not-there"), "symbols": (src.sector_closes, _damaged(spark, sf, "orders"))}
+    ask = lambda feed, folder: R.horizon_returns(feed(spark, folder)).select("sym", rounded("y1", 2).alias("y1"))
+    parts = {name: lambda f=f, name=name: ask(*f).select(F.lit(name).alias("feed"), "sym", "y1", F.lit(None).cast("string").alias("error")) for name, f in feeds.items()}
+    rows, warnings = isolation.isolated(spark, parts, _store(spark, "feeds"))
+    return rows.unionByName(spark.createDataFrame([(name, None, None, why) for name, why in warnings], rows.schema))
+
+
 # streams: run over the events until all are read
+def _landed(rows: DataFrame, folder: str, batches: list) -> None:
+    """Rows as one file for each condition, one after the other, as a stream would get them."""
+    for k, where in enumerate(batches):
+        rows.where(where).coalesce(1).write.parquet(f"{folder}/file={k}")
+
+
+def _files(spark, folder: str, schema) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(folder)
+
+
+def stream_final_days(spark, sf):
+    """Counts of days that are final, by an event-time window with a watermark of a day, and the late rows beside them. A tenth of the events
+    arrives after all others."""
+    e, root = src.table(spark, sf, "events"), _store(spark, "final")
+    mid = e.agg(((F.unix_micros(F.min("ts").cast("timestamp")) + F.unix_micros(F.max("ts").cast("timestamp"))) / 2).cast("long")).first()[0] or 0
+    early, last = F.unix_micros(F.col("ts").cast("timestamp")) < mid, F.col("event_id") % 10 == 0
+    _landed(e.withColumn("ts", F.col("ts").cast("timestamp")), f"{root}/in", [early & ~last, ~early & ~last, last])
+    schema = streams.EVENTS.replace("timestamp_ntz", "timestamp")
+    streams.late_aside(_files(spark, f"{root}/in", schema), f"{root}/parted", f"{root}/ck1").awaitTermination()
+    streams.appended(streams.daily_counts(_files(spark, f"{root}/parted/kept", schema)), f"{root}/days", f"{root}/ck2").awaitTermination()
+    days = spark.read.schema("d date, event_type string, n long").parquet(f"{root}/days")
+    late = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{root}/parted/late")
+    late = late.groupBy(F.to_date("ts").alias("d"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return days.select(F.lit("final").alias("kind"), "*").unionByName(late.select(F.lit("late").alias("kind"), "*"))
+
+
+def stream_last_state(spark, sf):
+    """The last event of each user as keyed state, with users forgotten once event time has gone on for an hour without them."""
+    root = _store(spark, "state")
+    streams.last_with_state(streams.events(spark, f"{sf}/events.parquet", 1000), f"{root}/rows", f"{root}/ck", silent="1 hour").awaitTermination()
+    return streams.last_known(spark, f"{root}/rows")
+
+
+def stream_first_snapshot(spark, sf):
+    """Three snapshots of each day, of which the first wins. Each file has one of a day at most; the second and third run come with the
+    next half of the days, repeated ones among them and ones that are late by then."""
+    e, root = src.table(spark, sf, "events").withColumn("d", F.to_date("ts")), _store(spark, "first")
+    run = ((F.row_number().over(Window.partitionBy("d").orderBy("event_id")) - 1) % 3).cast("int")
+    runs = e.withColumn("run", run).groupBy("d", "run").agg(F.max(F.col("ts").cast("timestamp")).alias("ts"), F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+    low, high = e.agg(F.min("d"), F.max("d")).first()
+    early = F.col("d") < F.lit(low + (high - low) / 2 if low else low)
+    of = lambda k: F.col("run") == k
+    _landed(runs, f"{root}/in", [early & of(0), (early & of(1)) | (~early & of(0)), (early & of(2)) | (~early & of(1)), ~early & of(2)])
+    stream = _files(spark, f"{root}/in", runs.schema)
+    streams.appended(streams.first_of_day(stream).select("d", "run", "n", "first_id"), f"{root}/days", f"{root}/ck").awaitTermination()
+    return spark.read.schema("d date, run int, n long, first_id long").parquet(f"{root}/days")
+
+
 def _streamed(spark, sf, name: str, build) -> DataFrame:
     root = _store(spark, name)
     query = build(streams.events(spark, f"{sf}/events.parquet", 1000), root)
@@ -646,8 +746,7 @@ def stream_day_counts(spark, sf):
 
     def build(stream, root):
         counts = stream.groupBy(F.to_date("ts").alias("d"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-        keep = lambda df, _: K.upsert(df, f"{root}/days", ["d", "event_type"])
-        return counts.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        return streams.keep_last(counts, f"{root}/days", ["d", "event_type"], "n", f"{root}/checkpoint", mode="update")  # a count only grows
 
     return K.current(spark, f"{_streamed(spark, sf, 'stream', build)}/days")
 
@@ -721,6 +820,7 @@ def queries() -> dict:
         snapshot_upsert, key_merge, config_upsert_delete, config_changes, counter_trim, bars_projection, bars_full, symbol_validation, csv_preamble_parse, json_closes, month_overflow, js_rounding,
         index_bars_read, point_quotes_read, put_call_window, newest_readings, factors_merged, ingest_health, quarantine, retried_closes,
         stream_day_counts, stream_last_event, stream_daily_snapshot, labels_and_parameters, fixed_universes, partial_feeds,
+        call_log, composite_damaged, partial_reads, stream_final_days, stream_last_state, stream_first_snapshot,
     )
     out = {f.__name__: f for f in fs}
     return out | {f"resample_{c}": _resample(c) for c in ("month", "quarter", "year")}

@@ -199,5 +199,14 @@ def oracle_sql() -> dict[str, str]:
         "stream_last_event": " SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
         "stream_daily_snapshot": " SELECT ts::DATE AS d, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1",
     }
+    ends = "ts::DATE + INTERVAL 1 DAY"
+    q |= {
+        "call_log": " SELECT o_orderdate::DATE AS d, count(*) AS calls FROM orders GROUP BY 1 ORDER BY d DESC LIMIT 90",
+        "composite_damaged": q["composite_degraded"].replace("PATH_NOT_FOUND", "FAILED_READ_FILE"),
+        "partial_reads": q["partial_feeds"] + " UNION ALL SELECT 'symbols', NULL, NULL, 'FAILED_READ_FILE'",
+        "stream_final_days": f", b AS (SELECT *, CASE WHEN event_id % 10 = 0 THEN 2 WHEN epoch_us(ts) < (SELECT (epoch_us(min(ts)) + epoch_us(max(ts))) // 2 FROM events) THEN 0 ELSE 1 END AS file FROM events), a AS (SELECT *, coalesce({ends} <= (SELECT max(ts) FROM b WHERE b.file < x.file) - INTERVAL 1 DAY, false) AS late FROM b x) SELECT 'late' AS kind, ts::DATE AS d, event_type, count(*) AS n FROM a WHERE late GROUP BY ALL UNION ALL SELECT 'final', ts::DATE, event_type, count(*) FROM a WHERE NOT late AND {ends} <= (SELECT max(ts) FROM a WHERE NOT late) - INTERVAL 1 DAY GROUP BY ALL",
+        "stream_last_state": " SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value, max(ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY AS expired FROM events GROUP BY user_id",
+        "stream_first_snapshot": " SELECT d, 0::INTEGER AS run, count(*) AS n, min(event_id) AS first_id FROM (SELECT ts::DATE AS d, event_id, row_number() OVER (PARTITION BY ts::DATE ORDER BY event_id) AS k FROM events) WHERE (k - 1) % 3 = 0 GROUP BY d",
+    }
     q |= {f"resample_{c}": f" SELECT * FROM ({_resampled('region', c)})" for c in _PERIOD}
     return {name: HEAD + sql for name, sql in q.items()}
