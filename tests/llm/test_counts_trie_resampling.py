@@ -185,3 +185,25 @@ def test_chunks_own_each_feature_once(spark):
     small = resampling.weighted(resampling.chunked(df, 2), resampling.gains(resampling.chunked(df, 2), resampling.chunked(to.selectExpr("0L doc_id", "text"), 1)))
     whole = Counter({(r["doc_id"], r["n_features"], r["weight"]): r["copies"] for r in small.collect()})
     assert sum(whole.values()) == len(docs) and {(d, n, w) for d, n, w, *_ in want} == set(whole)
+
+
+def test_lm_scores_of_many_copies(spark):
+    """2,000 equal rows, and as many of one text under different ids: their n-grams are counted once, and score as the others' evidence."""
+    import time
+
+    from tidemark.llm import lm_score
+
+    base = " ".join(f"w{k}" for k in range(600))
+    docs = [(1, base)] * 2_000 + [(k, base + " tail") for k in range(10, 2_010)] + [(5_000, "w1 w2 w3 alone"), (5_001, None), (5_002, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    began = time.time()
+    got = {r["doc_id"]: r for r in lm_score.scored(df).collect()}
+    assert time.time() - began < 60 and len(got) == 2_004
+    assert spark.createDataFrame([(r["n_words"],) for r in lm_score.scored(df).collect()], "n int").count() == len(docs)
+    words = 2_000 * 600 + 2_000 * 601 + 4
+    # w1 w2 w3 occur in all texts: each is counted without the row that is scored
+    s = math.log10(4_000 / (words - 4)) + math.log10(4_000 / 4_000) + math.log10(4_000 / 4_000) + math.log10(0.4**2 / words)
+    assert abs(got[5_000]["log10_sum"] - s) < 1e-9 and got[5_000]["n_seen"] == 3
+    assert got[1]["n_seen"] == 600 and got[10]["n_seen"] == 601
+    one = lm_score.scored(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), leave_one_out=False).first()
+    assert (one["n_seen"], one["n_backed_off"]) == (3, 0) and abs(one["log10_sum"] - math.log10(1 / 3)) < 1e-9

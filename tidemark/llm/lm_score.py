@@ -4,22 +4,24 @@ score(w | c) = count(c w) / count(c) where the corpus has c w, else BACKOFF * sc
 count(w) / words. By default a document's own n-grams are not counted as evidence for it (leave one out), without which no
 n-gram of the corpus would ever be unseen.
 
-Three tables do it, n-grams being named by 64-bit hashes:
-  - exploded n-grams: a row for each occurrence (part, gram, row name, place). A part is a range of the hash; tables are partitioned by
-    part. On their way there occurrences travel as arrays, one record for each part of some PACKET of them, and are exploded where
-    they arrive;
+Equal texts have equal scores, so each distinct text is counted once with the number of its rows, and its score goes to all of them; a
+group of copies costs its rows' hashes, not its n-grams. Three tables do the rest, n-grams being named by 64-bit hashes:
+  - exploded n-grams: a row for each occurrence in a distinct text (part, gram, text's number, place, rows of that text). A part is a range
+    of the hash; tables are partitioned by part. On their way there occurrences travel as arrays, one record for each part of some
+    PACKET of them, and are exploded where they arrive;
   - `counted`: the count table, grouped from the same partitions, of n-grams that occur more than once (what occurs once is its own
     document's alone);
-  - their join, on part and n-gram, gives the totals; those of a row are gathered and its logarithms summed.
+  - their join, on part and n-gram, gives the totals, which are packed by text where they arise; those of a text are gathered and
+    its logarithms summed.
 N-grams go through these in SLICES ranges of the hash, one after the other, so that the shuffle's disk is a fraction of all n-grams;
-each range reads the texts anew. For the same reason the rows are scored in HALVES. The commonest n-grams are counted by
+each range reads the texts anew. For the same reason the texts are scored in HALVES. The commonest n-grams are counted by
 themselves before (partial sums in each task, a table of at most FREQUENT entries that is broadcast), so that no partition gets
-all documents' rows of one n-gram. Which n-grams these are is taken from a sample of about SAMPLE rows, and decides only how
+all documents' rows of one n-gram. Which n-grams these are is taken from a sample of about SAMPLE texts, and decides only how
 a count travels: all counts are over all rows.
 
 Words: A-Z lower-cased, parted by white space; a document's n-grams don't reach over its ends. Null or wordless text: no words,
-sum 0, mean null. Repeated rows count as often as they occur. Null ids are rows like others. Rows are named by 64-bit hashes of
-id and text. An empty table gives no rows. Other columns are not read."""
+sum 0, mean null. Repeated rows count as often as they occur. Null ids are rows like others. Texts are told apart by 128-bit
+hashes. An empty table gives no rows. Other columns are not read."""
 
 from __future__ import annotations
 
@@ -43,8 +45,10 @@ PACKET, PART = 2_000_000, 1_000_000
 FREQUENT, SAMPLE, LEAST = 100_000, 4_096, 4
 #: A join may use partitions by some of its keys.
 CO_LOCATED = {"spark__sql__requireAllClusterKeysForCoPartition": "false"}
-PACKETS = "part int, grams array<long>, rows array<long>, ats array<int>"
-SCORED = "doc_id long, n_words long, n_seen long, n_backed_off long, log10_sum double"
+OCCURRENCE = [("gram", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("m", pa.int64())]
+PACKETS = "part int, occurrences array<struct<gram:bigint,row:bigint,at:int,m:bigint>>"
+ANSWERS = "row long, at array<int>, totals array<long>"
+SCORED = "row long, n_words long, n_seen long, n_backed_off long, log10_sum double"
 
 
 def _grams(texts: list[str | None], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -98,7 +102,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int =
 
 
 def _packets(order: int, slice_: int, slices: int, parts: int, common: np.ndarray):
-    """(row, text) -> the occurrences of n-grams whose hash lies in the slice and which aren't in `common`, by part of the slice.
+    """(row, m, text) -> the occurrences of n-grams whose hash lies in the slice and which aren't in `common`, by part of the slice.
 
     A place is stored as place * order + n - 1."""
     table = Table(common)
@@ -106,23 +110,23 @@ def _packets(order: int, slice_: int, slices: int, parts: int, common: np.ndarra
     width = np.uint64(min(-(-(high - low) // parts), (1 << 64) - 1))
 
     def record(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        grams, rows, ats = (np.concatenate(x) for x in zip(*held, strict=True))
+        grams, *others = (np.concatenate(x) for x in zip(*held, strict=True))
         part = np.minimum((grams - np.uint64(low)) // width, np.uint64(parts - 1)).astype(np.uint16 if parts <= 1 << 16 else np.int64)  # 16 bits are sorted by radix
         by = np.argsort(part, kind="stable")
         here, starts = np.unique(part[by], return_index=True)
         offsets = pa.array(np.append(starts, len(by)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x[by])) for x in (grams.view(np.int64), rows, ats)]
-        return pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), *lists], ["part", "grams", "rows", "ats"])
+        rows = pa.StructArray.from_arrays([pa.array(x[by], t) for x, (_, t) in zip((grams.view(np.int64), *others), OCCURRENCE, strict=True)], [n for n, _ in OCCURRENCE])
+        return pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), pa.ListArray.from_arrays(offsets, rows)], ["part", "occurrences"])
 
     def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in _pieces(batches):
-            names = batch.column("row").to_numpy(zero_copy_only=False)
+            names, many = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "m"))
             grams, text, place = _grams(batch.column("text").to_pylist(), order)
             for n, g in enumerate(grams):
                 mine = np.flatnonzero((g >= np.uint64(low)) & (g <= np.uint64(high - 1)) & (place >= n))
                 mine = mine[table.find(g[mine]) < 0]
-                held.append((g[mine], names[text[mine]], (place[mine] * order + n).astype(np.int32)))
+                held.append((g[mine], names[text[mine]], (place[mine] * order + n).astype(np.int32), many[text[mine]]))
                 size += len(mine)
             if size >= PACKET:
                 yield record(held)
@@ -140,11 +144,13 @@ def _common_counts(order: int, common: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, words = np.zeros(len(common), np.int64), 0
         for batch in _pieces(batches):
-            grams, _, place = _grams(batch.column("text").to_pylist(), order)
-            words += len(place)
+            grams, text, place = _grams(batch.column("text").to_pylist(), order)
+            many = batch.column("m").to_numpy(zero_copy_only=False)[text]
+            words += int(many.sum())
             for n, g in enumerate(grams):
-                at = table.find(g[place >= n])
-                sums += np.bincount(at[at >= 0], minlength=len(common))
+                at = table.find(g)
+                here = (at >= 0) & (place >= n)
+                sums += np.bincount(at[here], many[here], len(common)).astype(np.int64)  # doubles are exact below 2**53
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array([None, *common[some].view(np.int64).tolist()], pa.int64()), pa.array([words, *sums[some].tolist()], pa.int64())], ["gram", "n"])
 
@@ -167,7 +173,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scored(order: int, backoff: float, leave_one_out: bool, common: np.ndarray, counts: np.ndarray, words: int):
-    """(doc_id, text, answers) -> the score of each row."""
+    """(row, text, answers) -> the score of each text."""
     table = Table(common)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,45 +205,73 @@ def _scored(order: int, backoff: float, leave_one_out: bool, common: np.ndarray,
                 used = np.where(ok & seen, n, used)
             full = np.minimum(order, place + 1)
             add = lambda x: np.bincount(text, x, batch.num_rows)  # noqa: E731, B023
-            out = [batch.column("doc_id"), pa.array(size), pa.array(add(used == full).astype(np.int64)), pa.array(add(used < full).astype(np.int64)), pa.array(add(result).astype(np.float64))]
+            out = [batch.column("row"), pa.array(size), pa.array(add(used == full).astype(np.int64)), pa.array(add(used < full).astype(np.int64)), pa.array(add(result).astype(np.float64))]
             yield pa.RecordBatch.from_arrays(out, [c.split()[0] for c in SCORED.split(", ")])
 
     return rows
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, at, total) -> ANSWERS, a record for each row that is among some PACKET of them."""
+
+    def record(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows, ats, totals = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("row", "at", "total"))
+        by = np.argsort(rows, kind="stable")
+        here, starts = np.unique(rows[by], return_index=True)
+        offsets = pa.array(np.append(starts, len(by)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(here), *[pa.ListArray.from_arrays(offsets, pa.array(x[by])) for x in (ats, totals)]], ["row", "at", "totals"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= PACKET:
+            yield record(held)
+            held, size = [], 0
+    if size:
+        yield record(held)
+
+
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """(a, b, row, m, text): each text once, named by two hashes, with a number and how many rows have it."""
+    texts = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.first("text").alias("text"))
+    return written(texts.select("a", "b", F.monotonically_increasing_id().alias("row"), "m", "text"), "texts")
+
+
 def exploded(packets: DataFrame) -> DataFrame:
-    """(part, gram, row, at), one row for each occurrence."""
-    rows = packets.select("part", "rows", "ats", F.posexplode("grams").alias("k", "gram"))
-    return rows.select("part", "gram", F.element_at("rows", F.col("k") + 1).alias("row"), F.element_at("ats", F.col("k") + 1).alias("at"))
+    """(part, gram, row, at, m), one row for each occurrence."""
+    return packets.select("part", F.inline("occurrences"))
 
 
-def _common(rows: DataFrame, order: int) -> np.ndarray:
+def _common(texts: DataFrame, order: int) -> np.ndarray:
     """The commonest n-grams of a sample, ascending."""
-    n = rows.count()
-    some = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "row"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30)))
-    counts = exploded(some.mapInArrow(_packets(order, 0, 1, 1, np.zeros(0, np.uint64)), PACKETS)).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    n = texts.count()
+    some = texts.where(F.pmod(F.xxhash64(F.lit("sample"), "row"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30)))
+    counts = exploded(some.mapInArrow(_packets(order, 0, 1, 1, np.zeros(0, np.uint64)), PACKETS)).groupBy("gram").agg(F.sum("m").alias("n"))
     found = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "gram").limit(FREQUENT).select("gram").collect()
     return np.sort(np.asarray([r[0] for r in found], np.int64).view(np.uint64))
 
 
-def counted(occurrences: DataFrame) -> DataFrame:
-    """The count table: (part, gram, total) of what occurs more than once."""
-    return occurrences.groupBy("part", "gram").agg(F.count("row").alias("total"), F.count("at").alias("places")).where("total > 1 and places > 1").select("part", "gram", "total")
+def counted(occurrences: DataFrame, least: int = 2) -> DataFrame:
+    """The count table: (part, gram, total) of what occurs `least` times. It reads all columns, so that the plan can read the same
+    partitions twice."""
+    counts = occurrences.groupBy("part", "gram").agg(F.sum("m").alias("total"), F.count("row").alias("rows"), F.count("at").alias("ats"))
+    return counts.where(f"total >= {least} and rows = ats").select("part", "gram", "total")
 
 
-def answered(packets: DataFrame) -> DataFrame:
-    """(row, at, totals): the totals of a row's n-grams and where they stand, in two lists of one order. The occurrences are shuffled
-    once, for both sides: the count table reads all columns, so that the plan can read the same partitions twice. Written under
-    CO_LOCATED, partitions by part serve the join on part and n-gram as they are."""
+def answered(packets: DataFrame, least: int = 2) -> DataFrame:
+    """ANSWERS: the totals of a text's n-grams and where they stand, in two lists of one order. The occurrences are shuffled once, for both
+    sides. Written under CO_LOCATED, partitions by part serve the join on part and n-gram as they are."""
     occurrences = exploded(packets.repartition("part"))
-    totals = occurrences.join(counted(occurrences).hint("shuffle_hash"), ["part", "gram"])
-    return totals.groupBy("row").agg(F.collect_list("at").alias("at"), F.collect_list("total").alias("totals"))
+    totals = occurrences.join(counted(occurrences, least).hint("shuffle_hash"), ["part", "gram"])
+    return totals.select("row", "at", "total").mapInArrow(_packed, ANSWERS)
 
 
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, backoff: float = BACKOFF, leave_one_out: bool = True) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    bare = rows.select("row", "text")
+    rows = rows.withColumns({"a": F.xxhash64("text"), "b": F.xxhash64(F.lit("b"), "text")})
+    texts = distinct_texts(rows)
+    bare = texts.select("row", "m", "text")
     with cleaned(docs.sparkSession):
         common = _common(bare, order)
         sums = bare.mapInArrow(_common_counts(order, common), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -245,21 +279,23 @@ def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: i
     words = sums.pop(None, 0)
     counts = np.asarray([sums.get(g, 0) for g in common.view(np.int64).tolist()], np.int64)
     parts = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-order * words // (SLICES * PART)))
+    least = 2 if leave_one_out else 1
     with settings(docs.sparkSession, **CO_LOCATED):
-        told = [written(answered(bare.mapInArrow(_packets(order, k, SLICES, parts, common), PACKETS)), f"totals_{k}") for k in range(SLICES)]
+        told = [written(answered(bare.mapInArrow(_packets(order, k, SLICES, parts, common), PACKETS), least), f"totals_{k}") for k in range(SLICES)]
 
     def half(k: int) -> DataFrame:
-        mine = F.pmod(F.col("row"), F.lit(HALVES)) == k
+        mine = F.pmod(F.xxhash64("row"), F.lit(HALVES)) == k
         every = told[0]
         for t in told[1:]:
             every = every.unionByName(t)
         every = every.where(mine).groupBy("row").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("totals")).alias("totals"))
         none = {"at": F.array().cast("array<int>"), "totals": F.array().cast("array<bigint>")}
-        out = rows.where(mine).join(every, "row", "left").select("doc_id", "text", *[F.coalesce(c, x).alias(c) for c, x in none.items()])
+        out = bare.where(mine).join(every, "row", "left").select("row", "text", *[F.coalesce(c, x).alias(c) for c, x in none.items()])
         return written(out.mapInArrow(_scored(order, backoff, leave_one_out, common, counts, words), SCORED), f"scores_{k}")
 
-    out = half(0)
+    found = half(0)
     for k in range(1, HALVES):
-        out = out.unionByName(half(k))
+        found = found.unionByName(half(k))
+    found = texts.select("a", "b", "row").join(found, "row").drop("row")
     mean = F.when(F.col("n_words") > 0, F.col("log10_sum") / F.nullif(F.col("n_words"), F.lit(0)))
-    return out.withColumn("log10_mean", mean)
+    return rows.select("doc_id", "a", "b").join(found, ["a", "b"]).drop("a", "b").withColumn("log10_mean", mean)
