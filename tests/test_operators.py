@@ -320,6 +320,22 @@ def test_only_failures_of_sources_are_set_apart(spark, sf, tmp_path):
         isolation.isolated(spark, {"a": bad}, str(tmp_path / "z"))
 
 
+def test_parameters_are_checked_and_reach_the_scan(spark, sf):
+    held = spark.conf.get("spark.sql.maxMetadataStringLength")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    try:
+        plan = catalog.bars_by_parameters(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.maxMetadataStringLength", held)
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "EqualTo(o_orderpriority,2-HIGH)" in pushed and "..." not in pushed.split("]")[0] and all(f"{x}(o_orderdate,{d}" in pushed for x, d in (("GreaterThanOrEqual", "1996-03-01"), ("LessThan", "1998-03-01")))
+    trades = spark.createDataFrame([("A", dt.datetime(2024, 1, 1), 1, 2.0)], "sym string, at timestamp_ntz, key long, price double")
+    assert readers.bars_between(trades, "A", "2024-01-01", "2024-01-01").count() == 1
+    for bad in (("a' OR 1=1", "2024-01-01", "2024-01-02"), ("A", "2024-01-02", "2024-01-01"), ("A", "yesterday", "2024-01-01")):
+        with pytest.raises(ValueError):
+            readers.bars_between(trades, *bad)
+
+
 def test_rounding_of_shares(spark):
     assert one(spark, numbers.share(F.lit(23), F.lit(80)), numbers.share(F.lit(1), F.lit(0)), numbers.share(F.lit(1), F.lit(8), 0)) == (28.8, None, 13.0)
 

@@ -777,6 +777,12 @@ def labels_and_parameters(spark, sf):
     return e.select("event_id", new_york_day(ts).alias("day"), new_york_label(ts).alias("label"), signed_percent("value").alias("change"), whole_number(days, 14, 1).alias("days"), parsed(F.concat(days, F.lit("%"))).alias("number"))
 
 
+def bars_by_parameters(spark, sf):
+    """One priority's bars between two days, by bound parameters."""
+    trades = src.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("sym"), F.col("o_orderdate").alias("at"), F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"))
+    return readers.bars_between(trades, "2-HIGH", "1996-03-01", "1998-02-28")
+
+
 def symbol_validation(spark, sf):
     s = F.concat(F.lit("  "), F.lower(F.replace("p_brand", F.lit("#"), F.lit("-"))), F.when(F.col("p_size") % 2 == 0, F.lit(" ")).otherwise(F.lit("!")))
     rows = src.table(spark, sf, "part").select("p_partkey", symbol(s).alias("sym"))
@@ -820,7 +826,7 @@ def queries() -> dict:
         snapshot_upsert, key_merge, config_upsert_delete, config_changes, counter_trim, bars_projection, bars_full, symbol_validation, csv_preamble_parse, json_closes, month_overflow, js_rounding,
         index_bars_read, point_quotes_read, put_call_window, newest_readings, factors_merged, ingest_health, quarantine, retried_closes,
         stream_day_counts, stream_last_event, stream_daily_snapshot, labels_and_parameters, fixed_universes, partial_feeds,
-        call_log, composite_damaged, partial_reads, stream_final_days, stream_last_state, stream_first_snapshot,
+        bars_by_parameters, call_log, composite_damaged, partial_reads, stream_final_days, stream_last_state, stream_first_snapshot,
     )
     out = {f.__name__: f for f in fs}
     return out | {f"resample_{c}": _resample(c) for c in ("month", "quarter", "year")}

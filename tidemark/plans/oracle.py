@@ -201,6 +201,7 @@ def oracle_sql() -> dict[str, str]:
     }
     ends = "ts::DATE + INTERVAL 1 DAY"
     q |= {
+        "bars_by_parameters": " SELECT o_orderpriority AS sym, o_orderdate::DATE AS d, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close FROM orders WHERE o_orderpriority = '2-HIGH' AND o_orderdate::DATE BETWEEN DATE '1996-03-01' AND DATE '1998-02-28' GROUP BY ALL",
         "call_log": " SELECT o_orderdate::DATE AS d, count(*) AS calls FROM orders GROUP BY 1 ORDER BY d DESC LIMIT 90",
         "composite_damaged": q["composite_degraded"].replace("PATH_NOT_FOUND", "FAILED_READ_FILE"),
         "partial_reads": q["partial_feeds"] + " UNION ALL SELECT 'symbols', NULL, NULL, 'FAILED_READ_FILE'",

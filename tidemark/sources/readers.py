@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -121,6 +123,21 @@ def factor_rows(texts: DataFrame, columns: list[str]) -> DataFrame:
     return body.select("name", F.to_date(F.trim(cells[0]), "yyyyMMdd").alias("d"), *[parsed(F.try_element_at(cells, F.lit(k + 2))).alias(c) for k, c in enumerate(columns)])
 
 
+def bars_between(trades: DataFrame, sym: str, first: str, last: str) -> DataFrame:
+    """Daily bars of one symbol between two days, both included, from (sym, at, key, price). The parameters are checked, then bound to markers of
+    the SQL text, never pasted into it, and reach the scan as filters. Bars open and close with the least and the largest key of the day."""
+    if not re.fullmatch(r"[A-Z0-9.\-]{1,10}", sym):
+        raise ValueError(f"not a symbol: {sym!r}")
+    days = [dt.date.fromisoformat(d) for d in (first, last)]
+    if days[0] > days[1]:
+        raise ValueError(f"{first} is after {last}")
+    kind = trades.schema["at"].dataType.simpleString()
+    text = f"""
+        SELECT sym, CAST(at AS DATE) AS d, min_by(price, key) AS open, max(price) AS high, min(price) AS low, max_by(price, key) AS close
+        FROM {{trades}} WHERE sym = :sym AND at >= CAST(:first AS {kind}) AND at < CAST(:after AS {kind}) GROUP BY sym, CAST(at AS DATE)"""
+    return trades.sparkSession.sql(text, args={"sym": sym, "first": days[0], "after": days[1] + dt.timedelta(1)}, trades=trades)
+
+
 def stored(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
     """A snapshot, or None where none was written yet."""
     from pyspark.errors import AnalysisException
