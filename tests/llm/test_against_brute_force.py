@@ -171,6 +171,46 @@ def test_tails_are_those_of_the_laws(spark):
         assert math.isclose(math.exp(r["p"]), want, rel_tol=1e-9)
 
 
+def test_spared_runs_are_no_discoveries(spark):
+    """Runs that don't take the battery would not have reached the bound, and letters or digits alone do reach it."""
+    import random
+    import string
+
+    from tidemark.llm import secret_scan as s
+
+    rng = random.Random(8)
+    runs = ["".join(rng.choice(a) for _ in range(n)) for n in range(8, 22) for a in (string.ascii_lowercase, string.ascii_uppercase, string.digits, "abcdef", "01") for _ in range(60)]
+    runs += ["".join(rng.sample(a, min(n, len(a)))) for n in range(8, 22) for a in (string.ascii_lowercase, string.ascii_uppercase, string.digits) for _ in range(20)]
+    runs += [r.capitalize() for r in runs[:300]]
+    df = spark.createDataFrame([(r,) for r in runs if len(r) >= 8], "run string")
+    for decades in (0.5, 2.0, 3.0):
+        spared = s._hopeless(q.F.col("run"), q.F.length("run"), lambda k, d=decades: d)
+        rows = df.select("run", spared.alias("spared"), s.tested(q.F.col("run")).alias("t")).collect()
+        assert not [r for r in rows if r["spared"] and r["t"]["sound"] and r["t"]["decades"] >= decades]
+        if decades == 2.0:
+            over = [r["run"] for r in rows if r["t"]["sound"] and r["t"]["decades"] >= 2]
+            assert [r for r in over if r.isdigit() and len(r) < 20] and [r for r in over if r.islower() and len(r) < 20]
+    every = {r[0] for r in rows if not r["spared"]} | {r[0] for r in rows if r["spared"]}
+    assert every == {r for r in runs if len(r) >= 8}
+
+
+def test_keys_of_digits_or_letters_alone(spark):
+    """Letters without repeats are discoveries, random digits where they reach the band's bound; one that counts up is vetoed."""
+    import random
+    import string
+
+    from tidemark.llm import secret_scan
+
+    rng = random.Random(10)
+    keys = ["".join(rng.sample(string.ascii_lowercase, n)) for n in (18, 19) for _ in range(40)] + ["".join(rng.choice(string.digits) for _ in range(19)) for _ in range(40)]
+    docs = spark.createDataFrame([(k, f"see {t} there") for k, t in enumerate([*keys, "1234567890123456", "aaaaaaaaaaaaaaaa"])], "doc_id long, text string")
+    found = {r[0] for r in secret_scan.with_secrets(docs).where("size(secrets) > 0").select("doc_id").collect()}
+    (bound,) = secret_scan.fitted(docs).values()
+    steps = docs.select("doc_id", secret_scan.tested(q.F.regexp_extract("text", "see (.*) there", 1)).alias("t")).collect()
+    assert found == {r["doc_id"] for r in steps if r["t"]["sound"] and math.floor(r["t"]["decades"] * secret_scan.STEPS) >= bound}
+    assert len(found) >= 70 and not found & {len(keys), len(keys) + 1}
+
+
 def test_planted_keys_in_whole_tables(spark, sf):
     """Keys of no base kind, put into every 25th text of the whole table, are found, and little else."""
     import random

@@ -20,9 +20,9 @@ from pyspark.sql.window import Window
 
 from .common import fresh, ordered_bucket
 
-#: Of the hashes' range: one in 16.
-FRACTION = 1 / 16
-FLOOR = 64
+#: Of the hashes' range: one in 4. Texts of FLOOR / FRACTION (128) shingles and more, most texts, are sketched by it alone.
+FRACTION = 1 / 4
+FLOOR = 32
 #: Rows of a bucket in `with_next`, few, so that tasks get equal shares of them; beyond about 1e8 rows buckets get larger.
 BUCKET_ROWS = 128
 _LEAST, _MOST = -(1 << 63), (1 << 63) - 1

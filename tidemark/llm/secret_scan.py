@@ -4,7 +4,7 @@ Base kinds: assign, access and hex, each leftmost non-overlapping, failing match
 at least LEAST of the characters of common encodings. For each the encoding is inferred (the smallest alphabet that holds its
 characters) and the battery is run:
   - against randomness: chi-squared uniformity over the alphabet, the runs of characters above and below the alphabet's middle, the
-    serial correlation of neighbours; a run that fails any of them at z > BATTERY_Z is no random string;
+    serial correlation of neighbours, as a product and as coincidences of their distances (1234567890 has one); a run that fails any of them at z > BATTERY_Z is no random string;
   - against text, at the other end of the same statistics: coincidences of characters (chi-squared is a linear function of their
     number) are Poisson with the rate of words, and their lower tail is one p-value; runs of one character class end as often as
     in words and names, binomially, and their upper tail is the other. Both tails are summed term by term, half of the observed
@@ -12,7 +12,8 @@ characters) and the battery is run:
     by the normal law). Fisher's method combines them.
 The combined p-values, to which the length contributes as much as the look, are held to a false-discovery rate by Benjamini-Hochberg
 within each band of lengths over all documents; the ranks come from a table of counts by band and p-value in steps of 1/STEPS
-of a decade, a few hundred rows whatever the input. `battery` has the figures of every run that is a discovery.
+of a decade, a few hundred rows whatever the input. No p-value above the rate is ever a discovery, so plain runs whose repeated
+characters alone keep them above it (`most_repeats`) are only counted. `battery` has the figures of every run that is a discovery.
 A discovery that base spans cover is left to them; one that reaches beyond them is a span as well, in whole.
 
 Costs grow with the length of a text: offsets are running sums by blocks, pieces of a text are cut from blocks of BLOCK characters.
@@ -35,8 +36,9 @@ HEX = "(?<![0-9a-f])[0-9a-f]{32,}+"
 #: LEAST is the shortest value that any base kind takes for a secret.
 LEAST, STEPS, MOST_DECADES, RATE, BATTERY_Z = 8, 20, 15, 0.01, 3.3
 RUN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}+"
-#: Plain words and numbers. Below 20 characters they reach less than one decade, whatever their characters; a discovery takes two (RATE).
-PLAIN = "^([A-Z]?[a-z]+|[A-Z]+|[0-9]+)$"
+#: Runs of one class, whose class changes once at most, so that only coincidences speak; below PLAIN_BELOW characters `_hopeless` may
+#: spare them the battery. Letters of the 16 digits alone aren't among them, they have an alphabet of their own.
+PLAIN, PLAIN_BELOW = "^(?![a-f]+$)([A-Z]?[a-z]+|[A-Z]+|[0-9]+)$", 20
 #: Where bands of lengths begin. Shorter runs, mostly words, have bands of their own, so longer ones are ranked without them.
 EDGES = (12, 16, 20, *(1 << k for k in range(5, 13)))
 KINDS = ("assign", "access", "hex", "random")
@@ -169,15 +171,17 @@ def tested(run: Column) -> Column:
 def _sums(c: Column) -> Column:
     """From run, size, chars, codes: what the tests need, each computed once."""
     n, k, codes = F.length(c["run"]).cast("double"), c["size"].cast("double"), c["codes"]
+    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
     middle = (k - 1) / 2
     counts = F.transform(F.array_distinct(c["chars"]), lambda x: n - F.length(F.replace(c["run"], x)))
     one = lambda x: F.when(x > middle, F.lit(1.0)).otherwise(F.lit(0.0))
     pairs = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.struct(F.abs(one(a) - one(b)).alias("turn"), ((a - middle) * (b - middle)).alias("product")))
+    lags = F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.pmod(b - a, k))
+    equal = lambda d: total(F.transform(F.array_distinct(d), lambda x: (F.size(d) - F.size(F.array_remove(d, x))).cast("double")), lambda x: x * (x - 1) / 2)
     kind = F.translate(c["run"], "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", "A" * 26 + "a" * 26 + "0" * 10 + "----")
-    total = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x))
     both = F.aggregate(pairs, F.struct(F.lit(1.0).alias("turns"), F.lit(0.0).alias("products")), lambda s, x: F.struct((s["turns"] + x["turn"]).alias("turns"), (s["products"] + x["product"]).alias("products")))
     sums = F.struct(
-        n.alias("n"), k.alias("k"), c["size"].alias("size"), total(counts, lambda x: x * x).alias("squares"), total(codes, one).alias("up"), both.alias("both"),
+        n.alias("n"), k.alias("k"), c["size"].alias("size"), total(counts, lambda x: x * x).alias("squares"), total(codes, one).alias("up"), both.alias("both"), let(lags, equal).alias("lags"),
         (F.length(F.regexp_replace(kind, r"(.)\1+", "$1")) - 1).cast("double").alias("changes"),
     )
     return let(sums, _tests)
@@ -189,7 +193,9 @@ def _tests(s: Column) -> Column:
     pq = 2 * up * (n - up)
     runs = (s["both"]["turns"] - (pq / n + 1)) / F.sqrt(F.greatest(F.lit(0.25), pq * (pq - n) / (n * n * (n - 1))))
     serial = s["both"]["products"] / ((k * k - 1) / 12 * F.sqrt(n - 1))
-    sound = (uniform < BATTERY_Z) & (F.abs(runs) < BATTERY_Z) & (F.abs(serial) < BATTERY_Z)
+    alike = (n - 1) * (n - 2) / 2 / k
+    steady = (s["lags"] - alike) / F.sqrt(F.greatest(F.lit(0.25), alike * (1 - 1 / k)))
+    sound = (uniform < BATTERY_Z) & (F.abs(runs) < BATTERY_Z) & (F.abs(serial) < BATTERY_Z) & (steady < BATTERY_Z)
     even = _few((s["squares"] - n) / 2, n * (n - 1) / 2 * WORDLIKE / k)
     mixed = _many(s["changes"], n - 1, CHANGES)
     decades = lambda ln: -(ln + F.ln(1 - ln)) / math.log(10)  # noqa: E731 - Fisher: P(p * q <= x) = x (1 - ln x)
@@ -201,26 +207,54 @@ def _band(n: Column) -> Column:
     return F.size(F.filter(F.array(*[F.lit(k) for k in EDGES]), lambda k: k <= n))
 
 
-def candidates(runs: Column) -> Column:
-    """Matches of RUN -> array of start, end, size (of the alphabet), band, step (whole steps of -log10 p; 0 where a test of randomness
-    failed)."""
+def most_repeats(n: int, size: int, decades: float) -> int:
+    """The most repeated characters (length less distinct ones) with which a plain run of n characters can still reach so many decades;
+    -1: it can't. A run has as many coincidences as repeated characters or more, and more of them never give more decades."""
+    mean, best, term, below = n * (n - 1) / 2 * WORDLIKE / size, -1, 1.0, 0.0
+    for c in range(n):
+        p = math.exp(-mean) * (below + term / 2)
+        if c >= mean or -math.log10(p * (1 - math.log(p))) < decades - 1e-9:
+            break
+        best, below, term = c, below + term, term * mean / (c + 1)
+    return best
+
+
+def _hopeless(run: Column, n: Column, least) -> Column:
+    """Whether a run can't reach the decades that least(n) asks of its length, known without the battery: a plain run with too many
+    repeated characters. Its alphabet is taken as 10 for digits, else 26: larger ones give less."""
+    digits, letters = (F.array(*[F.lit(most_repeats(k, size, least(k))) for k in range(LEAST, PLAIN_BELOW)]) for size in (10, 26))
+    plain = (n < PLAIN_BELOW) & run.rlike(PLAIN)
+    most = F.element_at(F.when(run.rlike("^[0-9]"), digits).otherwise(letters), n - (LEAST - 1))
+    return F.when(plain, (most < 0) | (n - F.size(F.array_distinct(F.split(run, ""))) > most)).otherwise(F.lit(False))
+
+
+def _step(t: Column) -> Column:
+    """Whole steps of -log10 p; 0 where a test of randomness failed."""
+    return F.when(t["sound"], F.floor(t["decades"] * STEPS)).otherwise(F.lit(0)).cast("int")
 
-    def figures(x: Column) -> Column:
-        n = x["end"] - x["start"]
-        plain = (n < 20) & x["match"].rlike(PLAIN)
-        step = lambda t: F.when(t["sound"], F.floor(t["decades"] * STEPS)).otherwise(F.lit(0)).cast("int")
-        row = lambda size, step: F.struct(x["start"].alias("start"), x["end"].alias("end"), size.alias("size"), _band(n).alias("band"), step.alias("step"))
-        return F.when(plain, row(F.lit(0), F.lit(0))).otherwise(let(tested(x["match"]), lambda t: row(t["size"], step(t))))
 
-    return F.transform(runs, figures)
+def discoveries(runs: Column, bounds: dict[int, int]) -> Column:
+    """Matches of RUN -> array of start, end, size (of the alphabet), band, step: those that reach the bound of their band. Runs of
+    a band without a bound, and those that can't reach theirs, don't take the battery."""
+    if not bounds:
+        return F.array().cast(FOUND)
+    length = lambda x: x["end"] - x["start"]
+    bound = lambda band: F.element_at(F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair]), band)
+    least = lambda k: bounds.get(sum(e <= k for e in EDGES), 1 << 30) / STEPS
+    hopeful = F.filter(runs, lambda x: bound(_band(length(x))).isNotNull() & ~_hopeless(x["match"], length(x), least))
+    row = lambda x, t: F.struct(x["start"].alias("start"), x["end"].alias("end"), t["size"].alias("size"), _band(length(x)).alias("band"), _step(t).alias("step"))
+    return F.filter(F.transform(hopeful, lambda x: let(tested(x["match"]), lambda t: row(x, t))), lambda c: c["step"] >= bound(c["band"]))
 
 
 def fitted(docs: DataFrame, text: str = "text", rate: float = RATE) -> dict[int, int]:
-    """For each band of lengths the least step that is a discovery. At most a few hundred rows of counts reach the driver."""
-    rows = docs.where(F.col(text).rlike(RUN)).select(_found(F.col(text), RUN).alias("runs"))
-    rows = rows.select(F.explode(candidates(F.col("runs"))).alias("c"))
+    """For each band of lengths the least step that is a discovery. Each distinct run is tested once. Runs whose p-value is known to be
+    above the rate are counted by band alone: no bound is there. At most a few hundred rows of counts reach the driver."""
+    rows = docs.where(F.col(text).rlike(RUN)).select(F.explode(_found(F.col(text), RUN)["match"]).alias("run"))
+    n = F.length("run")
+    rows = rows.groupBy(_band(n).alias("band"), F.when(~_hopeless(F.col("run"), n, lambda k: -math.log10(rate)), F.col("run")).alias("run")).count()
+    rows = rows.select("band", "count", F.when(F.col("run").isNull(), F.lit(0)).otherwise(let(tested(F.col("run")), _step)).alias("step"))
     counts: dict[int, dict[int, int]] = {}
-    for band, step, n in rows.groupBy("c.band", "c.step").count().collect():
+    for band, step, n in rows.groupBy("band", "step").agg(F.sum("count")).collect():
         counts.setdefault(band, {})[step] = n
     out = {}
     for band, steps in counts.items():
@@ -234,11 +268,6 @@ def fitted(docs: DataFrame, text: str = "text", rate: float = RATE) -> dict[int,
     return out
 
 
-FOUND = "array<struct<start:int,end:int,size:int,band:int,step:int>>"
-
-
-
-
 def with_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", bounds: dict[int, int] | None = None, battery: str | None = None) -> DataFrame:
     """Adds `out`: array of start, rank (of the kind, see KINDS), end, by start, then kind; and under the name `battery`, if given, what the
     battery found, base spans or not: array of start, end, size, band, step. `bounds`: as fitted on these documents, if unset."""
@@ -247,11 +276,7 @@ def with_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", boun
     t, *found, base, hits, masked, free = names
     docs = with_matches(docs.withColumn(t, F.coalesce(text, F.lit(""))), t, found)
     docs = docs.withColumn(base, base_spans(*map(F.col, found[:3])))
-    none = F.array().cast(FOUND)
-    if bounds:
-        least = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])
-        none = F.filter(candidates(F.col(found[3])), lambda c: c["step"] >= F.coalesce(F.element_at(least, c["band"]), F.lit(1 << 30)))
-    docs = docs.withColumn(hits, none)
+    docs = docs.withColumn(hits, discoveries(F.col(found[3]), bounds))
     # what base spans cover is masked with a character that no run has; hits that reach beyond it stay
     both = (F.size(base) > 0) & (F.size(hits) > 0)
     docs = docs.withColumn(masked, F.when(both, redacted(F.col(t), F.col(base), "\x00", True)))
