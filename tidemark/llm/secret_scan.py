@@ -35,7 +35,8 @@ ACCESS = "AKIA[A-Z0-9]{12,}+"
 HEX = "(?<![0-9a-f])[0-9a-f]{32,}+"
 #: LEAST is the shortest value that any base kind takes for a secret.
 LEAST, STEPS, MOST_DECADES, RATE, BATTERY_Z = 8, 20, 15, 0.01, 3.3
-RUN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST},}}+"
+_RUN = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+"
+RUN = _RUN % LEAST
 #: Runs of one class, whose class changes once at most, so that only coincidences speak; below PLAIN_BELOW characters `_hopeless` may
 #: spare them the battery. Letters of the 16 digits alone aren't among them, they have an alphabet of their own.
 PLAIN, PLAIN_BELOW = "^(?![a-f]+$)([A-Z]?[a-z]+|[A-Z]+|[0-9]+)$", 20
@@ -110,9 +111,9 @@ def _found(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
 
 
-def with_matches(docs: DataFrame, text: str, outs: list[str]) -> DataFrame:
+def with_matches(docs: DataFrame, text: str, outs: list[str], run: str = RUN) -> DataFrame:
     """Adds for each kind all matches of its pattern in `text`. Each is a step of its own: nested functions are resolved level by level."""
-    for out, pattern in zip(outs, (ASSIGN, ACCESS, HEX, RUN), strict=True):
+    for out, pattern in zip(outs, (ASSIGN, ACCESS, HEX, run), strict=True):
         docs = docs.withColumn(out, _found(F.col(text), pattern))
     return docs
 
@@ -249,7 +250,7 @@ def discoveries(runs: Column, bounds: dict[int, int]) -> Column:
 def fitted(docs: DataFrame, text: str = "text", rate: float = RATE) -> dict[int, int]:
     """For each band of lengths the least step that is a discovery. Each distinct run is tested once. Runs whose p-value is known to be
     above the rate are counted by band alone: no bound is there. At most a few hundred rows of counts reach the driver."""
-    rows = docs.where(F.col(text).rlike(RUN)).select(F.explode(_found(F.col(text), RUN)["match"]).alias("run"))
+    rows = docs.where(F.col(text).rlike(RUN)).select(F.explode(F.regexp_extract_all(text, F.lit(f"({RUN})"), F.lit(1))).alias("run"))
     n = F.length("run")
     rows = rows.groupBy(_band(n).alias("band"), F.when(~_hopeless(F.col("run"), n, lambda k: -math.log10(rate)), F.col("run")).alias("run")).count()
     rows = rows.select("band", "count", F.when(F.col("run").isNull(), F.lit(0)).otherwise(let(tested(F.col("run")), _step)).alias("step"))
@@ -274,7 +275,9 @@ def with_secrets(docs: DataFrame, text: str = "text", out: str = "secrets", boun
     bounds = fitted(docs, text) if bounds is None else bounds
     names = fresh(docs, "t__", "assign__", "access__", "hex__", "run__", "base__", "hits__", "masked__", "free__")
     t, *found, base, hits, masked, free = names
-    docs = with_matches(docs.withColumn(t, F.coalesce(text, F.lit(""))), t, found)
+    # only runs as long as some band with a bound are looked for
+    run = _RUN % min((0, *EDGES)[band] or LEAST for band in bounds) if bounds else RUN
+    docs = with_matches(docs.withColumn(t, F.coalesce(text, F.lit(""))), t, found, run)
     docs = docs.withColumn(base, base_spans(*map(F.col, found[:3])))
     docs = docs.withColumn(hits, discoveries(F.col(found[3]), bounds))
     # what base spans cover is masked with a character that no run has; hits that reach beyond it stay
