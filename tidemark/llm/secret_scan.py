@@ -4,7 +4,8 @@ Base kinds: assign, access and hex, each leftmost non-overlapping, failing match
 at least LEAST of the characters of common encodings. For each the encoding is inferred (the smallest alphabet that holds its
 characters) and the battery is run:
   - against randomness: chi-squared uniformity over the alphabet, the runs of characters above and below the alphabet's middle, the
-    serial correlation of neighbours, as a product and as coincidences of their distances (1234567890 has one); a run that fails any of them at z > BATTERY_Z is no random string;
+    serial correlation of neighbours, as a product and as coincidences of their distances (1234567890 has one; a key that merely holds
+    such a row, with less than a quarter of the coincidences there could be, may pass); a run that fails any of them at z > BATTERY_Z is no random string;
   - against text, at the other end of the same statistics: coincidences of characters (chi-squared is a linear function of their
     number) are Poisson with the rate of words, and their lower tail is one p-value; runs of one character class end as often as
     in words and names, binomially, and their upper tail is the other. Both tails are summed term by term, half of the observed
@@ -194,9 +195,10 @@ def _tests(s: Column) -> Column:
     pq = 2 * up * (n - up)
     runs = (s["both"]["turns"] - (pq / n + 1)) / F.sqrt(F.greatest(F.lit(0.25), pq * (pq - n) / (n * n * (n - 1))))
     serial = s["both"]["products"] / ((k * k - 1) / 12 * F.sqrt(n - 1))
-    alike = (n - 1) * (n - 2) / 2 / k
+    pairs = (n - 1) * (n - 2) / 2
+    alike = pairs / k
     steady = (s["lags"] - alike) / F.sqrt(F.greatest(F.lit(0.25), alike * (1 - 1 / k)))
-    sound = (uniform < BATTERY_Z) & (F.abs(runs) < BATTERY_Z) & (F.abs(serial) < BATTERY_Z) & (steady < BATTERY_Z)
+    sound = (uniform < BATTERY_Z) & (F.abs(runs) < BATTERY_Z) & (F.abs(serial) < BATTERY_Z) & ((steady < BATTERY_Z) | (s["lags"] <= pairs / 4))
     even = _few((s["squares"] - n) / 2, n * (n - 1) / 2 * WORDLIKE / k)
     mixed = _many(s["changes"], n - 1, CHANGES)
     decades = lambda ln: -(ln + F.ln(1 - ln)) / math.log(10)  # noqa: E731 - Fisher: P(p * q <= x) = x (1 - ln x)
