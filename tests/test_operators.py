@@ -374,3 +374,38 @@ def test_plans(spark, sf):
         assert "CartesianProduct" not in plan and "Python" not in plan and "Pandas" not in plan
     plan = catalog.advance_decline_line(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "l_comment" not in plan and "ReadSchema: struct<l_partkey:bigint,l_extendedprice:double,l_shipdate" in plan
+
+
+def test_listings_in_both_spellings_and_names_asked_again(spark):
+    symbols = spark.createDataFrame([("BRK.B",), ("BF-B",), ("A",), ("NONE",), (None,)], "sym string")
+    exchanges = spark.createDataFrame([("BRK-B", "NYSE"), ("BF.B", "NYSE"), ("A", "NYSE"), ("A", "CBOE")], "sym string, exchange string")
+    asked = readers.listings(symbols, exchanges)
+    assert {(r["sym"], r["s"]) for r in asked.collect()} == {("BRK.B", "NYSE:BRK.B"), ("BF-B", "NYSE:BF.B"), ("A", "CBOE:A"), ("NONE", None), (None, None)}
+    first = spark.createDataFrame([("NYSE:BRK.B", 1)], "s string, v int")
+    more = spark.createDataFrame([("NYSE:BF.B", 2), ("NYSE:BF.B", 2), ("NYSE:BRK.B", 9), ("NYSE:XX", 3)], "s string, v int")
+    names = []
+
+    def ask(lacking):
+        names.extend(sorted(r["s"] for r in lacking.collect()))
+        return more
+
+    rows, lacking = readers.asked_again(asked.select("s"), first, ask)
+    assert sorted(map(tuple, rows.collect())) == [("NYSE:BF.B", 2), ("NYSE:BRK.B", 1)]
+    assert names == ["CBOE:A", "NYSE:BF.B"] and lacking.count() == 2
+    rows, lacking = readers.asked_again(asked.select("s").limit(0), first.limit(0), lambda n: more)
+    assert not rows.count() and not lacking.count()
+
+
+def test_answers_are_counted_by_the_job_that_reads_them(spark, tmp_path):
+    docs = spark.createDataFrame([("a", '{"x": 1}'), ("b", None), ("c", '{"Note": "slow"}'), ("d", '{"y": 2}')], "sym string, doc string")
+    good, seen = readers.observed(docs, "one")
+    good.write.parquet(f"{tmp_path}/good")
+    assert seen.get == {"total": 4, "fetched": 2, "failed": 2}
+    assert sorted(r["sym"] for r in spark.read.parquet(f"{tmp_path}/good").collect()) == ["a", "d"]
+
+
+def test_ranges_scan_the_facts_once(spark):
+    """The facts are read by the job that writes the closes; what is planned on them reads those."""
+    for name in ("range_distribution", "range_change_list", "range_summary"):
+        df = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+        assert not [f for f in df.inputFiles() if "lineitem" in f], name

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.calendar import before, months_later, new_york_day, new_york_label, period
 from ..functions.numbers import parsed, pct_change, ratio, rounded, share, signed_percent, whole_number
-from ..functions.text import config_name, listed, symbol
+from ..functions.text import config_name, listed, same_class, symbol
 from ..operators import asof as A
 from ..operators import breadth as B
 from ..operators import isolation
@@ -263,16 +263,23 @@ def country_returns(spark, sf):
     return out.select("sym", *[rounded(k, 2).alias(k) for k in R.HORIZONS])
 
 
+def _once(spark, rows: DataFrame, name: str) -> DataFrame:
+    """The rows, written once, for plans that read them more than once: the facts behind them are scanned and shuffled a single time."""
+    path = _store(spark, name)
+    rows.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def range_changes(spark, sf):
-    return R.range_changes(src.symbol_closes(spark, sf))
+    return R.range_changes(_once(spark, src.symbol_closes(spark, sf), "closes"))
 
 
 def range_distribution(spark, sf):
-    return R.distribution(R.range_changes(src.symbol_closes(spark, sf)))
+    return R.distribution(range_changes(spark, sf))
 
 
 def range_distribution_nested(spark, sf):
-    return R.distribution(R.range_changes(src.symbol_closes(spark, sf)), nested=True)
+    return R.distribution(range_changes(spark, sf), nested=True)
 
 
 def day_distribution(spark, sf):
@@ -285,12 +292,12 @@ def _universe(closes: DataFrame) -> DataFrame:
 
 
 def range_summary(spark, sf):
-    closes = src.symbol_closes(spark, sf)
+    closes = _once(spark, src.symbol_closes(spark, sf), "closes")
     return R.summarised(R.range_changes(closes), _universe(closes))
 
 
 def range_change_list(spark, sf):
-    closes = src.symbol_closes(spark, sf)
+    closes = _once(spark, src.symbol_closes(spark, sf), "closes")
     return R.change_list(R.range_changes(closes), _universe(closes))
 
 
@@ -328,6 +335,16 @@ def scorecard_pivot(spark, sf):
     return C.scorecard_by_place(src.region_closes(spark, sf).where("type = 'region'"), "year")
 
 
+def scorecard_quarters(spark, sf):
+    """The newest 8 quarters of each style, by place."""
+    return C.scorecard_by_place(src.region_closes(spark, sf).where("type = 'style'"), "quarter")
+
+
+def scorecard_months(spark, sf):
+    """The newest 12 months of each region, by place."""
+    return C.scorecard_by_place(src.region_closes(spark, sf).where("type = 'region'"), "month")
+
+
 def scorecard_newest_years(spark, sf):
     """The same with the years as names of columns."""
     return C.scorecard(src.region_closes(spark, sf).where("type = 'region'"), "year")
@@ -534,6 +551,28 @@ def ath_snapshot(spark, sf):
     return K.current(spark, path)
 
 
+def ath_retried(spark, sf):
+    """The screener asked by exchange and symbol. Names that its answer lacks are asked for once more, those alone; what neither answer
+    has is listed, as are symbols of which no exchange is known. Symbols are written with a dash, the exchanges' with a point."""
+    ends = src.symbol_closes(spark, sf).groupBy("sym").agg(F.max("d").alias("d"), F.max_by("close", "d").alias("c"), F.max("close").alias("hi"), F.min("close").alias("lo"))
+    ends = _once(spark, ends.withColumn("sym", F.upper(F.replace("sym", F.lit("#"), F.lit("-")))), "ends")
+    tens, ones = F.substring("sym", -2, 1), F.substring("sym", -1, 1)
+    exchanges = ends.where(tens != "5").select(same_class(F.col("sym")).alias("sym"), F.when(tens.isin("1", "3"), "NASDAQ").otherwise("NYSE").alias("exchange"))
+    asked = readers.listings(ends, exchanges)
+    answer = asked.where("s is not null").select("s", F.array("sym", *[F.format_string("%.2f", c) for c in ("c", "c", "hi", "lo")]).alias("d"), tens.alias("tens"), ones.alias("ones"))
+    first = answer.where("ones != '3'").select("s", "d")
+    again = lambda names: answer.where("tens != '4' or ones != '3'").join(names, "s", "left_semi").select("s", "d")
+    rows, lacking = readers.asked_again(asked.select("s"), first, again)
+    out = B.at_tolerance(readers.screener(rows))
+    one = lambda df, c: F.array_join(F.array_sort(F.collect_list(df[c])), ",")  # noqa: E731 - names of a universe
+    left = T.missing(lacking, rows, "s")
+    unlisted = asked.where("s is null")
+    parts = (ends.agg(F.max("d").alias("d")), lacking.agg(F.count(F.lit(1)).alias("retried")), left.agg(one(left, "s").alias("unresolved")), unlisted.agg(one(unlisted, "sym").alias("unlisted")))
+    for part in parts:
+        out = out.crossJoin(F.broadcast(part))  # one row by construction
+    return out.select("d", "total", "n_high", "pct_high", "n_low", "pct_low", F.array_join("highs", ",").alias("highs"), F.array_join("lows", ",").alias("lows"), "retried", "unresolved", "unlisted")
+
+
 def factors_merged(spark, sf):
     """Two zipped texts with free lines around their rows, unpacked, parsed and joined on the first one's days."""
     three = src.market_bars(spark, sf).select("d", "open", "high", "low", "close")
@@ -588,6 +627,20 @@ def ingest_health(spark, sf):
     return one.unionByName(readers.health(asked, readers.retried(first, second)).select(F.lit(2).alias("pass"), "*"))
 
 
+def ingest_observed(spark, sf):
+    """Each pass's answers are counted in the very job that reads them and stores their closes."""
+    _, first, second = _passes(spark, sf)
+    counted, stored = [], []
+    for k, docs in enumerate((first, second), 1):
+        docs, seen = readers.observed(docs, f"pass {k}")
+        path = _store(spark, "observed")
+        readers.daily_closes(docs, "Time Series (Daily)", "4. close", 2).write.parquet(path)
+        counted.append((k, *(seen.get[c] for c in ("total", "fetched", "failed"))))
+        stored.append(spark.read.parquet(path).agg(F.lit(k).alias("pass"), F.count(F.lit(1)).alias("closes")))
+    metrics = spark.createDataFrame(counted, "pass int, total bigint, fetched bigint, failed bigint")
+    return metrics.join(stored[0].unionByName(stored[1]), "pass")
+
+
 def quarantine(spark, sf):
     """The answers of the first pass that carry an error, or nothing, instead of data."""
     return readers.parted(_passes(spark, sf)[1])[1]
@@ -821,12 +874,12 @@ def queries() -> dict:
         asof_left, asof_by_key, asof_ratio_rebased, scalar_asof, manual_scores, factor_components, factor_histories, composite_live, composite_degraded, composite_history, component_histories, component_payload,
         name_flags, breadth_internals, advance_decline_line, new_high_low, pct_above_sma, ath_summary, ath_tolerance, ath_tolerance_default, ath_snapshot,
         sector_returns, relative_returns, country_returns, range_changes, range_distribution, range_distribution_nested, day_distribution, range_summary, range_change_list, day_summary, rejected_quotes,
-        period_returns, heat_cells, scorecard_pivot, scorecard_newest_years, scorecard_newest, leaderboard_nulls_last, heat_intensity, rebased_chart, rebased_chart_ytd,
+        period_returns, heat_cells, scorecard_pivot, scorecard_quarters, scorecard_months, scorecard_newest_years, scorecard_newest, leaderboard_nulls_last, heat_intensity, rebased_chart, rebased_chart_ytd,
         factor_left_join, missing_anti_join, proxy_fallback, quote_union, ticker_tape, usage_report, latest_vs_previous, coverage_share, sector_payload, country_histories,
         snapshot_upsert, key_merge, config_upsert_delete, config_changes, counter_trim, bars_projection, bars_full, symbol_validation, csv_preamble_parse, json_closes, month_overflow, js_rounding,
         index_bars_read, point_quotes_read, put_call_window, newest_readings, factors_merged, ingest_health, quarantine, retried_closes,
         stream_day_counts, stream_last_event, stream_daily_snapshot, labels_and_parameters, fixed_universes, partial_feeds,
-        bars_by_parameters, call_log, composite_damaged, partial_reads, stream_final_days, stream_last_state, stream_first_snapshot,
+        bars_by_parameters, call_log, ath_retried, ingest_observed, composite_damaged, partial_reads, stream_final_days, stream_last_state, stream_first_snapshot,
     )
     out = {f.__name__: f for f in fs}
     return out | {f"resample_{c}": _resample(c) for c in ("month", "quarter", "year")}

@@ -200,7 +200,12 @@ def oracle_sql() -> dict[str, str]:
         "stream_daily_snapshot": " SELECT ts::DATE AS d, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1",
     }
     ends = "ts::DATE + INTERVAL 1 DAY"
+    place = lambda kind, cadence, n: f", x AS ({_returns(kind, cadence)}), k AS (SELECT period, row_number() OVER (ORDER BY period DESC) AS place FROM (SELECT DISTINCT period FROM x)) SELECT sym, {', '.join(f'{r(f"max(ret) FILTER (WHERE place = {p})", 2)} AS p{p}' for p in range(1, n + 1))} FROM x JOIN k ON x.period = k.period GROUP BY sym"
     q |= {
+        "scorecard_quarters": place("style", "quarter", 8),
+        "scorecard_months": place("region", "month", 12),
+        "ath_retried": f", q AS (SELECT right(sym, 2) AS k, {r('arg_max(close, d)', 2)} AS c, {r('max(close)', 2)} AS hi, {r('min(close)', 2)} AS lo FROM sym GROUP BY sym), l AS (SELECT *, left(k, 1) AS m, CASE WHEN left(k, 1) IN ('1', '3') THEN 'NASDAQ' ELSE 'NYSE' END || ':BRAND.' || k AS ticker FROM q), t AS (SELECT *, c >= hi * (1 - 0.0005) AS top, c <= lo * (1 + 0.0005) AS bottom FROM l WHERE m != '5' AND k != '43') SELECT (SELECT max(d) FROM sym) AS d, count(*) AS total, count(*) FILTER (WHERE top) AS n_high, {_share('count(*) FILTER (WHERE top)', 'count(*)')} AS pct_high, count(*) FILTER (WHERE bottom) AS n_low, {_share('count(*) FILTER (WHERE bottom)', 'count(*)')} AS pct_low, coalesce(string_agg(ticker, ',' ORDER BY ticker) FILTER (WHERE top), '') AS highs, coalesce(string_agg(ticker, ',' ORDER BY ticker) FILTER (WHERE bottom), '') AS lows, (SELECT count(*) FROM l WHERE m != '5' AND right(k, 1) = '3') AS retried, coalesce((SELECT string_agg(ticker, ',' ORDER BY ticker) FROM l WHERE k = '43'), '') AS unresolved, coalesce((SELECT string_agg('BRAND-' || k, ',' ORDER BY k) FROM l WHERE m = '5'), '') AS unlisted FROM t",
+        "ingest_observed": f", a AS (SELECT sym, left(sym, 1) AS k, {state} AS why FROM {index_of('')}) SELECT 1 AS pass, count(*) AS total, count(*) FILTER (WHERE why IS NULL) AS fetched, count(why) AS failed, (SELECT count(*) FROM sector WHERE left(sym, 1) NOT IN ('2', '3', '4')) AS closes FROM a UNION ALL SELECT 2, count(*), count(*) FILTER (WHERE k != '4'), count(*) FILTER (WHERE k = '4'), (SELECT count(*) FROM sector WHERE left(sym, 1) IN ('2', '3')) FROM a WHERE k IN ('2', '3', '4')",
         "bars_by_parameters": " SELECT o_orderpriority AS sym, o_orderdate::DATE AS d, arg_min(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, arg_max(o_totalprice, o_orderkey) AS close FROM orders WHERE o_orderpriority = '2-HIGH' AND o_orderdate::DATE BETWEEN DATE '1996-03-01' AND DATE '1998-02-28' GROUP BY ALL",
         "call_log": " SELECT o_orderdate::DATE AS d, count(*) AS calls FROM orders GROUP BY 1 ORDER BY d DESC LIMIT 90",
         "composite_damaged": q["composite_degraded"].replace("PATH_NOT_FOUND", "FAILED_READ_FILE"),

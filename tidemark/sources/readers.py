@@ -9,11 +9,12 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbers import parsed, rounded
+from ..functions.text import listed, same_class
 
 DAILY = "map<string,map<string,string>>"
 
@@ -44,6 +45,30 @@ def health(requested: DataFrame, docs: DataFrame, key: str = "sym") -> DataFrame
     return state.agg(F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("fetched"), F.count_if(~ok).alias("failed"), F.array_join(F.array_sort(F.collect_set(why)), "; ").alias("messages"))
 
 
+def observed(docs: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """The documents with data, and an observation of all: total, fetched, failed. It is filled by the first job that reads the documents."""
+    seen, message = Observation(name), F.col("message__")
+    said = docs.withColumn("message__", F.when(F.col("doc").isNull(), F.lit("no answer")).otherwise(feed_error(F.col("doc"))))
+    said = said.observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(message.isNull()).alias("fetched"), F.count_if(message.isNotNull()).alias("failed"))
+    return said.where(message.isNull()).drop("message__"), seen
+
+
+def listings(symbols: DataFrame, exchanges: DataFrame) -> DataFrame:
+    """Adds s, EXCHANGE:SYMBOL in the form with a point, null where no exchange is known; (sym, exchange) may write share classes with
+    a dash or a point, and of a symbol that it has twice the first exchange by name holds."""
+    known = exchanges.groupBy(same_class(F.col("sym")).alias("class__")).agg(F.min("exchange").alias("exchange__"))
+    rows = symbols.withColumn("class__", same_class(F.col("sym"))).join(known, "class__", "left")
+    return rows.withColumn("s", F.when(F.col("exchange__").isNotNull(), listed(F.col("exchange__"), F.col("sym")))).drop("class__", "exchange__")
+
+
+def asked_again(asked: DataFrame, first: DataFrame, ask, key: str = "s") -> tuple[DataFrame, DataFrame]:
+    """The first answer with what `ask` gives for the names that it lacks, and those names. Each name is asked for once more at most;
+    a null name is none, and what was never asked for isn't let in by the second answer."""
+    lacking = asked.where(F.col(key).isNotNull()).select(key).distinct().join(first.select(key), key, "left_anti")
+    more = ask(lacking).join(lacking, key, "left_semi").dropDuplicates([key])
+    return first.unionByName(more.select(*first.columns)), lacking
+
+
 def daily_closes(docs: DataFrame, series: str, field: str, digits: int | None = None) -> DataFrame:
     """(sym, doc) -> (sym, d, close) from documents keyed by date. Rows without a number are left out."""
     days = F.from_json(F.get_json_object("doc", f"$['{series}']"), DAILY)
