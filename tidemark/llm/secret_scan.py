@@ -252,9 +252,9 @@ def discoveries(runs: Column, bounds: dict[int, int]) -> Column:
 def fitted(docs: DataFrame, text: str = "text", rate: float = RATE) -> dict[int, int]:
     """For each band of lengths the least step that is a discovery. Each distinct run is tested once. Runs whose p-value is known to be
     above the rate are counted by band alone: no bound is there. At most a few hundred rows of counts reach the driver."""
-    rows = docs.where(F.col(text).rlike(RUN)).select(F.explode(F.regexp_extract_all(text, F.lit(f"({RUN})"), F.lit(1))).alias("run"))
-    n = F.length("run")
-    rows = rows.groupBy(_band(n).alias("band"), F.when(~_hopeless(F.col("run"), n, lambda k: -math.log10(rate)), F.col("run")).alias("run")).count()
+    sorted_out = lambda m: F.struct(_band(F.length(m)).alias("band"), F.when(~_hopeless(m, F.length(m), lambda k: -math.log10(rate)), m).alias("run"))
+    rows = docs.where(F.col(text).rlike(RUN)).select(F.inline(F.transform(F.regexp_extract_all(text, F.lit(f"({RUN})"), F.lit(1)), sorted_out)))
+    rows = rows.groupBy("band", "run").count()
     rows = rows.select("band", "count", F.when(F.col("run").isNull(), F.lit(0)).otherwise(let(tested(F.col("run")), _step)).alias("step"))
     counts: dict[int, dict[int, int]] = {}
     for band, step, n in rows.groupBy("band", "step").agg(F.sum("count")).collect():
