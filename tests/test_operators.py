@@ -11,9 +11,10 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import calendar, numbers, text
-from tidemark.operators import asof, breadth, isolation, returns, scorecard, scoring, snapshots, tape, windows
+from tidemark.operators import asof, blocks, breadth, isolation, returns, scorecard, scoring, snapshots, tape, windows
 from tidemark.plans import catalog
 from tidemark.sources import fixed, readers
 
@@ -409,3 +410,41 @@ def test_ranges_scan_the_facts_once(spark):
     for name in ("range_distribution", "range_change_list", "range_summary"):
         df = catalog.queries()[name](spark, "/root/testdata/sf0.001")
         assert not [f for f in df.inputFiles() if "lineitem" in f], name
+
+
+def test_blocks_equal_whole_windows(spark):
+    w = lambda *frame: Window.partitionBy("k").orderBy("d", "i").rowsBetween(*frame)
+    days = [(("A", "A", "A", None, "B")[i % 5], None if i % 50 == 7 else DAY + dt.timedelta(i * i % 17), i, None if i % 4 == 1 else (i * 37) % 101) for i in range(400)]
+    rows = spark.createDataFrame(days, "k string, d date, i int, v long")
+    for block in (F.col("d"), F.trunc("d", "MM"), F.lit(1)):
+        got = blocks.running(rows, ["k"], ["d", "i"], block, {"s": ("sum", "v"), "hi": ("max", "v"), "lo": ("min", "v"), "l": ("last", "v")})
+        all_ = w(Window.unboundedPreceding, 0)
+        want = rows.select("*", F.sum("v").over(all_).alias("s"), F.max("v").over(all_).alias("hi"), F.min("v").over(all_).alias("lo"), F.last("v", ignorenulls=True).over(all_).alias("l"))
+        assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+        for n, size in ((1, 1), (7, 7), (7, 30), (252, 1000)):
+            got = blocks.trailing(rows, ["k"], ["d", "i"], block, n, {"s": ("sum", "v"), "l": ("last", "v")}, size)
+            want = rows.select("*", F.sum("v").over(w(-(n - 1), 0)).alias("s"), F.last("v", ignorenulls=True).over(w(-(n - 1), 0)).alias("l"))
+            assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())), (n, size)
+    assert blocks.running(rows.limit(0), ["k"], ["d"], F.col("d"), {"s": ("sum", "v")}).count() == 0
+    for bad in ({"s": ("mean", "v")}, {"v": ("sum", "v")}):
+        with pytest.raises(ValueError):
+            blocks.running(rows, ["k"], ["d"], F.col("d"), bad)
+    with pytest.raises(ValueError):
+        blocks.trailing(rows, ["k"], ["d"], F.col("d"), 8, {"s": ("sum", "v")}, 7)
+
+
+def test_asof_by_blocks(spark):
+    left = spark.createDataFrame([(("A", "B", None)[i % 3], None if i == 40 else DAY + dt.timedelta(i * 7 % 90), i) for i in range(120)], "k string, d date, i int")
+    right = spark.createDataFrame([("A", DAY + dt.timedelta(3 * i), None if i % 5 == 2 else float(i)) for i in range(4, 20)] + [(None, DAY, 1.0), (None, DAY, 2.0), ("C", DAY, 5.0)], "k string, d date, y double")
+    for by in (["k"], []):
+        for how in ("left", "inner"):
+            want = asof.asof(left, right, by, "y", "y", how=how)
+            for block in (F.col("d"), F.trunc("d", "MM")):
+                got = blocks.asof(left, right, by, "y", "y", block, how=how)
+                assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_no_window_of_blocks_holds_a_whole_key(spark, sf):
+    """The one window without a block in its partitions runs over the blocks' totals."""
+    plan = catalog.market_running(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SinglePartition") == 1 and "hashpartitioning(block__" in plan

@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def dated_stream(left: DataFrame, right: DataFrame, by: list[str], value: str, order: str) -> DataFrame:
+    """Both sides as one stream: row__ (a left row, null for the right side's), keys, order, v__ (the right side's value), side__ (0 right, 1 left)."""
+    keys = [*by, order]
+    r = right.groupBy(*keys).agg(F.max(value).alias("v__"))
+    a = left.select(F.struct(*left.columns).alias("row__"), *keys, F.lit(None).cast(r.schema["v__"].dataType).alias("v__"), F.lit(1).alias("side__"))
+    b = r.select(F.lit(None).cast(a.schema["row__"].dataType).alias("row__"), *keys, "v__", F.lit(0).alias("side__"))
+    return a.unionByName(b)
+
+
 def asof(left: DataFrame, right: DataFrame, by: list[str], value: str, out: str, order: str = "d", how: str = "left") -> DataFrame:
     """Adds to each left row the right side's `value` of the latest row with the same keys and an equal or earlier `order`.
 
     Both sides are laid into one ordered stream, right rows before left rows of the same date; the last right value seen is
     carried forward. Of right rows with equal keys and dates the largest value counts. how="inner" drops what finds none."""
-    keys = [*by, order]
-    r = right.groupBy(*keys).agg(F.max(value).alias("v__"))
-    a = left.select(F.struct(*left.columns).alias("row__"), *keys, F.lit(None).cast(r.schema["v__"].dataType).alias("v__"), F.lit(1).alias("side__"))
-    b = r.select(F.lit(None).cast(a.schema["row__"].dataType).alias("row__"), *keys, "v__", F.lit(0).alias("side__"))
     w = Window.partitionBy(*by).orderBy(order, "side__").rowsBetween(Window.unboundedPreceding, 0)
-    rows = a.unionByName(b).withColumn(out, F.last("v__", ignorenulls=True).over(w)).where("side__ = 1")
+    rows = dated_stream(left, right, by, value, order).withColumn(out, F.last("v__", ignorenulls=True).over(w)).where("side__ = 1")
     if how == "inner":
         rows = rows.where(F.col(out).isNotNull())
     return rows.select("row__.*", out)

@@ -15,6 +15,7 @@ from ..functions.calendar import before, months_later, new_york_day, new_york_la
 from ..functions.numbers import parsed, pct_change, ratio, rounded, share, signed_percent, whole_number
 from ..functions.text import config_name, listed, same_class, symbol
 from ..operators import asof as A
+from ..operators import blocks
 from ..operators import breadth as B
 from ..operators import isolation
 from ..operators import returns as R
@@ -204,6 +205,34 @@ def component_histories(spark, sf):
     return S.histories(price_series(spark, sf))
 
 
+# the same over keys too long for one task
+def _trades(spark, sf) -> DataFrame:
+    return src.table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("d"), F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+
+
+def _trade_block():
+    """A day's orders in ranges of keys, so a block stays small at any scale."""
+    return F.struct("d", F.shiftright("o_orderkey", 32))
+
+
+def market_running(spark, sf):
+    """The market's turnover, high and low up to each single order: one key, as long as the table."""
+    rows = blocks.running(_trades(spark, sf), [], ["d", "o_orderkey"], _trade_block(), {"turnover": ("sum", "price"), "high": ("max", "price"), "low": ("min", "price")})
+    return rows.select("o_orderkey", "d", *[F.col(c).cast("double").alias(c) for c in ("turnover", "high", "low")])
+
+
+def market_trailing(spark, sf):
+    """High, low and turnover of each order and the 251 before it."""
+    rows = blocks.trailing(_trades(spark, sf), [], ["d", "o_orderkey"], _trade_block(), 252, {"high": ("max", "price"), "low": ("min", "price"), "turnover": ("sum", "price")})
+    return rows.select("o_orderkey", "d", *[F.col(c).cast("double").alias(c) for c in ("high", "low", "turnover")])
+
+
+def asof_trades(spark, sf):
+    """Each line's day meets the latest day on which its order's kind of market (the benchmark) closed: the left side is the facts, without a key."""
+    lines = src.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("d"))
+    return blocks.asof(lines, src.benchmark_closes(spark, sf), [], "close", "close", F.col("d")).select("l_orderkey", "l_linenumber", "d", "close")
+
+
 # breadth
 def name_flags(spark, sf):
     return B.name_flags(src.symbol_closes(spark, sf))
@@ -879,7 +908,7 @@ def queries() -> dict:
         snapshot_upsert, key_merge, config_upsert_delete, config_changes, counter_trim, bars_projection, bars_full, symbol_validation, csv_preamble_parse, json_closes, month_overflow, js_rounding,
         index_bars_read, point_quotes_read, put_call_window, newest_readings, factors_merged, ingest_health, quarantine, retried_closes,
         stream_day_counts, stream_last_event, stream_daily_snapshot, labels_and_parameters, fixed_universes, partial_feeds,
-        bars_by_parameters, call_log, ath_retried, ingest_observed, composite_damaged, partial_reads, stream_final_days, stream_last_state, stream_first_snapshot,
+        bars_by_parameters, call_log, ath_retried, ingest_observed, composite_damaged, partial_reads, market_running, market_trailing, asof_trades, stream_final_days, stream_last_state, stream_first_snapshot,
     )
     out = {f.__name__: f for f in fs}
     return out | {f"resample_{c}": _resample(c) for c in ("month", "quarter", "year")}

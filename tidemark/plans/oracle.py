@@ -119,6 +119,9 @@ def oracle_sql() -> dict[str, str]:
         "rebase_100": f", n AS (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY d DESC) AS rn, count(*) OVER (PARTITION BY sym) AS k FROM sector) SELECT n.sym, n.d, {r('n.close / b.close * 100', 4)} AS y FROM n JOIN n b ON n.sym = b.sym AND b.rn = least(504, b.k)",
         "running_high_low": f" SELECT sym, d, max(close) OVER (w ROWS 251 PRECEDING) AS hi, min(close) OVER (w ROWS 251 PRECEDING) AS lo FROM sector WINDOW w AS ({_W})",
         "asof_left": " SELECT b.d, s.close FROM bench b ASOF LEFT JOIN (SELECT * FROM sector WHERE sym = '1-URGENT') s ON b.d >= s.d",
+        "asof_trades": " SELECT l.l_orderkey, l.l_linenumber, l.d, b.close FROM (SELECT l_orderkey, l_linenumber, l_shipdate::DATE AS d FROM lineitem) l ASOF LEFT JOIN bench b ON l.d >= b.d",
+        "market_running": " SELECT o_orderkey, o_orderdate::DATE AS d, (sum(o_totalprice::DECIMAL(18,2)) OVER w)::DOUBLE AS turnover, (max(o_totalprice) OVER w)::DOUBLE AS high, (min(o_totalprice) OVER w)::DOUBLE AS low FROM orders WINDOW w AS (ORDER BY o_orderdate::DATE, o_orderkey ROWS UNBOUNDED PRECEDING)",
+        "market_trailing": " SELECT o_orderkey, o_orderdate::DATE AS d, (max(o_totalprice) OVER w)::DOUBLE AS high, (min(o_totalprice) OVER w)::DOUBLE AS low, (sum(o_totalprice::DECIMAL(18,2)) OVER w)::DOUBLE AS turnover FROM orders WINDOW w AS (ORDER BY o_orderdate::DATE, o_orderkey ROWS 251 PRECEDING)",
         "asof_by_key": " SELECT l.sym, l.d, x.close FROM (SELECT *, right(sym, 1) AS k FROM sym) l ASOF JOIN (SELECT left(sym, 1) AS k, d, close FROM sector) x ON l.k = x.k AND l.d >= x.d",
         "asof_ratio_rebased": f", {CREDIT} SELECT d, {r('y', 4)} AS y FROM credit",
         "scalar_asof": " SELECT sym, arg_max(close, d) FILTER (WHERE d <= last - 100) AS base FROM (SELECT *, max(d) OVER (PARTITION BY sym) AS last FROM sector) GROUP BY sym",
