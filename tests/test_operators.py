@@ -1,6 +1,7 @@
 """Golden values, properties and edges of the market operators."""
 
 import datetime as dt
+import io
 import math
 import threading
 import zipfile
@@ -9,7 +10,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -184,7 +185,7 @@ def test_readers(spark, tmp_path):
     assert tuple(readers.newest_first(series).first()) == ("r", 5.0, 4.0)
     with zipfile.ZipFile(tmp_path / "x.zip", "w") as z:
         z.writestr("a.csv", "made by\n\n,Mkt-RF,RF\n20240102, 1.5,0.1\n\n20240103,-2,\n Copyright\n20240104,9,9\n")
-    rows = readers.factor_rows(readers.zipped_text(spark, str(tmp_path)).select(F.lit("f").alias("name"), "text"), ["mkt_rf", "rf"]).orderBy("d").collect()
+    rows = readers.dated_rows(readers.archived_lines(readers.archives(spark, str(tmp_path))), ["mkt_rf", "rf"]).orderBy("d").collect()
     assert [tuple(r)[1:] for r in rows] == [(dt.date(2024, 1, 2), 1.5, 0.1), (dt.date(2024, 1, 3), -2.0, None)]
     bars = readers.index_bars(spark.createDataFrame([("I", '{"data": [{"date": "2024-01-01", "open": "1", "high": "2", "low": "0.5", "close": "1.5"}, {"date": "x"}]}')], "sym string, doc string"))
     assert [tuple(r)[2:] for r in bars.collect()] == [(1.0, 2.0, 0.5, 1.5)]
@@ -448,3 +449,26 @@ def test_no_window_of_blocks_holds_a_whole_key(spark, sf):
     """The one window without a block in its partitions runs over the blocks' totals."""
     plan = catalog.market_running(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SinglePartition") == 1 and "hashpartitioning(block__" in plan
+
+
+def test_archives_line_by_line(spark):
+    def packed(*inner):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, text_ in inner:
+                z.writestr(name, text_)
+        return data.getvalue()
+
+    long = ",A\n" + "".join(f"2024{1 + i % 12:02}{1 + i % 28:02},{i}\n" for i in range(1000)) + "\nend\n" + "x" * 100_000
+    files = [
+        ("zip", packed(("dir/", ""), ("a.csv", "free\r\n , no\r\n,A,B\r\n20240102,1,2%\r\n \r\n20240103,x\r\nfoot\r\n20240104,9,9\r\n"), ("b.csv", ",A\n20240105,1\n"))),
+        ("plain", b",A,B\n20249999,1,2\n20240102,3,4,5"), ("no files", packed()), ("no header", b"A,B\n20240102,1,2\n"), ("no data", b",A\n"), ("empty", b""), ("none", None), (None, b",A\n20240102,7\n"),
+        ("bad bytes", b"\xff\n,A\n20240102,1\n"), ("long", packed(("l.csv", long))),
+    ]
+    lines = readers.archived_lines(spark.createDataFrame(files, "path string, content binary"), batch=64)
+    rows = readers.dated_rows(lines, ["a", "b"]).collect()
+    d = dt.date(2024, 1, 2)
+    assert {tuple(r) for r in rows if r[0] != "long"} == {("zip", d, 1.0, 2.0), ("zip", dt.date(2024, 1, 3), None, None), ("plain", None, 1.0, 2.0), ("plain", d, 3.0, 4.0), (None, d, 7.0, None), ("bad bytes", d, 1.0, None)}
+    assert sorted(r["a"] for r in rows if r[0] == "long") == list(map(float, range(1000)))
+    with pytest.raises(PySparkException):
+        readers.archived_lines(spark.createDataFrame([("torn", files[0][1][:40])], "path string, content binary")).count()

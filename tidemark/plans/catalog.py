@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -603,40 +604,34 @@ def ath_retried(spark, sf):
 
 
 def factors_merged(spark, sf):
-    """Two zipped texts with free lines around their rows, unpacked, parsed and joined on the first one's days."""
-    three = src.market_bars(spark, sf).select("d", "open", "high", "low", "close")
-    other = _priority(spark, sf, "5-LOW")
-    folder = _store(spark, "zips")
-    _zip(_csv(three, "three", ",Mkt-RF,SMB,HML,RF"), folder)
-    _zip(_csv(other, "mom", ",Mom"), folder)
-    texts = readers.zipped_text(spark, f"{folder}/*/*.zip").select(F.regexp_extract("path", "name=([^/]+)/", 1).alias("name"), "text")
-    a = readers.factor_rows(texts.where("name = 'three'"), ["mkt_rf", "smb", "hml", "rf"]).drop("name")
-    b = readers.factor_rows(texts.where("name = 'mom'"), ["mom"])
+    """Zipped texts with free lines around their rows, one for each factor file and year, unpacked, parsed and joined on the first file's days."""
+    three = _texts(src.market_bars(spark, sf).select("d", "open", "high", "low", "close"), "three", ",Mkt-RF,SMB,HML,RF")
+    other = _texts(_priority(spark, sf, "5-LOW"), "mom", ",Mom")
+    lines = readers.archived_lines(_packed(three.unionByName(other), zipped=True), "name")
+    a = readers.dated_rows(lines.where("name = 'three'"), ["mkt_rf", "smb", "hml", "rf"], "name").drop("name")
+    b = readers.dated_rows(lines.where("name = 'mom'"), ["mom"], "name")
     return T.merged_factors(a, b)
 
 
-def _csv(rows: DataFrame, name: str, header: str) -> DataFrame:
-    """(name, text): a line for each day behind free lines and a header, free lines after them."""
+def _texts(rows: DataFrame, name: str, header: str) -> DataFrame:
+    """(name, year, line, head): a line for each day, and the header of the text it belongs in."""
     numbers = [F.format_string("%.2f", c) for c in rows.columns if c != "d"]
-    lines = rows.agg(F.array_sort(F.collect_list(F.concat_ws(",", F.date_format("d", "yyyyMMdd"), *numbers))).alias("x"))
-    text = F.concat(F.lit(f"Made from the tables\n\n{header}\n"), F.array_join("x", "\n"), F.lit("\n\nCopyright of nobody\n"))
-    return lines.select(F.lit(name).alias("name"), text.alias("text"))
+    return rows.select(F.lit(name).alias("name"), F.year("d").alias("year"), F.concat_ws(",", F.date_format("d", "yyyyMMdd"), *numbers).alias("line"), F.lit(header).alias("head"))
 
 
-def _zip(texts: DataFrame, folder: str) -> None:
-    """Writes each text, one of a few, as a zip file below folder/name=..., through the file system that Spark uses."""
+def _packed(texts: DataFrame, zipped: bool) -> DataFrame:
+    """(name, content): a file for each name and year, of 366 lines at most, free lines and a header before its lines and free lines after them."""
     import io
     import zipfile
 
-    spark = texts.sparkSession
-    for name, text in texts.collect():
+    def pack(year: pd.DataFrame) -> pd.DataFrame:
+        text = f"Made from the tables\nno header yet\n\n{year['head'].iloc[0]}\n" + "\n".join(sorted(year["line"])) + "\n\nAnnual: 12\n20200101,9,9\n"
         data = io.BytesIO()
         with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
             z.writestr("inner.csv", text)
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/name={name}/{name}.zip")
-        out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
-        out.write(bytearray(data.getvalue()))
-        out.close()
+        return pd.DataFrame({"name": [year["name"].iloc[0]], "content": [data.getvalue() if zipped else text.encode()]})
+
+    return texts.groupBy("name", "year").applyInPandas(pack, "name string, content binary")
 
 
 def _passes(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -872,11 +867,9 @@ def symbol_validation(spark, sf):
 
 
 def csv_preamble_parse(spark, sf):
-    """A text with lines before the header and after the data, made from orders' days."""
-    days = src.market_bars(spark, sf).select("d", "open", "close")
-    lines = days.agg(F.array_sort(F.collect_list(F.concat(F.date_format("d", "yyyyMMdd"), F.lit(","), F.format_string("%.2f,%.2f", "open", "close")))).alias("x"))
-    text = F.concat(F.lit("Made from orders\nno header yet\n\n,Open,Close\n"), F.array_join("x", "\n"), F.lit("\n\nAnnual: 12\n20200101,9,9\n"))
-    return readers.factor_rows(lines.select(F.lit("orders").alias("name"), text.alias("text")), ["open", "close"])
+    """Plain texts with lines before the header and after the data, one a year, made from orders' days."""
+    texts = _texts(src.market_bars(spark, sf).select("d", "open", "close"), "orders", ",Open,Close")
+    return readers.dated_rows(readers.archived_lines(_packed(texts, zipped=False), "name"), ["open", "close"], "name")
 
 
 def json_closes(spark, sf):

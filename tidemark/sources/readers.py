@@ -7,16 +7,17 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.numbers import parsed, rounded
 from ..functions.text import listed, same_class
 
 DAILY = "map<string,map<string,string>>"
+HEADER, DAY_KEY = re.compile(r",\s*\S"), re.compile(r"\d{8}", re.ASCII)
 
 
 def feed_error(doc: Column) -> Column:
@@ -122,30 +123,55 @@ def screener(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("s").alias("ticker"), at(1).alias("name"), *[parsed(at(k)).alias(c) for k, c in ((2, "high"), (3, "low"), (4, "high_all"), (5, "low_all"))])
 
 
-def zipped_text(spark: SparkSession, path: str) -> DataFrame:
-    """(path, text): the first file in each archive."""
-
-    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for p, content in zip(batch["path"], batch["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    names = [i for i in z.infolist() if not i.is_dir()]
-                    out.append((p, z.read(names[0]).decode("utf-8", "replace") if names else None))
-            yield pd.DataFrame(out, columns=["path", "text"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(first, "path string, text string")
-
-
-def factor_rows(texts: DataFrame, columns: list[str]) -> DataFrame:
-    """(name, text) -> (name, d, columns): the header is the first line that begins with a comma and a name, data runs from there to
-    the first line whose key isn't eight digits; blank lines count for nothing."""
-    lines = texts.select("name", F.posexplode(F.split("text", "\r?\n")).alias("n", "line")).where("trim(line) != ''")
-    own = Window.partitionBy("name")
-    body = lines.withColumn("head", F.min(F.when(F.col("line").rlike(r"^,\s*\S"), F.col("n"))).over(own)).where("n > head")
-    body = body.withColumn("stop", F.min(F.when(~F.trim(F.split("line", ",")[0]).rlike(r"^\d{8}$"), F.col("n"))).over(own)).where("stop is null or n < stop")
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content): files as they lie, zipped or plain."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def archived_lines(files: DataFrame, key: str = "path", batch: int = 20_000) -> DataFrame:
+    """(key, content) -> (key, line): the data lines of each file's text, or of the first file in it where it is a zip archive.
+
+    The header is the first line that begins with a comma and a name; data runs from there to the first line whose key isn't eight digits; blank
+    lines count for nothing. A text is unpacked and read line by line, `batch` lines go out at a time, and reading ends with the data, so a task holds
+    an archive as packed, never its text. No content, an archive without files and a text without a header have no lines; an archive that
+    breaks off is an error of its own (`isolation.isolated` takes such a part aside)."""
+
+    def data(content: bytes) -> Iterator[str]:
+        if content[:2] == b"PK":
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                inner = next((i for i in z.infolist() if not i.is_dir()), None)
+                if inner is not None:
+                    with z.open(inner) as f:
+                        yield from body(f)
+        else:
+            yield from body(io.BytesIO(content))
+
+    def body(raw) -> Iterator[str]:
+        begun = False
+        for line in io.TextIOWrapper(raw, "utf-8", "replace"):
+            line = line.rstrip("\r\n")
+            if not begun:
+                begun = HEADER.match(line) is not None
+            elif line.strip():
+                if not DAY_KEY.fullmatch(line.split(",", 1)[0].strip()):
+                    return
+                yield line
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for k, content in zip(frame[key], frame["content"], strict=True):
+                lines = data(bytes(content or b""))
+                while some := list(islice(lines, batch)):
+                    yield pd.DataFrame({key: [k] * len(some), "line": some})
+
+    kind = dict(files.dtypes)[key]
+    return files.select(key, "content").mapInPandas(read, f"`{key}` {kind}, line string")
+
+
+def dated_rows(lines: DataFrame, columns: list[str], key: str = "path") -> DataFrame:
+    """(key, line) -> (key, d, columns): cells by place, null where a cell is missing or no number; a day that doesn't exist is null."""
     cells = F.split("line", ",")
-    return body.select("name", F.to_date(F.trim(cells[0]), "yyyyMMdd").alias("d"), *[parsed(F.try_element_at(cells, F.lit(k + 2))).alias(c) for k, c in enumerate(columns)])
+    return lines.select(key, F.try_to_timestamp(F.trim(cells[0]), F.lit("yyyyMMdd")).cast("date").alias("d"), *[parsed(F.try_element_at(cells, F.lit(k + 2))).alias(c) for k, c in enumerate(columns)])
 
 
 def bars_between(trades: DataFrame, sym: str, first: str, last: str) -> DataFrame:
