@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 
 from .asof import dated_stream
 
-#: kind -> (aggregate of a block, aggregate of a window); "last" is the last value that isn't null.
+#: kind -> aggregate, of a block as of a window; "last", the last value that is not null, has one for each (see below).
 KINDS = {"sum": F.sum, "max": F.max, "min": F.min, "last": None}
 
 
