@@ -187,6 +187,30 @@ def test_chunks_own_each_feature_once(spark):
     assert sum(whole.values()) == len(docs) and {(d, n, w) for d, n, w, *_ in want} == set(whole)
 
 
+def test_lm_scores_by_packs(spark, monkeypatch):
+    """Packs of any size give the same scores, and the rows that answers travel in follow the packs, not the texts."""
+    import numpy as np
+    from tidemark.llm import lm_score
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(0, 60)) % 300) for _ in range(400)]
+    docs = [*enumerate(texts), *((1000 + k, t) for k, t in enumerate(texts[:50])), (2000, None), (2001, " ")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    scores = lambda: sorted((r["doc_id"], r["n_words"], r["n_seen"], r["n_backed_off"], round(r["log10_sum"], 9)) for r in lm_score.scored(df).collect())
+    want, made, written = scores(), {}, lm_score.written
+    monkeypatch.setattr(lm_score, "PACK", 300)
+
+    def counted(table, name):
+        out = written(table, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(lm_score, "written", counted)
+    assert scores() == want
+    packs = sum(len(t.split()) for t in set(texts)) // 300 + 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert all(0 < made[f"totals_{k}"] <= lm_score.PARTS // 2 * packs for k in range(lm_score.SLICES))
+
+
 def test_lm_scores_of_many_copies(spark):
     """2,000 equal rows, and as many of one text under different ids: their n-grams are counted once, and score as the others' evidence."""
     import time

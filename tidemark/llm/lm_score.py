@@ -5,19 +5,16 @@ count(w) / words. By default a document's own n-grams are not counted as evidenc
 n-gram of the corpus would ever be unseen.
 
 Equal texts have equal scores, so each distinct text is counted once with the number of its rows, and its score goes to all of them; a
-group of copies costs its rows' hashes, not its n-grams. Three tables do the rest, n-grams being named by 64-bit hashes:
-  - exploded n-grams: a row for each occurrence in a distinct text (part, gram, text's number, place, rows of that text). A part is a range
-    of the hash; tables are partitioned by part. On their way there occurrences travel as arrays, one record for each part of some
-    PACKET of them, and are exploded where they arrive;
-  - `counted`: the count table, grouped from the same partitions, of n-grams that occur more than once (what occurs once is its own
-    document's alone);
-  - their join, on part and n-gram, gives the totals, which are packed by text where they arise; those of a text are gathered and
-    its logarithms summed.
-N-grams go through these in SLICES ranges of the hash, one after the other, so that the shuffle's disk is a fraction of all n-grams;
-each range reads the texts anew. For the same reason the texts are scored in HALVES. The commonest n-grams are counted by
-themselves before (partial sums in each task, a table of at most FREQUENT entries that is broadcast), so that no partition gets
-all documents' rows of one n-gram. Which n-grams these are is taken from a sample of about SAMPLE texts, and decides only how
-a count travels: all counts are over all rows.
+group of copies costs its rows' hashes, not its n-grams. Distinct texts are kept as the hashes of their words, made once, and lie in packs
+of about PACK words. N-grams are named by 64-bit hashes:
+  - a pack's distinct n-grams with their counts there (an n-gram comes once from each pack, so there are no hot keys) travel to their
+    part, a range of the hash, as arrays;
+  - `counted`: the count table, grouped by part, with a row for each n-gram that more than one record has: its total and its packs. The others'
+    counts are their pack's own;
+  - its explosion by pack gives each pack its n-grams' totals;
+  - a pack's texts and totals meet, what has no total there is counted in the pack, and each text's logarithms are summed.
+N-grams go through these in SLICES ranges of the hash, one after the other, so that the shuffle's disk is a fraction of all n-grams. For
+the same reason the packs are scored in HALVES.
 
 Words: A-Z lower-cased, parted by white space; a document's n-grams don't reach over its ends. Null or wordless text: no words,
 sum 0, mean null. Repeated rows count as often as they occur. Null ids are rows like others. Texts are told apart by 128-bit
@@ -33,64 +30,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cleaned, settings, written
+from .common import written
 from .near_dups import _mixed, word_hashes
 
 ORDER, BACKOFF = 3, 0.4
-#: Ranges of the hash that are counted one after the other, and of the rows' names that are scored so.
-SLICES, HALVES = 4, 2
-#: Occurrences that are sorted by part at once in a worker (about 200 MB); those of a part, at most about.
-PACKET, PART = 2_000_000, 1_000_000
-#: Entries of the table of common n-grams (1.6 MB); rows of the sample that names them; how often one has to occur there.
-FREQUENT, SAMPLE, LEAST = 100_000, 4_096, 4
-#: A join may use partitions by some of its keys.
-CO_LOCATED = {"spark__sql__requireAllClusterKeysForCoPartition": "false"}
-OCCURRENCE = [("gram", pa.int64()), ("row", pa.int64()), ("at", pa.int32()), ("m", pa.int64())]
-PACKETS = "part int, occurrences array<struct<gram:bigint,row:bigint,at:int,m:bigint>>"
-ANSWERS = "row long, at array<int>, totals array<long>"
+#: Ranges of the hash that are counted one after the other, and of the packs that are scored so.
+SLICES, HALVES = 4, 4
+#: Words of a pack (about 150 MB while it is scored); n-grams of a part, at most about; least parts of a slice.
+PACK, PART, PARTS = 600_000, 1_000_000, 24
+#: Totals that are packed at once in a worker.
+PACKET = 2_000_000
+#: Unused: common n-grams need no table of their own since they have one row for each pack. A test still sets it.
+FREQUENT = 100_000
+HASHED = "a long, b long, row long, m long, words binary"
+PACKETS = "part int, pack long, grams array<long>, counts array<long>"
+COUNTED = "gram long, total long, packs array<long>"
+ANSWERS = "pack long, grams array<long>, totals array<long>"
 SCORED = "row long, n_words long, n_seen long, n_backed_off long, log10_sum double"
 
 
-def _grams(texts: list[str | None], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each order the hash of the n-gram that ends at each word; for each word its text, and its place there."""
-    hashes, ends = word_hashes(texts)
-    sizes = np.diff(ends, prepend=0)
-    text = np.repeat(np.arange(len(ends)), sizes)
-    place = np.arange(len(hashes)) - np.repeat(ends - sizes, sizes)
-    out = [_mixed(hashes + np.uint64(1))]
-    for n in range(2, order + 1):
-        prev = np.concatenate([np.zeros(1, np.uint64), out[-1][:-1]])[: len(hashes)]
-        out.append(_mixed(prev * np.uint64(0x9E3779B97F4A7C55) + hashes + np.uint64(n)))
-    return out, text, place
-
-
-class Table:
-    """Ascending n-grams, found by their leading bits: a few steps each, whatever the size."""
-
-    def __init__(self, grams: np.ndarray):
-        self.grams = grams
-        self.shift = np.uint64(64 - max(1, (16 * len(grams)).bit_length()))
-        heads = np.arange((1 << int(64 - self.shift)) + 1, dtype=np.float64)
-        self.first = np.searchsorted(grams >> self.shift, heads).astype(np.int32)
-        self.deepest = int(np.diff(self.first).max(initial=0))
-
-    def find(self, grams: np.ndarray) -> np.ndarray:
-        """Where each of `grams` stands; -1: nowhere."""
-        out = np.full(len(grams), -1, np.int64)
-        if not len(self.grams):
-            return out
-        head = (grams >> self.shift).astype(np.int64)
-        at, end = self.first[head], self.first[head + 1]
-        open_ = np.flatnonzero(at < end)
-        at, end = at[open_], end[open_]
-        for _ in range(self.deepest):
-            hit = self.grams[at] == grams[open_]
-            out[open_[hit]] = at[hit]
-            more = ~hit & (at + 1 < end)
-            open_, at, end = open_[more], at[more] + 1, end[more]
-        return out
-
-
 def _pieces(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Batches again, of about `chars` bytes of text each, so that what is made of them stays small."""
     for batch in batches:
@@ -101,125 +59,108 @@ def _pieces(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int =
                 yield batch.slice(a, b - a)
 
 
-def _packets(order: int, slice_: int, slices: int, parts: int, common: np.ndarray):
-    """(row, m, text) -> the occurrences of n-grams whose hash lies in the slice and which aren't in `common`, by part of the slice.
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, row, m, text) -> HASHED: in place of a text the hashes of its words."""
+    for batch in _pieces(batches):
+        hashes, ends = word_hashes(batch.column("text").to_pylist())
+        raw, cuts = hashes.tobytes(), (8 * ends).tolist()
+        words = pa.array([raw[x:y] for x, y in zip([0, *cuts], cuts, strict=False)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("a", "b", "row", "m")], words], [c.split()[0] for c in HASHED.split(", ")])
 
-    A place is stored as place * order + n - 1."""
-    table = Table(common)
-    low, high = (slice_ << 64) // slices, (slice_ + 1 << 64) // slices
-    width = np.uint64(min(-(-(high - low) // parts), (1 << 64) - 1))
 
-    def record(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        grams, *others = (np.concatenate(x) for x in zip(*held, strict=True))
-        part = np.minimum((grams - np.uint64(low)) // width, np.uint64(parts - 1)).astype(np.uint16 if parts <= 1 << 16 else np.int64)  # 16 bits are sorted by radix
-        by = np.argsort(part, kind="stable")
-        here, starts = np.unique(part[by], return_index=True)
-        offsets = pa.array(np.append(starts, len(by)).astype(np.int32))
-        rows = pa.StructArray.from_arrays([pa.array(x[by], t) for x, (_, t) in zip((grams.view(np.int64), *others), OCCURRENCE, strict=True)], [n for n, _ in OCCURRENCE])
-        return pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), pa.ListArray.from_arrays(offsets, rows)], ["part", "occurrences"])
-
-    def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in _pieces(batches):
-            names, many = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("row", "m"))
-            grams, text, place = _grams(batch.column("text").to_pylist(), order)
-            for n, g in enumerate(grams):
-                mine = np.flatnonzero((g >= np.uint64(low)) & (g <= np.uint64(high - 1)) & (place >= n))
-                mine = mine[table.find(g[mine]) < 0]
-                held.append((g[mine], names[text[mine]], (place[mine] * order + n).astype(np.int32), many[text[mine]]))
-                size += len(mine)
-            if size >= PACKET:
-                yield record(held)
-                held, size = [], 0
-        if size:
-            yield record(held)
-
-    return packets
+def _grams(words: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each order the hash of the n-gram that ends at each word; for each word its text, and its place there."""
+    hashes = np.frombuffer(b"".join(words), np.uint64)
+    sizes = np.asarray([len(x) // 8 for x in words], np.int64)
+    text = np.repeat(np.arange(len(words)), sizes)
+    place = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out = [_mixed(hashes + np.uint64(1))]
+    for n in range(2, order + 1):
+        prev = np.concatenate([np.zeros(1, np.uint64), out[-1][:-1]])[: len(hashes)]
+        out.append(_mixed(prev * np.uint64(0x9E3779B97F4A7C55) + hashes + np.uint64(n)))
+    return out, text, place
 
 
-def _common_counts(order: int, common: np.ndarray):
-    """Sums of a task for the n-grams in `common`; a null n-gram stands for all words."""
-    table = Table(common)
+def _summed(grams: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams, ascending, and the sums of `many` (1 for most)."""
+    distinct, counts = np.unique(grams, return_counts=True)
+    more = np.flatnonzero(many > 1)
+    np.add.at(counts, np.searchsorted(distinct, grams[more]), many[more] - 1)
+    return distinct, counts
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, words = np.zeros(len(common), np.int64), 0
-        for batch in _pieces(batches):
-            grams, text, place = _grams(batch.column("text").to_pylist(), order)
-            many = batch.column("m").to_numpy(zero_copy_only=False)[text]
-            words += int(many.sum())
-            for n, g in enumerate(grams):
-                at = table.find(g)
-                here = (at >= 0) & (place >= n)
-                sums += np.bincount(at[here], many[here], len(common)).astype(np.int64)  # doubles are exact below 2**53
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array([None, *common[some].view(np.int64).tolist()], pa.int64()), pa.array([words, *sums[some].tolist()], pa.int64())], ["gram", "n"])
 
-    return rows
+def _packets(order: int, slice_: int, slices: int, parts: int):
+    """(pack, m, words) -> PACKETS of the n-grams whose hash lies in the slice: a record for each pack and part of the slice. A pack that
+    is read in pieces has several."""
+    low, high = (slice_ << 64) // slices, (slice_ + 1 << 64) // slices
+    width = -(-(high - low) // parts)
+    edges = np.asarray([low + k * width for k in range(1, parts) if low + k * width < high], np.uint64)
+
+    def records(pack: int, held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        grams, counts = _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        cuts = np.concatenate([[0], np.searchsorted(grams, edges), [len(grams)]])
+        once = np.repeat(np.arange(0, 2 * len(cuts) - 2, 2), np.diff(cuts)) + (counts > 1)  # in a part what occurs once comes first: equal counts compress
+        by = np.argsort(once.astype(np.uint16) if 2 * len(cuts) <= 1 << 16 else once, kind="stable")
+        grams, counts = grams[by], counts[by]
+        some = np.flatnonzero(np.diff(cuts))
+        offsets = pa.array(np.append(cuts[some], len(grams)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (grams.view(np.int64), counts)]
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), pack)), *lists], ["part", "pack", "grams", "counts"])
 
+    def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for whole in batches:
+            packs = whole.column("pack").to_numpy(zero_copy_only=False)
+            cuts = (np.flatnonzero(np.diff(packs)) + 1).tolist()
+            for x, y in zip([0, *cuts], [*cuts, len(packs)], strict=True):
+                if x == y:
+                    continue
+                if held and packs[x] != last:
+                    yield records(last, held)
+                    held = []
+                last = int(packs[x])
+                for batch in _pieces([whole.slice(x, y - x)], "words"):
+                    many = batch.column("m").to_numpy(zero_copy_only=False)
+                    grams, text, place = _grams(batch.column("words").to_pylist(), order)
+                    for n, g in enumerate(grams):
+                        mine = np.flatnonzero((g >= np.uint64(low)) & (g <= np.uint64(high - 1)) & (place >= n))
+                        held.append((g[mine], many[text[mine]]))
+        if held:
+            yield records(last, held)
 
-def _own(grams: np.ndarray, text: np.ndarray, live: np.ndarray) -> np.ndarray:
-    """How often each live occurrence's n-gram stands in its own text; 0 for others."""
-    out = np.zeros(len(grams), np.int64)
-    if len(live):
-        _, group, n = np.unique(_mixed(grams[live] ^ _mixed(text[live].astype(np.uint64) + np.uint64(3))), return_inverse=True, return_counts=True)
-        out[live] = n[group]
-    return out
+    return packets
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The values of a list column and how many each row has."""
-    sizes = np.asarray([0 if x is None else x for x in column.value_lengths().to_pylist()], np.int64)
-    return column.flatten().to_numpy(zero_copy_only=False), sizes
-
-
-def _scored(order: int, backoff: float, leave_one_out: bool, common: np.ndarray, counts: np.ndarray, words: int):
-    """(row, text, answers) -> the score of each text."""
-    table = Table(common)
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _pieces(batches):
-            grams, text, place = _grams(batch.column("text").to_pylist(), order)
-            size = np.bincount(text, minlength=batch.num_rows)
-            first = np.cumsum(size) - size
-            totals = np.zeros((order, len(place)), np.int64)
-            at, sizes = _flat(batch.column("at"))
-            told, of = _flat(batch.column("totals"))[0], np.repeat(np.arange(batch.num_rows), sizes)
-            inside = at // order < size[of]
-            totals[at[inside] % order, first[of[inside]] + at[inside] // order] = told[inside]
-            left = []
-            for n, g in enumerate(grams):
-                where = table.find(g)
-                there = (where >= 0) & (place >= n)
-                totals[n][there] = counts[where[there]]
-                if leave_one_out:
-                    totals[n] -= _own(g, text, np.flatnonzero(totals[n]))
-                left.append(totals[n])
-            base = words - (size[text] if leave_one_out else 0)
-            result = np.log10(np.where((left[0] > 0) & (base > 0), left[0] / np.maximum(base, 1), 1 / max(words, 1)))
-            used = np.ones(len(place), np.int64)
-            for n in range(2, order + 1):
-                context = np.concatenate([np.zeros(1, np.int64), left[n - 2][:-1]])[: len(place)]
-                ok, seen = place >= n - 1, left[n - 1] > 0
-                kept = np.log10(np.maximum(left[n - 1], 1) / np.maximum(context, 1))
-                result = np.where(ok, np.where(seen, kept, result + np.log10(backoff)), result)
-                used = np.where(ok & seen, n, used)
-            full = np.minimum(order, place + 1)
-            add = lambda x: np.bincount(text, x, batch.num_rows)  # noqa: E731, B023
-            out = [batch.column("row"), pa.array(size), pa.array(add(used == full).astype(np.int64)), pa.array(add(used < full).astype(np.int64)), pa.array(add(result).astype(np.float64))]
-            yield pa.RecordBatch.from_arrays(out, [c.split()[0] for c in SCORED.split(", ")])
+    column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
 
-    return rows
+
+def _counted(packets: pa.Table) -> pa.Table:
+    """PACKETS of one part -> COUNTED: the n-grams that are in more than one record."""
+    (grams, sizes), (counts, _) = _flat(packets.column("grams")), _flat(packets.column("counts"))
+    packs = np.repeat(packets.column("pack").to_numpy(), sizes)
+    by = np.argsort(grams)
+    ordered = grams[by]
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(by)])
+    sizes = np.diff(np.append(starts, len(by)))
+    more = sizes > 1
+    totals = np.add.reduceat(counts[by], starts)[more] if len(by) else counts
+    offsets = np.append(0, np.cumsum(sizes[more])).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(packs[by[np.repeat(more, sizes)]]))
+    return pa.table([pa.array(ordered[starts[more]]), pa.array(totals), lists], ["gram", "total", "packs"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, at, total) -> ANSWERS, a record for each row that is among some PACKET of them."""
+    """(pack, gram, total) -> ANSWERS, a record for each pack that is among some PACKET of them."""
 
     def record(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows, ats, totals = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("row", "at", "total"))
-        by = np.argsort(rows, kind="stable")
-        here, starts = np.unique(rows[by], return_index=True)
+        packs, grams, totals = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("pack", "gram", "total"))
+        by = np.argsort(packs, kind="stable")
+        here, starts = np.unique(packs[by], return_index=True)
         offsets = pa.array(np.append(starts, len(by)).astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(here), *[pa.ListArray.from_arrays(offsets, pa.array(x[by])) for x in (ats, totals)]], ["row", "at", "totals"])
+        return pa.RecordBatch.from_arrays([pa.array(here), *[pa.ListArray.from_arrays(offsets, pa.array(x[by])) for x in (grams, totals)]], ["pack", "grams", "totals"])
 
     held, size = [], 0
     for batch in batches:
@@ -232,66 +173,95 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield record(held)
 
 
-def distinct_texts(rows: DataFrame) -> DataFrame:
-    """(a, b, row, m, text): each text once, named by two hashes, with a number and how many rows have it."""
-    texts = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.first("text").alias("text"))
-    return written(texts.select("a", "b", F.monotonically_increasing_id().alias("row"), "m", "text"), "texts")
-
+def _totals(grams: np.ndarray, text: np.ndarray, many: np.ndarray, told: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of a pack's occurrences, which stand by text: its n-gram's total, which is the pack's own where none is told, and how often
+    the n-gram stands in the same text."""
+    by = np.argsort(grams, kind="stable")
+    ordered, texts = grams[by], text[by]
+    first = np.append(True, ordered[1:] != ordered[:-1])[: len(by)]
+    starts = np.flatnonzero(first)
+    sums = np.add.reduceat(many[by], starts) if len(by) else many
+    at = np.searchsorted(ordered[starts], told)
+    here = np.flatnonzero(at < len(starts))
+    here = here[ordered[starts[at[here]]] == told[here]]
+    sums[at[here]] = totals[here]
+    runs = np.flatnonzero(first | np.append(True, texts[1:] != texts[:-1])[: len(by)])
+    lengths = np.diff(np.append(runs, len(by)))
+    out, own = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+    out[by], own[by] = np.repeat(sums, np.diff(np.append(starts, len(by)))), np.repeat(lengths, lengths)
+    return out, own
+
+
+def _scored(order: int, backoff: float, leave_one_out: bool, words: int):
+    """(pack, row, m, words), ANSWERS of one pack -> the score of each text."""
+
+    def rows(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        grams, text, place = _grams(texts.column("words").to_pylist(), order)
+        size = np.bincount(text, minlength=texts.num_rows)
+        many = texts.column("m").to_numpy()[text]
+        told, totals = _flat(answers.column("grams"))[0].view(np.uint64), _flat(answers.column("totals"))[0]
+        left = []
+        for n, g in enumerate(grams):
+            there = np.flatnonzero(place >= n)
+            total, own = _totals(g[there], text[there], many[there], told, totals)
+            left.append(np.zeros(len(place), np.int64))
+            left[n][there] = total - own if leave_one_out else total
+        base = words - (size[text] if leave_one_out else 0)
+        result = np.log10(np.where((left[0] > 0) & (base > 0), left[0] / np.maximum(base, 1), 1 / max(words, 1)))
+        used = np.ones(len(place), np.int64)
+        for n in range(2, order + 1):
+            context = np.concatenate([np.zeros(1, np.int64), left[n - 2][:-1]])[: len(place)]
+            ok, seen = place >= n - 1, left[n - 1] > 0
+            kept = np.log10(np.maximum(left[n - 1], 1) / np.maximum(context, 1))
+            result = np.where(ok, np.where(seen, kept, result + np.log10(backoff)), result)
+            used = np.where(ok & seen, n, used)
+        full = np.minimum(order, place + 1)
+        add = lambda x: np.bincount(text, x, texts.num_rows)
+        out = [texts.column("row"), pa.array(size), pa.array(add(used == full).astype(np.int64)), pa.array(add(used < full).astype(np.int64)), pa.array(add(result).astype(np.float64))]
+        return pa.table(out, [c.split()[0] for c in SCORED.split(", ")])
 
-def exploded(packets: DataFrame) -> DataFrame:
-    """(part, gram, row, at, m), one row for each occurrence."""
-    return packets.select("part", F.inline("occurrences"))
+    return rows
 
 
-def _common(texts: DataFrame, order: int) -> np.ndarray:
-    """The commonest n-grams of a sample, ascending."""
-    n = texts.count()
-    some = texts.where(F.pmod(F.xxhash64(F.lit("sample"), "row"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(n, 1)) * (1 << 30)))
-    counts = exploded(some.mapInArrow(_packets(order, 0, 1, 1, np.zeros(0, np.uint64)), PACKETS)).groupBy("gram").agg(F.sum("m").alias("n"))
-    found = counts.where(F.col("n") >= LEAST).orderBy(F.desc("n"), "gram").limit(FREQUENT).select("gram").collect()
-    return np.sort(np.asarray([r[0] for r in found], np.int64).view(np.uint64))
+def distinct_texts(rows: DataFrame) -> DataFrame:
+    """HASHED: each text once, named by two hashes, with a number and how many rows have it."""
+    texts = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.first("text").alias("text"))
+    return written(texts.select("a", "b", F.monotonically_increasing_id().alias("row"), "m", "text").mapInArrow(_hashed, HASHED), "texts")
 
 
-def counted(occurrences: DataFrame, least: int = 2) -> DataFrame:
-    """The count table: (part, gram, total) of what occurs `least` times. It reads all columns, so that the plan can read the same
-    partitions twice."""
-    counts = occurrences.groupBy("part", "gram").agg(F.sum("m").alias("total"), F.count("row").alias("rows"), F.count("at").alias("ats"))
-    return counts.where(f"total >= {least} and rows = ats").select("part", "gram", "total")
+def counted(packets: DataFrame, tasks: int) -> DataFrame:
+    """The count table, (gram, total, packs), of n-grams in more than one record of PACKETS."""
+    return packets.repartition(tasks, "part").groupBy("part").applyInArrow(_counted, COUNTED)
 
 
-def answered(packets: DataFrame, least: int = 2) -> DataFrame:
-    """ANSWERS: the totals of a text's n-grams and where they stand, in two lists of one order. The occurrences are shuffled once, for both
-    sides. Written under CO_LOCATED, partitions by part serve the join on part and n-gram as they are."""
-    occurrences = exploded(packets.repartition("part"))
-    totals = occurrences.join(counted(occurrences, least).hint("shuffle_hash"), ["part", "gram"])
-    return totals.select("row", "at", "total").mapInArrow(_packed, ANSWERS)
+def answered(packets: DataFrame, tasks: int) -> DataFrame:
+    """ANSWERS: the totals of a pack's n-grams that are in other packs too, in two lists of one order."""
+    return counted(packets, tasks).select(F.explode("packs").alias("pack"), "gram", "total").mapInArrow(_packed, ANSWERS)
 
 
 def scored(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, backoff: float = BACKOFF, leave_one_out: bool = True) -> DataFrame:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = rows.withColumns({"a": F.xxhash64("text"), "b": F.xxhash64(F.lit("b"), "text")})
     texts = distinct_texts(rows)
-    bare = texts.select("row", "m", "text")
-    with cleaned(docs.sparkSession):
-        common = _common(bare, order)
-        sums = bare.mapInArrow(_common_counts(order, common), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        sums = dict(map(tuple, sums.collect()))  # at most FREQUENT + 1 rows
-    words = sums.pop(None, 0)
-    counts = np.asarray([sums.get(g, 0) for g in common.view(np.int64).tolist()], np.int64)
-    parts = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-order * words // (SLICES * PART)))
-    least = 2 if leave_one_out else 1
-    with settings(docs.sparkSession, **CO_LOCATED):
-        told = [written(answered(bare.mapInArrow(_packets(order, k, SLICES, parts, common), PACKETS), least), f"totals_{k}") for k in range(SLICES)]
+    size = (F.octet_length("words") / 8).cast("long")
+    place = F.shiftright("row", 33)  # the partition that numbered the row
+    sums = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(size * F.col("m")), F.lit(0)), F.coalesce(F.max(place), F.lit(0)))
+    n, distinct, words, last = sums.first()
+    together = PACK * (last + 1) // max(distinct, 1)  # a pack is some partitions, or a part of one
+    pack = F.floor(place / together) if together > 1 else F.floor(F.col("row") / max(1, n * PACK // max(distinct, n, 1)))
+    packs = texts.select(pack.alias("pack"), "row", "m", "words")
+    parts = max(PARTS, -(-order * distinct // (SLICES * PART)))
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts // 2)
+    told = [written(answered(packs.select("pack", "m", "words").mapInArrow(_packets(order, k, SLICES, parts), PACKETS), tasks), f"totals_{k}") for k in range(SLICES)]
 
     def half(k: int) -> DataFrame:
-        mine = F.pmod(F.xxhash64("row"), F.lit(HALVES)) == k
+        mine = F.pmod(F.xxhash64("pack"), F.lit(HALVES)) == k
         every = told[0]
         for t in told[1:]:
             every = every.unionByName(t)
-        every = every.where(mine).groupBy("row").agg(F.flatten(F.collect_list("at")).alias("at"), F.flatten(F.collect_list("totals")).alias("totals"))
-        none = {"at": F.array().cast("array<int>"), "totals": F.array().cast("array<bigint>")}
-        out = bare.where(mine).join(every, "row", "left").select("row", "text", *[F.coalesce(c, x).alias(c) for c, x in none.items()])
-        return written(out.mapInArrow(_scored(order, backoff, leave_one_out, common, counts, words), SCORED), f"scores_{k}")
+        # a pack without texts has no totals either
+        found = packs.where(mine).groupBy("pack").cogroup(every.where(mine).groupBy("pack")).applyInArrow(_scored(order, backoff, leave_one_out, words), SCORED)
+        return written(found, f"scores_{k}")
 
     found = half(0)
     for k in range(1, HALVES):
