@@ -116,3 +116,23 @@ def test_queries_meet_their_cases(spark):
 
     assert {r["kind"] for r in catalog.stream_final_days(spark, sf).collect()} == {"final", "late"}
     assert {r["expired"] for r in catalog.stream_last_state(spark, sf).collect()} == {True, False}
+
+
+def test_no_task_numbers_a_whole_day(spark, monkeypatch):
+    from tidemark.plans import catalog
+
+    sf, numbers, sizes = "/root/testdata/sf0.01", catalog._day_numbers, []
+
+    def numbered(e, width, tasks):
+        out = numbers(e, width, tasks)
+        sizes.append(out.groupBy("d", "b").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(catalog, "_day_numbers", numbered)
+    monkeypatch.setattr(catalog, "EVENTS_A_BLOCK", 40)
+    got = sorted((r["d"], r["run"], r["n"], r["first_id"]) for r in catalog.stream_first_snapshot(spark, sf).collect())
+    spark.read.parquet(f"{sf}/events.parquet").createOrReplaceTempView("first_events")
+    day = "SELECT to_date(ts) d, event_id, row_number() OVER (PARTITION BY to_date(ts) ORDER BY event_id) k FROM first_events"
+    want = spark.sql(f"SELECT d, 0 run, count(*) n, min(event_id) first_id FROM ({day}) WHERE (k - 1) % 3 = 0 GROUP BY d")
+    assert got == sorted(map(tuple, want.collect()))
+    assert sizes and max(sizes) <= 40 < max(n for _, _, n, _ in got)

@@ -796,13 +796,31 @@ def stream_last_state(spark, sf):
     return streams.last_known(spark, f"{root}/rows")
 
 
+#: Events of a block and of a task, at most about, where they are numbered within their day.
+EVENTS_A_BLOCK, EVENTS_A_TASK = 50_000, 500_000
+
+
+def _day_numbers(e: DataFrame, width: int, tasks: int) -> DataFrame:
+    """Adds rn, an event's number within its day by event_id, from 1. A day is cut into blocks of event ids; rows are numbered within them, and
+    how many a day has in blocks before comes from a table of counts. A fixed number of tasks, so that none gets them merged."""
+    e = e.withColumn("b", F.coalesce(F.floor(F.col("event_id") / width), F.lit(-(2**62))))
+    before = F.coalesce(F.sum("size").over(Window.partitionBy("day", "of").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = [F.coalesce("d", F.lit("0001-01-01").cast("date")).alias("day"), F.col("d").isNull().alias("of"), F.col("b").alias("block")]
+    sizes = e.groupBy(*known).agg(F.count(F.lit(1)).alias("size")).select("day", "of", "block", before.alias("before"))
+    own = e.select("*", *known).repartition(tasks, "day", "of", "block")
+    own = own.withColumn("own", F.row_number().over(Window.partitionBy("day", "of", "block").orderBy("event_id")))
+    return own.join(sizes, ["day", "of", "block"]).withColumn("rn", F.col("own") + F.col("before")).drop("day", "of", "block", "own", "before")
+
+
 def stream_first_snapshot(spark, sf):
     """Three snapshots of each day, of which the first wins. Each file has one of a day at most; the second and third run come with the
     next half of the days, repeated ones among them and ones that are late by then."""
     e, root = src.table(spark, sf, "events").withColumn("d", F.to_date("ts")), _store(spark, "first")
-    run = ((F.row_number().over(Window.partitionBy("d").orderBy("event_id")) - 1) % 3).cast("int")
-    runs = e.withColumn("run", run).groupBy("d", "run").agg(F.max(F.col("ts").cast("timestamp")).alias("ts"), F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
-    low, high = e.agg(F.min("d"), F.max("d")).first()
+    low, high, first, last, n = e.agg(F.min("d"), F.max("d"), F.min("event_id"), F.max("event_id"), F.count(F.lit(1))).first()
+    width = max(1, ((last - first + 1) if n and last is not None else 1) * EVENTS_A_BLOCK // max(n, 1))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // EVENTS_A_TASK))
+    numbered = _day_numbers(e.select("event_id", "ts", "d"), width, tasks)
+    runs = numbered.withColumn("run", ((F.col("rn") - 1) % 3).cast("int")).groupBy("d", "run").agg(F.max(F.col("ts").cast("timestamp")).alias("ts"), F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
     early = F.col("d") < F.lit(low + (high - low) / 2 if low else low)
     of = lambda k: F.col("run") == k
     _landed(runs, f"{root}/in", [early & of(0), (early & of(1)) | (~early & of(0)), (early & of(2)) | (~early & of(1)), ~early & of(2)])
