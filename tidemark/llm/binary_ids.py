@@ -17,6 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,7 +30,11 @@ COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BLOCK_IDS = 1 << 16
 #: Of text, at most about, for a file.
 FILE_BYTES = 128_000_000
+#: Of text, encoded at once.
+SLICE_BYTES = 4_000_000
 SCHEMA = "part int, block int, start_in_part long, n_ids long, doc_ids array<long>, lengths array<int>, starts array<int>, words binary"
+KINDS = {"int": pa.int32(), "long": pa.int64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "binary": pa.binary()}
+ARROW = pa.schema([(name, KINDS[kind]) for name, kind in map(str.split, SCHEMA.split(", "))])
 
 
 def pack_words(ids: np.ndarray) -> np.ndarray:
@@ -77,24 +83,41 @@ def unpack_words(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def _blocks(batches: Iterator[pd.DataFrame], name: str, end_id: int) -> Iterator[pd.DataFrame]:
-    coder, end, part = encoder(name), np.asarray([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
-    docs, pieces, size, block, done = [], [], 0, 0, 0
-
-    def row() -> pd.DataFrame:
-        lengths = np.asarray([len(x) // 4 for x in pieces], np.int64)
-        words = pack_words(np.frombuffer(b"".join(pieces), "<u4"))
-        values = (part, block, done, size, docs, lengths.tolist(), (np.cumsum(lengths) - lengths).tolist(), words.astype("<u8").tobytes())
-        return pd.DataFrame({c.split()[0]: [v] for c, v in zip(SCHEMA.split(", "), values, strict=True)})
-
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most about SLICE_BYTES of text, or one row."""
     for batch in batches:
-        for doc, text in zip(batch["doc"].tolist(), batch["text"].tolist(), strict=True):
-            docs.append(None if doc is None or doc != doc else int(doc))
-            pieces.append(coder.encode(text or "") + end)
-            size += len(pieces[-1]) // 4
+        upto, at = np.cumsum(pc.binary_length(batch.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while at < len(upto):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], name: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    coder, part = encoder(name), TaskContext.get().partitionId()
+    docs, counts, pieces, size, block, done = [], [], [], 0, 0, 0
+
+    def row() -> pa.RecordBatch:
+        lengths = np.concatenate(counts)
+        words = pack_words(np.concatenate(pieces)).astype("<u8").tobytes()
+        values = (part, block, done, size, docs, lengths, np.cumsum(lengths) - lengths, words)
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for f, v in zip(ARROW, values, strict=True)], schema=ARROW)
+
+    for batch in _slices(batches):
+        ids, lengths = coder.encode_all(batch.column("text"))
+        ids = np.insert(ids, np.cumsum(lengths), end_id)
+        lengths = lengths + 1
+        ends, names, first, at = np.cumsum(lengths), batch.column("doc").to_pylist(), 0, 0
+        while first < len(ends):
+            last = min(len(ends), int(np.searchsorted(ends, at + BLOCK_IDS - size)) + 1)  # behind the document that fills the block
+            docs += names[first:last]
+            counts.append(lengths[first:last])
+            pieces.append(ids[at : ends[last - 1]])
+            size += len(pieces[-1])
+            first, at = last, ends[last - 1]
             if size >= BLOCK_IDS:
                 yield row()
-                docs, pieces, block, done, size = [], [], block + 1, done + size, 0
+                docs, counts, pieces, block, done, size = [], [], [], block + 1, done + size, 0
     if docs:
         yield row()
 
@@ -104,10 +127,10 @@ def write_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "t
     if not files:
         size = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0))).first()[0]
         files = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
-    rows = docs.select(F.col(doc_id).cast("string").alias("doc"), F.col(doc_id).cast("long").alias("k"), F.col(text).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    rows = rows.repartitionByRange(files, "k", "h").sortWithinPartitions("k", "h", "text").select("doc", "text")
-    rows.mapInPandas(lambda it: _blocks(it, tokenizer, end_id), SCHEMA).write.option("compression", "none").parquet(path)
+    rows = rows.repartitionByRange(files, "doc", "h").sortWithinPartitions("doc", "h", "text").select("doc", "text")
+    rows.mapInArrow(lambda it: _blocks(it, tokenizer, end_id), SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def _documents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
